@@ -28,3 +28,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    shards = [f"shard-{k:03d}" for k in range(64)]
+    return place(table(spark, sf_dir, "documents"), shards).select("doc_id", "slot", "shard")
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _oracles() -> None:
+    from . import decontaminate
+
+    ORACLE_SQL["op4_decontamination"] = decontaminate.ORACLE
+
+
+_oracles()
