@@ -50,12 +50,12 @@ def hits(documents: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_
     lookup = windows.select("item_id", F.col("size").alias("w_size"), "window", "hash")
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
 
+    def of_size(w: Column, s: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - s + 1, F.lit(1)))
+        return F.when(F.size(w) >= s, F.transform(at, lambda i: F.xxhash64(F.slice(w, i, s)))).otherwise(F.array().cast("array<bigint>"))
+
     def hashes(w: Column) -> Column:
-        each = [
-            F.when(F.size(w) >= s, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - s + 1, F.lit(1))), lambda i, s=s: F.xxhash64(F.slice(w, i, s)))).otherwise(F.array().cast("array<bigint>"))
-            for s in sizes
-        ]
-        return F.concat(F.array(F.lit(0).cast("bigint")), *each)
+        return F.concat(F.array(F.lit(0).cast("bigint")), *(of_size(w, s) for s in sizes))
 
     scan = docs.select("doc_id", "text_hash", "w", F.posexplode(_once(F.col("w"), hashes)).alias("k", "hash"))
     # where window k starts and how long it is: windows are listed by size
