@@ -45,6 +45,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
@@ -53,8 +60,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from . import decontaminate
+    from . import decontaminate, jaccard
 
+    ORACLE_SQL["op6_jaccard_join"] = jaccard.ORACLE
     ORACLE_SQL["op4_decontamination"] = decontaminate.ORACLE
 
 
