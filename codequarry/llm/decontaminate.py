@@ -19,8 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 10
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WORDS = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -103,12 +106,16 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ).drop("copy")
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The documents without the contaminated passages, all columns kept: from the first to the
     last character of each run of hit words. Texts without a hit stay as they are."""
     found = hits(documents, benchmark_windows(benchmark), id_col, text_col).where(F.size("spans") > 0)
     runs = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.sort_array(hit_positions(F.col("spans"))).alias("__hit"))
     keyed = documents.withColumn("__hash", F.xxhash64(text_col))
+    runs = materialize(runs, "hits")
+    # the runs of hit words: 4 bytes a word, broadcast up to BROADCAST_WORDS
+    few = runs.agg(F.coalesce(F.sum(F.size("__hit") + 8), F.lit(0))).first()[0] <= BROADCAST_WORDS
+    runs = F.broadcast(runs) if few else runs
     joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["__id"]) & (keyed["__hash"] == runs["__hash"]), "left").drop(runs["__hash"])
 
     def cut(text: Column, hit: Column) -> Column:
@@ -126,7 +133,11 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         return _once(parts, drop)
 
     text = F.when(F.col("__hit").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__hit")))
-    return joined.withColumn(text_col, text).drop("__id", "__hash", "__hit")
+    out = joined.withColumn("__new", text)
+    if length_col in documents.columns:
+        changed = F.when(F.col("__hit").isNull(), F.col(length_col)).otherwise(F.length("__new").cast(documents.schema[length_col].dataType))
+        out = out.withColumn(length_col, changed)
+    return out.withColumn(text_col, F.col("__new")).select(*documents.columns)
 
 
 def drop_documents(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.0) -> DataFrame:
