@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -59,6 +60,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
@@ -67,9 +82,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from . import decontaminate, jaccard
+    from . import decontaminate, jaccard, topk
 
     ORACLE_SQL["op6_jaccard_join"] = jaccard.ORACLE
+    ORACLE_SQL["op7_topk"] = topk.ORACLE
     ORACLE_SQL["op4_decontamination"] = decontaminate.ORACLE
 
 
