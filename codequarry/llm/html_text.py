@@ -53,10 +53,10 @@ LABELLED = """
 1 2 0.5 6 0 4 1 1
 1 25 0.2 4 1 3 1 1
 1 6 0.3 2 1 9 0 1
-1 4 1 8 1 2 1 0
-1 3 1 3 1 3 1 0
-1 1 1 2 1 3 1 0
-1 2 1 40 0 2 1 0
+1 4 1 8 1 2 1 1
+1 3 1 3 1 3 1 1
+1 1 1 2 1 3 1 1
+1 2 1 40 0 2 1 1
 0 50 0 45 0 60 0 1
 0 80 0.05 6 0 70 0 1
 0 30 0 60 0 2 0 1
