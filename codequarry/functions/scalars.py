@@ -11,6 +11,7 @@ from urllib.parse import quote, unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codequarry import schema as S
 
@@ -131,7 +132,7 @@ def id_from_hex(text: Column) -> Column:
     return F.conv(text, 16, -10).cast("long")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def usr_id(usr: pd.Series) -> pd.Series:
     """64-bit xxHash of seed 0 (the engine's own function has another seed); 0 for no text."""
     import xxhash

@@ -17,8 +17,12 @@ R_AOF, W_AOF, R_VAL, W_VAL, R_PTR, W_PTR = 1, 2, 4, 8, 16, 32
 NO_TYPE = -1
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Made without a session."""
+    return T.StructType([T.StructField(n, _TYPES[k]) for n, k in (c.split() for c in spec.split(", "))])
 
 
 FILES = _struct("variant string, path string, mtime_ns bigint, size bigint")
