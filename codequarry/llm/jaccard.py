@@ -10,11 +10,14 @@ nodes share no rare shingle there, they share two frequent ones. Sets above PAIR
 keys for frequent ones too; those near that size use both, so that both kinds meet.
 
 Nodes under one key are not paired all with all: each is verified against the key's smallest
-node, again against another one, components are labelled, and only nodes under one key that are
-still in different components and of fitting sizes are paired. No partner is capped or dropped.
+node, again against its greatest one, components are labelled, and only nodes under one key that
+are still in different components and of fitting sizes are paired. No partner is capped or
+dropped. A pair is first tested on sketches, an exact upper bound of its overlap, so that whole
+sets are read and moved for few texts only.
 
 Defined results: texts without words have no set, are their own component and are linked with
-nothing; equal texts are one component; rows repeated with one id give that row repeatedly;
+nothing; equal texts are one component; rows repeated with one id give that row repeatedly; texts
+of rows with null ids only are linked by equality alone and have a null component;
 ``component_id`` is the smallest id of the component. Word hashes are 64-bit.
 """
 
@@ -41,6 +44,9 @@ BATCH_TEXTS = 4
 PAIR_SIZE = 512
 #: Ids broadcast to choose the texts to verify, 8 bytes each; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
+#: Pairs are first tested on the shingles in this part of the (signed) hash space.
+SKETCH_SHARE = 1 / 8
+SKETCH_BELOW = -(1 << 63) + int(SKETCH_SHARE * (1 << 64))
 PIECE = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,51 +183,69 @@ def _nodes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _index(documents: DataFrame, frequent, id_col: str, text_col: str) -> DataFrame:
-    """key, node: each distinct set of a batch under its keys."""
+    """key, node, n: each distinct set of a batch under its keys."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        keys, nodes, seen = [], [], set()
+        keys, nodes, sizes, seen = [], [], [], set()
         for grams in shingle_sets(batch.column(1).to_pylist()):
             if len(grams) > 1 and (node := set_id(grams)) not in seen:
                 seen.add(node)
                 keys.append(prefix_keys(grams, frequent.value))
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
+                sizes.append(np.full(len(keys[-1]), len(grams), np.int64))
         none = np.zeros(0, np.int64)
-        return pa.table({"key": pa.array(np.concatenate([*keys, none])), "node": pa.array(np.concatenate([*nodes, none]))})
+        return pa.table({"key": pa.array(np.concatenate([*keys, none])), "node": pa.array(np.concatenate([*nodes, none])), "n": pa.array(np.concatenate([*sizes, none]).astype(np.int32))})
 
-    return map_batches(documents.select(id_col, text_col), run, "key long, node long")
+    return map_batches(documents.select(id_col, text_col), run, "key long, node long, n int")
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, n, grams of the wanted nodes; wanted: node, doc_id of one text of each."""
-    spark = documents.sparkSession
-    if wanted.count() <= BROADCAST_IDS:
-        ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.select("doc_id").collect()], np.int64)))
+def _chosen(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the documents whose ids are in wanted.doc_id."""
+    ids = wanted.select(F.col("doc_id").alias(id_col)).distinct()
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    return documents.select(id_col, text_col).join(ids, id_col, "left_semi").select(text_col)
+
+
+def _sketches(documents: DataFrame) -> DataFrame:
+    """node, n, sketch: the low halves of the hashes in SKETCH_SHARE of the hash space."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
+        parts = [s[s < SKETCH_BELOW].astype(np.int32) for s in sets]
+        return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(parts, pa.list_(pa.int32()))})
+
+    return map_batches(documents, run, "node long, n long, sketch array<int>")
 
-        def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = np.isin(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids.value) if len(ids.value) else np.zeros(len(batch), bool)
-            return batch.filter(pa.array(own & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)))
-    else:
-        documents = documents.join(wanted.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
 
-        def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch
+def _sets(documents: DataFrame) -> DataFrame:
+    """node, n, grams."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [s for s in shingle_sets(pick(batch).column(1).to_pylist()) if len(s)]
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
         return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "grams": pa.array(sets, pa.list_(pa.int64()))})
 
-    found = map_batches(documents.select(F.col(id_col).cast("long"), text_col), run, "node long, n long, grams array<bigint>")
-    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return map_batches(documents, run, "node long, n long, grams array<bigint>")
+
+
+def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    left = table.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(value).alias("x_a"))
+    right = table.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(value).alias("x_b"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't rule a link out: all shingles outside the sketches may be
+    shared, and those inside at most as often as their low halves meet."""
+    both = F.size(F.array_intersect("x_a", "x_b"))
+    twins = F.size("x_a") - F.size(F.array_distinct("x_a"))  # low halves that meet inside one set
+    most = both + twins + F.least(F.col("n_a") - F.size("x_a"), F.col("n_b") - F.size("x_b"))
+    return _sides(pairs, sketches, "sketch").where(100 * most >= LEAST_PERCENT * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    both = F.size(F.array_intersect("g_a", "g_b"))
-    fits = (100 * F.least("n_a", "n_b") >= LEAST_PERCENT * F.greatest("n_a", "n_b"))
-    return pairs.join(left, "a").join(right, "b").where(fits).where(100 * both >= LEAST_PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    both = F.size(F.array_intersect("x_a", "x_b"))
+    return _sides(pairs, sets, "grams").where(100 * both >= LEAST_PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -254,53 +278,56 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     index = _index(documents, frequent, id_col, text_col)
     own = Window.partitionBy("key")
-    shared = materialize(
-        index.withColumns({"leader": F.min("node").over(own), "other": F.max("node").over(own)}).where(F.col("leader") != F.col("other")).dropDuplicates(["key", "node"]), "shared"
-    )
-    return _finish(documents, docs, shared, id_col, text_col)
+    ends = {"leader": F.min(F.struct("node", "n")).over(own), "other": F.max(F.struct("node", "n")).over(own)}
+    shared = materialize(index.withColumns(ends).where(F.col("leader.node") != F.col("other.node")).dropDuplicates(["key", "node"]), "shared")
+    return _classes(documents, docs, shared, id_col, text_col)
+
+
+def _fits(n: str, m: str):
+    return 100 * F.least(n, m) >= LEAST_PERCENT * F.greatest(n, m)
+
+
+def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None) -> DataFrame:
+    """a, b of fitting sizes, still in different components: with the key's first node, with its
+    last one, or all of those under one key."""
+    if turn == "leader":
+        star = shared.select("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("m"))
+        return star.where((F.col("node") != F.col("to")) & _fits("n", "m")).select("node", "to")
+    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = Window.partitionBy("key")
+    open_ = named.withColumns({"low": F.min("label").over(own), "high": F.max("label").over(own)}).where(F.col("low") != F.col("high"))
+    if turn == "other":
+        star = open_.withColumn("last", F.max(F.struct("node", "n", "label")).over(own)).where(F.col("label") != F.col("last.label"))
+        return star.select("node", "n", F.col("last.node").alias("to"), F.col("last.n").alias("m")).where(_fits("n", "m")).select("node", "to")
+    to = open_.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"))
+    return open_.join(to, "key").where((F.col("node") < F.col("to")) & (F.col("label") != F.col("their")) & _fits("n", "m")).select("node", "to")
 
 
-def _finish(documents: DataFrame, docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = documents.sparkSession
     nodes = shared.select("node").distinct()
-    wanted = materialize(docs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "wanted")
-    sets = materialize(_sets(documents, wanted.select("node", "doc_id"), id_col, text_col), "sets")
-    size = wanted.select("node", "n")
-
-    edges, labels, seen = None, None, None
+    wanted = materialize(docs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    sketches = materialize(_sketches(_chosen(documents, wanted, id_col, text_col)), "sketches")
+    labels = edges = seen = None
     for turn in ("leader", "other", "all"):
-        here = shared if labels is None else shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is None:
-            pairs = here.where(F.col("leader") != F.col("node")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        else:
-            own = Window.partitionBy("key")
-            open_ = here.withColumns({"low": F.min("label").over(own), "high": F.max("label").over(own)}).where(F.col("low") != F.col("high"))
-            if turn == "other":
-                to = open_.select("key", F.col("node").alias("other"), F.col("label").alias("their"))
-                pairs = open_.where(F.col("other") != F.col("node")).join(to, ["key", "other"]).where(F.col("label") != F.col("their")).select(F.col("other").alias("a"), F.col("node").alias("b"))
-            else:
-                sized = open_.join(size, "node").select("key", "node", "label", "n")
-                to = sized.select("key", F.col("node").alias("b"), F.col("label").alias("their"), F.col("n").alias("m"))
-                fits = (F.col("node") < F.col("b")) & (F.col("label") != F.col("their")) & (100 * F.least("n", "m") >= LEAST_PERCENT * F.greatest("n", "m"))
-                pairs = sized.join(to, "key").where(fits).select(F.col("node").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = _pairs(shared, turn, labels).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        fresh = linked(pairs, sets)
-        old = edges
-        edges = materialize(fresh if edges is None else edges.union(fresh), "links")
-        if old is not None:
-            drop_scratch(old)
-        if not edges.isEmpty():
-            labels = components(spark, edges)
-        else:
-            labels = wanted.select("node", F.col("node").alias("label"))
+        pairs = materialize(possible(pairs, sketches), "pairs")
+        if not pairs.isEmpty():
+            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            sets = materialize(_sets(_chosen(documents, wanted.join(ends, "node"), id_col, text_col)), "sets")
+            fresh = linked(pairs, sets)
+            edges = materialize(fresh if edges is None else edges.union(fresh), "links")
+            drop_scratch(sets)
+            if not edges.isEmpty():
+                labels = components(spark, edges)
         seen = pairs if seen is None else seen.union(pairs)
+        if labels is None:
+            labels = wanted.select("node", F.col("node").alias("label"))
     named = docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
