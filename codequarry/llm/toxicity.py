@@ -5,7 +5,7 @@ Aho-Corasick automaton finds lexicon entries at word starts, matches inside exce
 do not count, and the weighted sum, normalised by length, goes through a logistic curve.
 
 The lexicon and the curve are learned from labelled texts: at most SAMPLE_ROWS of them, taken by
-the hash of the text, distinct texts only. Entries are whole folded words and word beginnings
+the hash of the id, distinct texts only. Entries are whole folded words and word beginnings
 that occur in toxic texts far more often than in others; their weights are log-odds from one
 half of the sample, the curve is fitted on the other half. Exception phrases (an entry with its
 next or previous word) are those seen in clean texts only.
@@ -17,6 +17,7 @@ score is DEFAULT_SCORE; repeated rows score alike.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -187,13 +188,13 @@ def train(documents: DataFrame, labels: DataFrame, keep: Column | None = None, i
     """``keep``: a condition on the id column that training rows fulfil."""
     own = labels.where(F.col(label_col).isin(0, 1))
     own = (own.where(keep) if keep is not None else own).groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    texts = documents.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(own, id_col)
-    # the sample is drawn before its texts are moved: ids by hash, two times as many as needed
-    distinct = texts.groupBy(F.sha2("__t", 256).alias("__h")).agg(F.min(F.struct(F.col(id_col), F.col("__y"))).alias("x"))
-    ids = distinct.orderBy("__h").limit(SAMPLE_ROWS).select("__h", F.col(f"x.{id_col}").alias(id_col), F.col("x.__y").alias("__y"))
+    # the ids are drawn by hash before any text is moved; SAMPLE_ROWS of them are broadcast
+    ids = own.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
     rows = documents.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(F.broadcast(ids), id_col)
-    rows = rows.where(F.sha2("__t", 256) == F.col("__h")).dropDuplicates(["__h"]).select("__h", "__t", "__y")
-    return learn([(r["__t"], int(r["__y"])) for r in sorted(rows.toLocalIterator(), key=lambda r: r["__h"])])
+    texts: dict[str, int] = {}
+    for r in rows.select("__t", "__y").toLocalIterator():
+        texts[r["__t"]] = max(int(r["__y"]), texts.get(r["__t"], 0))
+    return learn(sorted(texts.items(), key=lambda x: hashlib.sha256(x[0].encode("utf-8", "surrogatepass")).digest()))
 
 
 def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
