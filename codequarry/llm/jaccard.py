@@ -42,6 +42,8 @@ MOST_FREQUENT = 2_000_000
 #: A batch reports shingles that so many of its texts hold.
 BATCH_TEXTS = 4
 PAIR_SIZE = 512
+#: Shingles that the longer prefixes of linked sets share, tested before pairs of open keys are made.
+COMMON = 16
 #: Ids broadcast to choose the texts to verify, 8 bytes each; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 #: Pairs are first tested on the shingles in this part of the (signed) hash space.
@@ -134,14 +136,27 @@ def least_overlap(n: int) -> int:
     return -(-LEAST_PERCENT * n // 100)
 
 
+def is_frequent(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(grams), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+
+
+def long_prefix(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles in the order, so many that linked sets share COMMON of them (or as many
+    as the least overlap)."""
+    often = is_frequent(grams, frequent)
+    least = least_overlap(len(grams))
+    return np.concatenate([grams[~often], grams[often]])[: len(grams) - least + min(COMMON, least)]
+
+
 def prefix_keys(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The keys under which a set is found."""
     n = len(grams)
     if n < 2:
         return np.zeros(0, np.int64)
     length = min(n, n - least_overlap(n) + 2)
-    at = np.searchsorted(frequent, grams)
-    often = frequent[np.minimum(at, len(frequent) - 1)] == grams if len(frequent) else np.zeros(n, bool)
+    often = is_frequent(grams, frequent)
     rare = grams[~often]
     if len(rare) >= length:
         return rare[:length]
@@ -227,6 +242,16 @@ def _sets(documents: DataFrame) -> DataFrame:
     return map_batches(documents, run, "node long, n long, grams array<bigint>")
 
 
+def _prefixes(documents: DataFrame, frequent) -> DataFrame:
+    """node, prefix."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s) and len(s) <= PAIR_SIZE]
+        return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "prefix": pa.array([long_prefix(s, frequent.value) for s in sets], pa.list_(pa.int64()))})
+
+    return map_batches(documents, run, "node long, prefix array<bigint>").dropDuplicates(["node"])
+
+
 def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     left = table.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(value).alias("x_a"))
     right = table.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(value).alias("x_b"))
@@ -280,7 +305,7 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = Window.partitionBy("key")
     ends = {"leader": F.min(F.struct("node", "n")).over(own), "other": F.max(F.struct("node", "n")).over(own)}
     shared = materialize(index.withColumns(ends).where(F.col("leader.node") != F.col("other.node")).dropDuplicates(["key", "node"]), "shared")
-    return _classes(documents, docs, shared, id_col, text_col)
+    return _classes(documents, docs, shared, frequent, id_col, text_col)
 
 
 def _fits(n: str, m: str):
@@ -288,8 +313,8 @@ def _fits(n: str, m: str):
 
 
 def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None) -> DataFrame:
-    """a, b of fitting sizes, still in different components: with the key's first node, with its
-    last one, or all of those under one key."""
+    """node, to of fitting sizes, still in different components: with the key's first node, or its
+    last one. For the last turn, the rows of keys that more than one component has."""
     if turn == "leader":
         star = shared.select("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("m"))
         return star.where((F.col("node") != F.col("to")) & _fits("n", "m")).select("node", "to")
@@ -299,18 +324,37 @@ def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None) -> DataFrame:
     if turn == "other":
         star = open_.withColumn("last", F.max(F.struct("node", "n", "label")).over(own)).where(F.col("label") != F.col("last.label"))
         return star.select("node", "n", F.col("last.node").alias("to"), F.col("last.n").alias("m")).where(_fits("n", "m")).select("node", "to")
-    to = open_.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"))
-    return open_.join(to, "key").where((F.col("node") < F.col("to")) & (F.col("label") != F.col("their")) & _fits("n", "m")).select("node", "to")
-
-
-def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return open_
+
+
+def _open_pairs(open_: DataFrame, prefixes) -> DataFrame:
+    """Each pair once, that of one open key and different components: sets up to PAIR_SIZE meet
+    under the first shingle that their prefixes share, if these share enough; larger ones under
+    all their single keys. prefixes(nodes) gives the prefixes of nodes."""
+    apart = (F.col("node") < F.col("to")) & (F.col("label") != F.col("their")) & _fits("n", "m")
+    large = open_.where(F.col("n") >= PAIR_SIZE * LEAST_PERCENT // 100).select("key", "node", "n", "label")
+    to = large.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"))
+    found = large.join(to, "key").where(apart & (F.greatest("n", "m") > PAIR_SIZE)).select("node", "to")
+    nodes = materialize(open_.where(F.col("n") <= PAIR_SIZE).select("node", "n", "label").distinct(), "open")
+    own = nodes.join(prefixes(nodes), "node").withColumn("least", F.ceil(F.col("n") * LEAST_PERCENT / 100))
+    rows = own.select("node", "n", "label", "least", "prefix", F.explode(F.slice("prefix", 1, (F.col("n") - F.col("least") + 1).cast("int"))).alias("key"))
+    to = rows.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"), F.col("least").alias("least_m"), F.col("prefix").alias("prefix_m"))
+    shared = F.array_intersect("prefix", "prefix_m")
+    enough = (F.size(shared) >= F.least(F.lit(COMMON), "least", "least_m")) & (F.element_at(shared, 1) == F.col("key"))
+    return found.union(rows.join(to, "key").where(apart & enough).select("node", "to"))
+
+
+def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent, id_col: str, text_col: str) -> DataFrame:
     spark = documents.sparkSession
     nodes = shared.select("node").distinct()
     wanted = materialize(docs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
     sketches = materialize(_sketches(_chosen(documents, wanted, id_col, text_col)), "sketches")
     labels = edges = seen = None
     for turn in ("leader", "other", "all"):
-        pairs = _pairs(shared, turn, labels).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+        found = _pairs(shared, turn, labels)
+        if turn == "all":
+            found = _open_pairs(found, lambda nodes: _prefixes(_chosen(documents, wanted.join(nodes.select("node"), "node"), id_col, text_col), frequent))
+        pairs = found.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(possible(pairs, sketches), "pairs")
