@@ -24,8 +24,8 @@ LEAST_LENGTH = 16
 FINDINGS = 600
 TREES, DEPTH, LEAF = 15, 5, 4
 CUT = 0.5
-#: Up to 40 characters before a candidate, then the candidate.
-PATTERN = r"[^\n]{0,40}?(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}(?![A-Za-z0-9_+/=-])"
+#: Up to 40 characters before a candidate, from where a word begins or a sign ended, then the candidate.
+PATTERN = r"(?:(?<!\S)|(?<=[^A-Za-z0-9_+/=-]))[^\n]{0,40}?(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}(?![A-Za-z0-9_+/=-])"
 CANDIDATE = r"[A-Za-z0-9_+/-]{16,}=*$"
 
 # Words before a secret, words before harmless strings, and frequent word parts.
