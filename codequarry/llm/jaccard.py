@@ -10,8 +10,8 @@ nodes share no rare shingle there, they share two frequent ones. Sets above PAIR
 keys for frequent ones too; those near that size use both, so that both kinds meet.
 
 Nodes under one key are not paired all with all: each is verified against the key's smallest
-node, again against its greatest one, components are labelled, and only nodes under one key that
-are still in different components and of fitting sizes are paired. No partner is capped or
+node, then against the one that shares most keys, components are labelled, and only nodes under
+one key that are still in different components and of fitting sizes are paired. No partner is capped or
 dropped. A pair is first tested on sketches, an exact upper bound of its overlap, so that whole
 sets are read and moved for few texts only.
 
@@ -43,7 +43,7 @@ MOST_FREQUENT = 2_000_000
 BATCH_TEXTS = 4
 PAIR_SIZE = 512
 #: Shingles that the longer prefixes of linked sets share, tested before pairs of open keys are made.
-COMMON = 16
+COMMON = 32
 #: Ids broadcast to choose the texts to verify, 8 bytes each; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 #: Pairs are first tested on the shingles in this part of the (signed) hash space.
@@ -304,7 +304,7 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     index = _index(documents, frequent, id_col, text_col)
     own = Window.partitionBy("key")
     ends = {"leader": F.min(F.struct("node", "n")).over(own), "other": F.max(F.struct("node", "n")).over(own)}
-    shared = materialize(index.withColumns(ends).where(F.col("leader.node") != F.col("other.node")).dropDuplicates(["key", "node"]), "shared")
+    shared = materialize(index.withColumns(ends).where(F.col("leader.node") != F.col("other.node")).drop("other").dropDuplicates(["key", "node"]), "shared")
     return _classes(documents, docs, shared, frequent, id_col, text_col)
 
 
@@ -313,35 +313,46 @@ def _fits(n: str, m: str):
 
 
 def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None) -> DataFrame:
-    """node, to of fitting sizes, still in different components: with the key's first node, or its
-    last one. For the last turn, the rows of keys that more than one component has."""
+    """node, to of fitting sizes, still in different components: with the key's first node, or with
+    that of its nodes that holds most open keys. For the last turn, the rows of keys that more than
+    one component has."""
     if turn == "leader":
         star = shared.select("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("m"))
         return star.where((F.col("node") != F.col("to")) & _fits("n", "m")).select("node", "to")
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = Window.partitionBy("key")
     open_ = named.withColumns({"low": F.min("label").over(own), "high": F.max("label").over(own)}).where(F.col("low") != F.col("high"))
-    if turn == "other":
-        star = open_.withColumn("last", F.max(F.struct("node", "n", "label")).over(own)).where(F.col("label") != F.col("last.label"))
-        return star.select("node", "n", F.col("last.node").alias("to"), F.col("last.n").alias("m")).where(_fits("n", "m")).select("node", "to")
+    if turn == "hub":
+        # copies with changes of their own may link through their original only: it holds most open keys
+        open_ = open_.withColumn("held", F.count("*").over(Window.partitionBy("node")))
+        star = open_.withColumn("hub", F.max(F.struct("held", "node", "n", "label")).over(own)).where(F.col("label") != F.col("hub.label"))
+        return star.select("node", "n", F.col("hub.node").alias("to"), F.col("hub.n").alias("m")).where(_fits("n", "m")).select("node", "to")
     return open_
 
 
-def _open_pairs(open_: DataFrame, prefixes) -> DataFrame:
+def _open_pairs(open_: DataFrame, prefixes) -> tuple[DataFrame, list[DataFrame]]:
     """Each pair once, that of one open key and different components: sets up to PAIR_SIZE meet
     under the first shingle that their prefixes share, if these share enough; larger ones under
-    all their single keys. prefixes(nodes) gives the prefixes of nodes."""
+    all their single keys. prefixes(nodes) gives the prefixes of nodes. Only shingles that more
+    than one component has there bring a prefix along. Also the tables to drop afterwards."""
     apart = (F.col("node") < F.col("to")) & (F.col("label") != F.col("their")) & _fits("n", "m")
-    large = open_.where(F.col("n") >= PAIR_SIZE * LEAST_PERCENT // 100).select("key", "node", "n", "label")
+    open_ = materialize(open_.select("key", "node", "n", "label"), "open-keys")
+    large = open_.where(F.col("n") >= PAIR_SIZE * LEAST_PERCENT // 100)
     to = large.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"))
     found = large.join(to, "key").where(apart & (F.greatest("n", "m") > PAIR_SIZE)).select("node", "to")
     nodes = materialize(open_.where(F.col("n") <= PAIR_SIZE).select("node", "n", "label").distinct(), "open")
-    own = nodes.join(prefixes(nodes), "node").withColumn("least", F.ceil(F.col("n") * LEAST_PERCENT / 100))
-    rows = own.select("node", "n", "label", "least", "prefix", F.explode(F.slice("prefix", 1, (F.col("n") - F.col("least") + 1).cast("int"))).alias("key"))
-    to = rows.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"), F.col("least").alias("least_m"), F.col("prefix").alias("prefix_m"))
+    own = materialize(nodes.join(prefixes(nodes), "node").withColumn("least", F.ceil(F.col("n") * LEAST_PERCENT / 100)), "prefixes")
+    probes = own.select("node", "label", F.explode(F.slice("prefix", 1, (F.col("n") - F.col("least") + 1).cast("int"))).alias("key"))
+    still = probes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
+    kept = probes.join(still, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = own.join(kept, "node").select("node", "n", "label", "prefix", F.explode("keys").alias("key"))
+    to = rows.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"), F.col("prefix").alias("prefix_m"))
     shared = F.array_intersect("prefix", "prefix_m")
-    enough = (F.size(shared) >= F.least(F.lit(COMMON), "least", "least_m")) & (F.element_at(shared, 1) == F.col("key"))
-    return found.union(rows.join(to, "key").where(apart & enough).select("node", "to"))
+    # linked sets share this much, and what lies behind a prefix can't be more than its set has left
+    overlap = F.ceil((F.col("n") + F.col("m")) * LEAST_PERCENT / (100 + LEAST_PERCENT))
+    behind = F.greatest(F.col("n") - F.size("prefix"), F.col("m") - F.size("prefix_m"))
+    enough = (F.size(shared) >= overlap - behind) & (F.element_at(shared, 1) == F.col("key"))
+    return found.union(rows.join(to, "key").where(apart & enough).select("node", "to")), [open_, nodes, own]
 
 
 def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent, id_col: str, text_col: str) -> DataFrame:
@@ -350,14 +361,16 @@ def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent,
     wanted = materialize(docs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
     sketches = materialize(_sketches(_chosen(documents, wanted, id_col, text_col)), "sketches")
     labels = edges = seen = None
-    for turn in ("leader", "other", "all"):
-        found = _pairs(shared, turn, labels)
+    for turn in ("leader", "hub", "all"):
+        found, used = _pairs(shared, turn, labels), []
         if turn == "all":
-            found = _open_pairs(found, lambda nodes: _prefixes(_chosen(documents, wanted.join(nodes.select("node"), "node"), id_col, text_col), frequent))
+            found, used = _open_pairs(found, lambda nodes: _prefixes(_chosen(documents, wanted.join(nodes.select("node"), "node"), id_col, text_col), frequent))
         pairs = found.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(possible(pairs, sketches), "pairs")
+        for frame in used:
+            drop_scratch(frame)
         if not pairs.isEmpty():
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
             sets = materialize(_sets(_chosen(documents, wanted.join(ends, "node"), id_col, text_col)), "sets")
