@@ -1,10 +1,11 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A text's set holds the 64-bit hashes of its distinct 4-word shingles (one for the whole sequence
-of fewer words). Texts with equal sets form one node. Two nodes link when
-100 * |intersection| >= 85 * |union|. The same total order of shingles holds for all texts:
+A text's set holds the 64-bit hashes of its distinct shingles of SHINGLE words (one for the whole
+sequence of fewer words). Texts with equal sets form one node. Two nodes link when
+100 * |intersection| >= LEAST_PERCENT * |union|. Both numbers are op6's contract; ``join`` and
+``keep_one`` take others as ``size`` and ``percent``. The same total order of shingles holds for all texts:
 frequent ones (counted over the corpus) last, else by hash. Linked nodes share at least
-``ceil(85 % of the size)`` shingles, hence two inside their prefixes extended by one. So a rare
+``ceil(percent of the size)`` shingles, hence two inside their prefixes extended by one. So a rare
 shingle of the extended prefix is a key by itself, and frequent ones are keys in pairs: if two
 nodes share no rare shingle there, they share two frequent ones. Sets above PAIR_SIZE use single
 keys for frequent ones too; those near that size use both, so that both kinds meet.
@@ -132,8 +133,8 @@ def set_id(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def least_overlap(n: int) -> int:
-    return -(-LEAST_PERCENT * n // 100)
+def least_overlap(n: int, percent: int = LEAST_PERCENT) -> int:
+    return -(-percent * n // 100)
 
 
 def is_frequent(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -142,27 +143,27 @@ def is_frequent(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
 
 
-def long_prefix(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def long_prefix(grams: np.ndarray, frequent: np.ndarray, percent: int = LEAST_PERCENT) -> np.ndarray:
     """The first shingles in the order, so many that linked sets share COMMON of them (or as many
     as the least overlap)."""
     often = is_frequent(grams, frequent)
-    least = least_overlap(len(grams))
+    least = least_overlap(len(grams), percent)
     return np.concatenate([grams[~often], grams[often]])[: len(grams) - least + min(COMMON, least)]
 
 
-def prefix_keys(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def prefix_keys(grams: np.ndarray, frequent: np.ndarray, percent: int = LEAST_PERCENT) -> np.ndarray:
     """The keys under which a set is found."""
     n = len(grams)
     if n < 2:
         return np.zeros(0, np.int64)
-    length = min(n, n - least_overlap(n) + 2)
+    length = min(n, n - least_overlap(n, percent) + 2)
     often = is_frequent(grams, frequent)
     rare = grams[~often]
     if len(rare) >= length:
         return rare[:length]
     tail = grams[often][: length - len(rare)]
     keys = [rare]
-    if n >= PAIR_SIZE * LEAST_PERCENT // 100:
+    if n >= PAIR_SIZE * percent // 100:
         keys.append(tail)
     if n <= PAIR_SIZE and len(tail) > 1:
         i, j = np.triu_indices(len(tail), 1)
@@ -170,12 +171,12 @@ def prefix_keys(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _nodes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _nodes(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Rows of two kinds: id, n, node of every document; shingle, texts of those often seen in a batch."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = shingle_sets(batch.column(1).to_pylist())
+        sets = shingle_sets(batch.column(1).to_pylist(), size)
         ids = batch.column(0)
         n = [len(s) for s in sets]
         node = [set_id(s) if len(s) else None for s in sets]
@@ -197,15 +198,15 @@ def _nodes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(documents.select(id_col, text_col), run, f"doc_id {kind}, n long, node long, shingle long, texts long")
 
 
-def _index(documents: DataFrame, frequent, id_col: str, text_col: str) -> DataFrame:
+def _index(documents: DataFrame, frequent, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """key, node, n: each distinct set of a batch under its keys."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         keys, nodes, sizes, seen = [], [], [], set()
-        for grams in shingle_sets(batch.column(1).to_pylist()):
+        for grams in shingle_sets(batch.column(1).to_pylist(), size):
             if len(grams) > 1 and (node := set_id(grams)) not in seen:
                 seen.add(node)
-                keys.append(prefix_keys(grams, frequent.value))
+                keys.append(prefix_keys(grams, frequent.value, percent))
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
                 sizes.append(np.full(len(keys[-1]), len(grams), np.int64))
         none = np.zeros(0, np.int64)
@@ -221,33 +222,33 @@ def _chosen(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return documents.select(id_col, text_col).join(ids, id_col, "left_semi").select(text_col)
 
 
-def _sketches(documents: DataFrame) -> DataFrame:
+def _sketches(documents: DataFrame, size: int) -> DataFrame:
     """node, n, sketch: the low halves of the hashes in SKETCH_SHARE of the hash space."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s)]
         parts = [s[s < SKETCH_BELOW].astype(np.int32) for s in sets]
         return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(parts, pa.list_(pa.int32()))})
 
     return map_batches(documents, run, "node long, n long, sketch array<int>")
 
 
-def _sets(documents: DataFrame) -> DataFrame:
+def _sets(documents: DataFrame, size: int) -> DataFrame:
     """node, n, grams."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s)]
         return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "grams": pa.array(sets, pa.list_(pa.int64()))})
 
     return map_batches(documents, run, "node long, n long, grams array<bigint>")
 
 
-def _prefixes(documents: DataFrame, frequent) -> DataFrame:
+def _prefixes(documents: DataFrame, frequent, size: int, percent: int) -> DataFrame:
     """node, prefix."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [s for s in shingle_sets(batch.column(0).to_pylist()) if len(s) and len(s) <= PAIR_SIZE]
-        return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "prefix": pa.array([long_prefix(s, frequent.value) for s in sets], pa.list_(pa.int64()))})
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s) and len(s) <= PAIR_SIZE]
+        return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "prefix": pa.array([long_prefix(s, frequent.value, percent) for s in sets], pa.list_(pa.int64()))})
 
     return map_batches(documents, run, "node long, prefix array<bigint>").dropDuplicates(["node"])
 
@@ -258,19 +259,19 @@ def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """The pairs whose sketches don't rule a link out: all shingles outside the sketches may be
     shared, and those inside at most as often as their low halves meet."""
     both = F.size(F.array_intersect("x_a", "x_b"))
     twins = F.size("x_a") - F.size(F.array_distinct("x_a"))  # low halves that meet inside one set
     most = both + twins + F.least(F.col("n_a") - F.size("x_a"), F.col("n_b") - F.size("x_b"))
-    return _sides(pairs, sketches, "sketch").where(100 * most >= LEAST_PERCENT * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
+    return _sides(pairs, sketches, "sketch").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """The pairs (a, b) that link."""
     both = F.size(F.array_intersect("x_a", "x_b"))
-    return _sides(pairs, sets, "grams").where(100 * both >= LEAST_PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
+    return _sides(pairs, sets, "grams").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -291,34 +292,45 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document row."""
+def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document row. Shingles have ``size`` words, and
+    linked sets share ``percent`` of their union, above 50."""
+    named = _labelled(documents, id_col, text_col, size, percent)
+    least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labelled(documents: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """doc_id, n, node and label (of the node's component) of every document row; node and label
+    are null for texts without words."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent out of range")
     spark = documents.sparkSession
-    both = materialize(_nodes(documents, id_col, text_col), "nodes")
+    both = materialize(_nodes(documents, id_col, text_col, size), "nodes")
     docs = both.where(F.col("shingle").isNull()).select("doc_id", "n", "node")
     least = max(FREQUENT_TEXTS, int(docs.count() * FREQUENT_SHARE))
     often = both.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
     often = np.sort(np.array([r[0] for r in often.orderBy(F.desc("texts"), "shingle").limit(MOST_FREQUENT).collect()], np.int64))
     frequent = spark.sparkContext.broadcast(often)
 
-    index = _index(documents, frequent, id_col, text_col)
+    index = _index(documents, frequent, id_col, text_col, size, percent)
     own = Window.partitionBy("key")
     ends = {"leader": F.min(F.struct("node", "n")).over(own), "other": F.max(F.struct("node", "n")).over(own)}
     shared = materialize(index.withColumns(ends).where(F.col("leader.node") != F.col("other.node")).drop("other").dropDuplicates(["key", "node"]), "shared")
-    return _classes(documents, docs, shared, frequent, id_col, text_col)
+    return _classes(documents, docs, shared, frequent, id_col, text_col, size, percent)
 
 
-def _fits(n: str, m: str):
-    return 100 * F.least(n, m) >= LEAST_PERCENT * F.greatest(n, m)
+def _fits(n: str, m: str, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None) -> DataFrame:
+def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None, percent: int) -> DataFrame:
     """node, to of fitting sizes, still in different components: with the key's first node, or with
     that of its nodes that holds most open keys. For the last turn, the rows of keys that more than
     one component has."""
     if turn == "leader":
         star = shared.select("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("m"))
-        return star.where((F.col("node") != F.col("to")) & _fits("n", "m")).select("node", "to")
+        return star.where((F.col("node") != F.col("to")) & _fits("n", "m", percent)).select("node", "to")
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = Window.partitionBy("key")
     open_ = named.withColumns({"low": F.min("label").over(own), "high": F.max("label").over(own)}).where(F.col("low") != F.col("high"))
@@ -326,22 +338,22 @@ def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None) -> DataFrame:
         # copies with changes of their own may link through their original only: it holds most open keys
         open_ = open_.withColumn("held", F.count("*").over(Window.partitionBy("node")))
         star = open_.withColumn("hub", F.max(F.struct("held", "node", "n", "label")).over(own)).where(F.col("label") != F.col("hub.label"))
-        return star.select("node", "n", F.col("hub.node").alias("to"), F.col("hub.n").alias("m")).where(_fits("n", "m")).select("node", "to")
+        return star.select("node", "n", F.col("hub.node").alias("to"), F.col("hub.n").alias("m")).where(_fits("n", "m", percent)).select("node", "to")
     return open_
 
 
-def _open_pairs(open_: DataFrame, prefixes) -> tuple[DataFrame, list[DataFrame]]:
+def _open_pairs(open_: DataFrame, prefixes, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Each pair once, that of one open key and different components: sets up to PAIR_SIZE meet
     under the first shingle that their prefixes share, if these share enough; larger ones under
     all their single keys. prefixes(nodes) gives the prefixes of nodes. Only shingles that more
     than one component has there bring a prefix along. Also the tables to drop afterwards."""
-    apart = (F.col("node") < F.col("to")) & (F.col("label") != F.col("their")) & _fits("n", "m")
+    apart = (F.col("node") < F.col("to")) & (F.col("label") != F.col("their")) & _fits("n", "m", percent)
     open_ = materialize(open_.select("key", "node", "n", "label"), "open-keys")
-    large = open_.where(F.col("n") >= PAIR_SIZE * LEAST_PERCENT // 100)
+    large = open_.where(F.col("n") >= PAIR_SIZE * percent // 100)
     to = large.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"))
     found = large.join(to, "key").where(apart & (F.greatest("n", "m") > PAIR_SIZE)).select("node", "to")
     nodes = materialize(open_.where(F.col("n") <= PAIR_SIZE).select("node", "n", "label").distinct(), "open")
-    own = materialize(nodes.join(prefixes(nodes), "node").withColumn("least", F.ceil(F.col("n") * LEAST_PERCENT / 100)), "prefixes")
+    own = materialize(nodes.join(prefixes(nodes), "node").withColumn("least", F.ceil(F.col("n") * percent / 100)), "prefixes")
     probes = own.select("node", "label", F.explode(F.slice("prefix", 1, (F.col("n") - F.col("least") + 1).cast("int"))).alias("key"))
     still = probes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
     kept = probes.join(still, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
@@ -349,32 +361,32 @@ def _open_pairs(open_: DataFrame, prefixes) -> tuple[DataFrame, list[DataFrame]]
     to = rows.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"), F.col("prefix").alias("prefix_m"))
     shared = F.array_intersect("prefix", "prefix_m")
     # linked sets share this much, and what lies behind a prefix can't be more than its set has left
-    overlap = F.ceil((F.col("n") + F.col("m")) * LEAST_PERCENT / (100 + LEAST_PERCENT))
+    overlap = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     behind = F.greatest(F.col("n") - F.size("prefix"), F.col("m") - F.size("prefix_m"))
     enough = (F.size(shared) >= overlap - behind) & (F.element_at(shared, 1) == F.col("key"))
     return found.union(rows.join(to, "key").where(apart & enough).select("node", "to")), [open_, nodes, own]
 
 
-def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent, id_col: str, text_col: str) -> DataFrame:
+def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     nodes = shared.select("node").distinct()
     wanted = materialize(docs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sketches = materialize(_sketches(_chosen(documents, wanted, id_col, text_col)), "sketches")
+    sketches = materialize(_sketches(_chosen(documents, wanted, id_col, text_col), size), "sketches")
     labels = edges = seen = None
     for turn in ("leader", "hub", "all"):
-        found, used = _pairs(shared, turn, labels), []
+        found, used = _pairs(shared, turn, labels, percent), []
         if turn == "all":
-            found, used = _open_pairs(found, lambda nodes: _prefixes(_chosen(documents, wanted.join(nodes.select("node"), "node"), id_col, text_col), frequent))
+            found, used = _open_pairs(found, lambda nodes: _prefixes(_chosen(documents, wanted.join(nodes.select("node"), "node"), id_col, text_col), frequent, size, percent), percent)
         pairs = found.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialize(possible(pairs, sketches), "pairs")
+        pairs = materialize(possible(pairs, sketches, percent), "pairs")
         for frame in used:
             drop_scratch(frame)
         if not pairs.isEmpty():
             ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            sets = materialize(_sets(_chosen(documents, wanted.join(ends, "node"), id_col, text_col)), "sets")
-            fresh = linked(pairs, sets)
+            sets = materialize(_sets(_chosen(documents, wanted.join(ends, "node"), id_col, text_col), size), "sets")
+            fresh = linked(pairs, sets, percent)
             edges = materialize(fresh if edges is None else edges.union(fresh), "links")
             drop_scratch(sets)
             if not edges.isEmpty():
@@ -382,15 +394,13 @@ def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent,
         seen = pairs if seen is None else seen.union(pairs)
         if labels is None:
             labels = wanted.select("node", F.col("node").alias("label"))
-    named = docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
     """One document of each component, that of the smallest id; texts without words stay. Of
     rows repeated with one id, one stays. All columns are kept."""
-    found = join(documents, id_col, text_col)
+    found = join(documents, id_col, text_col, size, percent)
     lost = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), "copies")
     gone = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
     repeated = found.groupBy("doc_id").count().where(F.col("count") > 1)

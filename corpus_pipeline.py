@@ -19,6 +19,9 @@ from codequarry.llm.queries import tokenizer_path
 #: SQL can't express the stages' models; tests/llm compares them with plain versions.
 ORACLE_SQL = None
 
+#: The near-duplicate stage's own shingles and similarity; op6 has those of its contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the cut stay. The lexicon is learned from the labelled rows of the
@@ -32,8 +35,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked ones stays."""
-    return jaccard.keep_one(docs)
+    """One document of each component of linked ones stays. Texts link from NEAR_PERCENT of the
+    shingles of NEAR_WORDS words on."""
+    return jaccard.keep_one(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -257,6 +257,32 @@ def test_jaccard_join(spark):
     assert kept == [i for i, _, c in plain_classes(texts) if i == c]
 
 
+def test_jaccard_join_of_other_size_and_percent(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=3))
+    texts = ["", "one two", "a b c d e"]
+    for size in (12, 60, 450, 700):
+        base = [word() for _ in range(size)]
+        for _ in range(12):
+            t = list(base)
+            for _ in range(r.randint(0, 1 + size // 30)):
+                t[r.randrange(size)] = word()
+            texts.append(" ".join([*t, *(word() for _ in range(r.randint(0, size // 3)))]))
+    sets = [set(s.tolist()) for s in jaccard.shingle_sets(texts, 5)]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    old = jaccard.FREQUENT_TEXTS
+    try:
+        for jaccard.FREQUENT_TEXTS in (4, 10**9):
+            got = sorted(map(tuple, jaccard.join(docs(spark, texts), size=5, percent=80).collect()))
+            assert got == [(i, len(sets[i]), root[i]) for i in range(len(texts))]
+    finally:
+        jaccard.FREQUENT_TEXTS = old
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("aB \té　", max_size=20), max_size=6))
 def test_shingle_counts(texts):

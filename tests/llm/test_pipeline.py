@@ -41,3 +41,11 @@ def test_stages(spark, folder, tmp_path):
 
 def test_run_is_the_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 10
+
+
+def test_near_duplicates_of_the_stage(spark, tmp_path):
+    words = [f"w{k}" for k in range(1000)]
+    texts = [" ".join(words), " ".join([*words, *(f"x{k}" for k in range(200))]), " ".join(f"y{k}" for k in range(300))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
