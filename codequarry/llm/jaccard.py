@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import drop_scratch, map_batches, materialize
 
@@ -398,14 +399,53 @@ def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent,
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
-    """One document of each component, that of the smallest id; texts without words stay. Of
-    rows repeated with one id, one stays. All columns are kept."""
-    found = join(documents, id_col, text_col, size, percent)
-    lost = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    gone = F.broadcast(lost) if lost.count() <= BROADCAST_IDS else lost
-    repeated = found.groupBy("doc_id").count().where(F.col("count") > 1)
-    kept = documents.join(gone, id_col, "left_anti")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    """One document of each component stays: that of the smallest id, and of texts with that id,
+    of the smallest node; rows without an id stay for components that have no other. Texts without
+    words stay. Rows are repeats of each other, so that one stays, if id and set are equal, or for
+    texts without words, a given id and the text. All columns are kept."""
+    named = materialize(_labelled(documents, id_col, text_col, size, percent), "labelled")
+    # a null id comes after all others
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    chosen = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("rows"), first.alias("first")).where(F.col("rows") > 1)
+    stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node")))
+    decided = materialize(named.join(chosen.select("label", "first"), "label", "left").select("doc_id", "node", stays.alias("stays")), "decided")
+    drop_scratch(named)
+    each = decided.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("stays").alias("stays"))
+    alone = F.col("doc_id").isNotNull() & (F.col("rows") == 1)
+
+    def few(rows: DataFrame, name: str) -> DataFrame:
+        rows = materialize(rows, name)
+        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+    lost = few(each.where(alone & ~F.col("stays")).select(F.col("doc_id").alias(id_col)), "copies")
+    shared = each.where(~alone).select(F.col("doc_id").alias("__id"))
+    kept = documents.join(lost, id_col, "left_anti").select(*documents.columns)
+    if shared.isEmpty():
+        return kept
+    # ids that don't name one row: their rows are decided one by one, by id and set
+    shared = few(shared, "shared-ids")
+    same_id = F.col(id_col).eqNullSafe(F.col("__id"))
+    rows = materialize(_with_node(documents.join(shared, same_id, "left_semi"), text_col, size), "shared-rows")
+    sets = decided.where(F.col("stays") & F.col("node").isNotNull()).select(F.col("doc_id").alias("__own"), F.col("node").alias("__set"))
+    sets = few(sets.join(shared, F.col("__own").eqNullSafe(F.col("__id")), "left_semi").distinct(), "shared-sets")
+    worded = rows.join(sets, F.col(id_col).eqNullSafe(F.col("__own")) & (F.col(NODE) == F.col("__set")), "left_semi").dropDuplicates([id_col, NODE])
+    blank = rows.where(F.col(NODE).isNull())
+    blank = blank.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(blank.where(F.col(id_col).isNull()))
+    return kept.join(shared, same_id, "left_anti").unionByName(worded.unionByName(blank).select(*documents.columns))
+
+
+NODE = "__node"
+
+
+def _with_node(documents: DataFrame, text_col: str, size: int) -> DataFrame:
+    """All columns, and the text's node."""
+    at = documents.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        node = [set_id(s) if len(s) else None for s in shingle_sets(batch.column(at).to_pylist(), size)]
+        return pa.Table.from_batches([batch]).append_column(NODE, pa.array(node, pa.int64()))
+
+    return map_batches(documents, run, StructType([*documents.schema.fields, StructField(NODE, LongType())]))
 
 
 ORACLE = r"""

@@ -283,6 +283,20 @@ def test_jaccard_join_of_other_size_and_percent(spark):
         jaccard.FREQUENT_TEXTS = old
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, None), (None, " "),  # different texts without ids stay
+        (1, text("c")), (2, text("c")), (2, text("d")),  # a copy and a text of its own under one id
+        (3, text("e")), (3, text("f")), (3, text("f")),  # one id, two texts, one of them twice
+        (4, text("g")), (None, text("g")), (5, text("c") + " end"), (6, ""), (6, ""), (7, text("h")),
+    ]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one(d).collect())
+    gone = [(None, text("b")), (2, text("c")), (3, text("f")), (None, text("g")), (5, text("c") + " end"), (6, "")]
+    assert got == Counter(rows) - Counter(gone)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("aB \té　", max_size=20), max_size=6))
 def test_shingle_counts(texts):
