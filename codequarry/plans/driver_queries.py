@@ -105,6 +105,21 @@ add(
         ORDER BY col DESC, record, {ORDER}) AS n FROM v_rec WHERE line < 40) WHERE n = 1""",
     lambda r: search.first_by(r.where("line < 40"), search.identity_key(), [F.desc("col"), F.col("record"), *(F.col(c) for c in S.RECORD_ORDER)]).select(*S.RECORD_COLUMNS),
 )
+#: The batch and the identity of all records; the two before take those of some ids and lines.
+add(
+    "position_lookup_batch_all",
+    "v_rec",
+    "SELECT v.variant, v.path, v.line, p.at, v.symbol, v.record, v.action, v.kind, v.mode, v.col FROM v_rec v JOIN (SELECT DISTINCT variant, path, line, col + 2 AS at FROM v_rec) p ON v.variant = p.variant AND v.path = p.path AND v.line = p.line WHERE p.at BETWEEN v.col AND v.col + strlen(list_last(string_split(v.symbol, '.'))) - 1",
+    lambda r: search.at_positions(r, r.select("variant", "path", "line", (F.col("col") + 2).alias("at")).distinct()).select("variant", "path", "line", "at", "symbol", "record", "action", "kind", "mode", "col"),
+)
+add(
+    "position_dedup_identity_all",
+    "v_rec",
+    f"""SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY variant, symbol, kind, coalesce(usr_id, 0),
+        CASE WHEN coalesce(usr_id, 0) = 0 THEN path END, CASE WHEN coalesce(usr_id, 0) = 0 THEN context END, CASE WHEN coalesce(usr_id, 0) = 0 THEN local END
+        ORDER BY col DESC, record, {ORDER}) AS n FROM v_rec) WHERE n = 1""",
+    lambda r: search.first_by(r, search.identity_key(), [F.desc("col"), F.col("record"), *(F.col(c) for c in S.RECORD_ORDER)]).select(*S.RECORD_COLUMNS),
+)
 add(
     "lsp_references",
     "v_rec",
@@ -186,6 +201,12 @@ add(
     f"SELECT {COLS} FROM v_rec JOIN ({REQUESTED}) USING (variant, symbol, usr_id) WHERE record = 0 AND kind = 7",
     lambda r: calls.resolve_functions(r, r.where("usr_id % 3 = 0 AND kind = 7").select("variant", "symbol", "usr_id").distinct()).select(*S.RECORD_COLUMNS),
 )
+add(
+    "resolve_functions_all",
+    "v_rec",
+    f"SELECT {COLS} FROM v_rec JOIN (SELECT DISTINCT variant, symbol, usr_id FROM v_rec WHERE kind = 7) USING (variant, symbol, usr_id) WHERE record = 0 AND kind = 7",
+    lambda r: calls.resolve_functions(r, r.where("kind = 7").select("variant", "symbol", "usr_id").distinct()).select(*S.RECORD_COLUMNS),
+)
 add(
     "prefer_definition",
     "v_rec",
@@ -212,6 +233,13 @@ add(
     "SELECT DISTINCT pointer, target FROM (WITH RECURSIVE c AS (SELECT DISTINCT caller_id AS pointer, callee_id AS source FROM v_calls WHERE line % 20 <> 0 AND callee_id < caller_id), p(pointer, target) AS (SELECT DISTINCT caller_id, concat('f', CAST(callee_id AS VARCHAR)) FROM v_calls WHERE line % 20 = 0 UNION SELECT c.pointer, p.target FROM p JOIN c ON c.source = p.pointer) SELECT * FROM p)",
     lambda e: calls.points_to(e.where("line % 20 = 0").select(F.col("caller_id").alias("pointer"), F.concat(F.lit("f"), F.col("callee_id")).alias("target")).distinct(), e.where("line % 20 <> 0 AND callee_id < caller_id").select(F.col("caller_id").alias("pointer"), F.col("callee_id").alias("source")).distinct()),
 )
+#: Every edge is a constraint, a twentieth of them direct ones and all others copies, so that copies run in cycles.
+add(
+    "points_to_closure_all",
+    "v_calls",
+    "SELECT DISTINCT pointer, target FROM (WITH RECURSIVE c AS (SELECT DISTINCT caller_id AS pointer, callee_id AS source FROM v_calls WHERE line % 20 <> 0), p(pointer, target) AS (SELECT DISTINCT caller_id, concat('f', CAST(callee_id AS VARCHAR)) FROM v_calls WHERE line % 20 = 0 UNION SELECT c.pointer, p.target FROM p JOIN c ON c.source = p.pointer) SELECT * FROM p)",
+    lambda e: calls.points_to(e.where("line % 20 = 0").select(F.col("caller_id").alias("pointer"), F.concat(F.lit("f"), F.col("callee_id")).alias("target")).distinct(), e.where("line % 20 <> 0").select(F.col("caller_id").alias("pointer"), F.col("callee_id").alias("source")).distinct()),
+)
 
 # -- merging ---------------------------------------------------------------------------------
 RAW_KEY = "symbol, record, action, kind, mode, file_id, line, col"
