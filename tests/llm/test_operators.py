@@ -386,3 +386,20 @@ def test_byte_model_sums_to_one():
         every = np.array([(context << 8) | b for b in range(256)], np.uint64)
         assert abs(np.exp(model.log_prob(every)).sum() - 1) < 0.01
     assert lens.tolist() == [5, 5, 4] * 5
+
+
+def test_byte_model_beyond_the_broadcast_bound_is_the_same(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdeéλ", k=r.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, weights=[1 / (k + 1) for k in range(300)], k=40)) for _ in range(60)] + ["Zzz qqq", None]
+    counts = lm.word_counts(docs(spark, texts), "doc_id", "text")
+    old, fitted = lm.MOST_GRAMS, []
+    try:
+        for lm.MOST_GRAMS in (old, 10):
+            model, n = lm.fit(counts)
+            fitted.append({x.hash: (x.c, x.lb, x.lp) for x in model.collect()})
+    finally:
+        lm.MOST_GRAMS = old
+    assert fitted[0].keys() == fitted[1].keys()
+    for h, x in fitted[0].items():
+        assert x == pytest.approx(fitted[1][h], rel=1e-9)
