@@ -86,8 +86,12 @@ LABELLED = """
 """
 
 _names = lambda s: "|".join(s.split())
+_attributes = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_raw = "|".join(rf"<{n}\b{_attributes}>.*?(?:</{n}\s*>|\Z)" for n in "title script style noscript template noframes".split())
+#: A head ends before the first text or element that can't stand in it, whether or not it has an end tag.
+_head = rf"<head\b{_attributes}>(?:\s++|<!--.*?(?:-->|\Z)|{_raw}|<(?:base|basefont|bgsound|link|meta)\b{_attributes}>|</(?!head\b)[a-zA-Z][^>]*+>|<[!?][^>]*+>)*+(?:</head\s*>)?"
 _part = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_names(SILENT)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)|</?\Z",
+    rf"<!--.*?(?:-->|\Z)|{_head}|<(?:svg|math)\b{_attributes}(?<=/)>|<({_names(SILENT)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)|</?\Z",
     re.S | re.I,
 )
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -139,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         at = m.end()
         name = m[3]
         if name is None:
-            if m[1]:
+            if m[1] or m[0][:4].lower() in ("<svg", "<mat"):
                 parts.append(" ")
             continue
         name = name.lower()

@@ -334,6 +334,13 @@ def test_html(spark):
     assert sum(html_text.is_main(tree, x[:-1]) == bool(x[-1]) for x in rows) >= 0.95 * len(rows)
 
 
+def test_html_of_open_heads_and_empty_drawings():
+    body = "<article><h1>A title</h1><p>One two three.</p></article>"
+    script = "<script>var x = '<div>';</script>"
+    for start in (f"<head><title>t</title>{script}<meta charset=x><body>", "<head><link rel=x>", "<body><svg width='1'/>", "<body><math />", f"<head>{script}</head><body><svg><text>no</text></svg>"):
+        assert [b[0] for b in html_text.blocks(f"<html>{start}{body}</html>")] == ["A title", "One two three."]
+
+
 # -- 9 ---------------------------------------------------------------------------------------
 def test_toxicity(spark):
     r = random.Random(4)
