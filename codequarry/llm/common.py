@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,29 +21,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType, rows: int | None = None
 ) -> DataFrame:
-    """``fn`` over every Arrow batch of ``df``; ``fn`` may return None for no rows."""
+    """``fn`` over every Arrow batch of ``df``, or over its slices of ``rows`` rows; ``fn`` may
+    return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is None:
-                continue
-            if isinstance(out, pa.Table):
-                yield from out.to_batches()
-            else:
-                yield out
+        for whole in batches:
+            for at in range(0, len(whole), rows or max(1, len(whole))):
+                out = fn(whole.slice(at, rows) if rows else whole)
+                if out is None:
+                    continue
+                if isinstance(out, pa.Table):
+                    yield from out.to_batches()
+                else:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``texts`` holding about PIECE_CHARS characters each (one text at least)."""
+def pieces(texts: list[str | None], chars: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
+    """Index ranges of ``texts`` holding about ``chars`` characters each (one text at least)."""
     start = size = 0
     for i, text in enumerate(texts):
         n = len(text or "")
-        if size and size + n > PIECE_CHARS:
+        if size and size + n > chars:
             yield start, i
             start, size = i, 0
         size += n
@@ -50,11 +53,26 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine), below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``, removed when the
+    session's JVM ends. Only a session on one machine may leave that unset; its warehouse serves."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return out
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

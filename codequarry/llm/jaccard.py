@@ -1,59 +1,69 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A text's set holds the 64-bit hashes of its distinct shingles of SHINGLE words (one for the whole
-sequence of fewer words). Texts with equal sets form one node. Two nodes link when
-100 * |intersection| >= LEAST_PERCENT * |union|. Both numbers are op6's contract; ``join`` and
-``keep_one`` take others as ``size`` and ``percent``. The same total order of shingles holds for all texts:
-frequent ones (counted over the corpus) last, else by hash. Linked nodes share at least
-``ceil(percent of the size)`` shingles, hence two inside their prefixes extended by one. So a rare
-shingle of the extended prefix is a key by itself, and frequent ones are keys in pairs: if two
-nodes share no rare shingle there, they share two frequent ones. Sets above PAIR_SIZE use single
-keys for frequent ones too; those near that size use both, so that both kinds meet.
-
-Nodes under one key are not paired all with all: each is verified against the key's smallest
-node, then against the one that shares most keys, components are labelled, and only nodes under
-one key that are still in different components and of fitting sizes are paired. No partner is capped or
-dropped. A pair is first tested on sketches, an exact upper bound of its overlap, so that whole
-sets are read and moved for few texts only.
+sequence of fewer words). Texts with equal sets form one node, named by 128 bits of the set's
+digest. Two nodes link when 100 * |intersection| >= LEAST_PERCENT * |union|. Both numbers are
+op6's contract; ``join`` and ``keep_one`` take others as ``size`` and ``percent``.
+
+Shingles fall into two classes by their corpus-wide counts, and the same total order holds for
+all texts: rare ones first, frequent ones last, each by hash. A rare shingle is a key by itself.
+Frequent ones are keys in pairs: they fall into sub-classes (ranges of their hashes, about two to
+four to a set; sets of sizes near a power of two use the ranges of both sides), and each two of a
+sub-class make one key. The prefix is extended until losing all its keys takes more shingles than
+a linked partner may lack: a rare shingle counts one, a sub-class one less than its members. So
+linked sets of any size share a key.
+
+Nodes under one key are not paired all with all: each is tested against the key's smallest node,
+then against the one that shares most keys; components are labelled, and only nodes under one key
+that are still in different components meet, in blocks of at most BLOCK nodes, where parity
+bitmaps of the sets (an exact bound of their difference) are compared and few pairs come out.
+Every pair that the bitmaps leave is verified on whole sets, unless it is in one component by
+then. No partner is capped or dropped.
 
 Defined results: texts without words have no set, are their own component and are linked with
-nothing; equal texts are one component; rows repeated with one id give that row repeatedly; texts
-of rows with null ids only are linked by equality alone and have a null component;
-``component_id`` is the smallest id of the component. Word hashes are 64-bit.
+nothing; equal texts are one component; rows repeated with one id give that row repeatedly; rows
+without an id link like any other, and ``component_id`` is the smallest id that the component has
+(null if none); extra columns are left out by ``join`` and kept by ``keep_one``, whatever their
+names; very long texts are read whole; empty tables give no rows. Word hashes are 64-bit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import drop_scratch, map_batches, materialize
+from .common import drop_scratch, fresh, map_batches, materialize, pieces
 
 SHINGLE = 4
 #: Percent of the union.
 LEAST_PERCENT = 85
 #: A shingle is frequent when so many texts hold it: at least FREQUENT_TEXTS, or this share.
 FREQUENT_TEXTS, FREQUENT_SHARE = 64, 0.0005
-#: The table of frequent shingles is broadcast, 8 bytes each; beyond it the most frequent ones
-#: are taken. This decides the order of shingles only, never which pairs are found.
+#: The table of frequent shingles and their texts is broadcast, 16 bytes each; beyond it the most
+#: frequent ones are taken. This decides the order of shingles only, never which pairs are found.
 MOST_FREQUENT = 2_000_000
-#: A batch reports shingles that so many of its texts hold.
+#: A task reports shingles that so many texts of COUNTED_SHINGLES shingles hold.
 BATCH_TEXTS = 4
-PAIR_SIZE = 512
-#: Shingles that the longer prefixes of linked sets share, tested before pairs of open keys are made.
-COMMON = 32
-#: Ids broadcast to choose the texts to verify, 8 bytes each; beyond it they are joined.
+COUNTED_SHINGLES = 2_000_000
+#: Nodes of two that are compared at once under one key, by their bitmaps.
+BLOCK = 1_024
+#: A key of shingles that more texts hold is dealt over tasks.
+HOT_TEXTS = 1_000_000
+#: Rows broadcast to choose or drop others, 8 bytes each; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
-#: Pairs are first tested on the shingles in this part of the (signed) hash space.
-SKETCH_SHARE = 1 / 8
-SKETCH_BELOW = -(1 << 63) + int(SKETCH_SHARE * (1 << 64))
+#: Bits of a set's bitmap: a power of two of at least BITS times its size, up to MOST_BITS.
+BITS, MOST_BITS = 4, 1 << 17
+#: Sets remembered by a task, so that copies are written once.
+SEEN_SETS = 200_000
 PIECE = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-
+_C = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -115,7 +125,7 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
         n = max(0, len(words) - size + 1)
         grams = np.zeros(n, np.uint64)
         for k in range(size):
-            grams = grams * np.uint64(0xC2B2AE3D27D4EB4F) + words[k : k + n]
+            grams = grams * _C + words[k : k + n]
         grams = _mix(grams).view(np.int64)
         first = 0
         for m in counts.tolist():
@@ -130,149 +140,180 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
     return out
 
 
-def set_id(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+def set_id(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of the set's digest as two signed numbers: its node and its twin."""
+    h = xxhash.xxh3_128_intdigest(grams.tobytes())
+    return (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)
 
 
 def least_overlap(n: int, percent: int = LEAST_PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def is_frequent(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(grams), bool)
-    return frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+def bitmap(grams: np.ndarray) -> bytes:
+    """Bit k is the parity of the number of shingles that fall on it, so that two sets' bitmaps
+    differ in no more bits than the sets in shingles."""
+    size = 256
+    while size < min(MOST_BITS, BITS * len(grams)):
+        size *= 2
+    odd = np.bincount(grams & (size - 1), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
 
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bitmaps as the shorter bitmaps of ``size`` bytes."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
 
-def long_prefix(grams: np.ndarray, frequent: np.ndarray, percent: int = LEAST_PERCENT) -> np.ndarray:
-    """The first shingles in the order, so many that linked sets share COMMON of them (or as many
-    as the least overlap)."""
-    often = is_frequent(grams, frequent)
-    least = least_overlap(len(grams), percent)
-    return np.concatenate([grams[~often], grams[often]])[: len(grams) - least + min(COMMON, least)]
 
+def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles in one of two linked sets only, at most."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
 
-def prefix_keys(grams: np.ndarray, frequent: np.ndarray, percent: int = LEAST_PERCENT) -> np.ndarray:
-    """The keys under which a set is found."""
+
+def keys_of(grams: np.ndarray, texts: np.ndarray, percent: int = LEAST_PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is found, and over how many tasks each is dealt. ``texts``: how
+    many texts hold each shingle if it is frequent, else 0."""
     n = len(grams)
     if n < 2:
-        return np.zeros(0, np.int64)
-    length = min(n, n - least_overlap(n, percent) + 2)
-    often = is_frequent(grams, frequent)
-    rare = grams[~often]
-    if len(rare) >= length:
-        return rare[:length]
-    tail = grams[often][: length - len(rare)]
-    keys = [rare]
-    if n >= PAIR_SIZE * percent // 100:
-        keys.append(tail)
-    if n <= PAIR_SIZE and len(tail) > 1:
-        i, j = np.triu_indices(len(tail), 1)
-        keys.append(_mix(tail[i].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + tail[j].view(np.uint64)).view(np.int64))
-    return np.concatenate(keys)
-
-
-def _nodes(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Rows of two kinds: id, n, node of every document; shingle, texts of those often seen in a batch."""
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    need = n - least_overlap(n, percent) + 1
+    often = texts > 0
+    keys = [grams[~often][:need]]
+    deal = [np.ones(len(keys[0]), np.int64)]
+    left = need - len(keys[0])
+    if left > 0:
+        tail, held = grams[often], texts[often]
+        level = max(0, n.bit_length() - 2)
+        for k in range(level, level + 1 + ((100 * n // percent).bit_length() > n.bit_length())):
+            own = (tail.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - k) if k else np.zeros(len(tail), np.uint64)
+            further = np.concatenate([[False], own[1:] == own[:-1]])
+            length = int(np.searchsorted(np.cumsum(further), left)) + 1
+            if length > len(tail):
+                raise AssertionError("too few shingles for the prefix")
+            salt, gap = np.uint64(k + 1) * _MUL, 1
+            while gap < length:
+                i = np.flatnonzero(own[gap:length] == own[: length - gap])
+                if not len(i):
+                    break
+                keys.append(_mix(tail[i].view(np.uint64) * _C + tail[i + gap].view(np.uint64) + salt).view(np.int64))
+                deal.append(1 + np.minimum(held[i], held[i + gap]) // HOT_TEXTS)
+                gap += 1
+    return np.concatenate(keys), np.concatenate(deal)
+
+
+def _base(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Rows of two kinds. Of every document: doc_id, n, node, twin, and once a task for each set
+    its grams and bits. Of shingles often seen: shingle, texts."""
     kind = documents.schema[id_col].dataType.simpleString()
+    types = {"n": pa.int64(), "node": pa.int64(), "twin": pa.int64(), "grams": pa.list_(pa.int64()), "bits": pa.binary(), "shingle": pa.int64(), "texts": pa.int64()}
+    columns = ["doc_id", *types]
+
+    def often(sets: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+        found, count = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_counts=True)
+        pick = count >= BATCH_TEXTS
+        m = int(pick.sum())
+        none = [pa.nulls(m, t) for t in (id_type, *list(types.values())[:5])]
+        return pa.RecordBatch.from_arrays([*none, pa.array(found[pick]), pa.array(count[pick])], columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        waiting: list[np.ndarray] = []
+        held, id_type = 0, None
+        for batch in batches:
+            id_type = batch.column(0).type
+            texts = batch.column(1)
+            for a, b in pieces(texts.to_pylist(), PIECE):
+                sets = shingle_sets(texts.slice(a, b - a).to_pylist(), size)
+                names = [set_id(s) if len(s) else (None, None) for s in sets]
+                grams, bits = [], []
+                for name, s in zip(names, sets, strict=True):
+                    fresh = len(s) > 0 and name not in seen
+                    grams.append(s if fresh else None)
+                    bits.append(bitmap(s) if fresh else None)
+                    if fresh:
+                        if len(seen) >= SEEN_SETS:
+                            seen.clear()
+                        seen.add(name)
+                        waiting.append(s)
+                        held += len(s)
+                m = b - a
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()),
+                        pa.array(grams, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                    ],
+                    columns,
+                )
+                if held >= COUNTED_SHINGLES:
+                    yield often(waiting, id_type)
+                    waiting, held = [], 0
+        if waiting:
+            yield often(waiting, id_type)
+
+    schema = f"doc_id {kind}, n long, node long, twin long, grams array<bigint>, bits binary, shingle long, texts long"
+    return documents.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _index(sets: DataFrame, frequent, percent: int) -> DataFrame:
+    """key, salt, node, n: each set under its keys. Keys of very frequent shingles have several salts."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = shingle_sets(batch.column(1).to_pylist(), size)
-        ids = batch.column(0)
-        n = [len(s) for s in sets]
-        node = [set_id(s) if len(s) else None for s in sets]
-        once = {k: s for k, s in zip(node, sets, strict=True) if k is not None}  # copies count once
-        found, count = np.unique(np.concatenate([*once.values(), np.zeros(0, np.int64)]), return_counts=True)
-        often = count >= BATCH_TEXTS
-        m = int(often.sum())
-        gap, docs = pa.nulls, len(n)
-        return pa.table(
-            {
-                "doc_id": pa.concat_arrays([ids, gap(m, ids.type)]),
-                "n": pa.array([*n, *[None] * m], pa.int64()),
-                "node": pa.array([*node, *[None] * m], pa.int64()),
-                "shingle": pa.concat_arrays([gap(docs, pa.int64()), pa.array(found[often], pa.int64())]),
-                "texts": pa.concat_arrays([gap(docs, pa.int64()), pa.array(count[often], pa.int64())]),
-            }
-        )
-
-    return map_batches(documents.select(id_col, text_col), run, f"doc_id {kind}, n long, node long, shingle long, texts long")
-
-
-def _index(documents: DataFrame, frequent, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """key, node, n: each distinct set of a batch under its keys."""
-
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        keys, nodes, sizes, seen = [], [], [], set()
-        for grams in shingle_sets(batch.column(1).to_pylist(), size):
-            if len(grams) > 1 and (node := set_id(grams)) not in seen:
-                seen.add(node)
-                keys.append(prefix_keys(grams, frequent.value, percent))
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
-                sizes.append(np.full(len(keys[-1]), len(grams), np.int64))
+        often, texts = frequent.value
+        starts, grams = np.asarray(batch.column(1).offsets), np.asarray(batch.column(1).values)
+        grams = grams[starts[0] :]
+        starts = starts - starts[0]
+        held = np.zeros(len(grams), np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
+            held = np.where(often[at] == grams, texts[at], 0)
+        found = [keys_of(grams[a:b], held[a:b], percent) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        each = np.array([len(k) for k, _ in found], np.int64)
         none = np.zeros(0, np.int64)
-        return pa.table({"key": pa.array(np.concatenate([*keys, none])), "node": pa.array(np.concatenate([*nodes, none])), "n": pa.array(np.concatenate([*sizes, none]).astype(np.int32))})
-
-    return map_batches(documents.select(id_col, text_col), run, "key long, node long, n int")
-
-
-def _chosen(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and text of the documents whose ids are in wanted.doc_id."""
-    ids = wanted.select(F.col("doc_id").alias(id_col)).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    return documents.select(id_col, text_col).join(ids, id_col, "left_semi").select(text_col)
-
+        node = np.repeat(np.asarray(batch.column(0), np.int64), each)
+        deal = np.concatenate([*(d for _, d in found), none])
+        salt = np.where(deal > 1, node.view(np.uint64) % np.maximum(deal, 1).astype(np.uint64) + 1, 0).astype(np.int32)
+        size = np.repeat(np.diff(starts), each).astype(np.int32)
+        return pa.table({"key": pa.array(np.concatenate([*(k for k, _ in found), none])), "salt": pa.array(salt), "node": pa.array(node), "n": pa.array(size)})
 
-def _sketches(documents: DataFrame, size: int) -> DataFrame:
-    """node, n, sketch: the low halves of the hashes in SKETCH_SHARE of the hash space."""
+    return map_batches(sets.select("node", "grams"), run, "key long, salt int, node long, n int", 1_000)
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s)]
-        parts = [s[s < SKETCH_BELOW].astype(np.int32) for s in sets]
-        return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(parts, pa.list_(pa.int32()))})
-
-    return map_batches(documents, run, "node long, n long, sketch array<int>")
-
-
-def _sets(documents: DataFrame, size: int) -> DataFrame:
-    """node, n, grams."""
-
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s)]
-        return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "grams": pa.array(sets, pa.list_(pa.int64()))})
 
-    return map_batches(documents, run, "node long, n long, grams array<bigint>")
+def _sided(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(value).alias("x_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(value).alias("x_b"))
+    return pairs.join(left, "a").join(right, "b")
 
 
-def _prefixes(documents: DataFrame, frequent, size: int, percent: int) -> DataFrame:
-    """node, prefix."""
+def near(pairs: DataFrame, sets: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """a, b, gap of the pairs whose bitmaps don't rule a link out. gap: by how many bits."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s) and len(s) <= PAIR_SIZE]
-        return pa.table({"node": pa.array([set_id(s) for s in sets], pa.int64()), "prefix": pa.array([long_prefix(s, frequent.value, percent) for s in sets], pa.list_(pa.int64()))})
-
-    return map_batches(documents, run, "node long, prefix array<bigint>").dropDuplicates(["node"])
-
-
-def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    left = table.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(value).alias("x_a"))
-    right = table.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(value).alias("x_b"))
-    return pairs.join(left, "a").join(right, "b")
-
-
-def possible(pairs: DataFrame, sketches: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    """The pairs whose sketches don't rule a link out: all shingles outside the sketches may be
-    shared, and those inside at most as often as their low halves meet."""
-    both = F.size(F.array_intersect("x_a", "x_b"))
-    twins = F.size("x_a") - F.size(F.array_distinct("x_a"))  # low halves that meet inside one set
-    most = both + twins + F.least(F.col("n_a") - F.size("x_a"), F.col("n_b") - F.size("x_b"))
-    return _sides(pairs, sketches, "sketch").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
+        a, b, n, m = (np.asarray(batch.column(k), np.int64) for k in range(4))
+        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        gap = np.full(len(a), -1, np.int64)
+        by: dict[tuple[int, int], list[int]] = {}
+        for k, (u, v) in enumerate(zip(x, y, strict=True)):
+            by.setdefault((len(u), len(v)), []).append(k)
+        for (u, v), rows in by.items():
+            size = min(u, v)
+            left = folded(np.frombuffer(b"".join([x[k] for k in rows]), np.uint64).reshape(len(rows), -1), size // 8)
+            right = folded(np.frombuffer(b"".join([y[k] for k in rows]), np.uint64).reshape(len(rows), -1), size // 8)
+            gap[rows] = most_apart(n[rows], m[rows], percent) - np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+        kept = gap >= 0
+        return pa.table({"a": pa.array(a[kept]), "b": pa.array(b[kept]), "gap": pa.array(gap[kept])})
+
+    both = _sided(pairs, sets, "bits").select("a", "b", "n_a", "n_b", "x_a", "x_b")
+    return map_batches(both, run, "a long, b long, gap long", 1_000).distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link, by their whole sets."""
     both = F.size(F.array_intersect("x_a", "x_b"))
-    return _sides(pairs, sets, "grams").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
+    return _sided(pairs.select("a", "b"), sets, "grams").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -281,9 +322,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("further"))
+        near_by = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
+        step = labels.join(near_by, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        jump = few(labels.where(F.col("node") != F.col("label")).select(F.col("node").alias("via"), F.col("label").alias("further")))
         moved = materialize(step.join(jump, step["label"] == jump["via"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         changed = not moved.where(F.col("old") != F.col("label")).isEmpty()
         drop_scratch(labels)
@@ -293,109 +334,242 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document row. Shingles have ``size`` words, and
-    linked sets share ``percent`` of their union, above 50."""
-    named = _labelled(documents, id_col, text_col, size, percent)
-    least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _labelled(documents: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n, node and label (of the node's component) of every document row; node and label
-    are null for texts without words."""
-    if not 50 < percent <= 100:
-        raise ValueError("percent out of range")
-    spark = documents.sparkSession
-    both = materialize(_nodes(documents, id_col, text_col, size), "nodes")
-    docs = both.where(F.col("shingle").isNull()).select("doc_id", "n", "node")
-    least = max(FREQUENT_TEXTS, int(docs.count() * FREQUENT_SHARE))
-    often = both.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
-    often = np.sort(np.array([r[0] for r in often.orderBy(F.desc("texts"), "shingle").limit(MOST_FREQUENT).collect()], np.int64))
-    frequent = spark.sparkContext.broadcast(often)
-
-    index = _index(documents, frequent, id_col, text_col, size, percent)
-    own = Window.partitionBy("key")
-    ends = {"leader": F.min(F.struct("node", "n")).over(own), "other": F.max(F.struct("node", "n")).over(own)}
-    shared = materialize(index.withColumns(ends).where(F.col("leader.node") != F.col("other.node")).drop("other").dropDuplicates(["key", "node"]), "shared")
-    return _classes(documents, docs, shared, frequent, id_col, text_col, size, percent)
-
-
-def _fits(n: str, m: str, percent: int):
+def few(rows: DataFrame) -> DataFrame:
+    """For a join: broadcast up to BROADCAST_IDS rows, beyond it not. ``rows`` are read from a table."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _fits(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _pairs(shared: DataFrame, turn: str, labels: DataFrame | None, percent: int) -> DataFrame:
-    """node, to of fitting sizes, still in different components: with the key's first node, or with
-    that of its nodes that holds most open keys. For the last turn, the rows of keys that more than
-    one component has."""
-    if turn == "leader":
-        star = shared.select("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("m"))
-        return star.where((F.col("node") != F.col("to")) & _fits("n", "m", percent)).select("node", "to")
-    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = Window.partitionBy("key")
-    open_ = named.withColumns({"low": F.min("label").over(own), "high": F.max("label").over(own)}).where(F.col("low") != F.col("high"))
-    if turn == "hub":
-        # copies with changes of their own may link through their original only: it holds most open keys
-        open_ = open_.withColumn("held", F.count("*").over(Window.partitionBy("node")))
-        star = open_.withColumn("hub", F.max(F.struct("held", "node", "n", "label")).over(own)).where(F.col("label") != F.col("hub.label"))
-        return star.select("node", "n", F.col("hub.node").alias("to"), F.col("hub.n").alias("m")).where(_fits("n", "m", percent)).select("node", "to")
-    return open_
-
-
-def _open_pairs(open_: DataFrame, prefixes, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Each pair once, that of one open key and different components: sets up to PAIR_SIZE meet
-    under the first shingle that their prefixes share, if these share enough; larger ones under
-    all their single keys. prefixes(nodes) gives the prefixes of nodes. Only shingles that more
-    than one component has there bring a prefix along. Also the tables to drop afterwards."""
-    apart = (F.col("node") < F.col("to")) & (F.col("label") != F.col("their")) & _fits("n", "m", percent)
-    open_ = materialize(open_.select("key", "node", "n", "label"), "open-keys")
-    large = open_.where(F.col("n") >= PAIR_SIZE * percent // 100)
-    to = large.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"))
-    found = large.join(to, "key").where(apart & (F.greatest("n", "m") > PAIR_SIZE)).select("node", "to")
-    nodes = materialize(open_.where(F.col("n") <= PAIR_SIZE).select("node", "n", "label").distinct(), "open")
-    own = materialize(nodes.join(prefixes(nodes), "node").withColumn("least", F.ceil(F.col("n") * percent / 100)), "prefixes")
-    probes = own.select("node", "label", F.explode(F.slice("prefix", 1, (F.col("n") - F.col("least") + 1).cast("int"))).alias("key"))
-    still = probes.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
-    kept = probes.join(still, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    rows = own.join(kept, "node").select("node", "n", "label", "prefix", F.explode("keys").alias("key"))
-    to = rows.select("key", F.col("node").alias("to"), F.col("label").alias("their"), F.col("n").alias("m"), F.col("prefix").alias("prefix_m"))
-    shared = F.array_intersect("prefix", "prefix_m")
-    # linked sets share this much, and what lies behind a prefix can't be more than its set has left
-    overlap = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
-    behind = F.greatest(F.col("n") - F.size("prefix"), F.col("m") - F.size("prefix_m"))
-    enough = (F.size(shared) >= overlap - behind) & (F.element_at(shared, 1) == F.col("key"))
-    return found.union(rows.join(to, "key").where(apart & enough).select("node", "to")), [open_, nodes, own]
-
-
-def _classes(documents: DataFrame, docs: DataFrame, shared: DataFrame, frequent, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    spark = documents.sparkSession
-    nodes = shared.select("node").distinct()
-    wanted = materialize(docs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sketches = materialize(_sketches(_chosen(documents, wanted, id_col, text_col), size), "sketches")
-    labels = edges = seen = None
-    for turn in ("leader", "hub", "all"):
-        found, used = _pairs(shared, turn, labels, percent), []
-        if turn == "all":
-            found, used = _open_pairs(found, lambda nodes: _prefixes(_chosen(documents, wanted.join(nodes.select("node"), "node"), id_col, text_col), frequent, size, percent), percent)
-        pairs = found.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialize(possible(pairs, sketches, percent), "pairs")
-        for frame in used:
+def _pair(node: str, to: str) -> list[Column]:
+    return [F.least(node, to).alias("a"), F.greatest(node, to).alias("b")]
+
+
+def _stars(shared: DataFrame, percent: int) -> DataFrame:
+    """Each key's nodes with its smallest one, and where a key is dealt over tasks, the smallest
+    ones of its salts with the smallest of all."""
+    star = shared.where((F.col("node") != F.col("leader.node")) & _fits("n", "leader.n", percent)).select(*_pair("node", "leader.node"))
+    heads = shared.where((F.col("salt") > 0) & (F.col("node") == F.col("leader.node")))
+    heads = heads.withColumn("head", F.min("node").over(Window.partitionBy("key"))).where(F.col("node") != F.col("head"))
+    return star.union(heads.select(*_pair("node", "head"))).distinct()
+
+
+def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of keys that more than one component has."""
+    named = _named(shared.select("key", "salt", "node", "n"), labels)
+    ends = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where(F.col("low") != F.col("high"))
+    return named.join(ends.select("key", "rows"), "key")
+
+
+def _hubs(open_: DataFrame, percent: int) -> DataFrame:
+    """Copies with changes of their own may link through their original only: it holds most open keys."""
+    held = open_.groupBy("node").agg(F.count("*").alias("held"))
+    hub = F.max(F.struct("held", "node", "n", "label")).over(Window.partitionBy("key", "salt"))
+    star = open_.join(held, "node").withColumn("hub", hub).where(F.col("label") != F.col("hub.label"))
+    return star.where(_fits("n", "hub.n", percent)).select(*_pair("node", "hub.node")).distinct()
+
+
+def _met(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, gap of nodes of different components that share a key and whose bitmaps don't rule a
+    link out. A key of more than BLOCK nodes is cut into blocks by node, and each two blocks are
+    one group; a group is held by one task, rows of both blocks at a time."""
+    blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    rows = open_.withColumn("mine", mine).withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    rows = rows.join(sets.select("node", "bits"), "node").select("key", "i", "j", "mine", "node", "n", "label", "bits")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine", "node")
+
+    def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, mine, node, n, label = (np.asarray(part[c], np.int64) for c in ("i", "j", "mine", "node", "n", "label"))
+        bits = part["bits"].to_pylist()
+        by = np.array([len(x) for x in bits])
+        a, b, gap = [], [], []
+        first = np.flatnonzero(mine == i[0])
+        second = first if i[0] == j[0] else np.flatnonzero(mine == j[0])
+        for u in np.unique(by[first]):
+            left = first[by[first] == u]
+            x = np.frombuffer(b"".join([bits[k] for k in left]), np.uint64).reshape(len(left), -1)
+            for v in np.unique(by[second]):
+                right = second[by[second] == v]
+                y = np.frombuffer(b"".join([bits[k] for k in right]), np.uint64).reshape(len(right), -1)
+                size = int(min(u, v)) // 8
+                x_, y_ = folded(x, size), folded(y, size)
+                for k, row in enumerate(left):
+                    more = right[(label[right] != label[row]) & (100 * np.minimum(n[right], n[row]) >= percent * np.maximum(n[right], n[row]))]
+                    if first is second:
+                        more = more[node[more] > node[row]]
+                    if not len(more):
+                        continue
+                    away = np.bitwise_count(y_[np.searchsorted(right, more)] ^ x_[k]).sum(axis=1, dtype=np.int64)
+                    slack = most_apart(n[more], n[row], percent) - away
+                    hit = slack >= 0
+                    a.append(np.full(int(hit.sum()), node[row]))
+                    b.append(node[more][hit])
+                    gap.append(slack[hit])
+        none = np.zeros(0, np.int64)
+        a, b = np.concatenate([*a, none]), np.concatenate([*b, none])
+        return np.minimum(a, b), np.maximum(a, b), np.concatenate([*gap, none])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        found: set[tuple[int, int]] = set()
+
+        def groups(part: pa.Table, whole: bool) -> Iterator[pa.Table]:
+            nonlocal rest
+            names = np.stack([np.asarray(part[c], np.int64) for c in ("key", "i", "j")])
+            edge = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+            cut = [0, *edge.tolist(), part.num_rows]
+            for u, v in zip(cut[: -1 if whole else -2], cut[1 : None if whole else -1], strict=True):
+                yield part.slice(u, v - u)
+            rest = None if whole else part.slice(cut[-2]).combine_chunks()
+
+        def out(group: pa.Table) -> pa.RecordBatch | None:
+            a, b, gap = compare(group)
+            fresh = [k for k, p in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if p not in found]
+            if len(found) > SEEN_SETS:
+                found.clear()
+            found.update((int(a[k]), int(b[k])) for k in fresh)
+            return pa.RecordBatch.from_arrays([pa.array(z[fresh]) for z in (a, b, gap)], ["a", "b", "gap"]) if fresh else None
+
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
+            if part.num_rows:
+                yield from (x for g in groups(part, False) if (x := out(g)) is not None)
+        if rest is not None:
+            yield from (x for g in groups(rest, True) if (x := out(g)) is not None)
+
+    return dealt.mapInArrow(run, "a long, b long, gap long").distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    if labels is None:
+        return pairs
+    left, right = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    both = pairs.join(left, "a", "left").join(right, "b", "left")
+    return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).drop("label_a", "label_b")
+
+
+class _Links:
+    """The components known so far."""
+
+    def __init__(self, spark: SparkSession, sets: DataFrame, percent: int) -> None:
+        self.spark, self.sets, self.percent = spark, sets, percent
+        self.edges: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> None:
+        if pairs.isEmpty():
+            return
+        ends = few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends"))
+        found = linked(pairs, self.sets.join(ends, "node", "left_semi"), self.percent)
+        edges = materialize(found if self.edges is None else found.union(self.edges), "links")
+        drop_scratch(ends)
+        if self.edges is not None:
+            drop_scratch(self.edges)
+        self.edges = edges
+        if self.labels is not None:
+            drop_scratch(self.labels)
+        self.labels = None if edges.isEmpty() else components(self.spark, edges)
+
+    def try_pairs(self, found: DataFrame, name: str) -> None:
+        """Of each node its closest pair first, then the others that are still apart."""
+        found = materialize(found, name)
+        first = materialize(_apart(found.groupBy("b").agg(F.max_by("a", "gap").alias("a")).select("a", "b"), self.labels), "closest")
+        self.verify(first)
+        rest = materialize(_apart(found.select("a", "b"), self.labels).join(first, ["a", "b"], "left_anti"), "others")
+        self.verify(rest)
+        for frame in (found, first, rest):
             drop_scratch(frame)
-        if not pairs.isEmpty():
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            sets = materialize(_sets(_chosen(documents, wanted.join(ends, "node"), id_col, text_col), size), "sets")
-            fresh = linked(pairs, sets, percent)
-            edges = materialize(fresh if edges is None else edges.union(fresh), "links")
-            drop_scratch(sets)
-            if not edges.isEmpty():
-                labels = components(spark, edges)
-        seen = pairs if seen is None else seen.union(pairs)
-        if labels is None:
-            labels = wanted.select("node", F.col("node").alias("label"))
-    return docs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _classes(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame | None:
+    """node, label of the nodes that link."""
+    nodes = few(materialize(shared.select("node").distinct(), "shared-nodes"))
+    bits = materialize(sets.select("node", "n", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "bits")
+    links = _Links(sets.sparkSession, sets.select("node", "n", "grams"), percent)
+    links.try_pairs(near(_stars(shared, percent), bits, percent), "stars")
+    open_ = materialize(_open(shared, links.labels), "open")
+    links.try_pairs(near(_hubs(open_, percent), bits, percent), "hubs")
+    drop_scratch(open_)
+    open_ = materialize(_open(shared, links.labels), "open")
+    links.try_pairs(_met(open_, bits, percent), "met")
+    for frame in (open_, bits, nodes):
+        drop_scratch(frame)
+    if links.edges is not None:
+        drop_scratch(links.edges)
+    return links.labels
+
+
+class _Labelled:
+    """``docs``: doc_id, n, node and label of every document row (node and label are null for
+    texts without words); ``first``: label, and the smallest row of its component as a struct
+    none (id is null), doc_id, node, and its number of rows. ``clash``: see _clashes."""
+
+    def __init__(self, documents: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> None:
+        if not 70 <= percent <= 100:
+            raise ValueError("percent out of range")
+        spark = documents.sparkSession
+        base = materialize(_base(documents, id_col, text_col, size), "sets")
+        self.clash = _clashes(base)
+        rows = renamed(base.where(F.col("shingle").isNull()), self.clash)
+        docs = rows.select("doc_id", "n", "node")
+        sets = rows.where(F.col("grams").isNotNull()).select("node", "n", "grams", "bits")
+        least = max(FREQUENT_TEXTS, int(docs.count() * FREQUENT_SHARE))
+        often = base.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
+        found = often.orderBy(F.desc("texts"), "shingle").limit(MOST_FREQUENT).toArrow()
+        by = np.argsort(np.asarray(found["shingle"], np.int64))
+        frequent = spark.sparkContext.broadcast((np.asarray(found["shingle"], np.int64)[by], np.asarray(found["texts"], np.int64)[by]))
+
+        own = Window.partitionBy("key", "salt")
+        ends = {"leader": F.min(F.struct("node", "n")).over(own), "other": F.max("node").over(own)}
+        met = (F.col("salt") > 0) | (F.col("leader.node") != F.col("other"))
+        shared = materialize(_index(sets, frequent, percent).withColumns(ends).where(met).drop("other").dropDuplicates(["key", "salt", "node"]), "shared")
+        labels = _classes(sets, shared, percent)
+        drop_scratch(shared)
+        named = _named(docs, labels)
+        # a null id comes after all others; a first step by node keeps large components in many tasks
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+        by_node = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(row).alias("first"), F.count("*").alias("rows"))
+        by_label = _named(by_node, labels).groupBy("label").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
+        self.first = materialize(by_label.where(F.col("rows") > 1), "first")
+        self.docs = materialize(named, "labelled")
+        if labels is not None:
+            drop_scratch(labels)
+        drop_scratch(base)
+
+
+def _clashes(base: DataFrame) -> DataFrame | None:
+    """node, twin, other: sets whose 64-bit node another set has too, and the node they get
+    instead. Of n sets n * n / 2**65 are expected here: some tens of 5e10."""
+    named = base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where(F.col("low") != F.col("high"))
+    rows = base.where(F.col("node").isNotNull()).select("node", "twin").join(F.broadcast(named), "node").where(F.col("twin") != F.col("low"))
+    found = rows.select("node", "twin", F.col("twin").alias("other")).distinct().collect() if not named.isEmpty() else []
+    return base.sparkSession.createDataFrame(found, "node long, twin long, other long") if found else None
+
+
+def renamed(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    if clash is None:
+        return rows
+    return rows.join(F.broadcast(clash), ["node", "twin"], "left").withColumn("node", F.coalesce("other", "node")).drop("other")
+
+
+def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document row. Shingles have ``size`` words, and
+    linked sets share ``percent`` of their union, 70 at least."""
+    found = _Labelled(documents, id_col, text_col, size, percent)
+    named = found.docs.join(found.first.select("label", F.col("first.doc_id").alias("least")), "label", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -403,49 +577,49 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the smallest node; rows without an id stay for components that have no other. Texts without
     words stay. Rows are repeats of each other, so that one stays, if id and set are equal, or for
     texts without words, a given id and the text. All columns are kept."""
-    named = materialize(_labelled(documents, id_col, text_col, size, percent), "labelled")
-    # a null id comes after all others
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
-    chosen = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("rows"), first.alias("first")).where(F.col("rows") > 1)
+    found = _Labelled(documents, id_col, text_col, size, percent)
     stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node")))
-    decided = materialize(named.join(chosen.select("label", "first"), "label", "left").select("doc_id", "node", stays.alias("stays")), "decided")
-    drop_scratch(named)
+    decided = materialize(found.docs.join(found.first.select("label", "first"), "label", "left").select("doc_id", "node", stays.alias("stays")), "decided")
+    drop_scratch(found.docs)
+    drop_scratch(found.first)
     each = decided.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("stays").alias("stays"))
     alone = F.col("doc_id").isNotNull() & (F.col("rows") == 1)
-
-    def few(rows: DataFrame, name: str) -> DataFrame:
-        rows = materialize(rows, name)
-        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-
-    lost = few(each.where(alone & ~F.col("stays")).select(F.col("doc_id").alias(id_col)), "copies")
-    shared = each.where(~alone).select(F.col("doc_id").alias("__id"))
-    kept = documents.join(lost, id_col, "left_anti").select(*documents.columns)
+    columns, own = documents.columns, fresh(documents, "own_id")
+    lost = few(materialize(each.where(alone & ~F.col("stays")).select(F.col("doc_id").alias(own)), "copies"))
+    kept = documents.join(lost, F.col(id_col) == F.col(own), "left_anti")
+    shared = each.where(~alone).select(F.col("doc_id").alias(own))
     if shared.isEmpty():
         return kept
     # ids that don't name one row: their rows are decided one by one, by id and set
-    shared = few(shared, "shared-ids")
-    same_id = F.col(id_col).eqNullSafe(F.col("__id"))
-    rows = materialize(_with_node(documents.join(shared, same_id, "left_semi"), text_col, size), "shared-rows")
-    sets = decided.where(F.col("stays") & F.col("node").isNotNull()).select(F.col("doc_id").alias("__own"), F.col("node").alias("__set"))
-    sets = few(sets.join(shared, F.col("__own").eqNullSafe(F.col("__id")), "left_semi").distinct(), "shared-sets")
-    worded = rows.join(sets, F.col(id_col).eqNullSafe(F.col("__own")) & (F.col(NODE) == F.col("__set")), "left_semi").dropDuplicates([id_col, NODE])
-    blank = rows.where(F.col(NODE).isNull())
+    shared = few(materialize(shared, "shared-ids"))
+    same_id = F.col(id_col).eqNullSafe(F.col(own))
+    node = fresh(documents, "node")
+    rows = materialize(_with_node(documents.join(shared, same_id, "left_semi"), text_col, size, found.clash, node), "shared-rows")
+    its = fresh(rows, "own_node")
+    sets = decided.where(F.col("stays") & F.col("node").isNotNull()).select(F.col("doc_id").alias(own), F.col("node").alias(its))
+    sets = few(materialize(sets.join(shared.withColumnRenamed(own, "wanted"), F.col(own).eqNullSafe(F.col("wanted")), "left_semi").distinct(), "shared-sets"))
+    worded = rows.join(sets, same_id & (F.col(node) == F.col(its)), "left_semi").dropDuplicates([id_col, node])
+    blank = rows.where(F.col(node).isNull())
     blank = blank.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(blank.where(F.col(id_col).isNull()))
-    return kept.join(shared, same_id, "left_anti").unionByName(worded.unionByName(blank).select(*documents.columns))
-
+    return kept.join(shared, same_id, "left_anti").unionByName(worded.unionByName(blank).select(*columns))
 
-NODE = "__node"
 
-
-def _with_node(documents: DataFrame, text_col: str, size: int) -> DataFrame:
+def _with_node(documents: DataFrame, text_col: str, size: int, clash: DataFrame | None, name: str) -> DataFrame:
     """All columns, and the text's node."""
     at = documents.columns.index(text_col)
+    twin, other = fresh(documents, "twin"), fresh(documents, "other")
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        node = [set_id(s) if len(s) else None for s in shingle_sets(batch.column(at).to_pylist(), size)]
-        return pa.Table.from_batches([batch]).append_column(NODE, pa.array(node, pa.int64()))
-
-    return map_batches(documents, run, StructType([*documents.schema.fields, StructField(NODE, LongType())]))
+        names = [set_id(s) if len(s) else (None, None) for s in shingle_sets(batch.column(at).to_pylist(), size)]
+        whole = pa.Table.from_batches([batch])
+        return whole.append_column(name, pa.array([x for x, _ in names], pa.int64())).append_column(twin, pa.array([x for _, x in names], pa.int64()))
+
+    schema = StructType([*documents.schema.fields, StructField(name, LongType()), StructField(twin, LongType())])
+    rows = map_batches(documents, run, schema, 500)
+    if clash is not None:
+        clash = clash.select(F.col("node").alias(name), F.col("twin").alias(twin), F.col("other").alias(other))
+        rows = rows.join(F.broadcast(clash), [name, twin], "left").withColumn(name, F.coalesce(other, name)).drop(other)
+    return rows.select(*documents.columns, name)
 
 
 ORACLE = r"""
