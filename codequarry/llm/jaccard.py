@@ -160,12 +160,41 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """Rows of bitmaps as the shorter bitmaps of ``size`` bytes."""
-    while bits.shape[1] > size:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] ^ bits[:, half:]
-    return bits
+class Bitmaps:
+    """The bitmaps of a column, those of one length as the rows of one array of 64-bit words."""
+
+    def __init__(self, column: pa.BinaryArray) -> None:
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        self.length = np.diff(ends) // 8
+        self.at = np.zeros(len(column), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for size in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == size)
+            self.at[own] = np.arange(len(own))
+            if ends[own[-1] + 1] - ends[own[0]] == 8 * size * len(own):  # side by side
+                flat = data[ends[own[0]] : ends[own[-1] + 1]]
+            else:
+                flat = data[(ends[own][:, None] + np.arange(8 * size)).ravel()]
+            self.rows[size] = np.frombuffer(flat.tobytes(), np.uint64).reshape(len(own), size)
+
+    def apart(self, i: np.ndarray, other: Bitmaps, j: np.ndarray) -> np.ndarray:
+        """In how many bits rows i differ from the other's rows j; the longer are folded."""
+        out = np.zeros(len(i), np.int64)
+        kind = self.length[i] * 4096 + other.length[j]
+        for code in np.unique(kind).tolist():
+            u, v = divmod(code, 4096)
+            pick = np.flatnonzero(kind == code)
+            step = max(1, 262_144 // max(u, v))
+            for k in range(0, len(pick), step):
+                part = pick[k : k + step]
+                x, y = self.rows[u][self.at[i[part]]], other.rows[v][other.at[j[part]]]
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def most_apart(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -193,7 +222,7 @@ def keys_of(grams: np.ndarray, texts: np.ndarray, percent: int = LEAST_PERCENT)
             length = int(np.searchsorted(np.cumsum(further), left)) + 1
             if length > len(tail):
                 raise AssertionError("too few shingles for the prefix")
-            salt, gap = np.uint64(k + 1) * _MUL, 1
+            salt, gap = np.uint64((k + 1) * int(_MUL) & (2**64 - 1)), 1
             while gap < length:
                 i = np.flatnonzero(own[gap:length] == own[: length - gap])
                 if not len(i):
@@ -293,16 +322,8 @@ def near(pairs: DataFrame, sets: DataFrame, percent: int = LEAST_PERCENT) -> Dat
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         a, b, n, m = (np.asarray(batch.column(k), np.int64) for k in range(4))
-        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        gap = np.full(len(a), -1, np.int64)
-        by: dict[tuple[int, int], list[int]] = {}
-        for k, (u, v) in enumerate(zip(x, y, strict=True)):
-            by.setdefault((len(u), len(v)), []).append(k)
-        for (u, v), rows in by.items():
-            size = min(u, v)
-            left = folded(np.frombuffer(b"".join([x[k] for k in rows]), np.uint64).reshape(len(rows), -1), size // 8)
-            right = folded(np.frombuffer(b"".join([y[k] for k in rows]), np.uint64).reshape(len(rows), -1), size // 8)
-            gap[rows] = most_apart(n[rows], m[rows], percent) - np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+        every = np.arange(len(a))
+        gap = most_apart(n, m, percent) - Bitmaps(batch.column(4)).apart(every, Bitmaps(batch.column(5)), every)
         kept = gap >= 0
         return pa.table({"a": pa.array(a[kept]), "b": pa.array(b[kept]), "gap": pa.array(gap[kept])})
 
@@ -388,65 +409,47 @@ def _met(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(sets.select("node", "bits"), "node").select("key", "i", "j", "mine", "node", "n", "label", "bits")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine", "node")
 
-    def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, j, mine, node, n, label = (np.asarray(part[c], np.int64) for c in ("i", "j", "mine", "node", "n", "label"))
-        bits = part["bits"].to_pylist()
-        by = np.array([len(x) for x in bits])
+    def compare(part: pa.RecordBatch, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, mine, node, n, label = (np.asarray(part.column(c), np.int64) for c in ("i", "j", "mine", "node", "n", "label"))
+        bits = Bitmaps(part.column("bits"))
         a, b, gap = [], [], []
-        first = np.flatnonzero(mine == i[0])
-        second = first if i[0] == j[0] else np.flatnonzero(mine == j[0])
-        for u in np.unique(by[first]):
-            left = first[by[first] == u]
-            x = np.frombuffer(b"".join([bits[k] for k in left]), np.uint64).reshape(len(left), -1)
-            for v in np.unique(by[second]):
-                right = second[by[second] == v]
-                y = np.frombuffer(b"".join([bits[k] for k in right]), np.uint64).reshape(len(right), -1)
-                size = int(min(u, v)) // 8
-                x_, y_ = folded(x, size), folded(y, size)
-                for k, row in enumerate(left):
-                    more = right[(label[right] != label[row]) & (100 * np.minimum(n[right], n[row]) >= percent * np.maximum(n[right], n[row]))]
-                    if first is second:
-                        more = more[node[more] > node[row]]
-                    if not len(more):
-                        continue
-                    away = np.bitwise_count(y_[np.searchsorted(right, more)] ^ x_[k]).sum(axis=1, dtype=np.int64)
-                    slack = most_apart(n[more], n[row], percent) - away
-                    hit = slack >= 0
-                    a.append(np.full(int(hit.sum()), node[row]))
-                    b.append(node[more][hit])
-                    gap.append(slack[hit])
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate([*a, none]), np.concatenate([*b, none])
-        return np.minimum(a, b), np.maximum(a, b), np.concatenate([*gap, none])
+        left, step = np.arange(len(group)), 1
+        while True:
+            left = left[left + step < len(group)]
+            left = left[group[left] == group[left + step]]
+            if not len(left):
+                break
+            right = left + step
+            step += 1
+            open_pair = (label[left] != label[right]) & ((mine[left] != mine[right]) | (i[left] == j[left]))
+            open_pair &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
+            x, y = left[open_pair], right[open_pair]
+            slack = most_apart(n[x], n[y], percent) - bits.apart(x, bits, y)
+            hit = slack >= 0
+            a.append(np.minimum(node[x[hit]], node[y[hit]]))
+            b.append(np.maximum(node[x[hit]], node[y[hit]]))
+            gap.append(slack[hit])
+        if a:
+            rows = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(gap)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "gap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        found: set[tuple[int, int]] = set()
-
-        def groups(part: pa.Table, whole: bool) -> Iterator[pa.Table]:
-            nonlocal rest
-            names = np.stack([np.asarray(part[c], np.int64) for c in ("key", "i", "j")])
-            edge = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
-            cut = [0, *edge.tolist(), part.num_rows]
-            for u, v in zip(cut[: -1 if whole else -2], cut[1 : None if whole else -1], strict=True):
-                yield part.slice(u, v - u)
-            rest = None if whole else part.slice(cut[-2]).combine_chunks()
-
-        def out(group: pa.Table) -> pa.RecordBatch | None:
-            a, b, gap = compare(group)
-            fresh = [k for k, p in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if p not in found]
-            if len(found) > SEEN_SETS:
-                found.clear()
-            found.update((int(a[k]), int(b[k])) for k in fresh)
-            return pa.RecordBatch.from_arrays([pa.array(z[fresh]) for z in (a, b, gap)], ["a", "b", "gap"]) if fresh else None
+        rest: list[pa.RecordBatch] = []
+
+        def together(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            names = np.stack([np.asarray(whole.column(c), np.int64) for c in ("key", "i", "j")])
+            return whole, np.concatenate([[0], np.cumsum((names[:, 1:] != names[:, :-1]).any(axis=0))])
 
         for batch in batches:
-            part = pa.Table.from_batches([batch])
-            part = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
-            if part.num_rows:
-                yield from (x for g in groups(part, False) if (x := out(g)) is not None)
-        if rest is not None:
-            yield from (x for g in groups(rest, True) if (x := out(g)) is not None)
+            if not len(batch):
+                continue
+            whole, group = together([*rest, batch])
+            cut = int(np.searchsorted(group, group[-1]))  # the last group may go on in the next batch
+            yield from compare(whole.slice(0, cut), group[:cut])
+            rest = [whole.slice(cut)]
+        if rest:
+            yield from compare(*together(rest))
 
     return dealt.mapInArrow(run, "a long, b long, gap long").distinct()
 
@@ -483,14 +486,18 @@ class _Links:
         self.labels = None if edges.isEmpty() else components(self.spark, edges)
 
     def try_pairs(self, found: DataFrame, name: str) -> None:
-        """Of each node its closest pair first, then the others that are still apart."""
+        """If most nodes have several pairs, each one's closest first, then those still apart."""
         found = materialize(found, name)
         first = materialize(_apart(found.groupBy("b").agg(F.max_by("a", "gap").alias("a")).select("a", "b"), self.labels), "closest")
-        self.verify(first)
-        rest = materialize(_apart(found.select("a", "b"), self.labels).join(first, ["a", "b"], "left_anti"), "others")
-        self.verify(rest)
-        for frame in (found, first, rest):
-            drop_scratch(frame)
+        if 2 * first.count() < found.count():
+            self.verify(first)
+            rest = materialize(_apart(found.select("a", "b"), self.labels).join(first, ["a", "b"], "left_anti"), "others")
+            self.verify(rest)
+            drop_scratch(rest)
+        else:
+            self.verify(_apart(found.select("a", "b"), self.labels))
+        drop_scratch(first)
+        drop_scratch(found)
 
 
 def _classes(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame | None:
