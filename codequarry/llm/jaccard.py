@@ -29,7 +29,7 @@ names; very long texts are read whole; empty tables give no rows. Word hashes ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,7 @@ HOT_TEXTS = 1_000_000
 #: Rows broadcast to choose or drop others, 8 bytes each; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 #: Bits of a set's bitmap: a power of two of at least BITS times its size, up to MOST_BITS.
-BITS, MOST_BITS = 4, 1 << 17
+BITS, MOST_BITS = 1, 1 << 17
 #: Sets remembered by a task, so that copies are written once.
 SEEN_SETS = 200_000
 PIECE = 1_000_000
@@ -235,16 +235,16 @@ def keys_of(grams: np.ndarray, texts: np.ndarray, percent: int = LEAST_PERCENT)
 
 def _base(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Rows of two kinds. Of every document: doc_id, n, node, twin, and once a task for each set
-    its grams and bits. Of shingles often seen: shingle, texts."""
+    its bits. Of shingles often seen: shingle, texts."""
     kind = documents.schema[id_col].dataType.simpleString()
-    types = {"n": pa.int64(), "node": pa.int64(), "twin": pa.int64(), "grams": pa.list_(pa.int64()), "bits": pa.binary(), "shingle": pa.int64(), "texts": pa.int64()}
+    types = {"n": pa.int64(), "node": pa.int64(), "twin": pa.int64(), "bits": pa.binary(), "shingle": pa.int64(), "texts": pa.int64()}
     columns = ["doc_id", *types]
 
     def often(sets: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
         found, count = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_counts=True)
         pick = count >= BATCH_TEXTS
         m = int(pick.sum())
-        none = [pa.nulls(m, t) for t in (id_type, *list(types.values())[:5])]
+        none = [pa.nulls(m, t) for t in (id_type, *list(types.values())[:4])]
         return pa.RecordBatch.from_arrays([*none, pa.array(found[pick]), pa.array(count[pick])], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +257,11 @@ def _base(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
             for a, b in pieces(texts.to_pylist(), PIECE):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist(), size)
                 names = [set_id(s) if len(s) else (None, None) for s in sets]
-                grams, bits = [], []
+                bits = []
                 for name, s in zip(names, sets, strict=True):
-                    fresh = len(s) > 0 and name not in seen
-                    grams.append(s if fresh else None)
-                    bits.append(bitmap(s) if fresh else None)
-                    if fresh:
+                    new = len(s) > 0 and name not in seen
+                    bits.append(bitmap(s) if new else None)
+                    if new:
                         if len(seen) >= SEEN_SETS:
                             seen.clear()
                         seen.add(name)
@@ -273,7 +272,7 @@ def _base(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                     [
                         batch.column(0).slice(a, m), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()),
-                        pa.array(grams, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                        pa.array(bits, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                     ],
                     columns,
                 )
@@ -283,32 +282,55 @@ def _base(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
         if waiting:
             yield often(waiting, id_type)
 
-    schema = f"doc_id {kind}, n long, node long, twin long, grams array<bigint>, bits binary, shingle long, texts long"
+    schema = f"doc_id {kind}, n long, node long, twin long, bits binary, shingle long, texts long"
     return documents.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _index(sets: DataFrame, frequent, percent: int) -> DataFrame:
-    """key, salt, node, n: each set under its keys. Keys of very frequent shingles have several salts."""
+def _index(documents: DataFrame, frequent, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """key, salt, node, twin, n: each set under its keys, once a task. Keys of very frequent
+    shingles have several salts."""
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, texts = frequent.value
-        starts, grams = np.asarray(batch.column(1).offsets), np.asarray(batch.column(1).values)
-        grams = grams[starts[0] :]
-        starts = starts - starts[0]
-        held = np.zeros(len(grams), np.int64)
-        if len(often):
-            at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
-            held = np.where(often[at] == grams, texts[at], 0)
-        found = [keys_of(grams[a:b], held[a:b], percent) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        each = np.array([len(k) for k, _ in found], np.int64)
+        seen: set[tuple[int, int]] = set()
         none = np.zeros(0, np.int64)
-        node = np.repeat(np.asarray(batch.column(0), np.int64), each)
-        deal = np.concatenate([*(d for _, d in found), none])
-        salt = np.where(deal > 1, node.view(np.uint64) % np.maximum(deal, 1).astype(np.uint64) + 1, 0).astype(np.int32)
-        size = np.repeat(np.diff(starts), each).astype(np.int32)
-        return pa.table({"key": pa.array(np.concatenate([*(k for k, _ in found), none])), "salt": pa.array(salt), "node": pa.array(node), "n": pa.array(size)})
+        for batch in batches:
+            column = batch.column(0)
+            for a, b in pieces(column.to_pylist(), PIECE):
+                sets, names = [], []
+                for s in shingle_sets(column.slice(a, b - a).to_pylist(), size):
+                    if len(s) > 1 and (name := set_id(s)) not in seen:
+                        if len(seen) >= SEEN_SETS:
+                            seen.clear()
+                        seen.add(name)
+                        sets.append(s)
+                        names.append(name)
+                grams = np.concatenate([*sets, none])
+                held = np.zeros(len(grams), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
+                    held = np.where(often[at] == grams, texts[at], 0)
+                ends = np.cumsum([0, *map(len, sets)]).tolist()
+                found = [keys_of(s, held[x:y], percent) for s, x, y in zip(sets, ends[:-1], ends[1:], strict=True)]
+                each = np.array([len(k) for k, _ in found], np.int64)
+                node, twin = (np.repeat(np.array([x[k] for x in names], np.int64), each) for k in (0, 1))
+                deal = np.concatenate([*(d for _, d in found), none])
+                salt = np.where(deal > 1, node.view(np.uint64) % np.maximum(deal, 1).astype(np.uint64) + 1, 0).astype(np.int32)
+                n = np.repeat([len(s) for s in sets], each).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*(k for k, _ in found), none])), pa.array(salt), pa.array(node), pa.array(twin), pa.array(n)], ["key", "salt", "node", "twin", "n"])
+
+    return documents.select(text_col).mapInArrow(run, "key long, salt int, node long, twin long, n int")
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """node, twin, n, grams of every text that has words."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s)]
+        names = [set_id(s) for s in sets]
+        return pa.table({"node": pa.array([x for x, _ in names], pa.int64()), "twin": pa.array([x for _, x in names], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "grams": pa.array(sets, pa.list_(pa.int64()))})
 
-    return map_batches(sets.select("node", "grams"), run, "key long, salt int, node long, n int", 1_000)
+    return map_batches(texts, run, "node long, twin long, n long, grams array<bigint>", 500)
 
 
 def _sided(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
@@ -339,20 +361,25 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = LEAST_PERCENT) -> D
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of every node with an edge: labels spread
-    along edges and are replaced by their own labels until nothing changes."""
+    along edges and are replaced by their own labels until nothing changes. Labels only fall, so
+    that their sum tells whether any changed."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    last, old = None, None
     while True:
-        near_by = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        step = labels.join(near_by, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = few(labels.where(F.col("node") != F.col("label")).select(F.col("node").alias("via"), F.col("label").alias("further")))
-        moved = materialize(step.join(jump, step["label"] == jump["via"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        changed = not moved.where(F.col("old") != F.col("label")).isEmpty()
-        drop_scratch(labels)
-        labels = moved.select("node", "label")
-        if not changed:
+        for _ in range(2):
+            seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
+            step = labels.join(seen, "node").select("node", F.least("label", "seen").alias("label"))
+            jump = step.where(F.col("node") != F.col("label")).select(F.col("node").alias("via"), F.col("label").alias("further"))
+            labels = step.join(jump, step["label"] == jump["via"], "left").select("node", F.coalesce("further", "label").alias("label"))
+        labels = materialize(labels, "labels")
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if old is not None:
+            drop_scratch(old)
+        if total == last:
             drop_scratch(both)
             return labels
+        last, old = total, labels
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -466,18 +493,22 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 class _Links:
     """The components known so far."""
 
-    def __init__(self, spark: SparkSession, sets: DataFrame, percent: int) -> None:
+    def __init__(self, spark: SparkSession, sets: Callable[[DataFrame], DataFrame], percent: int) -> None:
         self.spark, self.sets, self.percent = spark, sets, percent
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def verify(self, pairs: DataFrame) -> None:
+        pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
+            drop_scratch(pairs)
             return
-        ends = few(materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends"))
-        found = linked(pairs, self.sets.join(ends, "node", "left_semi"), self.percent)
+        ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        sets = self.sets(few(ends))
+        found = linked(pairs, sets, self.percent)
         edges = materialize(found if self.edges is None else found.union(self.edges), "links")
-        drop_scratch(ends)
+        for frame in (ends, sets, pairs):
+            drop_scratch(frame)
         if self.edges is not None:
             drop_scratch(self.edges)
         self.edges = edges
@@ -491,20 +522,18 @@ class _Links:
         first = materialize(_apart(found.groupBy("b").agg(F.max_by("a", "gap").alias("a")).select("a", "b"), self.labels), "closest")
         if 2 * first.count() < found.count():
             self.verify(first)
-            rest = materialize(_apart(found.select("a", "b"), self.labels).join(first, ["a", "b"], "left_anti"), "others")
-            self.verify(rest)
-            drop_scratch(rest)
+            self.verify(_apart(found.select("a", "b"), self.labels).join(first, ["a", "b"], "left_anti"))
         else:
             self.verify(_apart(found.select("a", "b"), self.labels))
         drop_scratch(first)
         drop_scratch(found)
 
 
-def _classes(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame | None:
-    """node, label of the nodes that link."""
+def _classes(bits: DataFrame, shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame | None:
+    """node, label of the nodes that link. sets(nodes): the sets of nodes."""
     nodes = few(materialize(shared.select("node").distinct(), "shared-nodes"))
-    bits = materialize(sets.select("node", "n", "bits").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "bits")
-    links = _Links(sets.sparkSession, sets.select("node", "n", "grams"), percent)
+    bits = materialize(bits.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "bits")
+    links = _Links(bits.sparkSession, sets, percent)
     links.try_pairs(near(_stars(shared, percent), bits, percent), "stars")
     open_ = materialize(_open(shared, links.labels), "open")
     links.try_pairs(near(_hubs(open_, percent), bits, percent), "hubs")
@@ -518,6 +547,20 @@ def _classes(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame | No
     return links.labels
 
 
+def _shared(index: DataFrame, percent: int) -> DataFrame:
+    """The rows of keys that several sets have, with the key's smallest node (of its salt). Sets
+    that none under the key comes near in size are left out: next to each set in the order of
+    sizes stands the nearest."""
+    key = Window.partitionBy("key", "salt")
+    by_size = key.orderBy("n")
+    above, below = F.lead("n").over(by_size), F.lag("n").over(by_size)
+    index = index.withColumns({"above": above, "below": below})
+    fits = (percent * F.col("above") <= 100 * F.col("n")) | (percent * F.col("n") <= 100 * F.col("below"))
+    index = index.where(F.coalesce(fits, F.lit(False)) | (F.col("salt") > 0)).drop("above", "below")
+    index = index.withColumns({"leader": F.min(F.struct("node", "n")).over(key), "other": F.max("node").over(key)})
+    return index.where((F.col("salt") > 0) | (F.col("leader.node") != F.col("other"))).drop("other").dropDuplicates(["key", "salt", "node"])
+
+
 class _Labelled:
     """``docs``: doc_id, n, node and label of every document row (node and label are null for
     texts without words); ``first``: label, and the smallest row of its component as a struct
@@ -527,22 +570,32 @@ class _Labelled:
         if not 70 <= percent <= 100:
             raise ValueError("percent out of range")
         spark = documents.sparkSession
-        base = materialize(_base(documents, id_col, text_col, size), "sets")
+        base = materialize(_base(documents, id_col, text_col, size), "nodes")
         self.clash = _clashes(base)
         rows = renamed(base.where(F.col("shingle").isNull()), self.clash)
         docs = rows.select("doc_id", "n", "node")
-        sets = rows.where(F.col("grams").isNotNull()).select("node", "n", "grams", "bits")
+        bits = rows.where(F.col("bits").isNotNull()).select("node", "n", "bits")
         least = max(FREQUENT_TEXTS, int(docs.count() * FREQUENT_SHARE))
         often = base.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= least)
         found = often.orderBy(F.desc("texts"), "shingle").limit(MOST_FREQUENT).toArrow()
         by = np.argsort(np.asarray(found["shingle"], np.int64))
         frequent = spark.sparkContext.broadcast((np.asarray(found["shingle"], np.int64)[by], np.asarray(found["texts"], np.int64)[by]))
 
-        own = Window.partitionBy("key", "salt")
-        ends = {"leader": F.min(F.struct("node", "n")).over(own), "other": F.max("node").over(own)}
-        met = (F.col("salt") > 0) | (F.col("leader.node") != F.col("other"))
-        shared = materialize(_index(sets, frequent, percent).withColumns(ends).where(met).drop("other").dropDuplicates(["key", "salt", "node"]), "shared")
-        labels = _classes(sets, shared, percent)
+        def sets(nodes: DataFrame) -> DataFrame:
+            """Of one document of each node, and where there is none with an id, of all without."""
+            ids = docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias(own))
+            ids = materialize(ids, "wanted")
+            texts = documents.join(few(ids.select(own).distinct()), F.col(id_col) == F.col(own), "left_semi").select(text_col)
+            if not ids.where(F.col(own).isNull()).isEmpty():
+                texts = texts.union(documents.where(F.col(id_col).isNull()).select(text_col))
+            found = materialize(renamed(_sets(texts, size), self.clash).join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "grams"), "sets")
+            drop_scratch(ids)
+            return found
+
+        own = fresh(documents, "own_id")
+        index = renamed(_index(documents, frequent, id_col, text_col, size, percent), self.clash).drop("twin")
+        shared = materialize(_shared(index, percent), "shared")
+        labels = _classes(bits, shared, sets, percent)
         drop_scratch(shared)
         named = _named(docs, labels)
         # a null id comes after all others; a first step by node keeps large components in many tasks
