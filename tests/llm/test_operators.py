@@ -359,54 +359,181 @@ def test_toxicity(spark):
 
 
 # -- 10 --------------------------------------------------------------------------------------
-def test_language_model(spark):
-    r = random.Random(8)
-    words = ["".join(r.choices("aeiou", k=2)) + "".join(r.choices("klmnrst", k=2)) for _ in range(400)]
-    texts = [" ".join(r.choices(words, weights=[1 / (k + 1) for k in range(400)], k=r.randint(5, 60))) for _ in range(150)] + [None, "", "Zzz qqq"]
+def zipf_texts(r, n=150, words=400):
+    names = ["".join(r.choices("aeiou", k=2)) + "".join(r.choices("klmnrst", k=2)) + str(k) for k in range(words)]
+    phrases = [" ".join(r.choices(names[:40], k=6)) for _ in range(8)]
+    text = lambda: " ".join(r.choices(names, weights=[1 / (k + 1) for k in range(words)], k=r.randint(5, 60)) + [r.choice(phrases)])
+    return [text() for _ in range(n)]
+
+
+def plain_tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(decontaminate.UPPER, decontaminate.LOWER)))
+
+
+def plain_scores(spark, d, texts):
+    """Restaurants in dictionaries, one word after another, by the same uniform numbers."""
+    words = lm.Words(lm.word_counts(d))
+    end = int(lm.END)
+    rows = {i: [int(h) for h in lm.word_hashes([t or ""])[0]] + [end] for i, t in enumerate(texts)}
+    teach = [i for i in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for i in teach for w in rows[i])
+    hot = dict(zip(words.hash.tolist(), words.low.tolist(), strict=True))
+    rate = (1 + lm.DISCOUNTS[0] * words.tables) / (words.v + 1)
+    final = lambda w: hot[w] if w in hot else ((c[w] - lm.DISCOUNTS[0] - rate * (1 - c[w] ** -lm.DISCOUNTS[0]) + rate if c[w] else rate) / (1 + words.n))
+    low = lambda w: hot.get(w, words.low_rare)
+    start = int(lm.START)
+    events = {i: [((t[k - 1] if k else start), (t[k - 2] if k > 1 else start), w) for k, w in enumerate(t)] for i, t in rows.items()}
+    c3 = Counter(e for i in teach for e in events[i])
+    t3 = dict.fromkeys(c3, 1)
+    u64 = lambda x: np.array([x % 2**64], np.uint64)
+    seed3 = lambda v, u, w: lm.mix(lm.mix(u64(v) + u64(u)) + u64(w))
+    seed2 = lambda v, w: lm.mix(u64(v) ^ u64(w))
+
+    def number(n, k, d):
+        row = [1.0]
+        for m in range(n):
+            row = [(row[t - 1] if t else 0.0) + (max(m - d * t, 0) * row[t] if t < len(row) else 0.0) for t in range(m + 2)]
+        return row[k]
+
+    def draw(n, p, others, d, seed, k):
+        if n < 2:
+            return n
+        weights = [number(n, t, d) * math.prod((1 + d * (others + j)) * p for j in range(t)) for t in range(1, n + 1)]
+        u, at = float(lm.uniform(seed, k)[0]) * sum(weights), 0
+        while at < n - 1 and sum(weights[: at + 1]) < u:
+            at += 1
+        return at + 1
+
+    def parents():
+        out = Counter()
+        for (v, _, w), t in t3.items():
+            out[v, w] += t
+        return out
+
+    def total(x, key):
+        out = Counter()
+        for k, n in x.items():
+            out[key(k)] += n
+        return out
+
+    d2, d3 = lm.DISCOUNTS[1:]
+    c2 = parents()
+    t2 = dict.fromkeys(c2, 1)
+    each = {i: [[0.0, 0.0] for _ in t] for i, t in rows.items()}
+    for sweep in range(lm.BURN_IN + lm.SAMPLES):
+        n2, k2 = total(c2, lambda x: x[0]), total(t2, lambda x: x[0])
+        p2 = lambda v, w: (c2[v, w] - d2 * t2.get((v, w), 0) + (1 + d2 * k2[v]) * low(w)) / (1 + n2[v])  # noqa: B023, E731
+        k3, n3 = total(t3, lambda x: x[:2]), total(c3, lambda x: x[:2])
+        t3 = {(v, u, w): draw(n, p2(v, w), k3[v, u] - t3[v, u, w], d3, seed3(v, u, w), 2 * sweep) for (v, u, w), n in c3.items()}
+        c2 = parents()
+        t2 = {x: min(t2[x], n) for x, n in c2.items()}
+        k2 = total(t2, lambda x: x[0])
+        t2 = {(v, w): draw(n, low(w), k2[v] - t2[v, w], d2, seed2(v, w), 2 * sweep + 1) for (v, w), n in c2.items()}
+        if sweep < lm.BURN_IN:
+            continue
+        k3, k2, n2 = total(t3, lambda x: x[:2]), total(t2, lambda x: x[0]), total(c2, lambda x: x[0])
+        for i, t in events.items():
+            for k, (v, u, w) in enumerate(t):
+                rest = (1 + d3 * k3[v, u]) / (1 + n3[v, u])
+                each[i][k][0] += ((c3[v, u, w] - d3 * t3.get((v, u, w), 0)) / (1 + n3[v, u]) + rest * (c2[v, w] - d2 * t2.get((v, w), 0)) / (1 + n2[v])) / lm.SAMPLES
+                each[i][k][1] += rest * (1 + d2 * k2[v]) / (1 + n2[v]) / lm.SAMPLES
+    return {i: sum(math.log10(a + b * final(w)) for (a, b), w in zip(each[i], rows[i], strict=True)) for i in rows}
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 30, 0])
+def test_language_model(spark, hot):
+    texts = [*zipf_texts(random.Random(8), 80), None, "", "Zzz qqq", "w1 w2 w3 w4", "w4 w3 w2 w1"]
     d = docs(spark, texts)
-    d = d.unionByName(d.where("doc_id = 3"))
-    rows = lm.score(d).collect()
-    assert len(rows) == len(texts) + 1
-    tokens = {i: (t or "").lower().split() + [None] for i, t in enumerate(texts)}
+    rows_of = d.unionByName(d.where("doc_id = 3")).unionByName(spark.createDataFrame([(None, None, "en", "s", 0)], DOCS)).withColumn("score", F.lit(1)).withColumn("blob", F.lit(1))
+    old, lm.HOT_WORDS = lm.HOT_WORDS, hot
+    try:
+        rows = lm.score(d.withColumn("row", F.lit(0))).collect()
+        want = plain_scores(spark, d, texts)
+        odd = lm.score(rows_of).collect()
+    finally:
+        lm.HOT_WORDS = old
+    assert len(rows) == len(texts) and len(odd) == len(texts) + 2
+    assert sum(x.doc_id == 3 for x in odd) == 2 and [x.held_out for x in odd if x.doc_id is None] == [False]
+    tokens = {i: [*plain_tokens(t), None] for i, t in enumerate(texts)}
     c = Counter(itertools.chain.from_iterable(w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1))
     n, v = sum(c.values()), len(c)
     for x in rows:
         w = tokens[x.doc_id]
         assert (x.n_tokens, x.n_known, x.train_tokens) == (len(w), sum(c[t] > 0 for t in w), n)
         assert math.isclose(x.base_score, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in w), rel_tol=1e-9)
+        assert math.isclose(x.score, want[x.doc_id], rel_tol=2e-4, abs_tol=1e-3)
+    by = {x.doc_id: x for x in rows}
     held = [x for x in rows if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
-    # known types and the unknown one sum to one
-    model, _ = lm.fit(lm.word_counts(d, "doc_id", "text"))
-    p = model.collect()
-    unknown = {x.lp for x in p if x.c == 0}
-    total = sum(10**x.lp for x in p if x.c) + (10 ** unknown.pop() if unknown else 0)
-    assert total <= 1 + 1e-6 and total > 0.9
+    assert not math.isclose(by[83].score, by[84].score, abs_tol=0.1) or by[83].held_out == by[84].held_out
+
+
+def test_language_model_reads_order(spark):
+    texts = ["red green blue black white"] * 3 + ["a b c d"] * 3
+    texts += ["red green blue black white", "white black blue green red"]
+    ids = [0, 2, 3, 5, 6, 7, 1, 4]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:6]
+    ids = kept + held
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)], DOCS)
+    by = {x.doc_id: x for x in lm.score(d).collect()}
+    assert by[held[0]].score > by[held[1]].score + 3 and by[held[0]].base_score == by[held[1]].base_score
+    assert by[held[0]].perplexity < by[held[1]].perplexity
     assert lm.score(docs(spark, [])).count() == 0
 
 
-def test_byte_model_sums_to_one():
-    grams, lens = lm.spelled([b"abra", b"abba", b"cab"] * 5, 3)
-    keys, n = np.unique(grams, return_counts=True)
-    model = lm.ByteModel(keys, n, 3)
-    for context in (0x2020, 0x6162, 0x7878):
-        every = np.array([(context << 8) | b for b in range(256)], np.uint64)
-        assert abs(np.exp(model.log_prob(every)).sum() - 1) < 0.01
-    assert lens.tolist() == [5, 5, 4] * 5
-
-
-def test_byte_model_beyond_the_broadcast_bound_is_the_same(spark):
-    r = random.Random(9)
-    words = ["".join(r.choices("abcdeéλ", k=r.randint(1, 9))) for _ in range(300)]
-    texts = [" ".join(r.choices(words, weights=[1 / (k + 1) for k in range(300)], k=40)) for _ in range(60)] + ["Zzz qqq", None]
-    counts = lm.word_counts(docs(spark, texts), "doc_id", "text")
-    old, fitted = lm.MOST_GRAMS, []
+def test_language_model_of_words_that_many_tokens_follow(spark):
+    texts = zipf_texts(random.Random(3), 120, 30)
+    d = docs(spark, texts)
+    plain = {x.doc_id: x for x in lm.score(d).collect()}
+    old = lm.SPLIT_TOKENS, lm.BUCKET_TOKENS, lm.PIECE
     try:
-        for lm.MOST_GRAMS in (old, 10):
-            model, n = lm.fit(counts)
-            fitted.append({x.hash: (x.c, x.lb, x.lp) for x in model.collect()})
+        lm.SPLIT_TOKENS, lm.BUCKET_TOKENS, lm.PIECE = 60, 300, 2_000
+        split = {x.doc_id: x for x in lm.score(d).collect()}
+        lm.SPLIT_TOKENS = 10**9
+        dealt = {x.doc_id: x for x in lm.score(d).collect()}
     finally:
-        lm.MOST_GRAMS = old
-    assert fitted[0].keys() == fitted[1].keys()
-    for h, x in fitted[0].items():
-        assert x == pytest.approx(fitted[1][h], rel=1e-9)
+        lm.SPLIT_TOKENS, lm.BUCKET_TOKENS, lm.PIECE = old
+    for i, x in plain.items():
+        assert (x.n_tokens, x.n_known) == (split[i].n_tokens, split[i].n_known)
+        assert math.isclose(x.score, dealt[i].score, rel_tol=1e-4)  # buckets and pieces change nothing
+        assert abs(x.score - split[i].score) < 0.35 * abs(x.score)
+    held = [i for i, x in plain.items() if x.held_out]
+    assert sum(split[i].score for i in held) > sum(split[i].base_score for i in held)
+
+
+def test_seating():
+    # the drawn numbers of tables follow their exact distribution
+    n = 40_000
+    seed = lm.mix(np.arange(n, dtype=np.uint64) + np.uint64(5))
+    t = lm.seat(np.full(n, 6), np.full(n, 0.2), np.full(n, 3), 0.5, 1.0, seed, 1)
+    s = np.exp(lm.stirling(0.5)[6, 1:7])
+    p = s * np.array([math.prod((1 + 0.5 * (3 + j)) * 0.2 for j in range(k)) for k in range(1, 7)])
+    assert np.abs(np.bincount(t, minlength=7)[1:] / n - p / p.sum()).max() < 0.01
+    # beyond EXACT customers the limit is close to the numbers themselves
+    log_s = lm.stirling(0.5, 3_000)[3_000, 1:3_001]
+    for rate in (0.05, 1.0):
+        weight = log_s + np.cumsum(np.log((1 + 0.5 * (1_000 + np.arange(3_000))) * rate / 501))
+        p = np.exp(weight - weight.max())
+        mean = (p * np.arange(1, 3_001)).sum() / p.sum()
+        t = lm.seat(np.full(4_000, 3_000), np.full(4_000, rate / 501), np.full(4_000, 1_000), 0.5, 1.0, seed[:4_000], 2)
+        assert abs(t.mean() - mean) < 0.05 * mean
+    # probabilities of all words of a restaurant sum to one
+    r = np.random.default_rng(1)
+    v, u, w = (r.integers(0, k, 3_000) for k in (4, 6, 30))
+    names = lm.mix(np.arange(1, 40, dtype=np.uint64))
+    low = r.dirichlet(np.ones(30))
+    low = np.concatenate([low, [0.0]])
+    every = [np.array(x) for x in zip(*itertools.product(range(4), range(7), range(30)), strict=True)]
+    both = [np.concatenate(x) for x in zip((v, u, w), every, strict=True)]
+    model = lm.Bucket(*both, np.arange(len(both[0])) < 3_000, names[:4], names, low)
+    a, b = model.probabilities()
+    own = model.kind[3_000:]
+    total = (a[own] + b[own] * low[every[2]]).reshape(28, 30).sum(axis=1)
+    assert np.allclose(total, 1)
+
+
+def test_packed_tokens():
+    r = np.random.default_rng(4)
+    columns = [r.integers(0, 2**63, 100).astype(np.uint64), r.integers(0, 2**31, 57).astype(np.uint32), np.zeros(0, np.uint32)]
+    assert all((x == y).all() for x, y in zip(lm.unpack(lm.pack(columns)), columns, strict=True))
