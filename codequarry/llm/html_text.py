@@ -1,13 +1,17 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut at block-level tags into flat blocks. Each block's words, link density and those of
-its neighbours, and what its nearest telling container is (an article, or a menu, header, footer,
-sidebar, notice, advert, form or comments, by tag or by class and id) go to a small decision tree
-that is trained on LABELLED, a table of labelled blocks.
-
-Defined results: null and empty pages give an empty text; pages cut off in the middle give what
-is there, without a half tag at their end; repeated rows give repeated results; extra columns are
-left out. Character references are decoded once; white space inside a block becomes one blank.
+A page is cut at block-level tags into flat blocks. Each block is described by its words and link
+density, those of the block before and after, what element it stands in (heading, paragraph or
+other), whether an article or main element is around it, and what its elements and their whole
+class, id and role names announce (nothing; a form or page header; a menu, footer, sidebar,
+notice, advert or comments). A decision tree grown on the blocks of LABELLED, a small table of
+labelled pages, decides from all of these.
+
+Defined results: null and empty pages give an empty text, empty tables no rows; pages cut off in
+the middle give what is there, without a half tag at their end; very long pages are read whole;
+repeated rows give repeated results; other columns are left out, whatever their names. Ties of
+splits go to the feature named first and the lowest cut. Character references are decoded once;
+white space inside a block becomes one blank.
 """
 
 from __future__ import annotations
@@ -21,69 +25,70 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 # Elements whose content is no text of the page, those that end a block, those
-# that are followed as containers, and words in class or id that tell what a container is.
+# that are followed as containers, and names that announce what an element holds.
 SILENT = "script style noscript template svg math iframe object title textarea select button canvas audio video head"
 BLOCK = "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
-CONTAINER = "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul"
-OUTSIDE = "nav aside footer form menu dialog header"
-OUTSIDE_WORDS = "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget"
+CONTAINER = "article aside blockquote body dd details dialog div dl dt fieldset figure footer form header li main menu nav ol section table td th tr ul"
+PARAGRAPH = "p blockquote pre li dd dt td th figcaption caption summary"
+OUTSIDE = "nav aside footer menu dialog"
+PERHAPS_OUTSIDE = "form header"
 INSIDE = "article main"
-INSIDE_WORDS = "article content entry main post story text"
+OUTSIDE_NAMES = "ad ads adv advert adverts advertisement advertising aside banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies dialog disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup promo promoted promotion recommended related search share sharing sidebar signin signup social sponsor sponsored subscribe subscription taboola tags toolbar widget widgets"
+PERHAPS_OUTSIDE_NAMES = "head header top"
+COMMENT_NAMES = "comment comments commentlist disqus replies reply respond responses"
+CONTENT_NAMES = "article content entry post story text"
+#: Parts of compound names that say nothing.
+PLAIN_NAMES = "area bar block box container inner item items left link links list main outer page panel right row section site wrap wrapper"
+#: Elements that end an open one of their kind inside the same parent.
+ENDED_BY = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "td": "table tr", "th": "table tr", "tr": "table"}
 
-#: zone (1 inside an article, 0 unknown, -1 outside), words, link density, words and link density
-#: of the block before and after; whether it is main text.
+#: Pages whose main blocks begin with a star; {n} stands for n words.
 LABELLED = """
-1 12 0 5 1 60 0 1
-1 60 0 12 0 45 0 1
-1 1 0 60 0 30 0 1
-1 2 0 1 0 2 0 1
-1 5 0 80 0 12 0 1
-1 9 0 0 0 1 0 1
-1 40 0.2 50 0 60 0 1
-1 30 0.1 20 0 0 0 1
-1 6 0 15 0 20 0 1
-1 8 1 30 0 40 0 1
-1 5 0 3 1 4 0 1
-1 8 0 2 1 10 0 1
-1 20 0 3 1 2 1 1
-1 15 0 40 0 3 1 1
-1 3 0 1 1 0 0 1
-1 1 0 4 1 1 1 1
-1 10 0 2 1 80 0 1
-1 2 0.5 6 0 4 1 1
-1 25 0.2 4 1 3 1 1
-1 6 0.3 2 1 9 0 1
-1 4 1 8 1 2 1 1
-1 3 1 3 1 3 1 1
-1 1 1 2 1 3 1 1
-1 2 1 40 0 2 1 1
-0 50 0 45 0 60 0 1
-0 80 0.05 6 0 70 0 1
-0 30 0 60 0 2 0 1
-0 25 0.1 30 0 40 0 1
-0 16 0 50 0 50 0 1
-0 7 0 45 0 60 0 1
-0 6 0 2 1 80 0 1
-0 3 0 1 1 2 1 0
-0 1 1 1 1 1 1 0
-0 2 1 0 0 2 1 0
-0 4 1 30 0 3 1 0
-0 12 0.9 4 1 5 1 0
-0 20 0.7 10 1 10 1 0
-0 5 0 3 1 1 1 0
-0 8 0 2 1 0 0 0
-0 2 0 0 0 3 1 0
--1 1 1 0 0 1 1 0
--1 3 1 1 1 2 1 0
--1 10 0 1 1 12 0 0
--1 15 0 4 1 9 0 0
--1 40 0 40 0 0 0 0
--1 60 0.1 50 0 30 0 0
--1 25 0 60 0 0 0 0
--1 5 0 80 0 0 0 0
--1 2 0 30 0 3 0 0
--1 80 0 10 0 60 0 0
+<nav><ul><li><a>{1}</a><li><a>{1}</a><li><a>{2}</a><li><a>{1}</a></ul></nav><div class=ad>{6}</div><article><h1>*{8}</h1><p>*{60}<p>*{45}<p>*{3}<p>*{80}</article><footer>{12}</footer>
+<nav><a>{1}</a><a>{2}</a></nav><div class=advert>{18}</div><article><h1>*{3}</h1><p>*{12}</article><footer>{4}<a>{1}</a></footer>
+<header><a>{2}</a><p>{5}</p></header><main><h1>*{6}</h1><p>*{30}<h2>*{2}</h2><p>*{50}<ul><li>*{6}<li>*{9}<li>*{2}</ul><p>*{25}</main><aside><h3>{2}</h3><p>{40}<p>{22}</aside><footer><p>{30}<p>{8}</footer>
+<div id=header><a>{3}</a></div><div class=menu><a>{1}</a> <a>{1}</a> <a>{1}</a></div><div><h1>*{7}</h1><p>*{70}<p>*{40}<p>*{55}<p>*{4}</div><div class=footer>{15}</div>
+<div><a>{1}</a> | <a>{1}</a> | <a>{2}</a></div><div><a>{3}</a> <a>{2}</a></div><h1>*{5}</h1><div>*{65}</div><div>*{45}</div><div>*{30}</div><div>{3}</div><div><a>{2}</a> <a>{2}</a></div>
+<p><a>{2}</a><p><a>{3}</a><p><a>{1}</a><p><a>{2}</a><h2>*{6}</h2><p>*{35}<p>*{28} <a>{4}</a><p>*{48}<p>*{6}<p><a>{2}</a><p><a>{2}</a><p><a>{3}</a><p>{2}
+<form><div><h1>*{5}</h1><p>*{60}<p>*{75}<p>*{50}</div></form><form><p>{3}<p>{2}<p>{5}</form>
+<form><p>{6}<p>{2}</form><article><p>*{40}<p>*{20}<form><p>{4}</p></form><p>*{33}</article>
+<header><h1>*{6}</h1><p>*{42}<p>*{38}</header><p>*{66}<p>*{51}<div class=comments><h3>{2}</h3><p>{30}<p>{45}<p>{5}</div>
+<header><p>{4}</header><header><a>{1}</a> <a>{1}</a></header><div>*{80}</div><div>*{20}</div><footer><p>{3}</footer>
+<article><header><h1>*{9}</h1><p>*{4}</header><p>*{55}<blockquote>*{15}</blockquote><p>*{48}<p class=ad>{3}<p>*{39}<p class=comment>{20}<p>*{31}<div id=comments><p>{28}<p>{12}<p>{33}</div></article>
+<article><h1>*{4}</h1><p>*{44} <a>{5}</a><p>*<a>{6}</a><p>*{52}<ul><li><a>{4}</a><li><a>{5}</a><li><a>{3}</a><li><a>{6}</a></ul></article><div class=related><h3>{2}</h3><a>{7}</a><a>{8}</a></div>
+<article><h2>*{3}</h2><p>*<a>{8}</a><p>*{24}<p>*{3} <a>{2}</a><p>*{61}<div class=share><a>{1}</a> <a>{1}</a></div></article>
+<article><p>*{7}<p>*{2}<p>*{12}<p>*{1}<p>*{9}</article><nav><a>{1}</a> <a>{2}</a></nav>
+<div class=cookie-banner>{26} <a>{2}</a></div><article><h1>*{7}</h1><p>*{58}<div class=newsletter><h4>{5}</h4><p>{17}</div><p>*{47}</article><div class=sidebar><p>{35}<p>{20}<ul><li><a>{3}</a><li><a>{2}</a></ul></div>
+<nav><ul><li><a>{1}</a><li><a>{1}</a></ul></nav><div class=ad>{4}</div><article><h1>*{2}</h1><p>*{2}</article><footer>{11}</footer>
+<nav><a>{1}</a></nav><article><h1>*{1}</h1><p>*{5}<p>*{1}</article><footer>{9} <a>{1}</a></footer>
+<article><h1>*{3}</h1><p>*{4}</article><footer>{10}</footer>
+<div class=ad>{7}</div><article><p>*{1}</article><footer>{3}</footer>
+<nav><a>{2}</a></nav><article><h1>*{14}</h1></article><footer>{8}</footer>
+<article><h1>*{2}</h1><p>*{1}<p>*{2}<p>*{3}<p>*{1}<p>*{4}<p>*{2}</article>
+<article><h3>*{1}</h3><p>*{90}<p>*{1}<h3>*{2}</h3><p>*{70}<p>*{2}</article><div class=tags><a>{1}</a></div>
+<main><div>*{4}</div><div>*{60}</div><div>*{2}</div><div>*{35}</div><div>*{1}</div></main>
+<article><div>*{1}</div><div>*{3}</div><div>*{5}</div><div>*{2}</div></article><div>{1}</div><div>{3}</div><div>{2}</div>
+<p>*{50}<p>*{40}<p>*{2}
+<h1>*{3}</h1><p>*{70}<p>*{85}<p>*{4}
+<p>*{66}<p>*{2}
+<p>*{24}<p>*{95}<p>*{1}<div><a>{1}</a></div>
+<article><h1>*{3}</h1><p>*{9} <a>{4}</a><p>*{3}<p>*{14} <a>{5}</a><p>*{2}<p>*{6} <a>{3}</a></article><footer>{6}</footer>
+<article><p>*{4} <a>{2}</a><p>*{11} <a>{6}</a><p>*{7}</article><ul><li><a>{2}</a><li><a>{3}</a></ul>
+<h1>*{4}</h1><p>*{33}<p>*{45}<p>*{3}<div class=footer>{3}</div>
+<nav><a>{1}</a></nav><h1>*{1}</h1><p>*{50}<p>*{40}<p>*{2}<footer>{1}</footer>
+<h2>*{8}</h2><p>*{17}<p>*{3}<p>*{29}<p>*{1}<p>*{24}<p>*{5}<div>{2} <a>{2}</a></div>
+<p>{2}<p>{3}<p>{1}<p>{2}<ul><li><a>{1}</a><li><a>{2}</a></ul>
+<div>{1}</div><p>{2}<h3>{1}</h3><p>{3}<h3>{2}</h3><p>{1}
+<p>{1} <a>{1}</a><h2>{2}</h2><p><a>{2}</a><h2>{1}</h2><p><a>{3}</a><p><a>{2}</a>
+<table><tr><td><a>{1}</a><td><a>{1}</a></tr></table><table><tr><td>*{90}<tr><td>*{64}</table><table><tr><td>{2}<td>{1}</table>
+<h1>*{4}</h1><p>*{22}<p>*{19}<h2>*{2}</h2><p>*{26}<p>*{8}<p>*{31}
+<div>{2}</div><div>{4}</div><div><a>{2}</a></div><div>{3}</div><div>{1} <a>{3}</a></div><div>{2}</div>
+<p><a>{3}</a><p>{2}<p>{1} <a>{1}</a><p>{3}<p><a>{4}</a>
+<ul><li><a>{2}</a> {1}<li><a>{3}</a><li><a>{1}</a> {2}</ul><h3>{2}</h3><ul><li><a>{5}</a><li><a>{4}</a></ul><div>{9} <a>{3}</a></div>
+<aside><p>{50}<p>{60}<p>{45}</aside><nav><p>{20}<p>{30}<p>{25}</nav><footer><p>{60}<p>{40}<p>{70}</footer>
+<div class=notice><p>{34}<p>{52}</div><div class=popup>{44}</div><p>*{41}<p>*{37}<div class=pagination><a>{1}</a> <a>{1}</a></div>
 """
+FEATURES = ("announced", "inside", "heading", "paragraph", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 _names = lambda s: "|".join(s.split())
 _attributes = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
@@ -96,37 +101,54 @@ _part = re.compile(
 )
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _block, _container = frozenset(BLOCK.split()), frozenset(CONTAINER.split())
-_outside, _outside_words = frozenset(OUTSIDE.split()), frozenset(OUTSIDE_WORDS.split())
-_inside, _inside_words = frozenset(INSIDE.split()), frozenset(INSIDE_WORDS.split())
-
-
-def zone_of(name: str, attributes: str, above: int) -> int:
-    if name in _inside:
-        return 1
-    if name in _outside and not (name == "header" and above == 1):
-        return -1
-    if attributes:
-        words = {w for m in _attr.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-        if words & _outside_words:
-            return -1
-        if above == 0 and words & _inside_words:
-            return 1
-    return above
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, words, words in links, zone) of every block that holds a word."""
-    out: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int]] = []
+_outside, _inside = frozenset(OUTSIDE.split()), frozenset(INSIDE.split())
+_paragraph, _heading = frozenset(PARAGRAPH.split()), frozenset("h1 h2 h3 h4 h5 h6".split())
+_perhaps, _perhaps_names = frozenset(PERHAPS_OUTSIDE.split()), frozenset(PERHAPS_OUTSIDE_NAMES.split())
+_outside_names, _comment_names = frozenset(OUTSIDE_NAMES.split()), frozenset(COMMENT_NAMES.split())
+_content_names, _plain_names = frozenset(CONTENT_NAMES.split()), frozenset(PLAIN_NAMES.split())
+_ended_by = {k: frozenset(v.split()) for k, v in ENDED_BY.items()}
+_hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_camel = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_]+")
+
+
+def announces(name: str, attributes: str) -> int:
+    """2: the element holds what is no main text; 1: perhaps; 0: it doesn't say. A compound name is
+    judged by its last telling part, and not at all if a part names the content (but for comments)."""
+    if name in _outside:
+        return 2
+    out = 1 if name in _perhaps else 0
+    if attributes and name not in ("html", "body"):
+        if _hidden.search(attributes):
+            return 2
+        for m in _attr.finditer(attributes):
+            for whole in (m[1] or m[2] or m[3] or "").split():
+                parts = [x.lower() for x in _camel.split(whole) if x]
+                if not _comment_names.isdisjoint(parts):
+                    return 2
+                telling = [x for x in parts if x not in _plain_names]
+                if telling and _content_names.isdisjoint(parts):
+                    if telling[-1] in _outside_names:
+                        return 2
+                    if telling[-1] in _perhaps_names:
+                        out = 1
+    return out
+
+
+def blocks(page: str) -> list[tuple[str, int, int, int, int, str]]:
+    """(text, words, words in links, what is announced, inside an article, element) of every block
+    that holds a word."""
+    out: list[tuple[str, int, int, int, int, str]] = []
+    stack: list[tuple[str, int, int]] = []  # name, and what was around it
     parts: list[str] = []
-    zone = linked = in_link = at = 0
+    around = inside = own = linked = in_link = at = 0
+    element = ""
 
     def end() -> None:
         nonlocal linked
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), zone))
+                out.append((" ".join(words), len(words), min(linked, len(words)), max(around, own), inside, element))
             parts.clear()
         linked = 0
 
@@ -138,6 +160,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             if in_link:
                 linked += len(text.split())
 
+    def leave(name: str) -> None:
+        nonlocal around, inside
+        while True:
+            top, around, inside = stack.pop()
+            if top == name:
+                return
+
     for m in _part.finditer(page):
         add(page[at : m.start()])
         at = m.end()
@@ -153,26 +182,50 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             parts.append(" ")
         elif name in _block:
             end()
-            in_link = 0
-            if name in _container:
-                if not m[2]:
-                    if not m[4].endswith("/"):
-                        stack.append((name, zone))
-                        zone = zone_of(name, m[4], zone)
-                elif any(x[0] == name for x in stack):
-                    while True:
-                        top, zone = stack.pop()
-                        if top == name:
+            in_link = own = 0
+            element = "" if m[2] else name
+            if name not in _container:
+                own = 0 if m[2] else announces(name, m[4])
+            elif m[2]:
+                if any(x[0] == name for x in stack):
+                    leave(name)
+            elif not m[4].endswith("/"):
+                if name in _ended_by:
+                    for x in reversed(stack):
+                        if x[0] in _ended_by[name]:
+                            break
+                        if x[0] == name:
+                            leave(name)
                             break
+                stack.append((name, around, inside))
+                if name in _inside:
+                    inside, around = 1, 0 if around == 1 else around
+                said = announces(name, m[4])
+                # the header of an article is its own
+                around = max(around, 0 if said == 1 and inside and name == "header" else said)
     add(page[at:])
     end()
     return out
 
 
+def features(found: list[tuple[str, int, int, int, int, str]]) -> list[tuple[float, ...]]:
+    near = [(0, 0.0), *((n, k / n) for _, n, k, *_ in found), (0, 0.0)]
+    return [(said, inside, float(el in _heading), float(el in _paragraph), *near[i + 1], *near[i], *near[i + 2]) for i, (_, _, _, said, inside, el) in enumerate(found)]
+
+
 # -- the tree --------------------------------------------------------------------------------
 
 
-def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 5):
+def labelled_blocks(pages: str = LABELLED) -> list[tuple[tuple[float, ...], int]]:
+    """Features and label of every block of the labelled pages."""
+    out = []
+    for page in pages.strip().splitlines():
+        found = blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page).replace("*<a>", "<a>*"))
+        out += list(zip(features(found), (int(b[0].startswith("*")) for b in found), strict=True))
+    return out
+
+
+def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 7):
     """A binary tree by Gini impurity: (feature, cut, low, high), or a label."""
     ones = sum(y for _, y in rows)
     if not depth or ones in (0, len(rows)):
@@ -193,11 +246,6 @@ def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 5):
     return f, cut, grow([r for r in rows if r[0][f] <= cut], depth - 1), grow([r for r in rows if r[0][f] > cut], depth - 1)
 
 
-def trained_tree(table: str = LABELLED):
-    rows = [tuple(map(float, line.split())) for line in table.strip().splitlines()]
-    return grow([(r[:-1], int(r[-1])) for r in rows])
-
-
 def is_main(tree, x: tuple[float, ...]) -> bool:
     while not isinstance(tree, int):
         f, cut, low, high = tree
@@ -207,13 +255,12 @@ def is_main(tree, x: tuple[float, ...]) -> bool:
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
-    near = [(0, 0.0), *((n, k / n) for _, n, k, _ in found), (0, 0.0)]
-    return "\n".join(text for i, (text, _, _, zone) in enumerate(found) if is_main(tree, (zone, *near[i + 1], *near[i], *near[i + 2])))
+    return "\n".join(b[0] for b, x in zip(found, features(found), strict=True) if is_main(tree, x))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    tree = trained_tree()
+    tree = grow(labelled_blocks())
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         texts = [main_text(page.as_py(), tree) for page in batch.column(2)]

@@ -329,9 +329,59 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", cut), (5, "u", "<p " + "x" * 5000)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got == {1: "A & b\nOne two.\n3 < 4 five", 2: "", 3: "", 4: "Some text here and mo", 5: ""}
-    tree = html_text.trained_tree()
-    rows = [tuple(map(float, x.split())) for x in html_text.LABELLED.strip().splitlines()]
-    assert sum(html_text.is_main(tree, x[:-1]) == bool(x[-1]) for x in rows) >= 0.95 * len(rows)
+    assert html_text.extract(df.where("page_id < 0")).count() == 0
+    more = df.where("page_id = 1").unionByName(df.where("page_id = 1")).withColumn("text", F.lit("x")).withColumn("n_chars", F.lit(0))
+    assert [r.n_chars for r in html_text.extract(more).collect()] == [len(got[1])] * 2
+    long = "<article>" + "<p>" + "many words " * 40_000 + "<p>end</article>"
+    assert html_text.main_text(long, html_text.grow(html_text.labelled_blocks())).endswith("words\nend")
+
+
+#: Pages of other shapes than those the tree has learned from.
+OTHER_PAGES = """
+<div class=topnav><a>{1}</a><a>{1}</a><a>{2}</a></div><section class=story><h1>*{6}</h1><h2>*{11}</h2><p>*{37}<p>*{52}<figure><figcaption>*{9}</figcaption></figure><p>*{6}<p>*{43}</section><section class=related-links><h3>{2}</h3><a>{5}</a><a>{6}</a></section><div id=site-footer>{9}</div>
+<nav><a>{1}</a></nav><article><h1>*{5}</h1><p>*{3}<p>*{27} <a>{2}</a><p>*{64}<ol><li>*{4}<li>*{12}<li>*{3}</ol><p>*{18}</article><div class=comment-list><p>{31}<p>{14}</div>
+<form><input><div><h1>*{4}</h1><div>*{71}</div><div>*{58}</div></div></form><div class=cookieNotice>{22}</div>
+<ul class=menu><li><a>{1}</a><li><a>{2}</a></ul><h1>*{7}</h1><p>*{31}<p>*{44}<p>*{2}<div class=sponsored><p>{25}</div><div>{3} <a>{1}</a></div>
+<main><h1>*{3}</h1><p>*{8}<p>*{13}<aside><p>{33}</aside><p>*{21}</main><footer><p>{16} <a>{1}</a></footer>
+<div><a>{2}</a></div><div><a>{1}</a> <a>{2}</a></div><div>*{84}</div><div>*{47}</div><div>*{39}</div><div><a>{3}</a></div>
+"""
+
+
+def test_html_tree():
+    tree = html_text.grow(html_text.labelled_blocks())
+    learned, other = html_text.labelled_blocks(), html_text.labelled_blocks(OTHER_PAGES)
+    assert sum(html_text.is_main(tree, x) == bool(y) for x, y in learned) >= 0.98 * len(learned)
+    right = sum(html_text.is_main(tree, x) and y for x, y in other)
+    f1 = 2 * right / (sum(html_text.is_main(tree, x) for x, _ in other) + sum(y for _, y in other))
+    assert f1 >= 0.9, f1
+    # link density and neighbours decide
+    at = html_text.FEATURES.index
+    plain = dict.fromkeys(html_text.FEATURES, 0.0) | {"paragraph": 1.0, "words": 30.0, "words_before": 40.0, "words_after": 40.0}
+    main = lambda **x: html_text.is_main(tree, tuple((plain | x)[f] for f in html_text.FEATURES))
+    assert main() and not main(links=1.0, words=3.0, words_after=2.0, links_after=1.0)
+    assert main(words=3.0) and not main(words=3.0, words_before=2.0, words_after=2.0) and at("links") > at("words")
+    used = set()
+
+    def walk(t):
+        if isinstance(t, tuple):
+            used.add(html_text.FEATURES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert {"words", "links", "words_before", "words_after"} <= used
+
+
+def test_html_names_are_judged_whole():
+    tree = html_text.grow(html_text.labelled_blocks())
+    w = lambda n: " ".join(["word"] * n)
+    text = lambda h: html_text.main_text(h, tree)
+    assert text(f"<article><p>{w(30)}<p class='ad'>Buy now!</p><p class='comment'>Nice</p><p>{w(20)}</article>") == f"{w(30)}\n{w(20)}"
+    page = f"<article><div class='article-header'><h1>Title</h1></div><p>{w(30)}<section class='story-notice-list'><p>{w(6)}</section><p>{w(9)}</article>"
+    assert text(page) == f"Title\n{w(30)}\n{w(6)}\n{w(9)}"
+    assert text(f"<p>{w(50)}</p><p>{w(40)}</p><p>The end.</p>") == f"{w(50)}\n{w(40)}\nThe end."
+    for name in ("post-comments", "site-footer", "mainMenu", "cookie_banner"):
+        assert text(f"<article><p>{w(30)}<div class='{name}'><p>{w(25)}</div><p>{w(20)}</article>") == f"{w(30)}\n{w(20)}"
 
 
 def test_html_of_open_heads_and_empty_drawings():
