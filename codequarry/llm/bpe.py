@@ -6,7 +6,9 @@ encoding ends when the root holds no pair. ``merge_scalar`` does one long word,
 ``merge_batch`` many words of one tree size at once with array operations.
 
 Defined results: null text is the empty text; an empty text gives no ids and the empty string;
-repeated rows give repeated results; extra columns are left out by ``encode_decode``.
+empty tables give no rows; repeated rows give repeated results; of equal ranks the leftmost pair
+is merged; very long texts and words are read whole; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,39 @@ BATCH_SYMBOLS = 64
 #: Code points that the tokenizer's engine counts as white space.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 
+# What the tokenizer's engine has otherwise than Unicode 15.1. Letters and numbers
+# that its word pattern knows, pairs that its lower-casing knows (first, last, distance), and marks
+# that its composition takes for base characters.
+NEW_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+NEW_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+BASE_MARKS = "07fd 0898-089f 08ca-08d3 09fe 0c3c 0d3b-0d3c 0eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+
+
+def code_points(ranges: str) -> str:
+    """The inside of a character class of ranges in hexadecimal."""
+    return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in ranges.split())
+
+
+_lower = {c: c + step for first, last, step in NEW_CAPITALS for c in range(first, last + 1)}
+_capital = re.compile("[" + "".join(map(chr, _lower)) + "]")
+_base_mark = re.compile(f"([{code_points(BASE_MARKS)}])")
+_new_letter, _new_number = re.compile(f"[{code_points(NEW_LETTERS)}]"), re.compile(f"[{code_points(NEW_NUMBERS)}]")
+
+
+def composed(text: str) -> str:
+    """The engine's NFC."""
+    if _base_mark.search(text):
+        return "".join(unicodedata.normalize("NFC", x) for x in _base_mark.split(text))
+    return unicodedata.normalize("NFC", text)
+
+
+def kind_of(ch: str) -> str:
+    """A character of the class (letter, number, other) that the engine has ``ch`` in."""
+    if ch > "\u024f" and unicodedata.category(ch) == "Cn":
+        return "\u01bb" if _new_letter.match(ch) else "\u00b2" if _new_number.match(ch) else "\ufffe"
+    return ch
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte."""
@@ -112,7 +147,11 @@ class WordBpe:
     def chunks(self, text: str) -> list[str]:
         """NFC, lower case of each code point by itself, cut at white space: no word holds any,
         so that the tokenizer's replacement of white space by blanks changes nothing here."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = composed(text).replace("Σ", "σ")
+            text = text.translate(_lower).lower() if _capital.search(text) else text.lower()
         # str.split() would cut at these four too
         return self.space.split(text) if self.separators.search(text) else text.split()
 
@@ -250,8 +289,8 @@ class WordBpe:
 
     # -- texts -------------------------------------------------------------------------------
     def words(self, chunk: str) -> list[str]:
-        """Code points that this Python's Unicode tables don't know yet count as symbols."""
-        seen = "".join("\ufffe" if ch > "\u024f" and unicodedata.category(ch) == "Cn" else ch for ch in chunk)
+        """The words of a chunk by the engine's classes of characters."""
+        seen = "".join(map(kind_of, chunk))
         return [chunk[m.start() : m.end()] for m in self.word.finditer(seen)]
 
     def learn_chunks(self, chunks: list[str]) -> None:

@@ -61,6 +61,18 @@ def test_bpe_odd_texts(word_bpe, tokenizer):
         assert np.frombuffer(word_bpe.encode_batch([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_of_every_code_point(word_bpe, tokenizer):
+    marks = ["x\u0315", "x", "\U00011935"]
+    step = 2_000
+    for at in range(0, 0x110000, step):
+        every = [chr(c) for c in range(at, at + step) if c < 0x110000 and not 0xD800 <= c < 0xE000]
+        text = " ".join(f"{x} b{x}c{x}{x}1" for x in every)
+        assert np.frombuffer(word_bpe.encode_batch([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(at)
+        if at < 0x20000:
+            text = " ".join(m + x + "\u0327" for x in every for m in marks)
+            assert np.frombuffer(word_bpe.encode_batch([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, hex(at)
+
+
 def test_scalar_and_batch_trees_agree(word_bpe):
     r = random.Random(1)
     words = ["".join(r.choices("abcdethinosr", k=r.randint(1, 64))) for _ in range(300)]
@@ -76,6 +88,9 @@ def test_bpe_rows(spark, word_bpe):
     assert [r.n_tokens for r in rows] == [0, 0, 2, 2] and rows[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert bpe.encode_decode(d, path()).where("doc_id = 2").first().decoded == "the</w> cat</w>"
     assert bpe.digests(docs(spark, []), path()).count() == 0
+    long = "word Other " * 60_000 + "y" * 20_000
+    out = bpe.encode_decode(docs(spark, [long]), path()).first()
+    assert out.decoded == word_bpe.decode(word_bpe.encode_batch([long])[0]) and len(out.ids) > 120_000
 
 
 # -- 2 ---------------------------------------------------------------------------------------
