@@ -6,10 +6,12 @@ document are looked up in a broadcast hash table of benchmark windows, every hit
 against the words, and the words inside hits are counted, or removed together with the text
 between them, or the document is dropped.
 
-A benchmark of more than BROADCAST_WINDOWS windows is dealt by hash into slices below that
-bound, each broadcast in its own pass. A document's hits meet in one group, bounded by its
-length. Defined results: null texts have no words; items without words have no window; rows
-repeated with the same id and text give the same result each; a null item_id is not listed.
+Benchmark windows of more than BROADCAST_BYTES are dealt by hash into slices of about that size,
+each broadcast in its own pass. A document's hits meet in one group, bounded by its length.
+Defined results: null texts have no words; items without words have no window; rows repeated with
+the same id and text give the same result each; a null item_id is not listed; empty tables give no
+rows, an empty benchmark no hits; very long texts are read whole; other columns are left out by
+``report`` and kept by ``remove_spans`` and ``drop_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 WINDOW = 10
-BROADCAST_WINDOWS = 1_000_000
-BROADCAST_WORDS = 4_000_000
+#: Bytes of the benchmark's windows that are broadcast at once.
+BROADCAST_BYTES = 48_000_000
+BROADCAST_NUMBERS = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -48,8 +51,8 @@ def hits(documents: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_
     """One row per distinct (id, text): id, text_hash, n_rows, n_words, spans (array of
     start, size in words, distinct) and items (sorted item ids as strings)."""
     sizes = [r[0] for r in windows.select("size").distinct().orderBy("size").collect()]  # WINDOW values at most
-    n = windows.count()
-    slices = max(1, -(-n // BROADCAST_WINDOWS))
+    size = windows.agg(F.coalesce(F.sum(F.octet_length(F.array_join("window", "")) + 24 * F.col("size") + 64), F.lit(0))).first()[0]
+    slices = max(1, -(-size // BROADCAST_BYTES))
     lookup = windows.select("item_id", F.col("size").alias("w_size"), "window", "hash")
     docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
 
@@ -109,43 +112,48 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The documents without the contaminated passages, all columns kept: from the first to the
     last character of each run of hit words. Texts without a hit stay as they are."""
+    own_id, own_hash, key, new, first, last = (fresh(documents, x) for x in ("hit_id", "hit_hash", "text_hash", "new_text", "run_first", "run_last"))
     found = hits(documents, benchmark_windows(benchmark), id_col, text_col).where(F.size("spans") > 0)
-    runs = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.sort_array(hit_positions(F.col("spans"))).alias("__hit"))
-    keyed = documents.withColumn("__hash", F.xxhash64(text_col))
-    runs = materialize(runs, "hits")
-    # the runs of hit words: 4 bytes a word, broadcast up to BROADCAST_WORDS
-    few = runs.agg(F.coalesce(F.sum(F.size("__hit") + 8), F.lit(0))).first()[0] <= BROADCAST_WORDS
+    found = found.select("doc_id", "text_hash", F.sort_array(hit_positions(F.col("spans"))).alias("hit"))
+    # a run begins where the word before is not hit, and ends where the next one is not
+    begins = F.filter("hit", lambda x, i: F.coalesce(F.get("hit", i - 1) != x - 1, F.lit(True)))
+    ends = F.filter("hit", lambda x, i: F.coalesce(F.get("hit", i + 1) != x + 1, F.lit(True)))
+    runs = materialize(found.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), begins.alias(first), ends.alias(last)), "hits")
+    # 4 bytes a number, broadcast up to BROADCAST_NUMBERS
+    few = runs.agg(F.coalesce(F.sum(2 * F.size(first) + 16), F.lit(0))).first()[0] <= BROADCAST_NUMBERS
     runs = F.broadcast(runs) if few else runs
-    joined = keyed.join(runs, keyed[id_col].eqNullSafe(runs["__id"]) & (keyed["__hash"] == runs["__hash"]), "left").drop(runs["__hash"])
+    joined = documents.withColumn(key, F.xxhash64(text_col)).join(runs, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_hash)), "left")
 
-    def cut(text: Column, hit: Column) -> Column:
-        # odd pieces are words: split at every border between word and separator
+    def cut(text: Column) -> Column:
+        # words and what is between them, in turns
         parts = F.regexp_extract_all(text, F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
 
-        def drop(p: Column) -> Column:
+        def keep(p: Column) -> Column:
             lead = F.when(F.element_at(p, 1).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
-            nth = lambda i: F.floor((i - lead) / 2) + 1  # noqa: E731  the word at or before piece i (from 0)
-            is_word = lambda i: (i - lead) % 2 == 0
-            return F.array_join(
-                F.filter(p, lambda x, i: ~F.when(is_word(i), F.array_contains(hit, nth(i).cast("int"))).otherwise((i > 0) & F.array_contains(hit, nth(i).cast("int")) & F.array_contains(hit, (nth(i) + 1).cast("int")))), ""
-            )
+            piece = lambda word: lead + 2 * word - 1  # noqa: E731  where a word stands, both from 1
+
+            def gap(k: Column) -> Column:  # what stays before run k, or behind the last one
+                start = F.coalesce(piece(F.get(last, k - 1)) + 1, F.lit(1))
+                return F.slice(p, start, F.coalesce(piece(F.get(first, k)), F.size(p) + 1) - start)
+
+            return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(first)), gap)), "")
 
-        return _once(parts, drop)
+        return _once(parts, keep)
 
-    text = F.when(F.col("__hit").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__hit")))
-    out = joined.withColumn("__new", text)
+    hit = F.col(own_hash).isNotNull()
+    out = joined.withColumn(new, F.when(hit, cut(F.col(text_col))).otherwise(F.col(text_col)))
     if length_col in documents.columns:
-        changed = F.when(F.col("__hit").isNull(), F.col(length_col)).otherwise(F.length("__new").cast(documents.schema[length_col].dataType))
-        out = out.withColumn(length_col, changed)
-    return out.withColumn(text_col, F.col("__new")).select(*documents.columns)
+        out = out.withColumn(length_col, F.when(hit, F.length(new).cast(documents.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.withColumn(text_col, F.col(new)).select(*documents.columns)
 
 
 def drop_documents(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.0) -> DataFrame:
     """The documents of which no more than ``least_share`` of the words is hit."""
+    own_id, own_hash, key = (fresh(documents, x) for x in ("hit_id", "hit_hash", "text_hash"))
     found = hits(documents, benchmark_windows(benchmark), id_col, text_col).where(F.size(hit_positions(F.col("spans"))) > F.lit(least_share) * F.col("n_words"))
-    bad = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    keyed = documents.withColumn("__h", F.xxhash64(text_col))
-    return keyed.join(bad, keyed[id_col].eqNullSafe(bad["__id"]) & (keyed["__h"] == bad["__hash"]), "left_anti").drop("__h")
+    bad = found.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash))
+    keyed = documents.withColumn(key, F.xxhash64(text_col))
+    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_hash)), "left_anti").drop(key)
 
 
 ORACLE = r"""

@@ -11,7 +11,9 @@ The field is fitted by gradient steps on the exact log-likelihood of SENTENCES s
 rule from a seed, so it needs no data of the corpus.
 
 Defined results: null is the empty text and has no spans; rows repeated give repeated results;
-extra columns are left out by ``report`` and kept by ``redact``.
+empty tables give no rows; very long texts are read whole; of equally good segmentations the one
+found first, with fewer entities, is taken; other columns are left out by ``report`` and kept by
+``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import hashlib
 import math
 import random
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,10 @@ from .common import map_batches
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 18
 SENTENCES = 240
-#: An added span's segment must beat the same tokens outside any entity by this log-odds.
+#: What each added span costs the score of a segmentation.
 MARGIN = 1.0
 
 _email_domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_email_local = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 #: No match can begin inside a run of digits where it doesn't begin at the run's first digit.
 _ip = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -131,33 +133,39 @@ def span_features(text: str, start: int, end: int, before: str, n_tokens: int) -
 
 
 class Stretch:
-    """Tokens of one stretch with the features of all segments that can be entities."""
+    """Tokens of one stretch; the features of the segments that can be entities are made as they
+    are needed, so that a stretch of any length takes little memory."""
 
     def __init__(self, text: str, tokens: list[tuple[int, int]], before: str = "") -> None:
-        self.tokens = tokens
-        self.segments: list[list[tuple[int, np.ndarray]]] = []  # by last token: first token, features
-        words = [before, *(text[a:b].lower() for a, b in tokens)]
-        cue = [""]
-        for w in words:
-            cue.append(w if w.isalpha() else cue[-1])
-        for j, (_, end) in enumerate(tokens):
-            found = []
-            for i in range(max(0, j + 1 - MAX_TOKENS), j + 1):
-                f = span_features(text, tokens[i][0], end, cue[i + 1], j + 1 - i)
-                if f is not None:
-                    found.append((i, f))
-            self.segments.append(found)
+        self.text, self.tokens = text, tokens
+        self.cue = [""]
+        for w in (before, *(text[a:b].lower() for a, b in tokens)):
+            self.cue.append(w if w.isalpha() else self.cue[-1])
+
+    def ending(self, j: int) -> list[tuple[int, np.ndarray]]:
+        """First token and features of the segments that end with token j."""
+        out = []
+        for i in range(max(0, j + 1 - MAX_TOKENS), j + 1):
+            f = span_features(self.text, self.tokens[i][0], self.tokens[j][1], self.cue[i + 1], j + 1 - i)
+            if f is not None:
+                out.append((i, f))
+        return out
+
+    @cached_property
+    def segments(self) -> list[list[tuple[int, np.ndarray]]]:
+        return [self.ending(j) for j in range(len(self.tokens))]
 
     def best(self, w: np.ndarray) -> list[tuple[int, int, int]]:
-        """(first token, last token, kind) of the entities of the best segmentation."""
+        """(first token, last token, kind) of the entities of the best segmentation; of equal ones
+        the one with fewer, later entities."""
         n = len(self.tokens)
         score, back = [0.0] * (n + 1), [None] * (n + 1)
         for j in range(n):
             score[j + 1] = score[j]
-            for i, f in self.segments[j]:
-                s = w @ f
+            for i, f in self.ending(j):
+                s = w @ f - MARGIN
                 k = int(np.argmax(s))
-                if s[k] > MARGIN and score[i] + s[k] > score[j + 1]:
+                if score[i] + s[k] > score[j + 1]:
                     score[j + 1], back[j + 1] = score[i] + s[k], (i, k)
         out, j = [], n
         while j:
@@ -285,12 +293,19 @@ def all_spans(text: str | None, w: np.ndarray) -> tuple[list[tuple[str, int, int
     base = base_spans(text)
     if not _digit.search(text) and "@" not in text and not _trigger.search(text):
         return base, base
-    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [], []  # what base spans cover
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(b)
     added = []
     for tokens, before in stretches(text):
         for i, j, k in Stretch(text, tokens, before).best(w):
             a, b = tokens[i][0], tokens[j][1]
-            if not any(x < b and a < y for x, y in taken):
+            at = bisect_left(starts, b)
+            if not at or ends[at - 1] <= a:
                 added.append((KINDS[k], a, b))
     if not added:
         return base, base
@@ -302,23 +317,24 @@ def _line(spans: list[tuple[str, int, int]]) -> str:
 
 
 def report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digest of the base spans, and all spans, of every row."""
+    """Counts and digest of the base spans, all spans and their number, of every row."""
     kind = documents.schema[id_col].dataType.simpleString()
     fitted = documents.sparkSession.sparkContext.broadcast(weights())
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         w = fitted.value
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
-        digest, line = [], []
+        digest, line, n = [], [], []
         for text in batch.column(1):
             base, every = all_spans(text.as_py(), w)
             for k in KINDS:
                 counts[k].append(sum(s[0] == k for s in base))
             digest.append(hashlib.sha256(_line(base).encode()).hexdigest())
             line.append(_line(every))
-        return pa.table({id_col: batch.column(0), **{f"n_{k}": pa.array(v, pa.int64()) for k, v in counts.items()}, "base_sha256": digest, "spans": pa.array(line, pa.string())})
+            n.append(len(every))
+        return pa.table({id_col: batch.column(0), **{f"n_{k}": pa.array(v, pa.int64()) for k, v in counts.items()}, "base_sha256": digest, "spans": pa.array(line, pa.string()), "n_spans": pa.array(n, pa.int64())})
 
-    return map_batches(documents.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return map_batches(documents.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long")
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:

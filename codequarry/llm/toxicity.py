@@ -4,24 +4,25 @@ Texts are folded (case, accents, homoglyphs, digits and signs standing for lette
 Aho-Corasick automaton finds lexicon entries at word starts, matches inside exception phrases
 do not count, and the weighted sum, normalised by length, goes through a logistic curve.
 
-The lexicon and the curve are learned from labelled texts: at most SAMPLE_ROWS of them, taken by
-the hash of the id, distinct texts only. Entries are whole folded words and word beginnings
+The lexicon and the curve are learned from labelled texts: about SAMPLE_ROWS of them at most, taken
+by the hash of the id, distinct texts only, counted on the executors. Entries are whole folded words and word beginnings
 that occur in toxic texts far more often than in others; their weights are log-odds from one
-half of the sample, the curve is fitted on the other half. Exception phrases (an entry with its
+half of the sample, the curve is fitted on the other half; the MOST_ENTRIES strongest entries are
+kept, and sums above MOST_WEIGHT count as that. Exception phrases (an entry with its
 next or previous word) are those seen in clean texts only.
 
 Defined results: null is the empty text; an empty text scores the curve at no match; rows
 without label, or with a label other than 0 and 1, teach nothing; without any usable labels the
-score is DEFAULT_SCORE; repeated rows score alike.
+score is DEFAULT_SCORE; repeated rows score alike; a label of 1 wins over one of 0 for the same id
+or text; empty tables give no rows; very long texts are read whole; other columns are left out by
+``score`` and kept by ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches
+from .common import crc_mod, drop_scratch, map_batches, materialize
 
 #: Labelled texts that teach the lexicon and the curve, at most.
 SAMPLE_ROWS = 20_000
@@ -39,6 +40,8 @@ LEAST_LOG_ODDS = 2.0
 MOST_ENTRIES = 2_000
 STEM_LENGTHS = (5, 6)
 DEFAULT_SCORE = 0.0
+#: Sums of weights count up to this much.
+MOST_WEIGHT = 40.0
 CUT = 0.7
 
 # Letters that look like a Latin one, and digits and signs used in place of letters.
@@ -48,7 +51,6 @@ HOMOGLYPHS = str.maketrans(
 )
 DIGITS = str.maketrans("013457@$!|", "oieastasil")
 
-_word = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _spelled = re.compile(r"(?<=[^\W\d_])[0-9@$!|]|[0-9@$!|](?=[^\W\d_])")
 
 
@@ -122,7 +124,7 @@ class Lexicon:
 
     def score(self, text: str | None, found: ahocorasick.Automaton) -> float:
         a, b = self.features(text or "", found)
-        z = self.curve[0] + self.curve[1] * min(a, 40.0) + self.curve[2] * min(b, 40.0)
+        z = self.curve[0] + self.curve[1] * min(a, MOST_WEIGHT) + self.curve[2] * min(b, MOST_WEIGHT)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -138,36 +140,58 @@ def units(words: list[str]) -> set[tuple[str, bool]]:
     return out
 
 
-def learn(rows: list[tuple[str, int]]) -> Lexicon:
-    """From distinct texts with labels 0 and 1, in a fixed order."""
-    first, second = rows[::2], rows[1::2]
-    bad = [t for t, y in first if y]
-    clean = [t for t, y in first if not y]
-    if not bad or not clean:
-        return Lexicon(curve=(-40.0, 0.0, 0.0))
-    seen = Counter(u for t in bad for u in units(folded_words(t)))
-    seen = {u: n for u, n in seen.items() if n >= LEAST_TOXIC_TEXTS}
-    other: Counter = Counter()
-    for t in clean:
-        other.update(u for u in units(folded_words(t)) if u in seen)
-    odds = {u: math.log((n + 0.5) / (len(bad) + 1)) - math.log((other[u] + 0.5) / (len(clean) + 1)) for u, n in seen.items()}
-    kept = sorted(((w, seen[u], u) for u, w in odds.items() if w >= LEAST_LOG_ODDS), key=lambda x: (-x[0] * x[1], x[2]))[:MOST_ENTRIES]
+def learn(rows: DataFrame) -> Lexicon:
+    """From distinct texts ``t`` with labels ``y`` of 0 and 1 and a side: 0 gives entries, weights
+    and exceptions, 1 the curve. Texts are counted where they are; what comes back are
+    MOST_ENTRIES entries, the exceptions next to them, and three numbers a text of side 1."""
     lex = Lexicon()
-    for weight, _, (entry, is_word) in kept:
-        if is_word:
-            lex.words[entry] = weight
-        elif not any((entry_w := w).startswith(entry) and seen[(entry_w, True)] * 2 > seen[(entry, False)] for w in lex.words):
-            lex.stems[entry] = weight
-    near: dict[bool, Counter] = {False: Counter(), True: Counter()}
-    for t, y in first:
-        words = folded_words(t)
-        near[bool(y)].update({p for p in zip(words, words[1:], strict=False) if p[0] in lex.words or p[1] in lex.words})
-    lex.exceptions = {p for p, n in near[False].items() if n >= 3 and not near[True][p]}
-    found = lex.automaton()
-    x = np.array([(1.0, *(min(v, 40.0) for v in lex.features(t, found))) for t, _ in second])
-    y = np.array([float(v) for _, v in second])
-    if len(second) and 0 < y.sum() < len(y):
-        lex.curve = fit_curve(x, y)
+    n = {r["y"]: r["n"] for r in rows.where("side = 0").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_clean = n.get(1, 0), n.get(0, 0)
+    if not n_bad or not n_clean:
+        return Lexicon(curve=(-40.0, 0.0, 0.0))
+
+    def counted(batch: pa.RecordBatch) -> pa.Table:
+        seen: dict[tuple[str, bool], list[int]] = {}
+        for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for u in units(folded_words(t.as_py())):
+                seen.setdefault(u, [0, 0])[y] += 1
+        return pa.table({"entry": pa.array([e for e, _ in seen], pa.string()), "is_word": pa.array([w for _, w in seen], pa.bool_()), "clean": pa.array([c for c, _ in seen.values()], pa.int64()), "bad": pa.array([b for _, b in seen.values()], pa.int64())})
+
+    each = map_batches(rows.where("side = 0").select("t", "y"), counted, "entry string, is_word boolean, clean long, bad long", 500)
+    total = each.groupBy("entry", "is_word").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where(F.col("bad") >= LEAST_TOXIC_TEXTS)
+    odds = F.log((F.col("bad") + 0.5) / F.lit(n_bad + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
+    kept = total.withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc(F.col("odds") * F.col("bad")), "entry", "is_word").limit(MOST_ENTRIES).collect()
+    seen = {(r["entry"], r["is_word"]): r["bad"] for r in kept}
+    for r in kept:
+        if r["is_word"]:
+            lex.words[r["entry"]] = r["odds"]
+        elif not any(w.startswith(r["entry"]) and 2 * seen[w, True] > r["bad"] for w in lex.words):
+            lex.stems[r["entry"]] = r["odds"]
+    shared = rows.sparkSession.sparkContext.broadcast(lex)
+
+    def beside(batch: pa.RecordBatch) -> pa.Table:
+        entries, found = shared.value.words, {}
+        for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words = folded_words(t.as_py())
+            for p in zip(words, words[1:], strict=False):
+                if p[0] in entries or p[1] in entries:
+                    found.setdefault(p, [0, 0])[y] += 1
+        return pa.table({"a": pa.array([a for a, _ in found], pa.string()), "b": pa.array([b for _, b in found], pa.string()), "clean": pa.array([c for c, _ in found.values()], pa.int64()), "bad": pa.array([b for _, b in found.values()], pa.int64())})
+
+    pairs = map_batches(rows.where("side = 0").select("t", "y"), beside, "a string, b string, clean long, bad long", 500).groupBy("a", "b").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
+    lex.exceptions = {(r["a"], r["b"]) for r in pairs.where((F.col("clean") >= 3) & (F.col("bad") == 0)).collect()}
+    complete = rows.sparkSession.sparkContext.broadcast(lex)
+
+    def described(batch: pa.RecordBatch) -> pa.Table:
+        own = complete.value
+        found = own.automaton()
+        x = [own.features(t.as_py(), found) for t in batch.column(0)]
+        return pa.table({"y": batch.column(1), "a": pa.array([a for a, _ in x], pa.float64()), "b": pa.array([b for _, b in x], pa.float64())})
+
+    x = map_batches(rows.where("side = 1").select("t", "y"), described, "y int, a double, b double", 2_000).orderBy("y", "a", "b").toArrow()
+    y = np.asarray(x["y"], float)
+    if len(y) and 0 < y.sum() < len(y):
+        lex.curve = fit_curve(np.stack([np.ones(len(y)), *(np.minimum(np.asarray(x[k], float), MOST_WEIGHT) for k in "ab")], axis=1), y)
     return lex
 
 
@@ -187,14 +211,21 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(documents: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """``keep``: a condition on the id column that training rows fulfil."""
     own = labels.where(F.col(label_col).isin(0, 1))
-    own = (own.where(keep) if keep is not None else own).groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    # the ids are drawn by hash before any text is moved; SAMPLE_ROWS of them are broadcast
-    ids = own.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
-    rows = documents.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(F.broadcast(ids), id_col)
-    texts: dict[str, int] = {}
-    for r in rows.select("__t", "__y").toLocalIterator():
-        texts[r["__t"]] = max(int(r["__y"]), texts.get(r["__t"], 0))
-    return learn(sorted(texts.items(), key=lambda x: hashlib.sha256(x[0].encode("utf-8", "surrogatepass")).digest()))
+    own = (own.where(keep) if keep is not None else own).groupBy(F.col(id_col).alias("own_id")).agg(F.max(label_col).cast("int").alias("y"))
+    # the ids are drawn by hash before any text is moved; SAMPLE_ROWS of them, about, are broadcast
+    share = min(1.0, SAMPLE_ROWS / max(1, own.count()))
+    ids = own.where(F.pmod(F.xxhash64("own_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    texts = documents.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), F.col("doc") == F.col("own_id"))
+    sample = materialize(texts.select("doc", "t", "y", F.sha2("t", 256).alias("digest")), "labelled")
+    # a text counts once, and as toxic if it is so anywhere
+    once = sample.groupBy("digest").agg(F.max("y").alias("y"), F.min("doc").alias("doc"))
+    side = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % 2
+    rows = sample.drop("y").join(F.broadcast(once), ["digest", "doc"]).dropDuplicates(["digest"]).select("t", "y", side.alias("side"))
+    rows = materialize(rows, "sample")
+    out = learn(rows)
+    drop_scratch(sample)
+    drop_scratch(rows)
+    return out
 
 
 def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
