@@ -94,3 +94,8 @@ def drop_scratch(df: DataFrame) -> None:
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, also inside lambda functions."""
+    return F.element_at(F.transform(F.array(value), use), 1)

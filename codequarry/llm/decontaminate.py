@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, once
 
 WINDOW = 10
 #: Bytes of the benchmark's windows that are broadcast at once.
@@ -35,11 +35,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), "")
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once a row, also inside lambda functions."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id, size, hash, window (array of words) of every distinct benchmark window."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.explode(F.array(words(F.col(text_col)))).alias("w")).where(F.size("w") > 0)
@@ -63,7 +58,7 @@ def hits(documents: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_
     def hashes(w: Column) -> Column:
         return F.concat(F.array(F.lit(0).cast("bigint")), *(of_size(w, s) for s in sizes))
 
-    scan = docs.select("doc_id", "text_hash", "w", F.posexplode(_once(F.col("w"), hashes)).alias("k", "hash"))
+    scan = docs.select("doc_id", "text_hash", "w", F.posexplode(once(F.col("w"), hashes)).alias("k", "hash"))
     # where window k starts and how long it is: windows are listed by size
     start, size, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
     for s in sizes:
@@ -138,7 +133,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
             return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(first)), gap)), "")
 
-        return _once(parts, keep)
+        return once(parts, keep)
 
     hit = F.col(own_hash).isNotNull()
     out = joined.withColumn(new, F.when(hit, cut(F.col(text_col))).otherwise(F.col(text_col)))
