@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry import schema as S
+from codequarry.functions.scalars import matches
 from codequarry.operators.search import first_by
 from codequarry.plans.scratch import cut
 
@@ -38,9 +39,9 @@ def callees(edges: DataFrame, name: str, usr_id: int, variant: str | None = None
 
 
 def by_name(edges: DataFrame, name: str, direction: str, usr_id: int | None = None) -> DataFrame:
-    """The command line's call graph: by name, rows without ids included and shown as 0."""
+    """The command line's call graph: by name or pattern, rows without ids included and shown as 0."""
     end = "callee" if direction == "callers" else "caller"
-    out = edges.where(F.col(end) == name)
+    out = edges.where(matches(F.col(end), name))
     out = out.where(F.col(f"{end}_id") == usr_id) if usr_id is not None else out
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("caller_id", "callee_id")}
     return out.withColumns(zero).orderBy("variant", "caller", "callee", "path", "line", "col")
@@ -144,5 +145,5 @@ def points_to(direct: DataFrame, copies: DataFrame) -> DataFrame:
     while not fresh.isEmpty():
         step = copies.join(fresh.withColumnRenamed("pointer", "source"), "source").select("pointer", "target").distinct()
         fresh = cut(step.join(found, ["pointer", "target"], "left_anti"), "points-to")
-        found = cut(found.unionByName(fresh), "points-to")
+        found = found.unionByName(fresh)  # each round's table is read again, and written once
     return found

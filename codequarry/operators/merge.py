@@ -63,9 +63,10 @@ def upserted_files(files: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def merged_rows(base: DataFrame, staged: DataFrame, replaced: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Base rows but those of replaced files, and staged rows whose key is not among them."""
+    """Base rows but those of replaced files, and staged rows whose key is not among them. Of staged
+    rows with one key the first by ``order`` stays, which without one is that of all other columns."""
     kept = base.join(replaced.select(*FILE_KEY), FILE_KEY, "left_anti")
-    fresh = keep_first(staged, key, order or list(key)).select(*base.columns)
+    fresh = keep_first(staged, key, order or sorted(c for c in staged.columns if c not in key)).select(*base.columns)
     return kept.select(*base.columns).unionByName(fresh.join(kept.select(*key), list(key), "left_anti"))
 
 

@@ -79,7 +79,7 @@ def query(
     return (out.limit(limit) if limit else out).select(*S.RECORD_COLUMNS)
 
 
-def identity(records: DataFrame, variant: str, symbol: str, usr_id: int, kind: int, record: str = "all", **page: Any) -> DataFrame:
+def identity(records: DataFrame, variant: str, symbol: str, usr_id: int, kind: int | None = None, record: str = "all", **page: Any) -> DataFrame:
     if not (variant and symbol and usr_id):
         raise ValueError("variant, symbol and id are needed")
     exact = records.where((F.col("variant") == variant) & (F.col("symbol") == symbol))
@@ -96,9 +96,10 @@ def covers(column: Column) -> Column:
     return column.between(F.col("col"), F.col("col") + F.octet_length(leaf_name(F.col("symbol"))) - 1)
 
 
-def at_position(records: DataFrame, path: str, line: int, column: int, variant: str | None = None) -> DataFrame:
-    """Records whose leaf name covers the position; later starts first."""
-    out = records.where((F.col("path") == path) & (F.col("line") == line) & (F.col("col") <= column))
+def at_position(records: DataFrame, path: str | None, line: int, column: int, variant: str | None = None) -> DataFrame:
+    """Records whose leaf name covers the position, in one file or in any; later starts first."""
+    out = records.where((F.col("line") == line) & (F.col("col") <= column))
+    out = out.where(F.col("path") == path) if path is not None else out
     out = out.where(F.col("variant") == variant) if variant is not None else out
     return out.where(covers(F.lit(column))).orderBy(F.desc("col"), "record", *S.RECORD_ORDER)
 
@@ -159,17 +160,32 @@ def highlights(records: DataFrame) -> DataFrame:
     return records.groupBy("path", "line", "col").agg(F.max(kind).alias("highlight"))
 
 
-def symbol_types(types: DataFrame, variant: str, symbol: str, kind: int, usr_id: int, cursor: dict | None = None, limit: int = 0) -> DataFrame:
-    order = ["path", "declared_type", "canonical_type", "type_symbol", "type_kind", "type_usr_id"]
-    out = types.where((F.col("variant") == variant) & (F.col("symbol") == symbol) & (F.col("kind") == kind) & (F.col("usr_id") == usr_id))
-    out = out.where(after(out, order, cursor)) if cursor else out
-    out = out.orderBy(*order)
+def list_variants(variants: DataFrame) -> DataFrame:
+    return variants.select("name", "git_commit", "repository_root").orderBy("name")
+
+
+def find_files(files: DataFrame, path: str, variant: str | None = None) -> DataFrame:
+    """Stored files by path or pattern."""
+    out = files.where(matches(F.col("path"), path))
+    return (out.where(F.col("variant") == variant) if variant is not None else out).orderBy("variant", "path")
+
+
+def _types(types: DataFrame, order: list[str], rest: list[str], equal: dict[str, Any], cursor: dict | None, limit: int) -> DataFrame:
+    out = types
+    for column, value in equal.items():
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    out = out.where(after(out, [c for c in order if c in cursor], cursor)) if cursor else out
+    out = out.orderBy(*order, *rest)
     return out.limit(limit) if limit else out
 
 
-def function_types(types: DataFrame, variant: str, symbol: str, usr_id: int, cursor: dict | None = None, limit: int = 0) -> DataFrame:
+def symbol_types(types: DataFrame, variant: str, symbol: str | None = None, kind: int | None = None, usr_id: int | None = None, cursor: dict | None = None, limit: int = 0) -> DataFrame:
+    """Declared types in their order, behind a cursor of the order's first columns."""
+    order = ["path", "declared_type", "canonical_type", "type_symbol", "type_kind", "type_usr_id"]
+    return _types(types, order, ["symbol", "kind", "usr_id"], {"variant": variant, "symbol": symbol, "kind": kind, "usr_id": usr_id}, cursor, limit)
+
+
+def function_types(types: DataFrame, variant: str, symbol: str | None = None, usr_id: int | None = None, cursor: dict | None = None, limit: int = 0) -> DataFrame:
     order = ["position", "path", "name", "declared_type", "canonical_type", "variadic"]
-    out = types.where((F.col("variant") == variant) & (F.col("symbol") == symbol) & (F.col("usr_id") == usr_id))
-    out = out.where(after(out, order, cursor)) if cursor else out
-    out = out.orderBy(*order)
-    return out.limit(limit) if limit else out
+    return _types(types, order, ["symbol", "usr_id"], {"variant": variant, "symbol": symbol, "usr_id": usr_id}, cursor, limit)

@@ -11,6 +11,7 @@ from codequarry import schema as S
 from codequarry.functions import scalars as fn
 from codequarry.operators import calls, merge, search
 from codequarry.plans.views import frame, with_views
+from codequarry.sources import documents
 from codequarry.sources import text as source
 from codequarry.sources import trace
 
@@ -58,7 +59,7 @@ records("filter_definitions", "record = 0 AND action <> 0", record="definition")
 records("filter_declarations", "record = 0 AND action = 0", record="declaration")
 records("filter_references", "record = 1", record="reference")
 records("filter_mode_any", "record = 1 AND mode & 9 <> 0", mode=9)
-records("filter_mode_none", "record = 1 AND mode = 0", mode=0)
+add("filter_mode_none", "v_rec", f"SELECT {COLS} FROM (SELECT * REPLACE (mode & 3 AS mode) FROM v_rec) WHERE record = 1 AND mode = 0", lambda r: search.query(r.withColumn("mode", F.col("mode").bitwiseAND(F.lit(3))), mode=0))
 records("filter_kind", "kind = 3", kind=3)
 records("filter_usr", "usr_id = 42", usr_id=42)
 records("filter_local", "local = 1", local=1)
@@ -75,9 +76,8 @@ IDENTITY = "variant = 'general' AND symbol = (SELECT min(symbol) FROM v_rec WHER
 
 def _identity(record: str) -> Callable[[DataFrame], DataFrame]:
     def plan(r: DataFrame) -> DataFrame:
-        name = r.where("usr_id = 42").agg(F.min("symbol").alias("symbol"))
-        own = r.where("variant = 'general' AND usr_id = 42").join(F.broadcast(name), "symbol")
-        return own.where(search.record_filter(record)).select(*S.RECORD_COLUMNS)
+        name = r.where("usr_id = 42").agg(F.min("symbol")).first()[0]
+        return search.identity(r, "general", name, 42, record=record) if name else r.limit(0).select(*S.RECORD_COLUMNS)
 
     return plan
 
@@ -88,32 +88,16 @@ add(
     "position_lookup",
     "v_rec",
     f"SELECT {COLS} FROM v_rec WHERE line = 100 AND col <= 30 AND 30 BETWEEN col AND col + strlen({LEAF}) - 1",
-    lambda r: r.where((F.col("line") == 100) & (F.col("col") <= 30) & search.covers(F.lit(30))).select(*S.RECORD_COLUMNS),
+    lambda r: search.at_position(r, None, 100, 30).select(*S.RECORD_COLUMNS),
 )
-POSITIONS = "SELECT DISTINCT variant, path, line, col + 2 AS at FROM v_rec WHERE usr_id % 10 = 3"
 add(
     "position_lookup_batch",
     "v_rec",
-    f"SELECT v.variant, v.path, v.line, p.at, v.symbol, v.record, v.action, v.kind, v.mode, v.col FROM v_rec v JOIN ({POSITIONS}) p ON v.variant = p.variant AND v.path = p.path AND v.line = p.line WHERE p.at BETWEEN v.col AND v.col + strlen(list_last(string_split(v.symbol, '.'))) - 1",
-    lambda r: search.at_positions(r, r.where("usr_id % 10 = 3").select("variant", "path", "line", (F.col("col") + 2).alias("at")).distinct()).select("variant", "path", "line", "at", "symbol", "record", "action", "kind", "mode", "col"),
-)
-add(
-    "position_dedup_identity",
-    "v_rec",
-    f"""SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY variant, symbol, kind, coalesce(usr_id, 0),
-        CASE WHEN coalesce(usr_id, 0) = 0 THEN path END, CASE WHEN coalesce(usr_id, 0) = 0 THEN context END, CASE WHEN coalesce(usr_id, 0) = 0 THEN local END
-        ORDER BY col DESC, record, {ORDER}) AS n FROM v_rec WHERE line < 40) WHERE n = 1""",
-    lambda r: search.first_by(r.where("line < 40"), search.identity_key(), [F.desc("col"), F.col("record"), *(F.col(c) for c in S.RECORD_ORDER)]).select(*S.RECORD_COLUMNS),
-)
-#: The batch and the identity of all records; the two before take those of some ids and lines.
-add(
-    "position_lookup_batch_all",
-    "v_rec",
     "SELECT v.variant, v.path, v.line, p.at, v.symbol, v.record, v.action, v.kind, v.mode, v.col FROM v_rec v JOIN (SELECT DISTINCT variant, path, line, col + 2 AS at FROM v_rec) p ON v.variant = p.variant AND v.path = p.path AND v.line = p.line WHERE p.at BETWEEN v.col AND v.col + strlen(list_last(string_split(v.symbol, '.'))) - 1",
     lambda r: search.at_positions(r, r.select("variant", "path", "line", (F.col("col") + 2).alias("at")).distinct()).select("variant", "path", "line", "at", "symbol", "record", "action", "kind", "mode", "col"),
 )
 add(
-    "position_dedup_identity_all",
+    "position_dedup_identity",
     "v_rec",
     f"""SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY variant, symbol, kind, coalesce(usr_id, 0),
         CASE WHEN coalesce(usr_id, 0) = 0 THEN path END, CASE WHEN coalesce(usr_id, 0) = 0 THEN context END, CASE WHEN coalesce(usr_id, 0) = 0 THEN local END
@@ -123,16 +107,34 @@ add(
 add(
     "lsp_references",
     "v_rec",
-    f"SELECT {COLS} FROM (SELECT {COLS} FROM v_rec WHERE path NOT LIKE 'src/d3/%' UNION ALL SELECT variant, path, line + 1, col, record, action, kind, symbol, context, mode, usr_id, context_usr_id, local FROM v_rec WHERE path LIKE 'src/d3/%' AND line < 200) WHERE symbol LIKE 'Brand_1.%' AND kind = 5 AND local = 0 AND record = 1",
+    f"SELECT {COLS} FROM (SELECT {COLS} FROM v_rec WHERE path NOT IN (SELECT path FROM v_rec WHERE path LIKE 'src/d3/%' AND line < 200) UNION ALL SELECT variant, path, line + 1, col, record, action, kind, symbol, context, mode, usr_id, context_usr_id, local FROM v_rec WHERE path LIKE 'src/d3/%' AND line < 200) WHERE symbol LIKE 'Brand_1.%' AND kind = 5 AND local = 0 AND record = 1",
     lambda r: _overlaid(r).where("symbol LIKE 'Brand_1.%' AND kind = 5 AND local = 0").where(search.record_filter("reference")),
 )
 
 
 def _overlaid(r: DataFrame) -> DataFrame:
     """Files of one folder are open in an editor: the first half of each, moved by a line."""
-    hidden = r.where("path LIKE 'src/d3/%'")
-    shown = hidden.where("line < 200").withColumn("line", F.col("line") + 1)
-    return r.join(hidden.select("path").distinct(), "path", "left_anti").select(*S.RECORD_COLUMNS).unionByName(shown.select(*S.RECORD_COLUMNS))
+    shown = r.where("path LIKE 'src/d3/%' AND line < 200").withColumn("line", F.col("line") + 1)
+    return search.overlaid(r, shown)
+
+
+SERVED = "path LIKE 'src/d2%' AND line = 100 AND 30 BETWEEN col AND col + strlen(list_last(string_split(symbol, '.'))) - 1"
+add(
+    "position_service",
+    "v_rec",
+    f"""SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY variant, symbol, kind, coalesce(usr_id, 0),
+        CASE WHEN coalesce(usr_id, 0) = 0 THEN path END, CASE WHEN coalesce(usr_id, 0) = 0 THEN context END, CASE WHEN coalesce(usr_id, 0) = 0 THEN local END
+        ORDER BY col DESC, record, {ORDER}) AS n FROM v_rec WHERE {SERVED} AND strlen(path) = (SELECT min(strlen(path)) FROM v_rec WHERE {SERVED})) WHERE n = 1""",
+    lambda r: search.position_service(r, r.where("path LIKE 'src/d2%'").select("path", F.length("path").alias("prio")).distinct(), 100, 30).select(*S.RECORD_COLUMNS),
+)
+RELATED = "(SELECT symbol, kind FROM v_rec WHERE local = 0 AND record = 1 GROUP BY symbol, kind ORDER BY count(*) DESC, symbol, kind LIMIT 1)"
+add("related_references", "v_rec", f"SELECT {COLS} FROM v_rec WHERE (symbol, kind) IN {RELATED} AND local = 0 AND record = 1", lambda r: _related(r))
+
+
+def _related(r: DataFrame) -> DataFrame:
+    """References of the thing with most of them."""
+    most = r.where("local = 0 AND record = 1").groupBy("symbol", "kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol", "kind").first()
+    return search.related(r, most.symbol, most.kind, 0, record="reference").select(*S.RECORD_COLUMNS) if most else r.limit(0).select(*S.RECORD_COLUMNS)
 
 
 add(
@@ -145,38 +147,40 @@ add("distinct_locations", "v_rec", "SELECT DISTINCT path, line, col FROM v_rec",
 add(
     "document_highlights",
     "v_rec",
-    "SELECT path, line, col, CAST(max(CASE WHEN record = 1 AND mode & 42 <> 0 THEN 3 WHEN record = 1 AND mode & 21 <> 0 THEN 2 ELSE 1 END) AS INTEGER) AS highlight FROM v_rec WHERE symbol LIKE 'Brand_4.%' GROUP BY path, line, col",
-    lambda r: search.highlights(r.where("symbol LIKE 'Brand_4.%'")),
+    "SELECT path, line, col, CAST(max(CASE WHEN record = 1 AND mode & 42 <> 0 THEN 3 WHEN record = 1 AND mode & 21 <> 0 THEN 2 ELSE 1 END) AS INTEGER) AS highlight FROM v_rec GROUP BY path, line, col",
+    search.highlights,
 )
-add("list_variants", "v_variants", "SELECT name, git_commit, repository_root FROM v_variants", lambda v: v.select("name", "git_commit", "repository_root").orderBy("name"))
-add("find_file", "v_files", "SELECT variant, path, mtime_ns, size FROM v_files WHERE variant = 'general' AND path LIKE 'src/d7/f1%'", lambda f: f.where("variant = 'general' AND path LIKE 'src/d7/f1%'").select("variant", "path", "mtime_ns", "size"))
+add("list_variants", "v_variants", "SELECT name, git_commit, repository_root FROM v_variants", search.list_variants)
+add("find_file", "v_files", "SELECT variant, path, mtime_ns, size FROM v_files WHERE variant = 'general' AND path LIKE 'src/d7/f1%'", lambda f: search.find_files(f, "src/d7/f1*", "general").select("variant", "path", "mtime_ns", "size"))
 add(
     "symbol_types_page",
     "v_symbol_types",
     "SELECT * FROM v_symbol_types WHERE variant = 'general' AND usr_id BETWEEN 10 AND 60 AND (path, declared_type) > ('src/d2', 'struct E') ORDER BY path, declared_type, canonical_type, type_symbol, type_kind, type_usr_id, symbol, kind, usr_id LIMIT 40",
-    lambda t: t.where("variant = 'general' AND usr_id BETWEEN 10 AND 60").where(search.after(t, ["path", "declared_type"], {"path": "src/d2", "declared_type": "struct E"})).orderBy("path", "declared_type", "canonical_type", "type_symbol", "type_kind", "type_usr_id", "symbol", "kind", "usr_id").limit(40),
+    lambda t: search.symbol_types(t.where("usr_id BETWEEN 10 AND 60"), "general", cursor={"path": "src/d2", "declared_type": "struct E"}, limit=40),
 )
 add(
     "function_signature",
     "v_function_types",
     "SELECT * FROM v_function_types WHERE symbol LIKE 'fn_77%' AND variant = 'general'",
-    lambda t: t.where("symbol LIKE 'fn_77%' AND variant = 'general'"),
+    lambda t: search.function_types(t.where("symbol LIKE 'fn_77%'"), "general"),
 )
+SIGNATURE = "variant, path, symbol, usr_id"
 add(
     "signature_flatten",
     "v_function_types",
-    'SELECT variant, path, symbol, usr_id, position, name, declared_type, "variadic" FROM (SELECT *, row_number() OVER (PARTITION BY variant, path, symbol, usr_id, position ORDER BY name, declared_type) AS n FROM v_function_types) WHERE n = 1',
-    lambda t: _flattened(t),
+    f"""SELECT {SIGNATURE}, CAST(CASE WHEN position = -1 THEN -1 ELSE row_number() OVER (PARTITION BY {SIGNATURE}, position = -1 ORDER BY position) - 1 END AS INTEGER) AS position, name, declared_type, "variadic"
+        FROM (SELECT *, row_number() OVER (PARTITION BY {SIGNATURE}, position ORDER BY name, declared_type) AS n FROM v_function_types) WHERE n = 1""",
+    lambda t: merge.flatten_signatures(_signatures(t)),
 )
 
 
-def _flattened(t: DataFrame) -> DataFrame:
-    """Signatures with parameters as arrays, taken apart again."""
-    one = merge.keep_first(t, ["variant", "path", "symbol", "usr_id", "position"], ["name", "declared_type"])
-    key = ["variant", "path", "symbol", "usr_id"]
-    parameter = F.struct("position", "name", "declared_type", "variadic")
-    nested = one.groupBy(*key).agg(F.sort_array(F.collect_list(parameter)).alias("all"))
-    return nested.select(*key, F.explode("all").alias("p")).select(*key, "p.position", "p.name", "p.declared_type", "p.variadic")
+def _signatures(t: DataFrame) -> DataFrame:
+    """Signatures with parameters as arrays."""
+    key = SIGNATURE.split(", ")
+    one = merge.keep_first(t, [*key, "position"], ["name", "declared_type"])
+    own = lambda c: F.max(F.when(F.col("position") == -1, F.col(c))).alias("returns" if c == "declared_type" else c)
+    each = F.sort_array(F.collect_list(F.when(F.col("position") >= 0, F.struct("position", "name", "declared_type"))))
+    return one.groupBy(*key).agg(own("declared_type"), own("variadic"), F.transform(each, lambda p: F.struct(p["name"].alias("name"), p["declared_type"].alias("declared_type"))).alias("parameters"))
 
 
 # -- calls -----------------------------------------------------------------------------------
@@ -193,17 +197,10 @@ def _cli(direction: str, name: str) -> Callable[[DataFrame], DataFrame]:
 
 
 add("callgraph_cli_callees", "v_rec", f"SELECT {LINE} FROM ({SQL_EDGES}) WHERE caller = 'fn_7'", _cli("callees", "fn_7"))
-add("callgraph_cli_callers", "v_rec", f"SELECT {LINE} FROM ({SQL_EDGES}) WHERE callee = '{SYM}'", _cli("callers", SYM))
-REQUESTED = "SELECT DISTINCT variant, symbol, usr_id FROM v_rec WHERE usr_id % 3 = 0 AND kind = 7"
+add("callgraph_cli_callers", "v_rec", f"SELECT {LINE} FROM ({SQL_EDGES}) WHERE callee LIKE 'Brand_1%'", _cli("callers", "Brand_1*"))
 add(
     "resolve_functions",
     "v_rec",
-    f"SELECT {COLS} FROM v_rec JOIN ({REQUESTED}) USING (variant, symbol, usr_id) WHERE record = 0 AND kind = 7",
-    lambda r: calls.resolve_functions(r, r.where("usr_id % 3 = 0 AND kind = 7").select("variant", "symbol", "usr_id").distinct()).select(*S.RECORD_COLUMNS),
-)
-add(
-    "resolve_functions_all",
-    "v_rec",
     f"SELECT {COLS} FROM v_rec JOIN (SELECT DISTINCT variant, symbol, usr_id FROM v_rec WHERE kind = 7) USING (variant, symbol, usr_id) WHERE record = 0 AND kind = 7",
     lambda r: calls.resolve_functions(r, r.where("kind = 7").select("variant", "symbol", "usr_id").distinct()).select(*S.RECORD_COLUMNS),
 )
@@ -227,15 +224,9 @@ for way, near, far in (("callees", "caller", "callee"), ("callers", "callee", "c
         f"SELECT variant, name, id, CAST(min(depth) AS INTEGER) AS depth FROM (WITH RECURSIVE b(variant, name, id, depth) AS (SELECT 'general', 'fn_0', CAST(1 AS BIGINT), 0 UNION SELECT c.variant, c.{far}, c.{far}_id, depth + 1 FROM b JOIN v_calls c ON c.variant = b.variant AND c.{near} = b.name AND c.{near}_id = b.id WHERE depth < 3) SELECT * FROM b) GROUP BY variant, name, id",
         lambda e, way=way: calls.reachable(e, e.sparkSession.createDataFrame([("general", "fn_0", 1)], "variant string, name string, id long"), 3, way),
     )
-add(
-    "points_to_closure",
-    "v_calls",
-    "SELECT DISTINCT pointer, target FROM (WITH RECURSIVE c AS (SELECT DISTINCT caller_id AS pointer, callee_id AS source FROM v_calls WHERE line % 20 <> 0 AND callee_id < caller_id), p(pointer, target) AS (SELECT DISTINCT caller_id, concat('f', CAST(callee_id AS VARCHAR)) FROM v_calls WHERE line % 20 = 0 UNION SELECT c.pointer, p.target FROM p JOIN c ON c.source = p.pointer) SELECT * FROM p)",
-    lambda e: calls.points_to(e.where("line % 20 = 0").select(F.col("caller_id").alias("pointer"), F.concat(F.lit("f"), F.col("callee_id")).alias("target")).distinct(), e.where("line % 20 <> 0 AND callee_id < caller_id").select(F.col("caller_id").alias("pointer"), F.col("callee_id").alias("source")).distinct()),
-)
 #: Every edge is a constraint, a twentieth of them direct ones and all others copies, so that copies run in cycles.
 add(
-    "points_to_closure_all",
+    "points_to_closure",
     "v_calls",
     "SELECT DISTINCT pointer, target FROM (WITH RECURSIVE c AS (SELECT DISTINCT caller_id AS pointer, callee_id AS source FROM v_calls WHERE line % 20 <> 0), p(pointer, target) AS (SELECT DISTINCT caller_id, concat('f', CAST(callee_id AS VARCHAR)) FROM v_calls WHERE line % 20 = 0 UNION SELECT c.pointer, p.target FROM p JOIN c ON c.source = p.pointer) SELECT * FROM p)",
     lambda e: calls.points_to(e.where("line % 20 = 0").select(F.col("caller_id").alias("pointer"), F.concat(F.lit("f"), F.col("callee_id")).alias("target")).distinct(), e.where("line % 20 <> 0").select(F.col("caller_id").alias("pointer"), F.col("callee_id").alias("source")).distinct()),
@@ -257,13 +248,13 @@ add("merge_files_insert", "v_base_files v_staged_files", f"SELECT * FROM v_stage
 REPLACED = f"SELECT b.* FROM v_base_files b JOIN v_staged_files s ON {SAME} WHERE s.is_main = 1 OR s.mtime_ns <> b.mtime_ns OR s.size <> b.size"
 add("replace_changed_files", "v_base_files v_staged_files", REPLACED, merge.replaced_files)
 add("upsert_file_metadata", "v_base_files v_staged_files", "SELECT coalesce(b.variant, s.variant) AS variant, coalesce(b.path, s.path) AS path, coalesce(s.mtime_ns, b.mtime_ns) AS mtime_ns, coalesce(s.size, b.size) AS size FROM v_base_files b FULL JOIN v_staged_files s ON " + SAME, merge.upserted_files)
-KEY_SQL = " AND ".join(f"k.{c} = s.{c}" for c in S.KEYS["records"])
 add(
     "merge_records",
     "v_base v_staged v_base_files v_staged_files",
-    f"""SELECT {COLS} FROM v_base b WHERE NOT EXISTS (SELECT 1 FROM ({REPLACED}) x WHERE x.variant = b.variant AND x.path = b.path)
-        UNION ALL SELECT {COLS} FROM v_staged s WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM v_base b WHERE NOT EXISTS (SELECT 1 FROM ({REPLACED}) x WHERE x.variant = b.variant AND x.path = b.path)) k WHERE {KEY_SQL})""",
-    lambda b, s, bf, sf: merge.merged_rows(b.select(*S.RECORD_COLUMNS), s, merge.replaced_files(bf, sf), S.KEYS["records"]),
+    f""", gone AS MATERIALIZED (SELECT x.variant, x.path FROM ({REPLACED}) x),
+    kept AS MATERIALIZED (SELECT {COLS} FROM v_base ANTI JOIN gone USING (variant, path))
+    SELECT {COLS} FROM kept UNION ALL SELECT {COLS} FROM v_staged ANTI JOIN kept USING ({', '.join(S.KEYS["records"])})""",
+    lambda b, s, bf, sf: merge.merged_rows(b.select(*S.RECORD_COLUMNS), s, merge.replaced_files(bf, sf), S.KEYS["records"], ["context", "usr_id", "context_usr_id", "local"]),
 )
 add("variant_upsert", "v_variants v_new_variants", "SELECT coalesce(o.name, n.name) AS name, coalesce(n.git_commit, o.git_commit) AS git_commit, coalesce(n.repository_root, o.repository_root) AS repository_root FROM v_variants o FULL JOIN v_new_variants n ON o.name = n.name", merge.upserted_variants)
 add("variant_changes", "v_variants v_new_variants", "SELECT n.name FROM v_new_variants n LEFT JOIN v_variants o ON o.name = n.name WHERE (n.git_commit IS NOT NULL AND n.git_commit IS DISTINCT FROM o.git_commit) OR (n.repository_root IS NOT NULL AND n.repository_root IS DISTINCT FROM o.repository_root)", merge.variant_changes)
@@ -326,15 +317,22 @@ add(
 add(
     "dissect_lag_dedup",
     "v_rec",
-    f"""SELECT path, seq, CASE WHEN prev_path IS NULL OR prev_path <> path THEN 1 ELSE 0 END AS header, symbol, record, line, col FROM (SELECT *, lag(path) OVER (PARTITION BY variant ORDER BY seq) AS prev_path, lag(concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR))) OVER (PARTITION BY variant ORDER BY seq) AS prev,
-        concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR)) AS own FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY {ORDER}) AS seq FROM v_rec WHERE variant = 'debug')) WHERE record = 0 OR prev IS NULL OR prev <> own""",
-    lambda r: source.dissect(r.where("variant = 'debug'").withColumn("seq", F.row_number().over(Window.partitionBy("variant").orderBy(*S.RECORD_ORDER)).cast("long"))).select("path", "seq", "header", "symbol", "record", "line", "col"),
+    f"""SELECT variant, path, seq, CASE WHEN prev_path IS NULL OR prev_path <> path THEN 1 ELSE 0 END AS header, symbol, record, line, col FROM (SELECT *, lag(path) OVER (PARTITION BY variant ORDER BY seq) AS prev_path, lag(concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR))) OVER (PARTITION BY variant ORDER BY seq) AS prev,
+        concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR)) AS own FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY {ORDER}) AS seq FROM v_rec)) WHERE record = 0 OR prev IS NULL OR prev <> own""",
+    lambda r: source.dissect(r.withColumn("seq", F.row_number().over(Window.partitionBy("variant").orderBy(*S.RECORD_ORDER)).cast("long"))).select("variant", "path", "seq", "header", "symbol", "record", "line", "col"),
 )
 add("mode_string", "v_rec", f"SELECT DISTINCT mode, {SQL_MODE} AS text FROM v_rec", lambda r: r.select("mode").distinct().select("mode", fn.mode_string(F.col("mode")).alias("text")))
 NAMES = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(S.KIND_NAMES)) + " END"
 CHARS = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(S.KIND_CHARS)) + " END"
+add("qualified_name", "v_rec", "SELECT DISTINCT context, symbol, CASE WHEN context <> '' THEN concat(context, '.', symbol) ELSE symbol END AS text FROM v_rec", lambda r: r.select("context", "symbol").distinct().withColumn("text", fn.qualified_name(F.col("context"), F.col("symbol"))))
+add("utf16_length", "v_lines", "SELECT doc_id, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS INTEGER) AS units FROM v_lines WHERE text IS NOT NULL", lambda d: d.where("text IS NOT NULL").select("doc_id", fn.utf16_length(F.col("text")).alias("units")))
 add("kind_names", "v_rec", f"SELECT DISTINCT kind, {NAMES} AS name, {CHARS} AS letter FROM v_rec", lambda r: r.select("kind").distinct().select("kind", fn.kind_name(F.col("kind")).alias("name"), fn.kind_char(F.col("kind")).alias("letter")))
 add("record_type", "v_rec", "SELECT CASE WHEN record = 1 THEN 'reference' WHEN action = 0 THEN 'declaration' ELSE 'definition' END AS type, count(*) AS n FROM v_rec GROUP BY 1", lambda r: r.groupBy(fn.record_type(F.col("record"), F.col("action")).alias("type")).agg(F.count("*").alias("n")))
 add("id_hex", "v_rec", "SELECT DISTINCT coalesce(usr_id, 0) AS usr_id, lpad(printf('%x', coalesce(usr_id, 0)), 16, '0') AS text FROM v_rec", lambda r: r.select(F.coalesce("usr_id", F.lit(0)).alias("usr_id")).distinct().select("usr_id", fn.id_hex(F.col("usr_id")).alias("text")))
 add("leaf_name", "v_rec", f"SELECT DISTINCT symbol, {LEAF} AS leaf, strlen({LEAF}) AS bytes FROM v_rec", lambda r: r.select("symbol").distinct().select("symbol", fn.leaf_name(F.col("symbol")).alias("leaf"), F.octet_length(fn.leaf_name(F.col("symbol"))).cast("long").alias("bytes")))
-add("command_export", "v_commands", "SELECT variant, file, directory, arguments FROM v_commands WHERE variant = 'general'", lambda c: c.where("variant = 'general'").orderBy("file"))
+add(
+    "command_export",
+    "v_commands",
+    """SELECT file, concat('{"directory":"', directory, '","file":"', file, '","arguments":["', replace(arguments, '|', '","'), '"]}') AS json FROM v_commands WHERE variant = 'general'""",
+    lambda c: documents.export_commands(c.withColumn("arguments", F.split("arguments", "[|]")), "general"),
+)

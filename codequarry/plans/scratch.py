@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` (below the warehouse where that is unset) and read again."""
+    """``df`` written below ``spark.checkpoint.dir`` and read again; the files go when the session's
+    JVM ends. Only a session on one machine may leave the folder unset; its warehouse serves."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    where = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(where)
+    return spark.read.parquet(where)

@@ -45,13 +45,13 @@ def test_whole_table_queries_leave_nothing_out(spark):
     assert any(a <= b for a, b in copies)
     while more := {(a, t) for a, b in copies for p, t in found if p == b} - found:
         found |= more
-    assert {tuple(r) for r in QUERIES["points_to_closure_all"](spark, DATA).collect()} == found
+    assert {tuple(r) for r in QUERIES["points_to_closure"](spark, DATA).collect()} == found
     records = frame(spark, DATA, "v_rec").collect()
     known = {(r.variant, r.symbol, r.usr_id) for r in records if r.kind == 7 and r.record == 0 and r.usr_id is not None}
-    got = QUERIES["resolve_functions_all"](spark, DATA).collect()
+    got = QUERIES["resolve_functions"](spark, DATA).collect()
     assert {(r.variant, r.symbol, r.usr_id) for r in got} == known
     own = lambda r: () if r.usr_id else (r.path, r.context, r.local)
     identity = lambda r: (r.variant, r.symbol, r.kind, r.usr_id or 0, *own(r))
-    assert Counter(map(identity, QUERIES["position_dedup_identity_all"](spark, DATA).collect())) == Counter({identity(r) for r in records})
+    assert Counter(map(identity, QUERIES["position_dedup_identity"](spark, DATA).collect())) == Counter({identity(r) for r in records})
     places = {(r.variant, r.path, r.line, r.col + 2) for r in records if len(r.symbol.split(".")[-1]) > 2}
-    assert places <= {(r.variant, r.path, r.line, r["at"]) for r in QUERIES["position_lookup_batch_all"](spark, DATA).collect()}
+    assert places <= {(r.variant, r.path, r.line, r["at"]) for r in QUERIES["position_lookup_batch"](spark, DATA).collect()}
