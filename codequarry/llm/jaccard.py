@@ -53,6 +53,8 @@ BATCH_TEXTS = 4
 COUNTED_SHINGLES = 2_000_000
 #: Nodes of two that are compared at once under one key, by their bitmaps.
 BLOCK = 1_024
+#: Of the keys that two nodes share, they are compared under the first if it is among so many of each.
+FIRST_KEYS = 8
 #: A key of shingles that more texts hold is dealt over tasks.
 HOT_TEXTS = 1_000_000
 #: Rows broadcast to choose or drop others, 8 bytes each; beyond it they are joined.
@@ -433,12 +435,19 @@ def _met(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     rows = open_.withColumn("mine", mine).withColumn("other", other).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    rows = rows.join(sets.select("node", "bits"), "node").select("key", "i", "j", "mine", "node", "n", "label", "bits")
+    # the smallest open keys of each node tell under which key two of them are compared
+    first = open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("first"))
+    rows = rows.join(sets.select("node", "bits").join(first, "node"), "node").select("key", "i", "j", "mine", "node", "n", "label", "bits", "first")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine", "node")
 
     def compare(part: pa.RecordBatch, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         i, j, mine, node, n, label = (np.asarray(part.column(c), np.int64) for c in ("i", "j", "mine", "node", "n", "label"))
-        bits = Bitmaps(part.column("bits"))
+        key, bits, own = np.asarray(part.column("key"), np.int64), Bitmaps(part.column("bits")), part.column("first")
+        ends = np.asarray(own.offsets, np.int64)
+        first, real = np.zeros((len(part), FIRST_KEYS), np.int64), np.zeros((len(part), FIRST_KEYS), bool)
+        for k in range(FIRST_KEYS):
+            has = np.diff(ends) > k
+            first[has, k], real[has, k] = np.asarray(own.values, np.int64)[ends[:-1][has] + k], True
         a, b, gap = [], [], []
         left, step = np.arange(len(group)), 1
         while True:
@@ -452,7 +461,13 @@ def _met(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             open_pair &= 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
             x, y = left[open_pair], right[open_pair]
             slack = most_apart(n[x], n[y], percent) - bits.apart(x, bits, y)
-            hit = slack >= 0
+            hit = np.flatnonzero(slack >= 0)
+            if len(hit):
+                # a pair comes out under the first of these keys that it shares, or if none, everywhere
+                shared = (first[x[hit]][:, :, None] == first[y[hit]][:, None, :]) & real[x[hit]][:, :, None] & real[y[hit]][:, None, :]
+                shared = shared.any(axis=2)
+                least = np.where(shared.any(axis=1), np.take_along_axis(first[x[hit]], shared.argmax(axis=1)[:, None], 1)[:, 0], key[x[hit]])
+                hit = hit[least == key[x[hit]]]
             a.append(np.minimum(node[x[hit]], node[y[hit]]))
             b.append(np.maximum(node[x[hit]], node[y[hit]]))
             gap.append(slack[hit])

@@ -290,58 +290,85 @@ def plain_classes(texts):
     return [(i, len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def test_jaccard_join(spark):
-    r = random.Random(5)
+@pytest.fixture
+def jaccard_bounds():
+    """Bounds as small as the test's tables."""
+    names = ("FREQUENT_TEXTS", "BLOCK", "HOT_TEXTS", "BROADCAST_IDS", "FIRST_KEYS", "COUNTED_SHINGLES")
+    old = {k: getattr(jaccard, k) for k in names}
+    yield
+    for k, v in old.items():
+        setattr(jaccard, k, v)
+
+
+def alike_texts(r, sizes, changes, copies):
     word = lambda: "".join(r.choices("abcdefgh", k=3))
-    texts = [None, "", " \t", "one", "ONE", "a b c", "a b c d", "É x y z", "é x y z"]
-    for size in (12, 40, 150, 700):
+    texts = []
+    for size in sizes:
         base = [word() for _ in range(size)]
-        for _ in range(25):  # a chain of edits, copies and unrelated endings
+        for _ in range(copies):  # a chain of edits, copies and unrelated endings
             t = list(base)
-            for _ in range(r.randint(0, 1 + size // 40)):
+            for _ in range(r.randint(0, 1 + size // changes)):
                 t[r.randrange(size)] = word()
-            texts.append(" ".join(t))
+            texts.append(" ".join([*t, *(word() for _ in range(r.randint(0, size // 8)))]))
             if r.random() < 0.3:
                 base = t
         texts += texts[-3:]
     line = " ".join(word() for _ in range(20))
-    texts += [line + " " + " ".join(word() for _ in range(r.randint(0, 12))) for _ in range(90)]
-    old = jaccard.FREQUENT_TEXTS
-    try:
-        for jaccard.FREQUENT_TEXTS in (10, 10**9):
-            got = sorted(map(tuple, jaccard.join(docs(spark, texts)).collect()))
-            assert got == plain_classes(texts)
-    finally:
-        jaccard.FREQUENT_TEXTS = old
+    return texts + [line + " " + " ".join(word() for _ in range(r.randint(0, 12))) for _ in range(60)]
+
+
+def test_jaccard_join(spark, jaccard_bounds):
+    texts = [None, "", " \t", "one", "ONE", "a b c", "a b c d", "É x y z", "é x y z", *alike_texts(random.Random(5), (12, 40, 150, 700), 40, 20)]
+    jaccard.FREQUENT_TEXTS, jaccard.BLOCK, jaccard.HOT_TEXTS, jaccard.BROADCAST_IDS, jaccard.COUNTED_SHINGLES = 10, 8, 20, 0, 3_000
+    d = docs(spark, texts).withColumn("node", F.lit(1)).withColumn("label", F.lit(1)).withColumn("own_id", F.lit(1))
+    assert sorted(map(tuple, jaccard.join(d).collect())) == plain_classes(texts)
+    kept = jaccard.keep_one(d)
+    assert sorted(x.doc_id for x in kept.collect()) == [i for i, _, c in plain_classes(texts) if i == c] and kept.columns == d.columns
     assert jaccard.join(docs(spark, [])).count() == 0
-    kept = sorted(x.doc_id for x in jaccard.keep_one(docs(spark, texts)).collect())
-    assert kept == [i for i, _, c in plain_classes(texts) if i == c]
 
 
-def test_jaccard_join_of_other_size_and_percent(spark):
-    r = random.Random(6)
-    word = lambda: "".join(r.choices("abcdefgh", k=3))
-    texts = ["", "one two", "a b c d e"]
-    for size in (12, 60, 450, 700):
-        base = [word() for _ in range(size)]
-        for _ in range(12):
-            t = list(base)
-            for _ in range(r.randint(0, 1 + size // 30)):
-                t[r.randrange(size)] = word()
-            texts.append(" ".join([*t, *(word() for _ in range(r.randint(0, size // 3)))]))
+def test_jaccard_join_of_other_size_and_percent(spark, jaccard_bounds):
+    texts = ["", "one two", "a b c d e", *alike_texts(random.Random(6), (12, 60, 450, 700), 30, 12)]
     sets = [set(s.tolist()) for s in jaccard.shingle_sets(texts, 5)]
     root = list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
             low, high = sorted((root[a], root[b]))
             root = [low if x == high else x for x in root]
-    old = jaccard.FREQUENT_TEXTS
-    try:
-        for jaccard.FREQUENT_TEXTS in (4, 10**9):
-            got = sorted(map(tuple, jaccard.join(docs(spark, texts), size=5, percent=80).collect()))
-            assert got == [(i, len(sets[i]), root[i]) for i in range(len(texts))]
-    finally:
-        jaccard.FREQUENT_TEXTS = old
+    jaccard.FREQUENT_TEXTS, jaccard.FIRST_KEYS = 10**9, 2
+    got = sorted(map(tuple, jaccard.join(docs(spark, texts), size=5, percent=80).collect()))
+    assert got == [(i, len(sets[i]), root[i]) for i in range(len(texts))]
+
+
+def test_jaccard_join_without_ids_and_of_clashing_digests(spark, monkeypatch):
+    text = lambda c, n=60: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(None, text("a") + " x"), (5, text("a")), (None, text("b")), (None, text("b") + " y"), (7, text("c")), (3, text("c") + " z"), (9, text("d"))]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    want = Counter({(None, 5): 1, (5, 5): 1, (None, None): 2, (7, 3): 1, (3, 3): 1, (9, 9): 1})
+    assert Counter((r.doc_id, r.component_id) for r in jaccard.join(d).collect()) == want
+    real = jaccard.set_id
+    monkeypatch.setattr(jaccard, "set_id", lambda grams: (real(grams)[0] % 2, real(grams)[1]))  # the first half says little
+    found = jaccard.join(d).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == want
+
+
+def test_keys_meet():
+    # linked sets of any sizes and classes share a key
+    r = np.random.default_rng(7)
+    for n in (2, 3, 7, 8, 15, 30, 63, 64, 200, 900):
+        for percent in (70, 80, 85, 100):
+            for _ in range(12):
+                a = np.unique(r.integers(-(2**63), 2**63 - 1, n))
+                texts = np.where(r.random(len(a)) < r.choice([0, 0.5, 0.9, 1]), 100, 0)
+                keep = max(1, jaccard.least_overlap(len(a), percent))
+                own = np.sort(r.permutation(len(a))[:keep])
+                rest = np.unique(r.integers(-(2**63), 2**63 - 1, max(0, 100 * keep // percent - len(a))))
+                b = np.concatenate([a[own], rest])
+                order = np.argsort(b)
+                b, held = b[order], np.concatenate([texts[own], np.where(r.random(len(rest)) < 0.5, 100, 0)])[order]
+                if np.array_equal(a, b) or 100 * keep < percent * len(np.union1d(a, b)):
+                    continue
+                assert len(np.intersect1d(jaccard.keys_of(a, texts, percent)[0], jaccard.keys_of(b, held, percent)[0])), (n, percent)
 
 
 def test_keep_one_of_null_and_repeated_ids(spark):
