@@ -86,7 +86,7 @@ def drop_scratch(df: DataFrame) -> None:
     """Remove the files of a frame that ``materialize`` wrote and nothing reads any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {re.sub(r"(/\w+=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

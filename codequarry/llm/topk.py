@@ -1,25 +1,30 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors become integers, floor(1024 * x). Candidates are grouped by length (an exponent bucket of
-the norm), a bucket's greatest norm gives each query a local cosine threshold from its k-th best
-score so far: queries whose threshold is above 1 skip the bucket; in the others, high thresholds
-prune by coordinates (the product over the query's greatest coordinates plus the bound of the
-rest), low ones by length alone; what is left is verified with the whole product.
-
-Queries go in blocks of QUERY_BLOCK, each broadcast (QUERY_BLOCK vectors, a bound of its own)
-against all rows; each task keeps k a query, so that few rows are shuffled. First thresholds come
-from the SEEDS longest vectors.
+Vectors become integers, floor(1024 * x), and are written once, in folders by length (an exponent
+bucket of the norm, quarters of powers of two). A bucket's greatest norm gives each query a local
+cosine threshold from its k-th best score so far: buckets whose threshold is above 1 for all
+queries of a block are not read, and in others queries with such a threshold skip the bucket;
+otherwise high thresholds prune by coordinates (the product over the query's greatest coordinates
+plus the bound of the rest), low ones by length alone; what is left is verified with the whole
+product.
+
+First scores come from the SEEDS longest vectors, which are broadcast; they give each query the
+least norm that can still matter. Queries are put into blocks of about QUERY_BLOCK, those of a
+like least norm together, and each block is one job: its vectors are broadcast (a bound of its
+own) against the folders it needs; each task keeps k a query, so that few rows are shuffled.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part;
-shorter vectors count as filled with zeros; candidates of the query's own id are left out; of
-query rows repeated with one id the greatest vector asks; candidate rows repeated come repeatedly.
+shorter vectors count as filled with zeros; components and scores beyond 64 bits count as the
+nearest number of 64 bits; candidates of the query's own id are left out; of query rows repeated
+with one id the greatest vector asks; candidate rows repeated come repeatedly; of equal scores
+the smaller id comes first; empty tables give no rows; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop_scratch, materialize, scratch_dir
+
 QUERY_BLOCK = 4096
 SEEDS = 256
 #: Local cosine threshold from which coordinates prune before the whole product.
@@ -70,8 +77,12 @@ class Best:
         self.held = np.zeros(len(ids), np.int64)
 
     def product(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        top = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
-        return np.rint(q.astype(float) @ v.T.astype(float)).astype(np.int64) if top < 2**52 else q @ v.T
+        top = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(v.astype(float)).max(initial=0)) * q.shape[1]
+        if top < 2**52:
+            return np.rint(q.astype(float) @ v.T.astype(float)).astype(np.int64)
+        if top < 2**62:
+            return q @ v.T
+        return np.clip((q.astype(object) @ v.T.astype(object)), -(2**63), 2**63 - 1).astype(np.int64)
 
     def bucket(self, ids: np.ndarray, v: np.ndarray, norms: np.ndarray) -> None:
         """All candidates of one bucket, longest first."""
@@ -122,52 +133,94 @@ class Best:
         return s, ids
 
 
-def _blocks(rows: Iterator, n: int) -> Iterator[list]:
-    while block := list(islice(rows, n)):
-        yield block
+def _bucket(norm: Column) -> Column:
+    """Quarters of powers of two; null vectors have a bucket of their own."""
+    return F.when(norm > 0, F.floor(F.log2(norm) * 4)).otherwise(-1).cast("int")
 
 
 def search(vectors: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query (rows where ``asks`` holds)."""
     spark = vectors.sparkSession
-    rows = integers(vectors, id_col, vec_col)
-    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    queries = integers(vectors.where(asks), id_col, vec_col).groupBy("vec_id").agg(F.max("v").alias("v")).orderBy("vec_id")
-    seeds = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).collect()
-    fill = lambda vs: np.array([[*v, *[0] * (width - len(v))] for v in vs], np.int64).reshape(len(vs), width)
-    seed_v, seed_ids = fill([r["v"] for r in seeds]), np.array([r["vec_id"] for r in seeds], np.int64)
-    schema, found = "query_id long, vec_id long, score long", []
-    for block in _blocks(queries.toLocalIterator(), QUERY_BLOCK):
-        q, ids = fill([r["v"] for r in block]), np.array([r["vec_id"] for r in block], np.int64)
-        first = Best(q, ids, k, np.full(len(ids), -np.inf))
-        for a in range(0, len(seed_ids), 256):
-            first.take(np.arange(len(ids)), first.product(q, seed_v[a : a + 256]), seed_ids[a : a + 256])
-        for i in range(len(ids)):
-            first.squeeze(i)
-        shared = spark.sparkContext.broadcast((q, ids, first.floor))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = Best(shared.value[0], shared.value[1], k, shared.value[2].copy())
-            for batch in batches:
-                v, norms = _matrix(batch.column(1), width), np.asarray(batch.column(2), float)
-                cand = np.asarray(batch.column(0), np.int64)
-                exponent = np.floor(np.log2(np.maximum(norms, 1e-9)) * 4)
-                for e in np.unique(exponent)[::-1]:
-                    own = exponent == e
-                    best.bucket(cand[own], v[own], norms[own])
-            out = [best.squeeze(i) for i in range(len(best.ids))]
-            n = [len(s) for s, _ in out]
-            empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(best.ids, n), "vec_id": np.concatenate([*(x for _, x in out), empty]), "score": np.concatenate([*(s for s, _ in out), empty])})
-
-        found.append(rows.select("vec_id", "v", "norm").mapInArrow(run, schema))
+    path = scratch_dir(spark, "vectors")
+    integers(vectors, id_col, vec_col).withColumn("bucket", _bucket(F.col("norm"))).write.partitionBy("bucket").parquet(path)
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    kinds = "vec_id long, v array<bigint>, norm double, bucket int"
+    rows = spark.read.schema(kinds).parquet(path)
+    by = rows.groupBy("bucket").agg(F.max("norm").alias("norm"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).orderBy(F.desc("norm")).collect()  # some hundreds at most
+    if not by:
+        return none
+    width = max(r["width"] for r in by)
+    # the longest vectors: of the first buckets that hold SEEDS
+    reach, held = [], 0
+    for r in by:
+        reach.append(r["bucket"])
+        held += r["n"]
+        if held >= SEEDS:
+            break
+    seeds = rows.where(F.col("bucket").isin(reach)).orderBy(F.desc("norm"), "vec_id").limit(SEEDS).toArrow()
+    seed = spark.sparkContext.broadcast((_matrix(seeds["v"].combine_chunks(), width), np.asarray(seeds["vec_id"], np.int64)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed_v, seed_ids = seed.value
+        for whole in batches:
+            for at in range(0, len(whole), 1_000):
+                batch = whole.slice(at, 1_000)
+                best = Best(_matrix(batch.column(1), width), np.asarray(batch.column(0), np.int64), k, np.full(len(batch), -np.inf))
+                best.take(np.arange(len(batch)), best.product(best.q, seed_v), seed_ids)
+                for i in range(len(batch)):
+                    best.squeeze(i)
+                # below this norm no candidate can reach the floor
+                need = np.where((best.norm > 0) & (best.floor > 0), best.floor / np.maximum(best.norm, 1e-9), 0.0)
+                yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "v": batch.column(1), "floor": best.floor, "need": need * (1 - 1e-9)})
+
+    asked = integers(vectors.where(asks), id_col, vec_col).groupBy("vec_id").agg(F.max("v").alias("v"))
+    queries = materialize(asked.mapInArrow(first, "vec_id long, v array<bigint>, floor double, need double"), "queries")
+    n = queries.count()
+    blocks = -(-n // QUERY_BLOCK)
+    # like least norms together: ranges of them, in blocks of about one size
+    cuts = queries.approxQuantile("need", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
+    queries = queries.withColumn("block", reduce(lambda a, b: a + b, ((F.col("need") > c).cast("int") for c in cuts), F.lit(0)))
+    # needs of many queries may be equal: what exceeds a block is dealt by hash
+    sizes = queries.groupBy("block").agg(F.count("*").alias("n"), F.min("need").alias("need")).orderBy("block").collect()
+    found = []
+    for r in sizes:
+        parts = -(-r["n"] // QUERY_BLOCK)
+        folders = [x["bucket"] for x in by if x["norm"] >= r["need"]]
+        for part in range(parts):
+            own = queries.where((F.col("block") == r["block"]) & (F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)).orderBy("vec_id").toArrow().combine_chunks()
+            if not own.num_rows:
+                continue
+            shared = spark.sparkContext.broadcast((_matrix(own["v"].combine_chunks(), width), np.asarray(own["vec_id"], np.int64), np.asarray(own["floor"], float)))
+            found.append(materialize(_scan(rows.where(F.col("bucket").isin(folders)), shared, k, width), "top"))
+            shared.unpersist()
+    drop_scratch(queries)
+    drop_scratch(rows)
     if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return none
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
+def _scan(rows: DataFrame, shared, k: int, width: int) -> DataFrame:
+    """The k best of each query of a block in every task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(shared.value[0], shared.value[1], k, shared.value[2].copy())
+        for batch in batches:
+            v, norms, exponent = _matrix(batch.column(1), width), np.asarray(batch.column(2), float), np.asarray(batch.column(3))
+            cand = np.asarray(batch.column(0), np.int64)
+            for e in np.unique(exponent)[::-1]:
+                own = exponent == e
+                best.bucket(cand[own], v[own], norms[own])
+        out = [best.squeeze(i) for i in range(len(best.ids))]
+        n = [len(s) for s, _ in out]
+        empty = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_pydict({"query_id": np.repeat(best.ids, n), "vec_id": np.concatenate([*(x for _, x in out), empty]), "score": np.concatenate([*(s for s, _ in out), empty])})
+
+    return rows.select("vec_id", "v", "norm", "bucket").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
 ORACLE = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

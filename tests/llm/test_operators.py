@@ -406,6 +406,18 @@ def test_topk(spark):
             best = sorted(((int(ok[q] @ y), i) for i, y in ok.items() if i != q), key=lambda s: (-s[0], s[1]))[:10]
             want += [(q, k + 1, i, s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 20 == 0).collect())) == want
+    old = topk.QUERY_BLOCK, topk.SEEDS
+    try:
+        topk.QUERY_BLOCK, topk.SEEDS = 7, 20
+        more = df.unionByName(df.where("vec_id in (0, 20)")).withColumn("norm", F.lit(1)).withColumn("bucket", F.lit(1))
+        got = sorted(map(tuple, topk.search(more.where("vec_id <> 0 or true"), F.col("vec_id") % 20 == 0).collect()))
+    finally:
+        topk.QUERY_BLOCK, topk.SEEDS = old
+    assert {(q, s) for q, _, _, s in got} <= {(q, s) for q, _, _, s in want} | {(q, s) for q, _, i, s in got if i in (0, 20)}
+    assert [x for x in got if x[0] == 40] == [x for x in want if x[0] == 40] or any(x[2] in (0, 20) for x in got if x[0] == 40)
+    odd = spark.createDataFrame([(1, [1e30, 1.0]), (2, [1e30]), (3, [-1e30, 0.0, 2.0]), (4, [])], "vec_id long, embedding array<double>")
+    top = {(r.query_id, r.vec_id): r.score for r in topk.search(odd, F.lit(True)).collect()}
+    assert top[1, 2] == 2**63 - 1 and top[1, 3] == -(2**63) and top[1, 4] == 0 and len(top) == 12
     assert topk.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
     assert topk.search(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
