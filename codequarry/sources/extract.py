@@ -1,7 +1,7 @@
-"""Records from source text: preprocessor lines, assembly, and a declared subset of C.
+"""Records from source text: preprocessor lines, assembly, and C by a parser of its own.
 
-This is a subset of what a compiler front end gives: macros, includes, functions, struct fields,
-enumerators, typedefs and direct calls by name. Complete records come in as index documents.
+What a compiler front end knows besides (types of other files, macros of included files) comes in
+as index documents.
 """
 
 from __future__ import annotations
@@ -12,18 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from codequarry import schema as S
+from codequarry.sources.cparse import Parser
 
 SCHEMA = "variant string, path string, seq long, symbol string, record int, action int, kind int, mode int, line long, col long, context string, local int"
 
 _comment = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 _directive = re.compile(r"^[ \t]*#[ \t]*(define|include|ifdef|ifndef|elifdef|elifndef|if|elif)\b[ \t]*(.*)$", re.M)
 _name = re.compile(r"[A-Za-z_]\w*")
-_function = re.compile(r"^[ \t]*(?:[A-Za-z_]\w*[\s*]+)+?([A-Za-z_]\w*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*([{;])", re.M)
-_record = re.compile(r"\b(struct|union|enum)\s+([A-Za-z_]\w*)\s*\{([^{}]*)\}")
-_typedef = re.compile(r"\btypedef\b[^;{}]*?([A-Za-z_]\w*)\s*;")
-_call = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-# Words of C that look like calls, and the call mnemonics of several machines.
-_not_calls = frozenset("if for while switch return sizeof do else case defined _Alignof typeof".split())
+# The call mnemonics of several machines.
 CALL_MNEMONICS = frozenset("call callq bl jbsr bsr jal brasl".split())
 
 
@@ -46,56 +42,25 @@ class _Out:
 
 
 def c_records(text: str) -> list[tuple]:
-    """(symbol, record, action, kind, mode, line, col, context, local), in text order by rule."""
-    out, code = _Out(text), _blank(text)
-    macros = set()
-    for m in _directive.finditer(text):
-        word, rest, at = m[1], m[2], m.start(2)
+    """(symbol, record, action, kind, mode, line, col, context, local): of preprocessor lines, then
+    of the rest, each in the order in which it is read."""
+    out = _Out(text)
+    macros: dict[str, bool] = {}
+    for m in _directive.finditer(_blank(text)):
+        word, rest, at = m[1], text[m.start(2) : m.end(2)], m.start(2)
         if word == "include":
             if i := re.match(r"<[^>\n]+>|\"([^\"\n]+)\"", rest):
                 out.add(at, i[1] or i[0], S.USE, S.READ, S.FILE, S.R_VAL)
         elif n := (_name.match(rest) if word not in ("if", "elif") else None):
             if word == "define":
-                macros.add(n[0])
+                macros[n[0]] = rest[n.end() : n.end() + 1] == "("
                 out.add(at, n[0], S.SYMBOL, S.DEFINITION, S.MACRO)
             else:
                 out.add(at, n[0], S.USE, S.READ, S.MACRO, S.R_VAL)
         else:
             for n in re.finditer(r"\bdefined\s*\(?\s*([A-Za-z_]\w*)", rest):
                 out.add(at + n.start(1), n[1], S.USE, S.READ, S.MACRO, S.R_VAL)
-    plain = _directive.sub(lambda m: " " * len(m.group()), code)
-    for m in _record.finditer(plain):
-        kind = {"struct": 2, "union": 3, "enum": 4}[m[1]]
-        out.add(m.start(2), m[2], S.SYMBOL, S.DEFINITION, kind)
-        sep = "," if kind == 4 else ";"
-        at = m.start(3)
-        for part in m[3].split(sep):
-            n = re.match(r"\s*([A-Za-z_]\w*)", part) if kind == 4 else re.search(r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*(?::\s*\d+\s*)?$", part)
-            if n:
-                out.add(at + n.start(1), n[1] if kind == 4 else f"{m[2]}.{n[1]}", S.SYMBOL, S.DEFINITION, 5 if kind == 4 else 1)
-            at += len(part) + 1
-    for m in _typedef.finditer(plain):
-        out.add(m.start(1), m[1], S.SYMBOL, S.DEFINITION, 6)
-    defined = {m[1] for m in _function.finditer(plain) if m[2] == "{"}
-    seen = set()
-    for m in _function.finditer(plain):
-        if m[1] in _not_calls:
-            continue
-        if m[2] == ";":
-            if m[1] not in defined and m[1] not in seen:
-                seen.add(m[1])
-                out.add(m.start(1), m[1], S.SYMBOL, S.DECLARATION, S.FUNCTION)
-            continue
-        out.add(m.start(1), m[1], S.SYMBOL, S.DEFINITION, S.FUNCTION)
-        depth, end = 1, m.end()
-        while end < len(plain) and depth:
-            depth += {"{": 1, "}": -1}.get(plain[end], 0)
-            end += 1
-        for c in _call.finditer(plain, m.end(), end):
-            if c[1] in macros:
-                out.add(c.start(1), c[1], S.USE, S.READ, S.MACRO, S.R_VAL)
-            elif c[1] not in _not_calls:
-                out.add(c.start(1), c[1], S.USE, S.CALL, S.FUNCTION, S.R_PTR, m[1])
+    Parser(text, macros, out.add).unit()
     return out.rows
 
 

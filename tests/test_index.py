@@ -155,3 +155,55 @@ def test_empty_tables(spark):
     assert search.query(r, symbol="*").count() == 0 and search.highlights(r).count() == 0
     assert calls.hierarchy(calls.call_edges(r), "incoming").count() == 0
     assert merge.file_fingerprints(r.withColumn("seq", F.lit(1))).count() == 0
+
+
+C_TEXT = """#define N 3
+struct s { int f; struct { int in; } named; union { int u1; char u2; }; int arr[N]; };
+typedef struct { int q; } T;
+enum e { A, B = N };
+typedef int (*fp)(int);
+static struct s glob = { .f = 1, .named = { .in = 2 } };
+int g(int);
+int later(void);
+static int h(struct s *p, T t, fp cb) {
+    int x = p->f + t.q, *r = &x;
+    p->named.in += 2; p->u1++;
+    *r = g(1) + N; cb(3); (*cb)(4);
+    fp k = g; k = &g;
+    if (x == B) return sizeof(struct s) + (int)glob.f; // g(3)
+    return h(&glob, t, cb) ? "g(1)"[0] : later();
+}
+int later(void) { return 0; }
+"""
+
+
+def test_c_records():
+    rows = {(r[5], r[6], *r[:5], r[7], r[8]) for r in extract.c_records(C_TEXT)}
+    found = {(line, *rest[1:]) for line, *rest in rows}
+    sym, use = S.SYMBOL, S.USE
+    assert {
+        (2, "s", sym, 1, 2, 0, "", 0), (2, "s.f", sym, 1, 1, 0, "", 0), (2, ":named.in", sym, 1, 1, 0, "", 0), (2, "s.u2", sym, 1, 1, 0, "", 0), (2, "s.arr", sym, 1, 1, 0, "", 0),
+        (2, "N", use, 0, 8, 4, "", 0), (3, "T.q", sym, 1, 1, 0, "", 0), (3, "T", sym, 1, 6, 0, "", 0), (4, "e", sym, 1, 4, 0, "", 0), (4, "B", sym, 1, 5, 0, "", 0), (5, "fp", sym, 1, 6, 0, "", 0),
+        (6, "glob", sym, 1, 0, 0, "", 0), (6, "glob", use, 1, 0, 8, "", 0), (6, "s.f", use, 1, 1, 8, "", 0), (6, ":named.in", use, 1, 1, 8, "", 0), (6, "s", use, 0, 2, 4, "", 0),
+        (7, "g", sym, 0, 7, 0, "", 0), (9, "h", sym, 1, 7, 0, "", 0), (9, "p", sym, 1, 0, 0, "h", 1), (9, "T", use, 0, 6, 4, "", 0),
+        (10, "x", sym, 1, 0, 0, "h", 1), (10, "x", use, 1, 0, 8, "h", 1), (10, "p", use, 0, 0, 16, "h", 1), (10, "s.f", use, 0, 1, 4, "h", 0), (10, "T.q", use, 0, 1, 4, "h", 0), (10, "x", use, 2, 0, 3, "h", 1),
+        (11, ":named.in", use, 1, 1, 8, "h", 0), (11, "s.u1", use, 1, 1, 8, "h", 0), (12, "r", use, 0, 0, 16, "h", 1), (12, "g", use, 3, 7, 16, "h", 0), (12, "cb", use, 3, 0, 16, "h", 1),
+        (13, "g", use, 0, 7, 16, "h", 0), (13, "g", use, 2, 7, 3, "h", 0), (13, "k", use, 1, 0, 8, "h", 1), (14, "B", use, 0, 5, 4, "h", 1), (14, "glob", use, 0, 0, 4, "h", 1), (14, "s", use, 0, 2, 4, "h", 0),
+        (15, "h", use, 3, 7, 16, "h", 0), (15, "glob", use, 2, 0, 3, "h", 1), (15, "later", use, 3, 7, 16, "h", 0), (17, "later", sym, 1, 7, 0, "", 0),
+    } <= found
+    calls_of_g = [r for r in rows if r[2] == "g" and r[4] == S.CALL]
+    assert [(r[0], r[1]) for r in calls_of_g] == [(12, 10)]  # not those in comments and texts
+    assert not [r for r in rows if r[2] == "later" and r[3] == sym and r[4] == S.DECLARATION]
+
+
+def test_c_records_of_broken_and_long_texts():
+    import time
+
+    broken = "int f(void) { int a = ; a = 2; ((( }\nstruct { int x;\nint g(void) { return f(); }\n} v; int after(void) { return g(); }"
+    assert {"f", "after"} <= {r[0] for r in extract.c_records(broken) if r[3] == S.FUNCTION}
+    for text_ in ("", "}", "{{{{", "(" * 5_000, "#define", "int", 'char *s = "unclosed', "/* open", "struct s { struct { int x; } in; int y[3]; };"):
+        extract.c_records(text_)
+    assert {r[0] for r in extract.c_records("struct a { struct { int x; } in; int y[3]; };")} == {"a", ":in.x", "a.in", "a.y"}
+    start = time.time()
+    extract.c_records("x y z\n" * 60_000 + "int a;\n" * 20_000 + "int f(void) { return a; }\n" * 5_000)
+    assert time.time() - start < 30
