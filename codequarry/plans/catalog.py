@@ -1,13 +1,18 @@
 """The stored index: versioned Parquet tables, a pointer to the current version, and merges.
 
-Layout: <root>/v<n>/<table>, and <root>/current, a text file of one line "schema-version n". A
-merge writes the whole new state of the tables into a new version and then replaces the pointer
-by a rename, so readers see either state. Records are laid out by variant and hash bucket of the
-symbol, sorted by key, so that scans skip files and row groups. One writer at a time.
+Layout: <root>/v<n>/<table>, and an empty file <root>/current-<schema version>-<n>; the one of the
+greatest n is the pointer. A merge writes the whole new state of the tables into a new version and
+then makes its pointer, which a store does at once or not at all: readers see either state, a
+crash before it leaves the old one, and of two writers of one version the later is refused.
+Records are laid out by variant and hash bucket of the symbol, sorted by key, so that scans skip
+files and row groups.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +36,17 @@ class IndexStore:
 
     def version(self) -> int | None:
         """The current version; a store of another schema is refused and left alone."""
-        pointer = f"{self.root}/current"
-        if not self._fs.exists(self._path(pointer)):
-            if self._fs.exists(self._path(self.root)) and len(self._fs.listStatus(self._path(self.root))):
+        root = self._path(self.root)
+        names = [str(f.getPath().getName()) for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        found = [tuple(map(int, m.groups())) for x in names if (m := re.fullmatch(r"current-(\d+)-(\d+)", x))]
+        if not found:
+            if any(not re.fullmatch(r"v\d+|\..*", x) for x in names):
                 raise ValueError(f"{self.root} is no index")
             return None
-        kind, n = self.spark.read.text(pointer).first()[0].split()
-        if int(kind) != S.SCHEMA_VERSION:
+        kind, n = max(found, key=lambda x: x[1])
+        if kind != S.SCHEMA_VERSION:
             raise ValueError(f"index schema {kind} is not {S.SCHEMA_VERSION}")
-        return int(n)
+        return n
 
     def create(self) -> None:
         if self.version() is None:
@@ -58,10 +65,25 @@ class IndexStore:
         """Records of one symbol: its bucket's files only, and row groups by the sorted symbol."""
         return self.table("records").where((F.col(_EXTRA) == bucket(F.lit(name))) & (F.col("symbol") == name)).select(*S.RECORDS.names)
 
-    def store(self, staged: dict[str, DataFrame]) -> int:
-        """Merge staged tables; returns the new version."""
+    def store(self, staged: dict[str, DataFrame], restage: Callable[[DataFrame], dict[str, DataFrame]] | None = None, tries: int = 3) -> int:
+        """Merge staged tables; returns the new version. Files that are marked as cached bring no
+        rows of their own; if the index has changed under them, ``restage`` gets these files and
+        gives the tables staged anew, up to ``tries`` times."""
         self.create()
-        base = self.tables()
+        for _ in range(tries):
+            base, files = self.tables(), staged["files"]
+            if "cached" not in files.columns:
+                break
+            stale = merge.stale(files.where("cached = 1"), base["files"])
+            if stale.isEmpty():
+                cached = files.where("cached = 1").select(*merge.FILE_KEY)
+                staged = {k: v.join(cached, merge.FILE_KEY, "left_anti").select(*v.columns) if k not in ("files", "variants", "commands") else v for k, v in staged.items()}
+                break
+            if restage is None:
+                raise StaleCache(f"changed under {self.root}: {[r['path'] for r in stale.select('path').limit(10).collect()]}")
+            staged = restage(stale)
+        else:
+            raise StaleCache(f"{self.root} changed {tries} times while files were staged")
         merged = base | merge.merge(base, staged)
         if "commands" in staged:
             old = base["commands"].join(staged["commands"].select("variant", "file"), ["variant", "file"], "left_anti")
@@ -78,13 +100,17 @@ class IndexStore:
                 out.write.partitionBy("variant", _EXTRA).parquet(path)
             else:
                 out.write.parquet(path)
-        pointer, fresh = self._path(f"{self.root}/current"), self._path(f"{self.root}/.next-{n}")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(f"{S.SCHEMA_VERSION} {n}\n".encode()))
-        stream.close()
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(fresh, pointer):
-            raise OSError(f"{pointer} can't be replaced")
+        if not self._fs.createNewFile(self._path(f"{self.root}/current-{S.SCHEMA_VERSION}-{n}")):
+            raise OSError(f"version {n} of {self.root} has another writer")
+        for old in range(max(0, n - 2)):  # readers of the last version go on
+            pointer, tables_ = self._path(f"{self.root}/current-{S.SCHEMA_VERSION}-{old}"), self._path(f"{self.root}/v{old}")
+            if self._fs.exists(pointer):
+                self._fs.delete(pointer, False)
+                self._fs.delete(tables_, True)
+
+
+class StaleCache(Exception):
+    """Files taken for cached are not as stored any more."""
 
 
 def _stored(name: str):

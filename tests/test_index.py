@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codequarry import schema as S
 from codequarry.operators import calls, merge, search
-from codequarry.plans.catalog import IndexStore
+from codequarry.plans.catalog import IndexStore, StaleCache
 from codequarry.plans.service import IndexService
 from codequarry.sources import documents, extract, text, trace
 from codequarry.streaming import flows
@@ -29,12 +29,33 @@ def test_shared_header_and_replacement(spark, tmp_path):
     store.store(frames(spark, [rec("s.f", "0.c", 9), rec("t", "0.c", 10)], [("0.c", 2, 2)], {"0.c"}))
     assert sorted((r.path, r.line) for r in store.symbol("s.f").collect()) == [("0.c", 9), ("1.c", 5), ("2.c", 5), ("h.h", 1)]
     assert store.table("files").where("path = '0.c'").first().size == 2
-    (tmp_path / "index" / ".current.crc").unlink(missing_ok=True)
-    (tmp_path / "index" / "current").write_text("3 0\n")
+    n = store.version()
+    assert n == 4 and not (tmp_path / "index" / "v1").exists() and (tmp_path / "index" / "v3").exists()
+    with pytest.raises(Exception):  # a second writer of the same version
+        store._write(store.tables(), n)
+    (tmp_path / "index" / "current-3-9").write_text("")
     with pytest.raises(ValueError, match="schema"):
         store.tables()
 
 
+def test_cached_files_bring_no_rows_and_are_staged_anew(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.store(frames(spark, [rec("s.f", "h.h", 1, record=0, action=1, mode=0)], [("h.h", 1, 1), ("0.c", 1, 1)], {"0.c"}))
+
+    def staged(time, cached):
+        out = frames(spark, [rec("x", "h.h", 7), rec("s.f", "1.c", 5)], [("h.h", time, 1), ("1.c", 1, 1)], {"1.c"})
+        mark = F.when(F.col("path") == "h.h", cached).otherwise(0)
+        return out | {"files": out["files"].withColumn("cached", mark)}
+
+    store.store(staged(1, 1))
+    assert sorted(r.symbol for r in store.table("records").where("path = 'h.h'").collect()) == ["s.f"]
+    with pytest.raises(StaleCache):
+        store.store(staged(2, 1))
+    asked = []
+    store.store(staged(2, 1), lambda stale: asked.extend(r.path for r in stale.collect()) or staged(2, 0))
+    assert asked == ["h.h"] and [r.symbol for r in store.table("records").where("path = 'h.h'").collect()] == ["x"]
+
+
 def test_first_writer_wins_and_caches(spark):
     rows = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 3)], "k int, v string, seq int")
     assert sorted((r.k, r.v) for r in merge.keep_first(rows, ["k"], ["seq"]).collect()) == [(1, "a"), (2, "c")]
