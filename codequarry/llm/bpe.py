@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, pieces
+from .common import column_pieces, map_batches
 
 NONE = np.int64(1) << 62
 #: Words kept with their ids in each worker; the memo is emptied when full.
@@ -361,10 +361,10 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         bpe = load(spec.value)
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(1)
         ids, decoded = [], []
-        for a, b in pieces(texts):
-            for raw in bpe.encode_batch(texts[a:b]):
+        for a, b in column_pieces(texts):
+            for raw in bpe.encode_batch(texts.slice(a, b - a).to_pylist()):
                 ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
                 decoded.append(bpe.decode(raw))
         return pa.table({id_col: batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())})
@@ -379,10 +379,10 @@ def digests(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         bpe = load(spec.value)
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(1)
         n, of_ids, of_text = [], [], []
-        for a, b in pieces(texts):
-            for raw in bpe.encode_batch(texts[a:b]):
+        for a, b in column_pieces(texts):
+            for raw in bpe.encode_batch(texts.slice(a, b - a).to_pylist()):
                 n.append(len(raw) // 4)
                 of_ids.append(hashlib.sha256(raw).hexdigest())
                 of_text.append(hashlib.sha256(bpe.decode(raw).encode()).hexdigest())

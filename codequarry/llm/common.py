@@ -6,7 +6,9 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: those of long texts would else take more memory than a task has.
+BATCH_ROWS = 1_000
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows. The engine has one such setting for a
+    session; it is lowered here, which changes no result."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str | StructType, rows: int | None = None
 ) -> DataFrame:
@@ -37,7 +52,7 @@ def map_batches(
                 else:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def pieces(texts: list[str | None], chars: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
@@ -53,6 +68,17 @@ def pieces(texts: list[str | None], chars: int = PIECE_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def column_pieces(column: pa.Array, chars: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
+    """As ``pieces``, of an Arrow column of texts by their bytes, without making Python texts."""
+    size = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
+    start, total = 0, np.cumsum(size)
+    while start < len(size):
+        before = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + chars, side="right")))
+        yield start, stop
+        start = stop
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name for a column of our own that ``df`` has no column of."""
     taken = {c.lower() for c in df.columns}

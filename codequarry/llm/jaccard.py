@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import drop_scratch, fresh, map_batches, materialize, pieces
+from .common import column_pieces, drop_scratch, fresh, map_arrow, map_batches, materialize
 
 SHINGLE = 4
 #: Percent of the union.
@@ -62,7 +62,7 @@ BROADCAST_IDS = 2_000_000
 #: Bits of a set's bitmap: a power of two of at least BITS times its size, up to MOST_BITS.
 BITS, MOST_BITS = 1, 1 << 17
 #: Sets remembered by a task, so that copies are written once.
-SEEN_SETS = 200_000
+SEEN_SETS = 100_000
 PIECE = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -256,7 +256,7 @@ def _base(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
         for batch in batches:
             id_type = batch.column(0).type
             texts = batch.column(1)
-            for a, b in pieces(texts.to_pylist(), PIECE):
+            for a, b in column_pieces(texts, PIECE):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist(), size)
                 names = [set_id(s) if len(s) else (None, None) for s in sets]
                 bits = []
@@ -285,7 +285,7 @@ def _base(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
             yield often(waiting, id_type)
 
     schema = f"doc_id {kind}, n long, node long, twin long, bits binary, shingle long, texts long"
-    return documents.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(documents.select(id_col, text_col), run, schema)
 
 
 def _index(documents: DataFrame, frequent, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _index(documents: DataFrame, frequent, id_col: str, text_col: str, size: int
         none = np.zeros(0, np.int64)
         for batch in batches:
             column = batch.column(0)
-            for a, b in pieces(column.to_pylist(), PIECE):
+            for a, b in column_pieces(column, PIECE):
                 sets, names = [], []
                 for s in shingle_sets(column.slice(a, b - a).to_pylist(), size):
                     if len(s) > 1 and (name := set_id(s)) not in seen:
@@ -321,7 +321,7 @@ def _index(documents: DataFrame, frequent, id_col: str, text_col: str, size: int
                 n = np.repeat([len(s) for s in sets], each).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*(k for k, _ in found), none])), pa.array(salt), pa.array(node), pa.array(twin), pa.array(n)], ["key", "salt", "node", "twin", "n"])
 
-    return documents.select(text_col).mapInArrow(run, "key long, salt int, node long, twin long, n int")
+    return map_arrow(documents.select(text_col), run, "key long, salt int, node long, twin long, n int")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -493,7 +493,7 @@ def _met(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if rest:
             yield from compare(*together(rest))
 
-    return dealt.mapInArrow(run, "a long, b long, gap long").distinct()
+    return map_arrow(dealt, run, "a long, b long, gap long").distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import map_arrow, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 18
@@ -374,4 +374,4 @@ def redact(documents: DataFrame, text_col: str = "text", length_col: str = "n_ch
             columns[size] = pa.array(lengths, batch.schema.field(size).type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return documents.mapInArrow(lambda batches: map(run, batches), documents.schema)
+    return map_arrow(documents, lambda batches: map(run, batches), documents.schema)

@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, scratch_dir
+from .common import drop_scratch, map_arrow, materialize, scratch_dir
 
 QUERY_BLOCK = 4096
 SEEDS = 256
@@ -174,7 +174,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id"
                 yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "v": batch.column(1), "floor": best.floor, "need": need * (1 - 1e-9)})
 
     asked = integers(vectors.where(asks), id_col, vec_col).groupBy("vec_id").agg(F.max("v").alias("v"))
-    queries = materialize(asked.mapInArrow(first, "vec_id long, v array<bigint>, floor double, need double"), "queries")
+    queries = materialize(map_arrow(asked, first, "vec_id long, v array<bigint>, floor double, need double"), "queries")
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK)
     # like least norms together: ranges of them, in blocks of about one size
@@ -218,7 +218,7 @@ def _scan(rows: DataFrame, shared, k: int, width: int) -> DataFrame:
         empty = np.zeros(0, np.int64)
         yield pa.RecordBatch.from_pydict({"query_id": np.repeat(best.ids, n), "vec_id": np.concatenate([*(x for _, x in out), empty]), "score": np.concatenate([*(s for s, _ in out), empty])})
 
-    return rows.select("vec_id", "v", "norm", "bucket").mapInArrow(run, "query_id long, vec_id long, score long")
+    return map_arrow(rows.select("vec_id", "v", "norm", "bucket"), run, "query_id long, vec_id long, score long")
 
 
 ORACLE = """

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop_scratch, map_batches, materialize
+from .common import crc_mod, drop_scratch, map_arrow, map_batches, materialize
 
 #: Labelled texts that teach the lexicon and the curve, at most.
 SAMPLE_ROWS = 20_000
@@ -261,4 +261,4 @@ def keep_clean(documents: DataFrame, lexicon: Lexicon, text_col: str = "text", c
         keep = [lex.score(t.as_py(), lex._found) < cut for t in batch.column(text_col)]
         return pa.Table.from_batches([batch]).filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(lambda batches: (b for batch in batches for b in run(batch).to_batches()), documents.schema)
+    return map_arrow(documents, lambda batches: (b for batch in batches for b in run(batch).to_batches()), documents.schema)
