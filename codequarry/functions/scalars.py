@@ -93,6 +93,28 @@ def record_type(record: Column, action: Column) -> Column:
     return F.when(record == S.USE, "reference").when(action == S.DECLARATION, "declaration").otherwise("definition")
 
 
+# Names of codes.
+ACTION_NAMES = {S.SYMBOL: ["declaration", "definition"], S.USE: ["read", "write", "address", "call"]}
+STATUS_NAMES = ["clean", "partial", "failed"]
+
+
+def action_name(record: Column, action: Column) -> Column:
+    return F.when(record == S.USE, _lookup(action, ACTION_NAMES[S.USE])).otherwise(_lookup(action, ACTION_NAMES[S.SYMBOL]))
+
+
+def parse_status(returned: Column, errors: Column, has_data: Column) -> Column:
+    """clean, partial or failed, by what a parse returned, its errors and whether it gave any rows."""
+    return F.when((returned == 0) & (errors == 0) & has_data, STATUS_NAMES[0]).when(has_data, STATUS_NAMES[1]).otherwise(STATUS_NAMES[2])
+
+
+def display_column(line: str, column: int, tab: int = 8) -> int:
+    """The column from 1 as shown, tabs going to the next multiple of ``tab``."""
+    at = 0
+    for c in line[: column - 1]:
+        at = (at // tab + 1) * tab if c == "\t" else at + 1
+    return at + 1
+
+
 def mode_string(mode: Column) -> Column:
     """A character each for address, value and pointer: ``-``, ``r``, ``w`` or ``m`` for both."""
 
@@ -236,9 +258,15 @@ def source_argument(arguments: list[str]) -> str | None:
     return found[0] if len(found) == 1 else None
 
 
+_DROPPED = r"^(-M[DMPFTQ]*|-M[FTQ].+|-W[pa],.*|-Werror.*|-o.*|-c|-save-temps.*)$"
+_WITH_NEXT = ("-o", "-MF", "-MT", "-MQ")
+
+
 def sanitise_arguments(arguments: Column) -> Column:
-    """Without dependency output, warnings as errors and outputs."""
-    return F.filter(arguments, lambda a: ~a.rlike(r"^(-M[DMP]*|-W[pa],.*|-Werror.*|-o.+|-c|-save-temps.*)$"))
+    """Without dependency output, warnings as errors and outputs, and what belongs to them as the
+    next argument."""
+    before = lambda i: F.coalesce(F.get(arguments, i - 1), F.lit(""))
+    return F.filter(arguments, lambda a, i: ~a.rlike(_DROPPED) & ~before(i).isin(*_WITH_NEXT))
 
 
 # -- output formats --------------------------------------------------------------------------

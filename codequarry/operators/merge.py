@@ -97,12 +97,13 @@ def merge(base: dict[str, DataFrame], staged: dict[str, DataFrame]) -> dict[str,
     return out
 
 
-def file_fingerprints(records: DataFrame, seq: str = "seq") -> DataFrame:
-    """SHA-256 of each file's records in order, of all and of the non-local ones. Records are hashed
-    before they meet, so that a file's group holds digests only."""
+def file_fingerprints(records: DataFrame) -> DataFrame:
+    """SHA-256 of each file's records in the record order, of all and of the non-local ones. Records
+    are hashed before they meet, so that a file's group holds digests and places only."""
     fields = [c for c in S.RECORD_COLUMNS if c not in FILE_KEY]
+    order = [c for c in S.RECORD_ORDER if c not in FILE_KEY]
     text = F.concat_ws("|", *(F.concat(F.octet_length(v), F.lit(":"), v) for v in (F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in fields)))
-    own = records.select(*FILE_KEY, "local", F.struct(F.col(seq).alias("seq"), F.sha2(text, 256).alias("d")).alias("r"))
+    own = records.select(*FILE_KEY, "local", F.struct(*order, F.sha2(text, 256).alias("d")).alias("r"))
     join = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["d"]), ","), 256)
     return own.groupBy(*FILE_KEY).agg(join(F.col("r")).alias("all_records"), join(F.when(F.col("local") == 0, F.col("r"))).alias("non_local"))
 

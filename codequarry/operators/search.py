@@ -134,6 +134,32 @@ def overlaid(records: DataFrame, overlay: DataFrame) -> DataFrame:
     return records.join(overlay.select("path").distinct(), "path", "left_anti").select(*S.RECORD_COLUMNS).unionByName(overlay.select(*S.RECORD_COLUMNS))
 
 
+def overlay_query(rows: DataFrame, symbol: str, kind: int | None = None, local: int | None = None, record: str = "all", mode: int | None = None) -> DataFrame:
+    """Rows of an open editor: names are compared as they are, modes as a whole."""
+    out = rows.where((F.col("symbol") == symbol) & record_filter(record))
+    for column, value in (("kind", kind), ("local", local), ("mode", mode)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return out
+
+
+def functions_at(found: DataFrame) -> DataFrame:
+    """The distinct functions among the records at a position."""
+    own = found.where((F.col("kind") == S.FUNCTION) & (F.coalesce("usr_id", F.lit(0)) != 0))
+    return own.select("variant", F.col("symbol").alias("name"), F.col("usr_id").alias("id")).distinct()
+
+
+def with_source(records: DataFrame, lines: DataFrame, variants: DataFrame) -> DataFrame:
+    """Records with ``source``, the text of their line without leading blanks: lines (path, line,
+    text) are named by whole paths, records by paths below their variant's root. Empty if unknown.
+    Variants are few and are broadcast up to the engine's own threshold."""
+    root = variants.select(F.col("name").alias("variant"), F.col("repository_root").alias("root"))
+    whole = F.when(F.col("root").isNull() | F.col("path").startswith("/"), F.col("path")).otherwise(F.concat_ws("/", "root", "path"))
+    own = records.join(root, "variant", "left").withColumn("whole", whole)
+    text = lines.select(F.col("path").alias("whole"), "line", F.regexp_replace("text", r"^\s+", "").alias("source"))
+    return own.join(text, ["whole", "line"], "left").withColumn("source", F.coalesce("source", F.lit(""))).select(*records.columns, "source")
+
+
 def related(records: DataFrame, symbol: str, kind: int, local: int, context: str | None = None, record: str = "all", paths: list[str] | None = None) -> DataFrame:
     """By name, kind and locality, not by id; locals within their context and paths."""
     out = records.where((F.col("symbol") == symbol) & (F.col("kind") == kind) & (F.col("local") == local))

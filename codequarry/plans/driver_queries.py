@@ -279,7 +279,7 @@ add(
     "file_fingerprint",
     "v_rec",
     f"SELECT variant, path, sha256(string_agg(d, ',' ORDER BY seq)) AS all_records, sha256(coalesce(string_agg(d, ',' ORDER BY seq) FILTER (WHERE local = 0), '')) AS non_local FROM (SELECT variant, path, local, {SEQ} AS seq, sha256({TEXT}) AS d FROM v_rec) GROUP BY variant, path",
-    lambda r: merge.file_fingerprints(r.withColumn("seq", F.row_number().over(Window.partitionBy("variant", "path").orderBy(*S.RECORD_ORDER)))),
+    merge.file_fingerprints,
 )
 
 # -- traces ----------------------------------------------------------------------------------
@@ -287,6 +287,12 @@ add("trace_phase_stats", "v_trace", "SELECT phase, count(*) AS n, CAST(sum(durat
 add("trace_distincts", "v_trace", "SELECT count(DISTINCT pid) AS processes, count(DISTINCT (command, source)) AS units FROM v_trace", trace.distincts)
 add("trace_span", "v_trace", "SELECT min(start_ns) AS start_ns, max(start_ns + duration_ns) AS end_ns FROM v_trace", trace.span)
 add("trace_share", "v_trace", "SELECT phase, CAST(sum(duration_ns) AS BIGINT) AS total_ns, CAST(coalesce(CAST(sum(duration_ns) AS BIGINT) * 100000 // nullif((SELECT CAST(sum(duration_ns) AS BIGINT) FROM v_trace WHERE phase = 'total'), 0), 0) AS BIGINT) AS share FROM v_trace GROUP BY phase", trace.shares)
+add(
+    "trace_by_total",
+    "v_trace",
+    "SELECT phase, count(*) AS n, CAST(sum(duration_ns) AS BIGINT) AS total_ns, max(duration_ns) AS max_ns, count(items_in) AS counted, CAST(coalesce(sum(items_in), 0) AS BIGINT) AS items_in, CAST(coalesce(sum(items_out), 0) AS BIGINT) AS items_out FROM v_trace GROUP BY phase ORDER BY total_ns DESC",
+    trace.phases_by_total,
+)
 FLOW = "CAST(coalesce(sum({c}) FILTER (WHERE phase = '{p}'), 0) AS BIGINT)".format
 STAGE, INSERT = "db.stage_records", "db.merge.records_insert"
 add(
@@ -326,6 +332,7 @@ NAMES = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(S.K
 CHARS = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(S.KIND_CHARS)) + " END"
 add("qualified_name", "v_rec", "SELECT DISTINCT context, symbol, CASE WHEN context <> '' THEN concat(context, '.', symbol) ELSE symbol END AS text FROM v_rec", lambda r: r.select("context", "symbol").distinct().withColumn("text", fn.qualified_name(F.col("context"), F.col("symbol"))))
 add("utf16_length", "v_lines", "SELECT doc_id, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS INTEGER) AS units FROM v_lines WHERE text IS NOT NULL", lambda d: d.where("text IS NOT NULL").select("doc_id", fn.utf16_length(F.col("text")).alias("units")))
+add("action_name", "v_rec", "SELECT DISTINCT record, action, CASE WHEN record = 1 THEN CASE action WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'address' ELSE 'call' END WHEN action = 0 THEN 'declaration' ELSE 'definition' END AS name FROM v_rec", lambda r: r.select("record", "action").distinct().withColumn("name", fn.action_name(F.col("record"), F.col("action"))))
 add("kind_names", "v_rec", f"SELECT DISTINCT kind, {NAMES} AS name, {CHARS} AS letter FROM v_rec", lambda r: r.select("kind").distinct().select("kind", fn.kind_name(F.col("kind")).alias("name"), fn.kind_char(F.col("kind")).alias("letter")))
 add("record_type", "v_rec", "SELECT CASE WHEN record = 1 THEN 'reference' WHEN action = 0 THEN 'declaration' ELSE 'definition' END AS type, count(*) AS n FROM v_rec GROUP BY 1", lambda r: r.groupBy(fn.record_type(F.col("record"), F.col("action")).alias("type")).agg(F.count("*").alias("n")))
 add("id_hex", "v_rec", "SELECT DISTINCT coalesce(usr_id, 0) AS usr_id, lpad(printf('%x', coalesce(usr_id, 0)), 16, '0') AS text FROM v_rec", lambda r: r.select(F.coalesce("usr_id", F.lit(0)).alias("usr_id")).distinct().select("usr_id", fn.id_hex(F.col("usr_id")).alias("text")))

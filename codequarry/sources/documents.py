@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codequarry import schema as S
-from codequarry.functions.scalars import id_from_hex, qualified_name
+from codequarry.functions.scalars import id_from_hex, id_hex, kind_name, leaf_name, mode_string, qualified_name
 
 _SYMBOL = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "owner", "type", "usr", "usr_id", "context", "file")] + [T.StructField(n, T.LongType()) for n in ("line", "column")] + [T.StructField(n, T.BooleanType()) for n in ("local", "definition")])
 _USE = T.StructType(
@@ -54,3 +54,31 @@ def export_commands(commands: DataFrame, variant: str) -> DataFrame:
     """One JSON object a row, by file."""
     own = commands.where(F.col("variant") == variant)
     return own.select("file", F.to_json(F.struct("directory", "file", "arguments")).alias("json")).orderBy("file")
+
+
+def export_lines(commands: DataFrame, variant: str) -> DataFrame:
+    """``value``: the lines of a whole compile_commands.json, in their order. There is one command a
+    translation unit, so that one task can number them."""
+    every = Window.orderBy("file")
+    rows = export_commands(commands, variant).withColumns({"n": F.row_number().over(every), "after": F.lead("file").over(every)})
+    lines = rows.select("n", F.concat("json", F.when(F.col("after").isNull(), "").otherwise(",")).alias("value"))
+    ends = commands.sparkSession.createDataFrame([(0, "["), ((1 << 31) - 1, "]")], "n int, value string")
+    return lines.unionByName(ends).orderBy("n").select("value")
+
+
+def to_documents(records: DataFrame) -> DataFrame:
+    """path and json: an index document for each file of record rows."""
+    named = lambda x: F.when(x == "variable", "var").otherwise(x)
+    leaf, owner = leaf_name(F.col("symbol")), F.regexp_extract("symbol", r"^(.*)\.[^.]*$", 1)
+    owned = F.when(owner != "", owner)
+    common = [leaf.alias("name"), owned.alias("owner"), F.when(F.col("usr_id").isNotNull(), id_hex(F.col("usr_id"))).alias("usr_id"), F.col("context"), F.col("path").alias("file"), "line", F.col("col").alias("column"), (F.col("local") == 1).alias("local")]
+    symbol = F.struct(named(kind_name(F.col("kind"))).alias("kind"), *common, (F.col("action") == S.DEFINITION).alias("definition"))
+    use = F.struct(_lookup_action().alias("kind"), named(kind_name(F.col("kind"))).alias("symbol_kind"), mode_string(F.col("mode")).alias("mode"), F.col("mode").alias("mode_bits"), *common, F.when(F.col("context_usr_id").isNotNull(), id_hex(F.col("context_usr_id"))).alias("context_usr_id"))
+    place = [F.col(c) for c in ("line", "col", "symbol", "kind", "mode")]
+    of = lambda record, row: F.transform(F.array_sort(F.collect_list(F.when(F.col("record") == record, F.struct(*place, row.alias("row"))))), lambda x: x["row"])
+    own = records.groupBy("path").agg(of(S.SYMBOL, symbol).alias("symbols"), of(S.USE, use).alias("uses"))
+    return own.select("path", F.to_json(F.struct(F.lit(1).alias("version"), "symbols", "uses")).alias("json"))
+
+
+def _lookup_action():
+    return F.element_at(F.array(*map(F.lit, _ACTIONS)), F.col("action") + 1)

@@ -80,3 +80,32 @@ def slowest(trace: DataFrame, k: int = 20) -> DataFrame:
 
 def medians(trace: DataFrame) -> DataFrame:
     return trace.groupBy("phase").agg(F.count("*").alias("n"), F.expr("percentile(duration_ns, 0.5)").alias("median_ns"))
+
+
+def phases_by_total(trace: DataFrame) -> DataFrame:
+    """Phase statistics, the dearest first; of equal ones that seen first."""
+    first = trace.groupBy("phase").agg(F.min("start_ns").alias("first_ns"))
+    return phase_stats(trace).join(first, "phase").orderBy(F.desc("total_ns"), "first_ns", "phase").drop("first_ns")
+
+
+def fingerprint_cache(trace: DataFrame) -> DataFrame:
+    """Files whose fingerprints were looked at and those taken from the cache."""
+    own = F.col("phase") == "fingerprint"
+    total = lambda c: F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0))
+    return trace.agg(total("items_in").alias("examined"), total("items_out").alias("reused"))
+
+
+def points_to_summary(constraints: DataFrame) -> DataFrame:
+    """Counts of function-pointer constraints: rows of kind (callsite, identified, direct or copy),
+    pointer and target."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    named = F.when(F.col("kind").isin("direct", "copy"), F.col("pointer"))
+    return constraints.agg(
+        of("callsite").alias("callsites"), of("identified").alias("identified"), of("direct").alias("direct"), of("copy").alias("copies"),
+        F.countDistinct(named).alias("pointers"), F.countDistinct(F.when(F.col("kind") == "direct", F.col("target"))).alias("functions"),
+    )
+
+
+def to_lines(trace: DataFrame) -> DataFrame:
+    """``value``: a JSON line for each row, without counters that it hasn't, to be appended as text."""
+    return trace.select(F.to_json(F.struct(*TRACE.names), {"ignoreNullFields": "true"}).alias("value"))

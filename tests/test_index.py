@@ -228,3 +228,74 @@ def test_c_records_of_broken_and_long_texts():
     start = time.time()
     extract.c_records("x y z\n" * 60_000 + "int a;\n" * 20_000 + "int f(void) { return a; }\n" * 5_000)
     assert time.time() - start < 30
+
+
+def test_further_service_pages(spark):
+    rows = [rec("f", f"{i}.c", i, action=S.CALL, kind=S.FUNCTION, context="g", usr=5, ctx=6) for i in range(5)] + [rec("f", "0.c", 9, record=0, action=1, kind=S.FUNCTION, mode=0, usr=5)]
+    types = spark.createDataFrame([("f", 7, 5, "general", f"{i}.c", "int", "int", "", -1, 0) for i in range(3)], S.SYMBOL_TYPES)
+    signature = spark.createDataFrame([("f", 5, "general", "0.c", p, "a", "int", "int", "", -1, 0, 0) for p in (1, -1, 0)], S.FUNCTION_TYPES)
+    variants = spark.createDataFrame([(n, None, "/src") for n in ("b", "a", "c")], S.VARIANTS)
+    commands = spark.createDataFrame([("general", "0.c", "/w", ["cc"])], S.COMMANDS)
+    files = spark.createDataFrame([("general", "0.c", 1, 1), ("general", "1.c", 1, 1)], S.FILES)
+    service = IndexService(spark, spark.createDataFrame(rows, S.RECORDS), workspace="/w", tables={"symbol_types": types, "function_types": signature, "variants": variants, "commands": commands, "files": files})
+
+    def all_pages(fetch, name):
+        found, cursor = [], None
+        while True:
+            page = fetch(cursor)
+            found += page[name]
+            if not page["truncated"]:
+                return found
+            cursor = page["next_cursor"]
+
+    assert [r["line"] for r in all_pages(lambda c: service.related_records("general", "f", 5, limit=2, cursor=c), "records")] == [0, 9, 1, 2, 3, 4]
+    assert [r["path"] for r in all_pages(lambda c: service.declared_types("general", "f", 7, 5, limit=2, cursor=c), "types")] == ["0.c", "1.c", "2.c"]
+    assert [r["position"] for r in service.function_signature("general", "f", 5)] == [-1, 0, 1]
+    assert [r["name"] for r in all_pages(lambda c: service.list_variants(limit=2, cursor=c), "variants")] == ["a", "b", "c"]
+    assert [r["path"] for r in all_pages(lambda c: service.calls_page("callers", "general", "f", 5, limit=2, cursor=c), "edges")] == [f"{i}.c" for i in range(5)]
+    with pytest.raises(ValueError, match="cursor does not match"):
+        service.calls_page("callers", "general", "f", 5, cursor=service_cursor())
+    present = spark.createDataFrame([("0.c", 1, 1), ("1.c", 2, 1), ("3.c", 1, 1)], "path string, mtime_ns long, size long")
+    status = {r["path"]: (r["status"], r["command_available"]) for r in service.index_status(present, ["0.c", "1.c", "3.c"], "general")}
+    assert status == {"0.c": ("Current", True), "1.c": ("Drifted", False), "3.c": ("NotIndexed", False)}
+    with pytest.raises(ValueError):
+        service.symbol_at("../etc/x", 1, 1)
+
+
+def service_cursor():
+    from codequarry.functions.scalars import encode_cursor
+
+    return encode_cursor({"variant": "general", "caller": "g", "path": "9.c", "line": 1, "col": 1})
+
+
+def test_outputs(spark, tmp_path):
+    from codequarry.functions import scalars as fn
+
+    rows = spark.createDataFrame([rec("s.f", "a.c", 2, record=0, action=1, mode=0, usr=-1), rec("v", "a.c", 3, action=1, kind=0, mode=8, usr=None, local=1)], S.RECORDS)
+    doc = documents.to_documents(rows).first()
+    (tmp_path / "d.json").write_text(doc.json)
+    again = documents.read(spark, str(tmp_path / "d.json"), "general")
+    want = {(r.symbol, r.record, r.action, r.kind, r.mode, r.line, r.col, r.usr_id, r.local) for r in rows.collect()}
+    assert {(r.symbol, r.record, r.action, r.kind, r.mode, r.line, r.col, r.usr_id, r.local) for r in again.collect()} == want
+    commands = spark.createDataFrame([("g", f, "/w", ["cc", "-c", 'a"b']) for f in ("b.c", "a.c")], S.COMMANDS)
+    whole = "\n".join(r.value for r in documents.export_lines(commands, "g").collect())
+    assert [c["file"] for c in json.loads(whole)] == ["a.c", "b.c"] and json.loads(whole)[0]["arguments"][2] == 'a"b'
+    t = spark.createDataFrame([(1, "index", "a.c", "fingerprint", 5, 7, 10, 9), (1, "index", "a.c", "total", 4, 9, None, None)], S.TRACE)
+    trace.to_lines(t).coalesce(1).write.text(str(tmp_path / "t"))
+    part = next((tmp_path / "t").glob("part-*"))
+    assert trace.read(spark, str(part)).count() == 2
+    assert tuple(trace.fingerprint_cache(t).first()) == (10, 9) and [r.phase for r in trace.phases_by_total(t).collect()] == ["total", "fingerprint"]
+    kinds = ["callsite"] * 3 + ["identified"] * 3 + ["direct"] * 2 + ["copy"]
+    c = spark.createDataFrame([(k, f"p{i % 2}", f"f{i}") for i, k in enumerate(kinds)], "kind string, pointer string, target string")
+    assert trace.points_to_summary(c).first().asDict() == {"callsites": 3, "identified": 3, "direct": 2, "copies": 1, "pointers": 2, "functions": 2}
+    lines = spark.createDataFrame([("/src/a.c", 3, "\tv = 1;")], "path string, line long, text string")
+    variants = spark.createDataFrame([("general", None, "/src")], S.VARIANTS)
+    assert {r.source for r in search.with_source(rows, lines, variants).collect()} == {"", "v = 1;"}
+    assert search.overlay_query(rows, "v", mode=8).count() == 1 and search.overlay_query(rows, "v", mode=4).count() == 0
+    f = spark.createDataFrame([rec("f", "a.c", 1, kind=S.FUNCTION, usr=5)] * 2, S.RECORDS)
+    assert [tuple(r) for r in search.functions_at(f).collect()] == [("general", "f", 5)]
+    args = spark.createDataFrame([(["cc", "-o", "x.o", "-MF", "d", "-MD", "-Werror", "-Ia", "a.c", "-c"],)], "a array<string>")
+    assert args.select(fn.sanitise_arguments(F.col("a")).alias("a")).first().a == ["cc", "-Ia", "a.c"]
+    assert fn.display_column("\ta\tb", 2) == 9 and fn.display_column("\ta\tb", 4) == 17
+    status = spark.createDataFrame([(0, 0, True), (1, 2, True), (1, 2, False)], "r int, e int, d boolean")
+    assert [x[0] for x in status.select(fn.parse_status(F.col("r"), F.col("e"), F.col("d"))).collect()] == ["clean", "partial", "failed"]
