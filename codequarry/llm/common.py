@@ -88,23 +88,27 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``, removed when the
-    session's JVM ends. Only a session on one machine may leave that unset; its warehouse serves."""
+    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``. Only a session on one
+    machine may leave that unset; its warehouse serves."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def gone_at_exit(spark: SparkSession, folder: str) -> None:
+    """Remove a written folder when the session's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return out
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 

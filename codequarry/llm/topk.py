@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, map_arrow, materialize, scratch_dir
+from .common import drop_scratch, gone_at_exit, map_arrow, materialize, scratch_dir
 
 QUERY_BLOCK = 4096
 SEEDS = 256
@@ -143,6 +143,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id"
     spark = vectors.sparkSession
     path = scratch_dir(spark, "vectors")
     integers(vectors, id_col, vec_col).withColumn("bucket", _bucket(F.col("norm"))).write.partitionBy("bucket").parquet(path)
+    gone_at_exit(spark, path)
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     kinds = "vec_id long, v array<bigint>, norm double, bucket int"
     rows = spark.read.schema(kinds).parquet(path)
