@@ -188,10 +188,11 @@ def learn(rows: DataFrame) -> Lexicon:
         x = [own.features(t.as_py(), found) for t in batch.column(0)]
         return pa.table({"y": batch.column(1), "a": pa.array([a for a, _ in x], pa.float64()), "b": pa.array([b for _, b in x], pa.float64())})
 
-    x = map_batches(rows.where("side = 1").select("t", "y"), described, "y int, a double, b double", 2_000).orderBy("y", "a", "b").toArrow()
-    y = np.asarray(x["y"], float)
+    x = map_batches(rows.where("side = 1").select("t", "y"), described, "y int, a double, b double", 2_000).toArrow()
+    x = np.stack([np.asarray(x[k], float) for k in "yab"])
+    y, a, b = x[:, np.lexsort(x[::-1])]  # in an order of their own, whatever tasks ended first
     if len(y) and 0 < y.sum() < len(y):
-        lex.curve = fit_curve(np.stack([np.ones(len(y)), *(np.minimum(np.asarray(x[k], float), MOST_WEIGHT) for k in "ab")], axis=1), y)
+        lex.curve = fit_curve(np.stack([np.ones(len(y)), np.minimum(a, MOST_WEIGHT), np.minimum(b, MOST_WEIGHT)], axis=1), y)
     return lex
 
 
