@@ -95,8 +95,32 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def _oracles() -> None:
-    from . import decontaminate, jaccard, topk
+    from . import audit, centroids, decontaminate, jaccard, topk
+
+    ORACLE_SQL["op12_filter_audit"] = audit.ORACLE
+    ORACLE_SQL["op13_centroids"] = centroids.oracle()
 
     ORACLE_SQL["op6_jaccard_join"] = jaccard.ORACLE
     ORACLE_SQL["op7_topk"] = topk.ORACLE
