@@ -20,14 +20,15 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import column_pieces, map_batches
 
 NONE = np.int64(1) << 62
-#: Words kept with their ids in each worker; the memo is emptied when full.
-MEMO_WORDS = 250_000
+#: Words kept with their ids in each worker; a full memo is set aside and words seen again come back from it.
+MEMO_WORDS = 400_000
 #: Words of up to so many symbols are merged in batches.
 BATCH_SYMBOLS = 64
 #: Code points that the tokenizer's engine counts as white space.
@@ -60,6 +61,21 @@ def composed(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
+def latin(text: str) -> bool:
+    """Whether no character lies beyond U+00FF: such text is composed, and its capitals are Unicode's."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+#: White space of str.split() that Arrow's splitting at ASCII white space doesn't know.
+_odd_space = re.compile("[\x1c-\x1f\x85\xa0]")
+#: Characters whose class may be otherwise than Unicode's.
+_late = re.compile("[^\x00-\u024f]")
+
+
 def kind_of(ch: str) -> str:
     """A character of the class (letter, number, other) that the engine has ``ch`` in."""
     if ch > "\u024f" and unicodedata.category(ch) == "Cn":
@@ -142,6 +158,8 @@ class WordBpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.memo: dict[str, bytes] = {}  # by word
         self.seen: dict[str, bytes] = {}  # by run of words without white space
+        self.old_memo: dict[str, bytes] = {}
+        self.old_seen: dict[str, bytes] = {}
 
     # -- words -------------------------------------------------------------------------------
     def chunks(self, text: str) -> list[str]:
@@ -293,39 +311,84 @@ class WordBpe:
         seen = "".join(map(kind_of, chunk))
         return [chunk[m.start() : m.end()] for m in self.word.finditer(seen)]
 
+    def cut_chunk(self, chunk: str) -> list[str]:
+        """The words of a chunk; letters, and letters before one sign, need no pattern."""
+        if _late.search(chunk):
+            return self.words(chunk)
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1:] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.word.findall(chunk)
+
     def learn_chunks(self, chunks: list[str]) -> None:
         """Put the ids of runs of words into the memo."""
-        cut = [self.word.findall(c) if c.isascii() else self.words(c) for c in chunks]
-        fresh = {w for words in cut for w in words}
-        missing = [w for w in fresh if w not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = list(fresh)
-        self.learn(missing)
-        get = self.memo.__getitem__
+        cut, memo = list(map(self.cut_chunk, chunks)), self.memo
+        missing = {w for words in cut for w in words if w not in memo}
+        known = missing & self.old_memo.keys()
+        for w in known:
+            memo[w] = self.old_memo[w]
+        self.learn(list(missing - known))
+        get = memo.__getitem__
         for chunk, words in zip(chunks, cut, strict=True):
             self.seen[chunk] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
 
+    def recall(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, learned where neither memo has them."""
+        out = list(map(self.seen.get, chunks))
+        late = [i for i, ids in enumerate(out) if ids is None]
+        missing = []
+        for i in late:
+            ids = self.old_seen.get(chunks[i])
+            if ids is None:
+                missing.append(chunks[i])
+            else:
+                self.seen[chunks[i]] = ids
+        self.learn_chunks(list(dict.fromkeys(missing)))
+        for i in late:
+            out[i] = self.seen[chunks[i]]
+        if len(self.seen) > MEMO_WORDS:
+            self.seen, self.old_seen = {}, self.seen
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.old_memo = {}, self.memo
+        return out
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Lower-case texts that ASCII white space alone cuts: each distinct chunk is looked up once,
+        and ids are gathered by array operations."""
+        if not texts:
+            return []
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = cut.flatten().dictionary_encode()
+        data = self.recall(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        ids, first = np.frombuffer(b"".join(data), "<u4"), np.cumsum(size) - size
+        index = np.asarray(words.indices)
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = ids[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[np.asarray(cut.offsets) - cut.offsets[0].as_py()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode_other(self, text: str) -> bytes:
+        """A text of any characters, with added tokens."""
+        parts = []
+        for part, special in self.segments(text):
+            parts += [np.array([self.added[part]], "<u4").tobytes()] if special else self.recall(self.chunks(part))
+        return b"".join(parts)
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        cut: list[list[tuple[list[str], bool]]] = []
-        fresh: set[str] = set()
-        for text in texts:
-            parts = [([part], True) if special else (self.chunks(part), False) for part, special in self.segments(text or "")]
-            for chunks, special in parts:
-                if not special:
-                    fresh.update(chunks)
-            cut.append(parts)
-        missing = [c for c in fresh if c not in self.seen]
-        if len(self.seen) + len(missing) > MEMO_WORDS:
-            self.seen.clear()
-            missing = list(fresh)
-        self.learn_chunks(missing)
-        get = self.seen.__getitem__
-        out = []
-        for parts in cut:
-            data = [np.array([self.added[c[0]]], "<u4").tobytes() if special else b"".join(map(get, c)) for c, special in parts]
-            out.append(data[0] if len(data) == 1 else b"".join(data))
+        out, plain, lower = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            text = text or ""
+            if (text.isascii() or latin(text)) and not _odd_space.search(text) and not any(t in text for t in self.added):
+                plain.append(i)
+                lower.append(text.lower())
+            else:
+                out[i] = self.encode_other(text)
+        for i, raw in zip(plain, self.encode_plain(lower), strict=True):
+            out[i] = raw
         return out
 
     def decode(self, ids: bytes) -> str:
