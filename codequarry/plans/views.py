@@ -53,6 +53,29 @@ SELECT user_id AS pid, CASE WHEN user_id % 2 = 0 THEN 'index' ELSE 'compiler' EN
        CASE WHEN event_type IN ('view', 'purchase') THEN event_id % 100 END AS items_in,
        CASE WHEN event_type IN ('view', 'purchase') THEN event_id % 37 END AS items_out
 FROM events
+""",
+    "v_units": """
+SELECT CAST(c_custkey AS STRING) AS key, c_custkey AS c, c_nationkey AS n, n_regionkey AS r, concat('src/c', CAST(c_custkey AS STRING), '.c') AS unit
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+""",
+    "v_sources": """
+SELECT 'general' AS variant, unit AS path, concat(
+  '#include "../include/n', CAST(n AS STRING), '.h"', chr(10), '#include "gone', CAST(c % 7 AS STRING), '.h"', chr(10),
+  'static int twice(int x) ', chr(123), ' return x + x; ', chr(125), '', chr(10), '__init int f', key, '(struct node', CAST(n AS STRING), ' *p) ', chr(123), '', chr(10),
+  '  p->key = LIMIT_', CAST(n AS STRING), ';', chr(10), '  p->run = twice;', chr(10), '  p->run(1);', chr(10),
+  '  return CALL_', CAST(r AS STRING), '(twice(p->key));', chr(10), '', chr(125), '', chr(10)) AS content
+FROM v_units
+UNION ALL
+SELECT 'general' AS variant, concat('include/n', CAST(n_nationkey AS STRING), '.h') AS path, concat(
+  '#ifndef N', CAST(n_nationkey AS STRING), '_H', chr(10), '#define N', CAST(n_nationkey AS STRING), '_H', chr(10), '#include "r', CAST(n_regionkey AS STRING), '.h"', chr(10),
+  '#define LIMIT_', CAST(n_nationkey AS STRING), ' (BASE_', CAST(n_regionkey AS STRING), ' + ', CAST(n_nationkey AS STRING), ')', chr(10),
+  'struct node', CAST(n_nationkey AS STRING), ' ', chr(123), ' int key; int (*run)(int); ', chr(125), ';', chr(10), '#endif', chr(10)) AS content
+FROM nation
+UNION ALL
+SELECT 'general' AS variant, concat('include/r', CAST(r_regionkey AS STRING), '.h') AS path, concat(
+  '#pragma once', chr(10), '#define BASE_', CAST(r_regionkey AS STRING), ' ', CAST(r_regionkey AS STRING), chr(10), 'int g', CAST(r_regionkey AS STRING), '(int);', chr(10),
+  '#define CALL_', CAST(r_regionkey AS STRING), '(x) g', CAST(r_regionkey AS STRING), '(x)', chr(10)) AS content
+FROM region
 """,
     "v_symbol_types": """
 SELECT DISTINCT f.variant, f.path, r.symbol, r.kind, r.usr_id, concat('struct ', p_type) AS declared_type,
@@ -116,6 +139,8 @@ NEEDS = {
     "v_records": ["v_dup"],
     "v_calls": ["lineitem", "v_files"],
     "v_trace": ["events"],
+    "v_units": ["customer", "nation"],
+    "v_sources": ["v_units", "nation", "region"],
     "v_symbol_types": ["v_raw", "v_files", "part"],
     "v_function_types": ["v_files", "lineitem"],
     "v_variants": ["nation", "region"],

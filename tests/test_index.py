@@ -204,12 +204,12 @@ def test_c_records():
     sym, use = S.SYMBOL, S.USE
     assert {
         (2, "s", sym, 1, 2, 0, "", 0), (2, "s.f", sym, 1, 1, 0, "", 0), (2, ":named.in", sym, 1, 1, 0, "", 0), (2, "s.u2", sym, 1, 1, 0, "", 0), (2, "s.arr", sym, 1, 1, 0, "", 0),
-        (2, "N", use, 0, 8, 4, "", 0), (3, "T.q", sym, 1, 1, 0, "", 0), (3, "T", sym, 1, 6, 0, "", 0), (4, "e", sym, 1, 4, 0, "", 0), (4, "B", sym, 1, 5, 0, "", 0), (5, "fp", sym, 1, 6, 0, "", 0),
+        (2, "N", use, 0, 8, 4, "", 0), (3, ":T", sym, 1, 2, 0, "", 0), (3, ":T.q", sym, 1, 1, 0, "", 0), (3, "T", sym, 1, 6, 0, "", 0), (4, "e", sym, 1, 4, 0, "", 0), (4, "B", sym, 1, 5, 0, "", 0), (5, "fp", sym, 1, 6, 0, "", 0),
         (6, "glob", sym, 1, 0, 0, "", 0), (6, "glob", use, 1, 0, 8, "", 0), (6, "s.f", use, 1, 1, 8, "", 0), (6, ":named.in", use, 1, 1, 8, "", 0), (6, "s", use, 0, 2, 4, "", 0),
-        (7, "g", sym, 0, 7, 0, "", 0), (9, "h", sym, 1, 7, 0, "", 0), (9, "p", sym, 1, 0, 0, "h", 1), (9, "T", use, 0, 6, 4, "", 0),
-        (10, "x", sym, 1, 0, 0, "h", 1), (10, "x", use, 1, 0, 8, "h", 1), (10, "p", use, 0, 0, 16, "h", 1), (10, "s.f", use, 0, 1, 4, "h", 0), (10, "T.q", use, 0, 1, 4, "h", 0), (10, "x", use, 2, 0, 3, "h", 1),
+        (7, "g", sym, 0, 7, 0, "", 0), (9, "h", sym, 1, 7, 0, "", 0), (9, "p", sym, 1, 0, 0, "h", 1), (9, "T", use, 0, 6, 4, "h", 1),
+        (10, "x", sym, 1, 0, 0, "h", 1), (10, "x", use, 1, 0, 8, "h", 1), (10, "p", use, 0, 0, 16, "h", 1), (10, "s.f", use, 0, 1, 4, "h", 0), (10, ":T.q", use, 0, 1, 4, "h", 0), (10, "x", use, 2, 0, 3, "h", 1),
         (11, ":named.in", use, 1, 1, 8, "h", 0), (11, "s.u1", use, 1, 1, 8, "h", 0), (12, "r", use, 0, 0, 16, "h", 1), (12, "g", use, 3, 7, 16, "h", 0), (12, "cb", use, 3, 0, 16, "h", 1),
-        (13, "g", use, 0, 7, 16, "h", 0), (13, "g", use, 2, 7, 3, "h", 0), (13, "k", use, 1, 0, 8, "h", 1), (14, "B", use, 0, 5, 4, "h", 1), (14, "glob", use, 0, 0, 4, "h", 1), (14, "s", use, 0, 2, 4, "h", 0),
+        (13, "g", use, 0, 7, 16, "h", 0), (13, "g", use, 2, 7, 3, "h", 0), (13, "k", use, 1, 0, 8, "h", 1), (14, "B", use, 0, 5, 4, "h", 1), (14, "glob", use, 0, 0, 4, "h", 1), (14, "s", use, 0, 2, 4, "h", 1),
         (15, "h", use, 3, 7, 16, "h", 0), (15, "glob", use, 2, 0, 3, "h", 1), (15, "later", use, 3, 7, 16, "h", 0), (17, "later", sym, 1, 7, 0, "", 0),
     } <= found
     calls_of_g = [r for r in rows if r[2] == "g" and r[4] == S.CALL]
