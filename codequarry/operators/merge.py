@@ -62,12 +62,18 @@ def upserted_files(files: DataFrame, staged: DataFrame) -> DataFrame:
     return files.join(new, FILE_KEY, "full").select(*FILE_KEY, F.coalesce("m2", "mtime_ns").alias("mtime_ns"), F.coalesce("s2", "size").alias("size"))
 
 
+def fresh_rows(base: DataFrame, staged: DataFrame, replaced: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Staged rows whose key no row that stays has. Of staged rows with one key the first by
+    ``order`` stays, which without one is that of all other columns."""
+    fresh = keep_first(staged, key, order or sorted(c for c in staged.columns if c not in key)).select(*base.columns)
+    kept = base.join(replaced.select(*FILE_KEY), FILE_KEY, "left_anti")
+    return fresh.join(kept.select(*key), list(key), "left_anti").select(*base.columns)
+
+
 def merged_rows(base: DataFrame, staged: DataFrame, replaced: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Base rows but those of replaced files, and staged rows whose key is not among them. Of staged
-    rows with one key the first by ``order`` stays, which without one is that of all other columns."""
+    """Base rows but those of replaced files, and the fresh ones."""
     kept = base.join(replaced.select(*FILE_KEY), FILE_KEY, "left_anti")
-    fresh = keep_first(staged, key, order or sorted(c for c in staged.columns if c not in key)).select(*base.columns)
-    return kept.select(*base.columns).unionByName(fresh.join(kept.select(*key), list(key), "left_anti"))
+    return kept.select(*base.columns).unionByName(fresh_rows(base, staged, replaced, key, order))
 
 
 def upserted_variants(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -30,14 +30,75 @@ def test_shared_header_and_replacement(spark, tmp_path):
     assert sorted((r.path, r.line) for r in store.symbol("s.f").collect()) == [("0.c", 9), ("1.c", 5), ("2.c", 5), ("h.h", 1)]
     assert store.table("files").where("path = '0.c'").first().size == 2
     n = store.version()
-    assert n == 4 and not (tmp_path / "index" / "v1").exists() and (tmp_path / "index" / "v3").exists()
-    with pytest.raises(Exception):  # a second writer of the same version
-        store._write(store.tables(), n)
+    pointers = sorted(x.name for x in (tmp_path / "index").glob("current-*"))
+    assert n == 4 and pointers == [f"current-{S.SCHEMA_VERSION}-{k}" for k in (3, 4)]
     (tmp_path / "index" / "current-3-9").write_text("")
     with pytest.raises(ValueError, match="schema"):
         store.tables()
 
 
+def test_store_writes_what_changes(spark, tmp_path):
+    root = tmp_path / "index"
+    store = IndexStore(spark, str(root))
+    many = [rec(f"sym{k % 97}", f"f{k % 200}.c", k, col=k % 60) for k in range(20_000)]
+    all_files = [(f"f{k}.c", 1, 1) for k in range(200)]
+    store.store(frames(spark, many, all_files, set()))
+
+    def size():
+        return {p: p.stat().st_size for p in (root / "data" / "records").rglob("*.parquet")}
+
+    first = size()
+    changed = [rec(f"new{k}", "f7.c", k) for k in range(100)] + [rec(f"new{k}", "f8.c", k) for k in range(100)]
+    store.store(frames(spark, changed, [("f7.c", 2, 1), ("f8.c", 1, 2)], {"f7.c", "f8.c"}))
+    fresh = {p: n for p, n in size().items() if p not in first}
+    assert first.keys() <= size().keys()  # nothing was rewritten
+    rows = spark.read.parquet(*map(str, {next(q for q in p.parents if q.name.startswith("writer=")) for p in fresh})).count()
+    assert rows == 200  # 1 % of the records
+    want = [r for r in many if r[6] not in ("f7.c", "f8.c")] + changed
+    assert sorted(store.tables()["records"].collect(), key=str) == sorted((spark.createDataFrame(want, S.RECORDS)).collect(), key=str)
+    assert store.symbol("sym3").count() == sum(r[0] == "sym3" for r in want) and store.symbol("new5").count() == 2
+    files = {r.path: (r.mtime_ns, r["size"]) for r in store.table("files").collect()}
+    assert len(files) == 200 and files["f7.c"] == (2, 1) and files["f8.c"] == (1, 2) and files["f9.c"] == (1, 1)
+    # the same file again, and a first writer's rows stay
+    store.store(frames(spark, [rec("again", "f7.c", 1)], [("f7.c", 3, 1)], {"f7.c"}))
+    store.store(frames(spark, [rec("sym9", "f9.c", 9, col=9, context="late"), rec("other", "f9.c", 1)], [("f9.c", 1, 1)], set()))
+    now = store.tables()["records"]
+    assert [r.symbol for r in now.where("path = 'f7.c'").collect()] == ["again"] and now.where("symbol = 'other'").count() == 1
+    assert now.where("path = 'f9.c' AND context = 'late'").count() == (0 if any(r[0] == "sym9" and r[6:9] == ("f9.c", 9, 9) for r in many) else 1)
+
+
+def test_store_gathers_fragments_and_survives_crashes(spark, tmp_path, monkeypatch):
+    from codequarry.plans import catalog
+
+    monkeypatch.setattr(catalog, "MOST_FRAGMENTS", 3)
+    root = tmp_path / "index"
+    store = IndexStore(spark, str(root))
+    for k in range(6):
+        store.store(frames(spark, [rec(f"s{k}", f"{k % 4}.c", k)], [(f"{k % 4}.c", k, 1)], {f"{k % 4}.c"}))
+        assert len(store._current()) <= 3
+    assert sorted(r.symbol for r in store.tables()["records"].collect()) == ["s2", "s3", "s4", "s5"]
+    listed = {x for v in store._pointers() for x in store._fragments(v)}
+    on_disk = {p.name.removeprefix("writer=") for p in (root / "data" / "records").iterdir()}
+    assert on_disk == listed
+    # a writer that ends while it writes, and one that ends at its pointer
+    left = root / "data" / "records" / "writer=7-crashed"
+    left.mkdir()
+    (left / "part-0.parquet").write_bytes(b"half")
+    (root / f"current-{S.SCHEMA_VERSION}-{store.version() + 1}").write_text("7-crashed")
+    before = store.version()
+    assert sorted(r.symbol for r in store.tables()["records"].collect()) == ["s2", "s3", "s4", "s5"]
+    store.store(frames(spark, [rec("s6", "9.c", 1)], [("9.c", 1, 1)], {"9.c"}))
+    assert store.version() == before + 2 and store.tables()["records"].count() == 5
+    assert "7-crashed" not in store.vacuum(hours=1) and store.vacuum(hours=0) == ["7-crashed"] and not left.exists()
+    # two writers of one version
+    other = IndexStore(spark, str(root))
+    monkeypatch.setattr(other, "_pointers", lambda n=store._pointers(): n)
+    store.store(frames(spark, [rec("s7", "9.c", 2)], [("9.c", 2, 1)], {"9.c"}))
+    with pytest.raises(OSError, match="another writer"):
+        other._commit(other._fragments(store._pointers()[-2]), {}, None)
+    assert store.tables()["records"].where("symbol = 's7'").count() == 1
+
+
 def test_cached_files_bring_no_rows_and_are_staged_anew(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "index"))
     store.store(frames(spark, [rec("s.f", "h.h", 1, record=0, action=1, mode=0)], [("h.h", 1, 1), ("0.c", 1, 1)], {"0.c"}))
