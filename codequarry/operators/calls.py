@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry import schema as S
@@ -97,30 +96,39 @@ class Walk:
 
 
 def walk(fetch: Callable[[tuple], Iterable[dict]], start: tuple, depth: int, limit: int = 50, nodes: int = 50) -> Walk:
-    """Breadth-first, first in first out, with edge and node limits. ``fetch(node)`` gives its
-    edges in query order, each with its ``to`` node. An edge to an ancestor is a cycle and kept;
-    an edge to a node beyond the node limit is left out."""
+    """``walk_levels`` with a query for each node."""
+    return walk_levels(lambda wanted: {n: fetch(n) for n in wanted}, start, depth, limit, nodes)
+
+
+def walk_levels(fetch: Callable[[list[tuple]], dict[tuple, Iterable[dict]]], start: tuple, depth: int, limit: int = 50, nodes: int = 50) -> Walk:
+    """Breadth-first, first in first out, with edge and node limits. ``fetch(nodes)`` is asked once
+    a level and gives each node's edges in query order, each with its ``to`` node. An edge to an
+    ancestor is a cycle and kept; an edge to a node beyond the node limit is left out."""
     if not (1 <= depth <= 16 and 1 <= limit <= 200 and 1 <= nodes <= 200):
         raise ValueError("depth, limit or nodes out of range")
     out, visited = Walk(), {start}
-    queue = deque([(start, 0, frozenset([start]))])
-    while queue and len(out.edges) <= limit:
-        node, level, above = queue.popleft()
-        if level >= depth:
-            continue
-        for edge in fetch(node):
-            to = edge["to"]
-            cycle = to in above
-            out.cycles |= cycle
-            if not cycle and to not in visited:
-                if len(visited) >= nodes:
-                    out.node_limit_hit = True
-                    continue
-                visited.add(to)
-                queue.append((to, level + 1, above | {to}))
-            out.edges.append({**edge, "depth": level + 1})
+    frontier = [(start, frozenset([start]))]
+    for level in range(1, depth + 1):
+        if not frontier or len(out.edges) > limit:
+            break
+        found, after = fetch([node for node, _ in frontier]), []
+        for node, above in frontier:
+            for edge in found.get(node, ()):
+                to = edge["to"]
+                cycle = to in above
+                out.cycles |= cycle
+                if not cycle and to not in visited:
+                    if len(visited) >= nodes:
+                        out.node_limit_hit = True
+                        continue
+                    visited.add(to)
+                    after.append((to, above | {to}))
+                out.edges.append({**edge, "depth": level})
+                if len(out.edges) > limit:
+                    break
             if len(out.edges) > limit:
                 break
+        frontier = after
     out.truncated = len(out.edges) > limit
     out.edges = out.edges[:limit]
     return out
@@ -137,6 +145,26 @@ def spark_fetch(edges: DataFrame, direction: str, most: int) -> Callable[[tuple]
     return fetch
 
 
+def frontier_fetch(edges: DataFrame, direction: str, most: int) -> Callable[[list[tuple]], dict[tuple, list[dict]]]:
+    """A ``fetch`` for ``walk_levels``: one job a level joins its nodes (their number is limited)
+    with the edges and keeps the first ``most`` of each in query order."""
+    near, far = ("caller", "callee") if direction == "callees" else ("callee", "caller")
+    columns, spark = edges.columns, edges.sparkSession
+
+    def fetch(nodes: list[tuple]) -> dict[tuple, list[dict]]:
+        asked = spark.createDataFrame([(i, *n) for i, n in enumerate(nodes)], f"turn int, variant string, {near} string, {near}_id long")
+        own = edges.join(F.broadcast(asked), ["variant", near, f"{near}_id"])
+        rank = F.row_number().over(Window.partitionBy("turn").orderBy(far, "path", "line", "col"))
+        rows = own.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("turn", "rank").collect()
+        out: dict[tuple, list[dict]] = {}
+        for r in rows:
+            if r[far] and r[f"{far}_id"]:
+                out.setdefault(nodes[r["turn"]], []).append({**{c: r[c] for c in columns}, "to": (r["variant"], r[far], r[f"{far}_id"])})
+        return out
+
+    return fetch
+
+
 def points_to(direct: DataFrame, copies: DataFrame) -> DataFrame:
     """Closure of pointer constraints: direct (pointer, target), copies (pointer, source). Only
     what the last round found is joined; it ends when a round finds nothing."""

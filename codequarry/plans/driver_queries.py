@@ -42,6 +42,13 @@ def add(name: str, views: str, oracle: str | None, plan: Callable[..., DataFrame
         ORACLE_SQL[name] = with_views(names, oracle)
 
 
+def _walked(edges: DataFrame, direction: str) -> DataFrame:
+    """The first 200 edges within two calls of a function, one job a level."""
+    found = calls.walk_levels(calls.frontier_fetch(edges, direction, 201), ("general", "fn_0", 1), 2, 200, 200).edges
+    kind = "variant string, caller string, callee string, path string, line long, col long, depth int"
+    return edges.sparkSession.createDataFrame([tuple(e[c.split()[0]] for c in kind.split(", ")) for e in found], kind)
+
+
 def records(name: str, where: str, tail: str = "", **options) -> None:
     add(name, "v_rec", f"SELECT {COLS} FROM v_rec WHERE {where} {tail}", lambda r: search.query(r, **options))
 
@@ -224,6 +231,17 @@ for way, near, far in (("callees", "caller", "callee"), ("callers", "callee", "c
         f"SELECT variant, name, id, CAST(min(depth) AS INTEGER) AS depth FROM (WITH RECURSIVE b(variant, name, id, depth) AS (SELECT 'general', 'fn_0', CAST(1 AS BIGINT), 0 UNION SELECT c.variant, c.{far}, c.{far}_id, depth + 1 FROM b JOIN v_calls c ON c.variant = b.variant AND c.{near} = b.name AND c.{near}_id = b.id WHERE depth < 3) SELECT * FROM b) GROUP BY variant, name, id",
         lambda e, way=way: calls.reachable(e, e.sparkSession.createDataFrame([("general", "fn_0", 1)], "variant string, name string, id long"), 3, way),
     )
+for way, near, far in (("callees", "caller", "callee"), ("callers", "callee", "caller")):
+    add(
+        f"walk_{way}",
+        "v_calls",
+        f"""SELECT variant, caller, callee, path, line, col, depth FROM (
+            SELECT e.*, t.depth + 1 AS depth, row_number() OVER (ORDER BY t.depth, t.turn, e.{far}, e.path, e.line, e.col) AS n FROM (
+              SELECT 'general' AS variant, 'fn_0' AS name, CAST(1 AS BIGINT) AS id, 0 AS depth, 0 AS turn
+              UNION ALL SELECT variant, {far}, {far}_id, 1, CAST(min(n) AS INTEGER) FROM (SELECT *, row_number() OVER (ORDER BY {far}, path, line, col) AS n FROM v_calls WHERE variant = 'general' AND {near} = 'fn_0' AND {near}_id = 1) WHERE {far} <> 'fn_0' GROUP BY ALL) t
+            JOIN v_calls e ON e.variant = t.variant AND e.{near} = t.name AND e.{near}_id = t.id) WHERE n <= 200""",
+        lambda e, way=way: _walked(e, way),
+    )
 #: Every edge is a constraint, a twentieth of them direct ones and all others copies, so that copies run in cycles.
 add(
     "points_to_closure",
@@ -325,7 +343,17 @@ add(
     "v_rec",
     f"""SELECT variant, path, seq, CASE WHEN prev_path IS NULL OR prev_path <> path THEN 1 ELSE 0 END AS header, symbol, record, line, col FROM (SELECT *, lag(path) OVER (PARTITION BY variant ORDER BY seq) AS prev_path, lag(concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR))) OVER (PARTITION BY variant ORDER BY seq) AS prev,
         concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR)) AS own FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY {ORDER}) AS seq FROM v_rec)) WHERE record = 0 OR prev IS NULL OR prev <> own""",
-    lambda r: source.dissect(r.withColumn("seq", F.row_number().over(Window.partitionBy("variant").orderBy(*S.RECORD_ORDER)).cast("long"))).select("variant", "path", "seq", "header", "symbol", "record", "line", "col"),
+    lambda r: source.dissect(r).select("variant", "path", "seq", "header", "symbol", "record", "line", "col"),
+)
+add(
+    "dissect_text",
+    "v_rec",
+    f"""SELECT variant, path, line, col, concat(CASE WHEN prev_path IS NULL OR prev_path <> path THEN concat(chr(10), 'FILE: ', path, chr(10), chr(10)) ELSE '' END,
+        lpad(CAST(line AS VARCHAR), CAST(greatest(4, length(CAST(line AS VARCHAR))) AS INTEGER), ' '), ':', rpad(CAST(col AS VARCHAR), CAST(greatest(3, length(CAST(col AS VARCHAR))) AS INTEGER), ' '), ' ', rpad(context, CAST(greatest(16, length(context)) AS INTEGER), ' '), ' ',
+        CASE WHEN record = 1 THEN {SQL_MODE} WHEN action = 1 THEN 'def' ELSE 'decl' END, ' ', CASE WHEN local = 1 THEN '.' ELSE ' ' END, ' ', (['v', 'm', 's', 's', 'E', 'e', 't', 'f', 'd', 'i'])[kind + 1], ' ', symbol) AS text
+        FROM (SELECT *, lag(path) OVER o AS prev_path, lag(concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR))) OVER o AS prev,
+        concat(path, ':', CAST(line AS VARCHAR), ':', CAST(col AS VARCHAR), ':', symbol, ':', CAST(record AS VARCHAR)) AS own FROM v_rec WINDOW o AS (PARTITION BY variant ORDER BY {ORDER})) WHERE record = 0 OR prev IS NULL OR prev <> own""",
+    lambda r: source.listing(source.dissect(r)).select("variant", "path", "line", "col", "text"),
 )
 add("mode_string", "v_rec", f"SELECT DISTINCT mode, {SQL_MODE} AS text FROM v_rec", lambda r: r.select("mode").distinct().select("mode", fn.mode_string(F.col("mode")).alias("text")))
 NAMES = "CASE kind " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(S.KIND_NAMES)) + " END"

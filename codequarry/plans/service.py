@@ -122,5 +122,5 @@ class IndexService:
         return search.position_service(own, candidates, line, column)
 
     def find_calls(self, direction: str, variant: str, name: str, usr_id: int, depth: int = 1, limit: int = LIMIT, nodes: int = LIMIT) -> calls.Walk:
-        fetch = calls.spark_fetch(self.edges, direction, self.bounded(limit) + 1)
-        return calls.walk(fetch, (self.chosen(variant), name, usr_id), depth, limit, nodes)
+        fetch = calls.frontier_fetch(self.edges, direction, self.bounded(limit) + 1)
+        return calls.walk_levels(fetch, (self.chosen(variant), name, usr_id), depth, limit, nodes)

@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry import schema as S
+from codequarry.functions import scalars
+from codequarry.plans.scratch import cut
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """file, line from 1, value of text files that are read in as many tasks as they have splits.
+    Rows of a split are numbered one after another by the engine; what the splits before it hold is
+    a running sum over splits."""
+    rows = spark.read.text(path, lineSep="\n").select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    split = ["file_path", "file_block_start"]
+    counts = rows.groupBy(*split).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("file_block_start")) - F.col("n")
+    found = rows.join(counts.select(*split, "first", before.alias("before")), split)
+    return found.select(F.col("file_path").alias("file"), (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
+def ranked(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``seq`` (from 1, by ``order`` within the group) and ``part``: ranges of group
+    and order are numbered by themselves, and what the ranges before hold is added, so that no task
+    has a whole group."""
+    dealt = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("part", F.spark_partition_id())
+    dealt = cut(dealt, "ranges")
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("part")) - F.col("n")
+    counts = dealt.groupBy(group, "part").agg(F.count("*").alias("n")).select(group, "part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))
+    return dealt.withColumn("own", own).join(counts, [group, "part"]).withColumn("seq", (F.col("before") + F.col("own")).cast("long")).drop("before", "own")
 
 
 def lines(files: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,11 +49,33 @@ def line_range(rows: DataFrame, first: int, last: int, budget: int, id_col: str
     return rows.where(F.col("line").between(first, last)).withColumn("used", used).where(F.col("used") <= budget).drop("used")
 
 
-def dissect(records: DataFrame) -> DataFrame:
-    """Records in order (``seq`` within a variant), with ``header`` where the file changes, and
-    without uses that repeat the record just before them."""
-    own = Window.partitionBy("variant").orderBy("seq")
+def dissect(records: DataFrame, order: Sequence[str] = S.RECORD_ORDER[1:]) -> DataFrame:
+    """Records of each variant in order, with ``seq``, with ``header`` where the file changes, and
+    without uses that repeat the record just before them. A range's first record is held against the
+    last one of the range before, which is carried along."""
+    rows = ranked(records, "variant", order)
     key = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"), "symbol", F.col("record").cast("string"))
-    out = records.withColumns({"before": F.lag("path").over(own), "key": key}).withColumn("same", F.lag("key").over(own).eqNullSafe(F.col("key")))
-    header = F.when(F.col("before").eqNullSafe(F.col("path")), 0).otherwise(1)
-    return out.withColumn("header", header).where((F.col("record") == S.SYMBOL) | ~F.col("same")).drop("before", "key", "same")
+    rows = rows.withColumn("at", F.struct("path", key.alias("key")))
+    last = rows.groupBy("variant", "part").agg(F.max_by("at", "seq").alias("last"))
+    carried = last.select("variant", "part", F.lag("last").over(Window.partitionBy("variant").orderBy("part")).alias("carried"))
+    own = Window.partitionBy("variant", "part").orderBy("seq")
+    before = F.coalesce(F.lag("at").over(own), F.col("carried"))
+    out = rows.join(carried, ["variant", "part"]).withColumn("before", before)
+    header = F.when(F.col("before.path").eqNullSafe(F.col("path")), 0).otherwise(1)
+    repeats = F.col("before.key").eqNullSafe(F.col("at.key"))
+    return out.withColumn("header", header).where((F.col("record") == S.SYMBOL) | ~repeats).drop("before", "at", "carried", "part")
+
+
+def listing(dissected: DataFrame) -> DataFrame:
+    """``text`` of each listed record, behind its file's heading where the file changes; ``type``
+    may give what is declared."""
+    action = F.when(F.col("record") == S.USE, scalars.mode_string(F.col("mode"))).when(F.col("action") == S.DEFINITION, "def").otherwise("decl")
+    own = F.when(F.col("local") == 1, ".").otherwise(" ")
+    kind = scalars.kind_char(F.col("kind"))
+    line = F.format_string("%4d:%-3d %-16s %s %s %s ", "line", "col", "context", action, own, kind)
+    name = F.col("symbol")
+    if "type" in dissected.columns:
+        wide = F.when(F.length("symbol") < 32, F.rpad("symbol", 32, " ")).otherwise(name)
+        name = F.when(F.coalesce(F.col("type"), F.lit("")) == "", name).otherwise(F.concat(wide, F.lit(" "), F.col("type")))
+    heading = F.when(F.col("header") == 1, F.concat(F.lit("\nFILE: "), "path", F.lit("\n\n"))).otherwise("")
+    return dissected.withColumn("text", F.concat(heading, line, name))

@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.schema import TRACE
+from codequarry.sources.text import numbered
 
 NEEDED, COUNTERS = TRACE.names[:6], TRACE.names[6:]
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their numbers: the file is one row, so numbers are its own."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("i", "value")).select((F.col("i") + 1).alias("line"), "value")
-
-
 def checked(text: DataFrame) -> DataFrame:
     """The trace columns, with ``valid`` for lines of exactly the known keys, once each, with
     non-negative whole numbers and non-empty strings."""
@@ -30,16 +25,17 @@ def checked(text: DataFrame) -> DataFrame:
     valid = plain | counted
     for test in (*whole, *counts, *words):
         valid = valid & test
-    return text.select("line", F.coalesce(valid, F.lit(False)).alias("valid"), row.alias("r")).select("line", "valid", "r.*")
+    return text.select("file", "line", F.coalesce(valid, F.lit(False)).alias("valid"), row.alias("r")).select("file", "line", "valid", "r.*")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a trace; a bad line fails with its number."""
-    found = checked(lines(spark, path))
-    bad = found.where(~F.col("valid")).agg(F.min("line")).first()[0]
+    found = checked(numbered(spark, path))
+    bad = found.where(~F.col("valid")).agg(F.min(F.struct("file", "line"))).first()[0]
     if bad is not None:
-        raise ValueError(f"{path}: line {bad} is malformed")
-    return found.select(*TRACE.names)
+        raise ValueError(f"{bad['file']}: line {bad['line']} is malformed")
+    # once all lines are good their numbers aren't needed
+    return checked(spark.read.text(path, lineSep="\n").select(F.lit("").alias("file"), F.lit(0).alias("line"), "value")).select(*TRACE.names)
 
 
 def phase_stats(trace: DataFrame) -> DataFrame:

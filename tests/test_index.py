@@ -166,6 +166,83 @@ def test_walk_limits_and_cycles():
         calls.walk(fetch, 1, 17)
 
 
+def test_walk_by_frontier_is_the_walk_by_node(spark):
+    import random
+
+    tracker = spark.sparkContext.statusTracker()
+    for seed in range(6):
+        r = random.Random(seed)
+        n = r.choice([4, 12, 40])
+        rows = {("g", f"n{a}", a, f"n{b}", b, f"p{r.randint(0, 2)}", r.randint(1, 9), 1) for a, b in ((r.randint(1, n), r.randint(1, n)) for _ in range(3 * n))}
+        rows |= {("h", "n1", 1, "n2", 2, "p", 1, 1), ("g", "n1", 1, "", 0, "p", 1, 1), ("g", "n2", None, "n1", 1, "p", 1, 1)}
+        edges = spark.createDataFrame(sorted(rows, key=str), "variant string, caller string, caller_id long, callee string, callee_id long, path string, line long, col long").coalesce(1).cache()
+        for direction in ("callees", "callers"):
+            depth, limit, nodes = r.randint(1, 5), r.choice([3, 20, 200]), r.choice([2, 5, 200])
+            want = calls.walk(calls.spark_fetch(edges, direction, limit + 1), ("g", "n1", 1), depth, limit, nodes)
+            spark.sparkContext.setJobGroup(f"walk{seed}{direction}", "")
+            got = calls.walk_levels(calls.frontier_fetch(edges, direction, limit + 1), ("g", "n1", 1), depth, limit, nodes)
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            assert got == want, (seed, direction)
+            assert len(tracker.getJobIdsForGroup(f"walk{seed}{direction}")) <= 4 * depth  # a few stages of one query a level
+
+
+def test_numbers_over_splits(spark, tmp_path):
+    good = {"pid": 1, "command": "index", "source": "a.c", "phase": "total", "start_ns": 5, "duration_ns": 7}
+    rows = [json.dumps({**good, "start_ns": k, "source": "é" * (k % 40) + "x"}) for k in range(5_000)]
+    rows[3_210] = rows[3_210].replace("1", "-1", 1) + " "
+    p = tmp_path / "t.jsonl"
+    p.write_text("\n".join(rows) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = text.numbered(spark, str(p))
+        assert spark.read.text(str(p)).rdd.getNumPartitions() > 10
+        assert sorted((r.line, r.value) for r in found.collect()) == list(enumerate(rows, 1))
+        with pytest.raises(ValueError, match="line 3211"):
+            trace.read(spark, str(p))
+        rows[3_210] = rows[0]
+        p.write_text("\n".join(rows))
+        assert trace.read(spark, str(p)).count() == 5_000
+        p.write_text("\n".join(rows[:100]) + "\n\n" + "\n".join(rows[100:]))
+        with pytest.raises(ValueError, match="line 101"):
+            trace.read(spark, str(p))
+        (tmp_path / "none").write_text("")
+        assert text.numbered(spark, str(tmp_path / "none")).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_listing_over_ranges(spark):
+    rows = [rec(f"s{k // 3 % 5}", f"p{k // 400}", k // 6 + 1, col=5, record=int(k % 7 > 0), action=k % 2, mode=k % 3, context="f" * (k % 20), variant="ab"[k % 2 if k > 50 else 0]) for k in range(2_000)]
+    r = spark.createDataFrame(rows, S.RECORDS)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small ranges are joined
+        listed = text.listing(text.dissect(r)).collect()
+        assert text.ranked(r, "variant", S.RECORD_ORDER[1:]).select("part").distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = []
+    for variant in "ab":
+        before = None
+        ordered = sorted((x for x in r.collect() if x.variant == variant), key=lambda x: [x[c] for c in S.RECORD_ORDER])
+        for i, x in enumerate(ordered, 1):
+            key = (x.path, x.line, x.col, x.symbol, x.record)
+            if x.record == 0 or before != key:
+                want.append((variant, i, int(before is None or before[0] != x.path)))
+            before = key
+    assert sorted((x.variant, x.seq, x.header) for x in listed) == sorted(want)
+    one = spark.createDataFrame([rec("S.f", "a.c", 12, col=3, record=1, mode=8, context="main", local=1)], S.RECORDS)
+    first = text.listing(text.dissect(one)).first().text
+    assert first == "\nFILE: a.c\n\n  12:3   main             -w- . m S.f"
+    typed = text.listing(text.dissect(one).withColumn("type", F.lit("int"))).first().text
+    assert typed.endswith(". m S.f" + " " * 30 + "int")
+
+
 def test_calls_on_spark(spark):
     edges = spark.createDataFrame([("g", "a", 1, "b", 2, "f", 1, 1), ("g", "b", 2, "a", 1, "f", 2, 1), ("g", "b", 2, "c", None, "f", 3, 1)], "variant string, caller string, caller_id long, callee string, callee_id long, path string, line long, col long")
     start = spark.createDataFrame([("g", "a", 1)], "variant string, name string, id long")
