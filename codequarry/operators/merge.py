@@ -65,7 +65,7 @@ def upserted_files(files: DataFrame, staged: DataFrame) -> DataFrame:
 def fresh_rows(base: DataFrame, staged: DataFrame, replaced: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Staged rows whose key no row that stays has. Of staged rows with one key the first by
     ``order`` stays, which without one is that of all other columns."""
-    fresh = keep_first(staged, key, order or sorted(c for c in staged.columns if c not in key)).select(*base.columns)
+    fresh = keep_first(staged, key, order or sorted(c for c in staged.columns if c not in key) or list(key)).select(*base.columns)
     kept = base.join(replaced.select(*FILE_KEY), FILE_KEY, "left_anti")
     return fresh.join(kept.select(*key), list(key), "left_anti").select(*base.columns)
 

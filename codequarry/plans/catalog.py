@@ -127,6 +127,11 @@ class IndexStore:
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name).select(*kind.names) for name, kind in S.TABLES.items()}
 
+    def added(self, n: int) -> dict[str, int]:
+        """How many rows the fragment of a version holds, by table."""
+        own = [x for x in self._fragments(n) if x.startswith(f"{n}-")]
+        return {name: self._read(name, own).count() for name in OF_FILES}
+
     def symbol(self, name: str) -> DataFrame:
         """Records of one symbol: its bucket's folders only, and row groups by the sorted symbol."""
         return self._live("records", self._current(), name).where(F.col("symbol") == name).select(*S.RECORDS.names)

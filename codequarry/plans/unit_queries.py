@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from codequarry import schema as S
 from codequarry.operators import calls
+from codequarry.plans.catalog import IndexStore
+from codequarry.plans.scratch import folder
+from codequarry.plans.update import update
 from codequarry.plans.views import frame, with_views
 from codequarry.sources import extract
 
@@ -127,3 +130,22 @@ def _targets(t: dict[str, DataFrame]) -> DataFrame:
 
 
 add("c_points_to", f", {UNITS} SELECT concat(node, '.run') AS symbol, count(*) AS targets FROM u GROUP BY node", _targets)
+
+
+def c_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a new index by table and record kind, read back from the store."""
+    sources = frame(spark, sf_dir, "v_sources")
+    store = IndexStore(spark, folder(spark, "index"))
+    update(store, sources, sources.where("path LIKE 'src/%'"))
+    table = lambda name, kind: store.table(name).select(F.lit(name).alias("name"), kind.alias("kind"))
+    rows = table("records", F.col("kind")).unionByName(table("symbol_types", F.col("kind"))).unionByName(table("function_types", F.col("position"))).unionByName(table("files", F.lit(0)))
+    return rows.groupBy("name", "kind").agg(F.count("*").alias("n"))
+
+
+QUERIES["c_update"] = c_update
+ORACLE_SQL["c_update"] = with_views(
+    ["v_units"],
+    f""", {UNITS}, t({', '.join(COLUMNS)}) AS ({RECORDS}), y(path, symbol, kind, position, name, declared_type, type_symbol, type_kind) AS ({TYPES})
+SELECT 'records' AS name, kind, count(*) AS n FROM t GROUP BY kind UNION ALL SELECT 'symbol_types', kind, count(*) FROM y WHERE position = -2 GROUP BY kind
+UNION ALL SELECT 'function_types', position, count(*) FROM y WHERE position > -2 GROUP BY position UNION ALL SELECT 'files', 0, (SELECT count(*) FROM u) + (SELECT count(*) FROM h) + (SELECT count(*) FROM g)""",
+)

@@ -232,11 +232,10 @@ def _defined(defines: list[str]) -> dict[str, str]:
     return out
 
 
-def index(sources: DataFrame, units: DataFrame, commands: DataFrame | None = None, scope: str = "project", details: bool = True) -> dict[str, DataFrame]:
-    """Tables of units (variant, path of sources) read with what they include: records,
-    symbol_types, function_types, diagnostics, points (constraints) and status. scope: "file" keeps
-    rows of the units themselves, "project" those of every file. Without ``details``, uses other than
-    calls have no id.
+def read_units(sources: DataFrame, units: DataFrame, commands: DataFrame | None = None, scope: str = "project", partial: bool = True) -> DataFrame:
+    """The rows of all tables of units (variant, path of sources) read with what they include, in
+    one written table (WIDE). scope: "file" keeps rows of the units themselves, "project" those of
+    every file. ``partial``: rows of included files may come from units with diagnostics.
 
     A unit's files come to one task one after another; what a task holds is one unit's texts and
     the tokens kept for the next. Files whose content is null are empty; a unit that isn't in
@@ -256,7 +255,7 @@ def index(sources: DataFrame, units: DataFrame, commands: DataFrame | None = Non
         def finish() -> Iterator[pa.RecordBatch]:
             out = []
             if at is not None and at[1] in files.texts:
-                _unit_rows(*at, files, found, define, scope, done, out)
+                _unit_rows(*at, files, found, define, scope, partial, done, out)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, (_, kind) in zip(zip(*out, strict=True), columns, strict=True)], names=[c for c, _ in columns])
 
@@ -271,9 +270,19 @@ def index(sources: DataFrame, units: DataFrame, commands: DataFrame | None = Non
         yield from finish()
 
     dealt = rows.repartition("variant", "unit").sortWithinPartitions("variant", "unit", "path")
-    wide = cut(dealt.select("variant", "unit", "path", "content", "includes", "defines").mapInArrow(run, WIDE), "units")
-    # of the units that gave rows of a file, the first
-    first = wide.where("what IN ('records', 'symbol_types', 'function_types')").groupBy("variant", "path").agg(F.min("unit").alias("unit"))
+    return cut(dealt.select("variant", "unit", "path", "content", "includes", "defines").mapInArrow(run, WIDE), "units")
+
+
+def index(sources: DataFrame, units: DataFrame, commands: DataFrame | None = None, scope: str = "project", details: bool = True) -> dict[str, DataFrame]:
+    """``tables`` of the rows of ``read_units``."""
+    return tables(read_units(sources, units, commands, scope), details)
+
+
+def tables(wide: DataFrame, details: bool = True) -> dict[str, DataFrame]:
+    """records, symbol_types, function_types, files (with the unit that gives their rows),
+    diagnostics, points (constraints) and status. Without ``details``, uses other than calls have no
+    id. Of the units that gave rows of a file, the first counts."""
+    first = wide.where("what = 'files'").groupBy("variant", "path").agg(F.min("unit").alias("unit"))
     kept = wide.join(first, ["variant", "path", "unit"], "left_semi")
     table = lambda name, schema: kept.where(F.col("what") == name).select("seq", *schema.names)
     records = table("records", S.RECORDS)
@@ -284,13 +293,14 @@ def index(sources: DataFrame, units: DataFrame, commands: DataFrame | None = Non
         "records": records,
         "symbol_types": table("symbol_types", S.SYMBOL_TYPES),
         "function_types": table("function_types", S.FUNCTION_TYPES),
+        "files": first,
         "diagnostics": wide.where("what = 'diagnostics'").select("variant", "unit", "path", "line", "col", F.col("name").alias("message")).distinct(),
         "points": wide.where("what = 'points'").select("variant", "unit", F.col("name").alias("constraint"), F.col("usr_id").alias("pointer"), F.col("context_usr_id").alias("source")),
         "status": wide.where("what = 'status'").select("variant", "unit", F.col("name").alias("status")),
     }
 
 
-def _unit_rows(variant: str, unit: str, files: Files, found: dict, define: dict, scope: str, done: set, out: list) -> None:
+def _unit_rows(variant: str, unit: str, files: Files, found: dict, define: dict, scope: str, partial: bool, done: set, out: list) -> None:
     """The rows of one unit; of other files those that no unit before it in this task has given."""
     own = UnitRows(unit, files, found, define)
     if unit.endswith((".S", ".s")):
@@ -298,7 +308,9 @@ def _unit_rows(variant: str, unit: str, files: Files, found: dict, define: dict,
             key = (unit, symbol, record, action, kind, mode, line, col, context)
             own.records.setdefault(key, dict(path=unit, symbol=symbol, record=record, action=action, kind=kind, mode=mode, line=line, col=col, context=context, local=local))
     given = {p for p in own.unit.files if p != unit and (scope == "file" or (variant, p) in done)}
-    done |= {(variant, p) for p in own.unit.files}
+    status = own.status()
+    if status == "clean" or status == "partial" and partial:
+        done |= {(variant, p) for p in own.unit.files}
     names = [c.split()[0] for c in WIDE.split(", ")]
 
     def put(what: str, i: int, row: dict) -> None:
@@ -313,4 +325,7 @@ def _unit_rows(variant: str, unit: str, files: Files, found: dict, define: dict,
         put("diagnostics", i, dict(path=path, line=line, col=col, name=message))
     for i, (how, pointer, source) in enumerate(own.points):
         put("points", i, dict(name=how, usr_id=usr_number(pointer), context_usr_id=usr_number(source)))
-    put("status", 0, dict(name=own.status()))
+    for path in own.unit.files:
+        if path not in given:
+            put("files", 0, dict(path=path))
+    put("status", 0, dict(name=status))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from codequarry import schema as S
 from codequarry.operators import calls
-from codequarry.plans import unit_queries
+from codequarry.plans import unit_queries, update
+from codequarry.plans.catalog import IndexStore
 from codequarry.sources import extract, includes
 from codequarry.sources.cpp import Unit, lines
 from test_oracles import DATA, duck, rows  # noqa: F401
@@ -157,6 +158,54 @@ def test_units_over_files(spark):
     assert extract.index(sources, units.where("false"))["records"].count() == 0
 
 
+def test_update_from_sources_to_a_version(spark, tmp_path):
+    def frame(**text):
+        return spark.createDataFrame([("v", p.replace("_c", ".c").replace("_h", ".h"), t, 1) for p, t in text.items()], "variant string, path string, content string, mtime_ns long")
+
+    sources = frame(a_c='#include "h.h"\nint a(void) { return 1; }\n', b_c='#include "h.h"\n#include "gone.h"\nint b(void) { return a(); }\n#ifdef D\nint d;\n#endif\n', h_h="int a(void);\nint shared;\n", e_c="\n")
+    units = spark.createDataFrame([("v", "a.c"), ("v", "b.c"), ("v", "e.c"), ("v", "no.c")], "variant string, path string")
+    commands = spark.createDataFrame([("v", "b.c", "/d", ["cc", "-DD"], 0), ("v", "b.c", "/d", ["cc"], 1)], "variant string, file string, directory string, arguments array<string>, seq int")
+    variants = spark.createDataFrame([("v", None, "/root")], S.VARIANTS)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    state = lambda u: {(r.unit, r.status, r.stage, r.stored) for r in u.units.collect()}
+    failed = {("e.c", "failed", "frontend", False), ("no.c", "failed", "frontend", False)}
+    # partial units come back, and leave the index alone
+    first = update.update(store, sources, units, commands, update.RETURN, variants)
+    assert state(first) == {("a.c", "clean", None, True), ("b.c", "partial", None, False)} | failed
+    assert {r.path for r in store.table("files").collect()} == {"a.c", "h.h"} and store.table("commands").count() == 0
+    assert {r.symbol for r in first.partial["records"].where("path = 'b.c' AND record = 0").collect()} == {"b", "d"}
+    assert first.counters["records"] == store.table("records").count() and first.counters["records_in"] == first.counters["records"]
+    # partial units are stored, the shared header keeps its rows, and nothing comes twice
+    n = store.version()
+    second = update.update(store, sources, units, commands)
+    assert state(second) == {("a.c", "clean", None, True), ("b.c", "partial", None, True)} | failed and second.version == n + 1
+    files = {r.path: (r.mtime_ns, r["size"]) for r in store.table("files").collect()}
+    assert files["h.h"] == (1, 25) and set(files) == {"a.c", "b.c", "h.h"} and store.table("commands").first().arguments == ["cc", "-DD"]
+    assert store.table("records").where("symbol = 'shared'").count() == 1 and store.table("variants").first().repository_root == "/root"
+    id_ = extract.usr_number("c:@F@a")
+    assert [r.caller for r in calls.callers(calls.call_edges(store.tables()["records"]), "a", id_).collect()] == ["b"]
+    assert store.table("file_fingerprints").count() >= 3 and store.table("function_types").where("symbol = 'a'").count() >= 1
+    # a changed file again, by its saved command
+    sources = frame(b_c='#ifdef D\nint dd;\n#endif\n', h_h="")
+    third = update.reindex(store, sources, "v", "b.c")
+    assert state(third) == {("b.c", "clean", None, True)} and [r.symbol for r in store.table("records").where("path = 'b.c' AND kind = 0").collect()] == ["dd"]
+    assert store.table("records").where("path = 'a.c'").count() > 0
+    # only output, and nothing that could be kept
+    n = store.version()
+    assert update.update(store, sources, units, output_only=True).version is None and update.update(store, sources.where("false"), units).version is None and store.version() == n
+    # a writer that always loses
+    class Loser(IndexStore):
+        def _commit(self, *_):
+            raise OSError("another writer")
+
+    lost = update.update(Loser(spark, str(tmp_path / "index")), sources, units.where("path = 'b.c'"))
+    assert state(lost) == {("b.c", "clean", "symbol_database", False)}
+    with pytest.raises(ValueError):
+        update.update(store, sources, units, policy="else")
+    local = update.update(IndexStore(spark, str(tmp_path / "other")), frame(a_c="int f(int x) { return x; }"), units.where("path = 'a.c'"), include_local=False)
+    assert local.counters["records"] == 1
+
+
 def test_normal_paths(spark):
     cases = {"a/./b//c": "a/b/c", "../x": "../x", "a/../../b": "../b", "/a/../b": "/b", "a/b/..": "a", "": "", "./a": "a"}
     df = spark.createDataFrame(list(cases.items()), "path string, want string")
