@@ -28,7 +28,7 @@ from .common import column_pieces, map_batches
 
 NONE = np.int64(1) << 62
 #: Words kept with their ids in each worker; a full memo is set aside and words seen again come back from it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 #: Words of up to so many symbols are merged in batches.
 BATCH_SYMBOLS = 64
 #: Code points that the tokenizer's engine counts as white space.
