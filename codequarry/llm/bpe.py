@@ -29,6 +29,8 @@ from .common import column_pieces, map_batches
 NONE = np.int64(1) << 62
 #: Words kept with their ids in each worker; a full memo is set aside and words seen again come back from it.
 MEMO_WORDS = 120_000
+#: Texts of about so many characters are encoded at once: words repeat among them, arrays stay small.
+TEXT_CHARS = 1_000_000
 #: Words of up to so many symbols are merged in batches.
 BATCH_SYMBOLS = 64
 #: Code points that the tokenizer's engine counts as white space.
@@ -426,7 +428,7 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         bpe = load(spec.value)
         texts = batch.column(1)
         ids, decoded = [], []
-        for a, b in column_pieces(texts):
+        for a, b in column_pieces(texts, TEXT_CHARS):
             for raw in bpe.encode_batch(texts.slice(a, b - a).to_pylist()):
                 ids.append(np.frombuffer(raw, "<u4").astype(np.int32))
                 decoded.append(bpe.decode(raw))
@@ -444,7 +446,7 @@ def digests(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
         bpe = load(spec.value)
         texts = batch.column(1)
         n, of_ids, of_text = [], [], []
-        for a, b in column_pieces(texts):
+        for a, b in column_pieces(texts, TEXT_CHARS):
             for raw in bpe.encode_batch(texts.slice(a, b - a).to_pylist()):
                 n.append(len(raw) // 4)
                 of_ids.append(hashlib.sha256(raw).hexdigest())
