@@ -22,10 +22,13 @@ def rolling_stats(stream: DataFrame, window: str = "1 minute", late: str = "5 mi
 
 
 def merge_stream(spark: SparkSession, folder: str, store: IndexStore, variant: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of index documents is merged; the files of a document count as main."""
+    """Each batch of index documents is merged; the files of a document count as main, so that a batch
+    that comes again after a failure replaces its rows by the same. Other versions are refused."""
 
     def batch(df: DataFrame, _: int) -> None:
-        rows = documents.records(df.where(F.col("version") == 1), variant)
+        if not df.where(~F.col("version").eqNullSafe(F.lit(1))).isEmpty():
+            raise ValueError("index document version is not 1")
+        rows = documents.records(df, variant)
         files = rows.select("variant", "path").distinct().withColumns({"mtime_ns": F.lit(0).cast("long"), "size": F.lit(0).cast("long"), "is_main": F.lit(1)})
         store.store({"files": files, "records": rows})
 
