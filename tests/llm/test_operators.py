@@ -1,4 +1,5 @@
 import hashlib
+import html
 import itertools
 import math
 import random
@@ -484,6 +485,39 @@ def test_html_names_are_judged_whole():
         assert text(f"<article><p>{w(30)}<div class='{name}'><p>{w(25)}</div><p>{w(20)}</article>") == f"{w(30)}\n{w(20)}"
 
 
+def test_html_densities_outweigh_names():
+    tree = html_text.grow(html_text.labelled_blocks())
+    w = lambda n: " ".join(["word"] * n)
+    sizes = lambda h: [len(x.split()) for x in html_text.main_text(h, tree).split("\n")]
+    assert sizes(f"<article class='post tag-news tags'><p>{w(30)}<p>{w(20)}</article>") == [30, 20]
+    assert sizes(f"<div class='search'><article><p>{w(30)}<p>{w(20)}</article></div>") == [30, 20]
+    assert sizes(f"<article><p>{w(30)}<p class='market share'>{w(12)}<p>{w(20)}</article>") == [30, 12, 20]
+    assert sizes(f"<article><p>{w(30)}<ul><li><a>{w(3)}</a><li><a>{w(2)}</a></ul><p>{w(20)}</article>") == [30, 3, 2, 20]
+    assert sizes(f"<form><p>{w(20)}</p></form><article><p>{w(50)}</article>") == [50]
+    assert html_text.main_text(f"<form><p>{w(20)}</p></form>", tree) == ""
+    for name in ("ad", "menu", "related", "sidebar", "widget", "search", "tags"):
+        assert sizes(f"<div class='{name}'><article><h1>{w(4)}</h1><p>{w(40)}<p>{w(5)}</article></div>") == [4, 40, 5]
+        assert sizes(f"<article class='{name}'><h1>{w(4)}</h1><p>{w(40)}<p>{w(5)}</article>") == [4, 40, 5]
+    # without any class, id or role the same blocks are found
+    nameless = lambda pages: re.sub(r" (?:class|id|role)=(?:'[^']*'|[^\s>]+)", "", pages)
+    for pages in (html_text.LABELLED, OTHER_PAGES):
+        rows = html_text.labelled_blocks(nameless(pages))
+        right = sum(html_text.is_main(tree, x) and y for x, y in rows)
+        assert 2 * right >= 0.9 * (sum(html_text.is_main(tree, x) for x, _ in rows) + sum(y for _, y in rows))
+
+
+def test_html_of_the_table_is_the_article(spark):
+    """Every text of the small table against its article cut out by plain patterns."""
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        lines = re.sub(r"</?(?:p|h1)>", "\n", re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")).split("\n")
+        want[r.page_id] = "\n".join(x for line in lines if (x := " ".join(html.unescape(re.sub(r"<[^>]+>", "", line)).split())))
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+    bare = pages.withColumn("html", F.regexp_replace("html", ' class="ad"', ""))
+    assert {r.page_id: r.text for r in html_text.extract(bare).collect()} == want
+
+
 def test_html_of_open_heads_and_empty_drawings():
     body = "<article><h1>A title</h1><p>One two three.</p></article>"
     script = "<script>var x = '<div>';</script>"
