@@ -1,8 +1,9 @@
 """Secret scans with a random forest that removes false positives, by built-in functions only.
 
-Candidates are values announced by a secret's name and a separator, of any signs and at least
-LEAST_ANNOUNCED characters, and runs of at least LEAST_LENGTH characters of secrets' alphabets,
-which end at an inner "=". Their features (length, shares of digits and capitals, mean
+Candidates are values announced by a secret's name and a separator, by "Bearer" or by a user in an
+address (scheme://user:value@), of any signs and at least LEAST_ANNOUNCED characters, and runs of at
+least LEAST_LENGTH characters of secrets' alphabets, which end at an inner "=". A comma or semicolon
+belongs to a value unless a blank, a quote or another name with a separator follows. Their features (length, shares of digits and capitals, mean
 log-likelihood of the transitions between characters, changes of kind, distinct characters,
 coverage by a dictionary of word parts, a path, the words before and after) are SQL expressions.
 The forest is trained on a labelled table (``labelled``: FINDINGS rows, real forms of secrets and
@@ -42,10 +43,14 @@ WORDS = "about after again all and any application are available back because be
 
 _names = "|".join(SECRET_NAMES.split())
 #: An announced value (group 1), or a run; the name before the value belongs to the match.
-ANNOUNCED = rf"(?i:{_names})[\"'\]]?(?:[ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}}|[ \t]{{1,3}}is[ \t]{{1,3}})[\"'`]?"
-VALUE = rf"[^\s\"'`<>,;]{{{LEAST_ANNOUNCED},}}"
+_separated = rf"(?i:{_names})[\"'\]]?(?:[ \t]{{0,3}}[:=]{{1,2}}>?[ \t]{{0,3}}|[ \t]{{1,3}}is[ \t]{{1,3}})[\"'`]?(?:(?i:bearer|basic)[ \t]{{1,3}})?"
+ANNOUNCED = rf"(?:{_separated}|(?i:bearer[ \t]{{1,3}}))"
+_sign, _inner = r"[^\s\"'`<>,;]", r"[,;](?=[^\s\"'`<>,;])(?![\w.-]{1,40}[ \t]{0,3}[:=])"
+VALUE = rf"(?=(?:{_sign}|{_inner}){{{LEAST_ANNOUNCED}}})(?:{_sign}++|{_inner})++"
+#: The password of an address: what stands between the user's colon and the next @.
+IN_ADDRESS = rf"://[^\s:@/\"'`<>]{{0,64}}:(?=[^\s@/\"'`<>]{{{LEAST_ANNOUNCED}}})[^\s@/\"'`<>]++(?=@)"
 RUN = rf"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{LEAST_LENGTH},}}={{0,2}}"
-PATTERN = rf"{ANNOUNCED}{VALUE}|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{{{LEAST_LENGTH - 2},}}?{ANNOUNCED}{VALUE}|{RUN}"
+PATTERN = rf"{IN_ADDRESS}|{ANNOUNCED}{VALUE}|(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{{{LEAST_LENGTH}}})[A-Za-z0-9_+/-]+?{ANNOUNCED}{VALUE}|{RUN}"
 #: Characters of the text before and after a candidate that are looked at.
 NEAR = 40
 FEATURES = ("length", "digits", "capitals", "signs", "transitions", "changes", "distinct", "words", "path", "secret", "harmless", "hex", "prefix", "grouped", "followed")
@@ -69,6 +74,7 @@ def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
     low = F.lower(value)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
     near = F.lower(before)
+    user = near.rlike("://[^\\s:@/]*:$")
     pairs = lambda pattern: F.regexp_count(low, F.lit(f"(?=(?:{pattern}))"))
     first, second, rest = pairs(often).cast("double"), pairs(at_times).cast("double"), F.greatest(n - 1, F.lit(1.0))
     # mean log-likelihood of a transition: classes of the learned pairs stand for their members
@@ -82,9 +88,9 @@ def features(before: Column, value: Column, after: Column) -> dict[str, Column]:
         "changes": F.length(kinds) / n,
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40.0)),
         "words": 1 - F.length(F.regexp_replace(low, words, "")) / n,
-        "path": (value.rlike("^[./~]|/[A-Za-z.]+/|^[a-z]+://") | near.rlike("(://|www\\.|/)\\S*$")).cast("double"),
-        "secret": near.rlike(f"({_names})[\\w\"'\\]]*\\s*([:=>]|is)*\\s*[\"'`]?$").cast("double"),
-        "harmless": near.rlike(f"\\b({'|'.join(HARMLESS_WORDS.split())})\\b\\W{{0,4}}$").cast("double"),
+        "path": (value.rlike("^[./~]|/[A-Za-z.]+/|^[a-z]+://") | (near.rlike("(://|www\\.|/)\\S*$") & ~user)).cast("double"),
+        "secret": (user | near.rlike(f"({_names})[\\w\"'\\]]*\\s*([:=>]|is)*\\s*[\"'`]?((bearer|basic)\\s+)?$")).cast("double"),
+        "harmless": (near.rlike(f"\\b({'|'.join(HARMLESS_WORDS.split())})\\b\\W{{0,4}}$") | low.rlike("^(sha1|sha256|sha384|sha512|md5)[:_-]")).cast("double"),
         "hex": value.rlike("^[0-9a-fA-F]+$").cast("double"),
         "prefix": value.rlike(f"^({'|'.join(KEY_PREFIXES.split())})").cast("double"),
         "grouped": value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\\$\\{|\\{\\{|^%|\\*\\*\\*|\\(").cast("double"),
@@ -120,10 +126,17 @@ def labelled(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, int
         lambda: (prose() + named(), pick(b64 + "+/", r.choice([22, 43])) + "="),
         lambda: (prose() + named(), pick(b64 + "-_.", r.randint(12, 30))),
         lambda: (prose() + named(), password()),
+        lambda: (prose() + named(), password() + r.choice(",;") + password() + r.choice(["", ";" + pick(num, 1)])),
+        lambda: (prose() + r.choice(["mysql", "postgres", "redis", "https", "amqp", "mongodb+srv", "ftp"]) + "://" + r.choice(["", word(), "root", "admin"]) + ":", r.choice([password, lambda: pick(b64, r.randint(10, 32))])()),
+        lambda: (prose() + r.choice(["Authorization: Bearer ", "bearer ", "-H 'Authorization: Bearer ", '"Authorization": "Bearer ', "auth: Basic "]), r.choice([pick(b64, r.randint(16, 48)), pick(b64, r.randint(3, 20)) + "." + pick(b64 + "_-", r.randint(4, 40)) + "." + pick(b64, r.randint(4, 30)), pick(hexa, 32)])),
     )
     harmless = (
         lambda: (prose() + r.choice(HARMLESS_WORDS.split()) + r.choice([": ", " ", "=", " = "]), pick(hexa, r.choice([16, 32, 40, 64]))),
         lambda: (plain(), pick(hexa, r.choice([32, 40, 64]))),
+        lambda: (prose() + r.choice(['integrity="', "integrity=", "integrity: ", '"integrity": "', "", "digest: "]), r.choice(["sha256", "sha384", "sha512", "sha1"]) + "-" + pick(b64 + "+/", r.choice([27, 43, 64, 86])) + r.choice(["", "=", "=="])),
+        lambda: (prose() + r.choice(["etag: ", "checksum=", "integrity: ", "digest = "]), pick(b64 + "+/", r.choice([22, 27, 43])) + r.choice(["", "="])),
+        lambda: (prose() + r.choice(["postgres", "https", "mysql", "redis"]) + "://" + r.choice(["user", "username", ""]) + ":", r.choice(["password", "passwd", "${PASSWORD}", "${DB_PASS}", "{{ password }}"[:11], "changeme", "your-password", "********", "%(password)s"])),
+        lambda: (prose() + r.choice(["bearer ", "Bearer ", "Authorization: Bearer "]), r.choice(["authentication", "tokens", "shares", "${TOKEN}", "{{access", "your-" + word() + "-token", "instrument", word().ljust(6, "s"), "$ACCESS_TOKEN", "xxxxxxxx"])),
         lambda: (plain(), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))),
         lambda: (plain(), r.choice("_-").join(word() for _ in range(r.randint(3, 6)))),
         lambda: (plain(), "".join(case(word()) for _ in range(r.randint(3, 6)))),
@@ -141,7 +154,7 @@ def labelled(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, int
     for i in range(n):
         bad = i % 2
         before, value = r.choice(secrets if bad else harmless)()
-        after = r.choice(["", '"', "'", " " + word(), "\n", ".", ", " + word()]) if bad else r.choice(["", '"', " " + word(), "\n", " is", "(", ".", " must be", ", " + word()])
+        after = "@" + r.choice(["localhost", word() + ".com", "db"]) if "://" in before and before.endswith(":") else r.choice(["", '"', "'", " " + word(), "\n", ".", ", " + word()]) if bad else r.choice(["", '"', " " + word(), "\n", " is", "(", ".", " must be", ", " + word()])
         out.append((before[-NEAR:], value, after, bad))
     return out
 
@@ -206,13 +219,13 @@ def scan(documents: DataFrame, trees: list, id_col: str = "doc_id", text_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
     # most texts hold no candidate: cheap tests first
-    named = lambda t: reduce(lambda a, b: a | b, (t.contains(x) for x in SECRET_NAMES.split()))
+    named = lambda t: reduce(lambda a, b: a | b, (t.contains(x) for x in (*SECRET_NAMES.split(), "://")))
     likely = once(F.lower(text), named) | text.rlike(rf"[A-Za-z0-9_+/-]{{{LEAST_LENGTH}}}")
     matches = F.when(likely, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(none)
     between = F.when(likely, F.split(text, PATTERN, -1)).otherwise(none)
 
     def described(whole: Column, start: Column, gap: Column, after: Column) -> Column:
-        value = F.when(whole.rlike(rf"^{RUN}$"), whole).otherwise(F.regexp_extract(whole, rf"^.*?{ANNOUNCED}({VALUE})$", 1))
+        value = F.when(whole.rlike(rf"^{RUN}$"), whole).otherwise(F.regexp_extract(whole, rf"^(?:://[^:]*+:|.*?{ANNOUNCED})({VALUE}|(?<=:)[^\s@/\"'`<>]+)$", 1))
 
         def with_value(value: Column) -> Column:
             lead = F.length(whole) - F.length(value)
