@@ -1,5 +1,7 @@
 """Record-model views of the driver tables; the same SQL runs in Spark and in the oracle."""
 
+from collections import Counter
+
 VIEWS = {
     "v_files": """
 SELECT o_orderkey AS file_id,
@@ -171,8 +173,10 @@ def closure(names: list[str]) -> list[str]:
 
 
 def with_views(names: list[str], sql: str) -> str:
-    """The SQL behind a WITH clause of the views it needs."""
-    parts = [f"{n} AS ({VIEWS[n]})" for n in closure(names)]
+    """The SQL behind a WITH clause of the views it needs; those that several read are made once."""
+    needed = closure(names)
+    readers = Counter(n for v in needed for n in NEEDS[v])
+    parts = [f"{n} AS {'MATERIALIZED ' if readers[n] > 1 else ''}({VIEWS[n]})" for n in needed]
     return "WITH " + ",\n".join(parts) + "\n" + sql
 
 
