@@ -197,14 +197,28 @@ def learn(rows: DataFrame) -> Lexicon:
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge."""
+    """Logistic regression with a small ridge, by Newton steps along which the loss falls: where the
+    classes are apart, whole steps overshoot and don't come back."""
+    ridge = np.array([1e-6, 1e-3, 1e-3])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + w @ (ridge * w) / 2)
+
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, 1e-3, 1e-3])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(3), x.T @ (y - p) - ridge @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (y - p) - ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), slope)
+        share = 1.0
+        while share > 1e-9 and loss(w + share * step) > now - 1e-4 * share * (slope @ step):
+            share /= 2
+        if share <= 1e-9:
+            break
+        w = w + share * step
+        last, now = now, loss(w)
+        if last - now < 1e-10 * (1 + last):
             break
     return tuple(float(v) for v in w)
 

@@ -593,6 +593,20 @@ def test_html_of_open_heads_and_empty_drawings():
 
 
 # -- 9 ---------------------------------------------------------------------------------------
+@pytest.mark.parametrize("seed", [6, 15, 27])
+def test_curve_of_classes_that_are_apart(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.choice([100, 1000, 10000]))
+    y = (r.random(n) < r.choice([0.02, 0.1, 0.4])).astype(float)
+    hits, weight, length = r.integers(1, 6, n), r.uniform(3, 9), r.integers(20, 3000, n)
+    r.choice([0, 0, 0.0005, 0.01]), r.random(n)
+    a = np.where(y > 0, np.minimum(hits * weight, toxicity.MOST_WEIGHT), np.where(r.random(n) < 0.05, r.uniform(2, 6, n), 0))
+    b = np.minimum(a * r.uniform(1, 2, n) / np.sqrt(length + 10), toxicity.MOST_WEIGHT)
+    x = np.stack([np.ones(n), a, b], axis=1)
+    score = 1 / (1 + np.exp(-np.clip(x @ np.array(toxicity.fit_curve(x, y)), -40, 40)))
+    assert (score[y > 0] >= toxicity.CUT).mean() > 0.9 and (score[y == 0] < toxicity.CUT).mean() > 0.9
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     clean = "the and of with house tree river stone cloud".split()
