@@ -30,8 +30,10 @@ WIDE = (
     "what string, variant string, unit string, path string, seq long, symbol string, record int, action int, kind int, mode int, line long, col long, context string, usr_id long, context_usr_id long, local int, "
     "declared_type string, canonical_type string, type_symbol string, type_kind int, type_usr_id long, position int, name string, variadic int"
 )
-#: Tokens of files that a task keeps for the units to come.
-KEPT_TOKENS = 3_000_000
+#: Tokens and lines of included files, and names of files given, that a task keeps for the units to come.
+KEPT_TOKENS, KEPT_NAMES = 500_000, 50_000
+#: Rows of an Arrow batch, those read from it at once, and those of a batch that goes back, about.
+BATCH_ROWS, READ_ROWS, GIVEN_ROWS = 1_000, 100, 2_000
 
 # The call mnemonics of several machines.
 CALL_MNEMONICS = frozenset("call callq bl jbsr bsr jal brasl".split())
@@ -67,25 +69,42 @@ class _Places:
 
 
 class Files:
-    """Texts of one unit, their tokens kept for the next ones."""
+    """Texts of one unit and their tokens; those of included files are kept for the next units."""
 
     def __init__(self) -> None:
+        self.main: str | None = None
         self.texts: dict[str, str] = {}
+        self.own: dict[str, tuple[str, list[list[Token]], _Places]] = {}
         self.kept: dict[str, tuple[str, list[list[Token]], _Places]] = {}
         self.size = 0
 
+    def start(self, main: str) -> None:
+        """The next unit: nothing of the one before stays but what is kept."""
+        self.main, self.texts, self.own = main, {}, {}
+
     def _get(self, path: str) -> tuple[str, list[list[Token]], _Places] | None:
         text = self.texts.get(path)
         if text is None:
             return None
-        known = self.kept.get(path)
+        known = self.own.get(path)
         if known is None or known[0] != text:
-            if self.size > KEPT_TOKENS:
-                self.kept, self.size = {}, 0
-            known = self.kept[path] = (text, lines(text), _Places(text))
-            self.size += sum(map(len, known[1]))
+            known = self.kept.get(path)
+            if known is None or known[0] != text:
+                known = (text, lines(text), _Places(text))
+                self._keep(path, known)
+            self.own[path] = known
         return known
 
+    def _keep(self, path: str, known: tuple[str, list[list[Token]], _Places]) -> None:
+        """A unit's own tokens serve no other one, and files above the limit go with their unit."""
+        size = sum(map(len, known[1])) + len(known[2].starts)
+        if path == self.main or size > KEPT_TOKENS:
+            return
+        if self.size + size > KEPT_TOKENS:
+            self.kept, self.size = {}, 0
+        self.kept[path] = known
+        self.size += size
+
     def lines(self, path: str) -> list[list[Token]] | None:
         known = self._get(path)
         return known[1] if known else None
@@ -246,31 +265,51 @@ def read_units(sources: DataFrame, units: DataFrame, commands: DataFrame | None
     sources = sources.groupBy("variant", "path").agg(F.min("content").alias("content")).withColumn("content", F.coalesce("content", F.lit("")))
     units = flags(units.select("variant", "path").distinct(), commands)
     rows = includes.with_texts(units, sources).join(units.select("variant", F.col("path").alias("unit"), "defines"), ["variant", "unit"])
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-    columns = [(name, kinds[kind]) for name, kind in (c.split() for c in WIDE.split(", "))]
+    spark, name = sources.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))  # changes no result
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, done, at, found, define = Files(), set(), None, {}, {}
+        yield from read_batches(batches, scope, partial)
+
+    dealt = rows.repartition("variant", "unit").sortWithinPartitions("variant", "unit", "path")
+    return cut(dealt.select("variant", "unit", "path", "content", "includes", "defines").mapInArrow(run, WIDE), "units")
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            out = []
-            if at is not None and at[1] in files.texts:
-                _unit_rows(*at, files, found, define, scope, partial, done, out)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, (_, kind) in zip(zip(*out, strict=True), columns, strict=True)], names=[c for c, _ in columns])
 
-        for batch in batches:
-            for variant, unit, path, content, own, defines in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+def read_batches(batches: Iterator[pa.RecordBatch], scope: str, partial: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (WIDE) of units from rows variant, unit, path, content, includes, defines, those of a unit
+    one after another. What is held doesn't grow with the number of units."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    columns = [(name, kinds[kind]) for name, kind in (c.split() for c in WIDE.split(", "))]
+    files, done, at, found, define, out = Files(), set(), None, {}, {}, []
+
+    def finish() -> None:
+        if at is not None and at[1] in files.texts:
+            _unit_rows(*at, files, found, define, scope, partial, done, out)
+        if len(done) > KEPT_NAMES:
+            done.clear()
+
+    def given() -> pa.RecordBatch:
+        whole = pa.RecordBatch.from_arrays([pa.array(v, kind) for v, (_, kind) in zip(zip(*out, strict=True), columns, strict=True)], names=[c for c, _ in columns])
+        out.clear()
+        return whole
+
+    for batch in batches:
+        for k in range(0, len(batch), READ_ROWS):
+            part = batch.slice(k, READ_ROWS)
+            for variant, unit, path, content, own, defines in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
                 if (variant, unit) != at:
-                    yield from finish()
-                    at, files.texts, found, define = (variant, unit), {}, {}, _defined(defines)
+                    finish()
+                    if len(out) >= GIVEN_ROWS:
+                        yield given()
+                    files.start(unit)
+                    at, found, define = (variant, unit), {}, _defined(defines)
                 files.texts[path] = content
                 for x in own or ():
                     found[path, x["target"], x["angled"]] = x["found"]
-        yield from finish()
-
-    dealt = rows.repartition("variant", "unit").sortWithinPartitions("variant", "unit", "path")
-    return cut(dealt.select("variant", "unit", "path", "content", "includes", "defines").mapInArrow(run, WIDE), "units")
+    finish()
+    if out:
+        yield given()
 
 
 def index(sources: DataFrame, units: DataFrame, commands: DataFrame | None = None, scope: str = "project", details: bool = True) -> dict[str, DataFrame]:
@@ -310,7 +349,8 @@ def _unit_rows(variant: str, unit: str, files: Files, found: dict, define: dict,
     given = {p for p in own.unit.files if p != unit and (scope == "file" or (variant, p) in done)}
     status = own.status()
     if status == "clean" or status == "partial" and partial:
-        done |= {(variant, p) for p in own.unit.files}
+        # units themselves are given once anyhow; the first one counts where others include them
+        done.update((variant, p) for p in own.unit.files if p != unit)
     names = [c.split()[0] for c in WIDE.split(", ")]
 
     def put(what: str, i: int, row: dict) -> None:

@@ -1,5 +1,6 @@
 """Preprocessing, include resolution, ids, types and constraints of C units, by hand-derived rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,43 @@ def test_pointer_constraints():
     assert own.counts == {"direct": 6, "copy": 3, "unsupported": 1, "indirect": 4, "identified": 3}
 
 
+def _many_units(n):
+    """Batches of n units with a header that all share and one of their own."""
+    edge = pa.list_(pa.struct([("target", pa.string()), ("angled", pa.bool_()), ("found", pa.string())]))
+    kinds = [("variant", pa.string()), ("unit", pa.string()), ("path", pa.string()), ("content", pa.string()), ("includes", edge), ("defines", pa.list_(pa.string()))]
+    rows = []
+    for k in range(n):
+        unit, own = f"src/u{k:05}.c", f"inc/o{k:05}.h"
+        includes = [dict(target=t, angled=False, found=f"inc/{t}") for t in ("all.h", f"o{k:05}.h")]
+        texts = {"inc/all.h": "#define A 1\nint g(int);\n", own: f"int v{k};\n" * 20, unit: f'#include "all.h"\n#include "o{k:05}.h"\n' + f"int f{k}(void) {{ return g(A); }}\n" * 3}
+        rows += [("general", unit, path, text, includes if path == unit else None, []) for path, text in texts.items()]
+    for a in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows[a : a + 64]), kinds)], names=[c for c, _ in kinds])
+
+
+def test_what_a_task_holds_does_not_grow_with_units(monkeypatch):
+    monkeypatch.setattr(extract, "KEPT_TOKENS", 2_000)
+    monkeypatch.setattr(extract, "KEPT_NAMES", 50)
+    held, names, sizes, real = [], [], [], extract._unit_rows
+
+    def rows(variant, unit, files, found, define, scope, partial, done, out):
+        real(variant, unit, files, found, define, scope, partial, done, out)
+        held.append(sum(sum(map(len, x[1])) for x in files.kept.values()))
+        names.append(len(done))
+        assert unit not in files.kept and ("general", unit) not in done
+
+    monkeypatch.setattr(extract, "_unit_rows", rows)
+    first = {}
+    for batch in extract.read_batches(_many_units(300), "project", True):
+        sizes.append(len(batch))
+        for what, unit, path in zip(*(batch.column(c).to_pylist() for c in ("what", "unit", "path"))):
+            if what == "files":
+                first.setdefault(path, unit)
+    assert max(held) <= 2_000 and max(names) <= 52 and min(sizes[:-1]) >= extract.GIVEN_ROWS
+    assert first["inc/all.h"] == "src/u00000.c" and len(first) == 601
+    assert all(first[f"inc/o{k:05}.h"] == first[f"src/u{k:05}.c"] == f"src/u{k:05}.c" for k in range(300))
+
+
 def test_units_over_files(spark):
     text = {
         "src/a.c": '#include "h.h"\n#include <lib.h>\n#include "no.h"\nint a(void) { return M(h()); }\n',
