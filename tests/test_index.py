@@ -437,3 +437,35 @@ def test_outputs(spark, tmp_path):
     assert fn.display_column("\ta\tb", 2) == 9 and fn.display_column("\ta\tb", 4) == 17
     status = spark.createDataFrame([(0, 0, True), (1, 2, True), (1, 2, False)], "r int, e int, d boolean")
     assert [x[0] for x in status.select(fn.parse_status(F.col("r"), F.col("e"), F.col("d"))).collect()] == ["clean", "partial", "failed"]
+
+
+def _shuffles(df):
+    """Exchanges of the plan, without those it reuses."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_records_are_dealt_by_file_once(spark):
+    from codequarry.plans import driver_queries
+    from codequarry.plans.views import frame
+
+    data, name = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        assert _shuffles(frame(spark, data, "v_rec")) <= 4
+        assert _shuffles(driver_queries.QUERIES["file_fingerprint"](spark, data)) <= 5
+        base, staged, replaced = (spark.createDataFrame([("v", "p", 1)], "variant string, path string, k int") for _ in range(3))
+        assert _shuffles(merge.merged_rows(base, staged, replaced, ["variant", "path", "k"])) <= 3
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_merged_rows_of_null_and_repeated_keys(spark):
+    kind, key = "variant string, path string, k int, x int", ["variant", "path", "k"]
+    base = spark.createDataFrame([("v", "a", 1, 1), ("v", "a", 1, 2), ("v", "a", None, 3), ("v", "b", 1, 4), (None, "a", 1, 5)], kind)
+    staged = spark.createDataFrame([("v", "a", 1, 6), ("v", "a", None, 8), ("v", "a", None, 7), ("v", "b", 1, 9), ("v", "c", 2, 11), ("v", "c", 2, 10), (None, "a", 1, 12)], kind)
+    replaced = spark.createDataFrame([("v", "b"), ("v", "b")], "variant string, path string")
+    assert sorted(r.x for r in merge.merged_rows(base, staged, replaced, key).collect()) == [1, 2, 3, 5, 7, 9, 10, 12]
+    plain = base.join(replaced, ["variant", "path"], "left_anti").unionByName(merge.fresh_rows(base, staged, replaced, key))
+    assert sorted(r.x for r in plain.collect()) == [1, 2, 3, 5, 7, 9, 10, 12]
