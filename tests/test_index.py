@@ -469,3 +469,11 @@ def test_merged_rows_of_null_and_repeated_keys(spark):
     assert sorted(r.x for r in merge.merged_rows(base, staged, replaced, key).collect()) == [1, 2, 3, 5, 7, 9, 10, 12]
     plain = base.join(replaced, ["variant", "path"], "left_anti").unionByName(merge.fresh_rows(base, staged, replaced, key))
     assert sorted(r.x for r in plain.collect()) == [1, 2, 3, 5, 7, 9, 10, 12]
+
+
+def test_listings_move_rows_once(spark):
+    """Behind the ranges only a row of each range is moved."""
+    from codequarry.plans import driver_queries
+
+    plan = driver_queries.QUERIES["dissect_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(variant") <= 4 and plan.count("row_number") == 0
