@@ -18,8 +18,9 @@ How it is dealt: texts are cut into pieces, and the tokens of each piece go as p
 the bucket of the word before them, which holds all restaurants below it; buckets grow in number,
 not in size. A word that SPLIT_TOKENS tokens follow, or more, has several families of restaurants, each for a share
 of the words before it, and if these are such words too, of the documents. The words most frequent, up to
-HOT_WORDS, are broadcast with their counts; tokens of other words leave their bucket as
-(word, document, a, b), a + b * p being their probability, and are joined with the words' p.
+HOT_WORDS, are broadcast with their counts; the counts of other words are joined with the buckets
+that hold them and come there beside the tokens. Probabilities of both are made by one rule, so that
+scores don't depend on HOT_WORDS.
 
 Uniform numbers come from the words' hashes and the sweep, so that a task run again gives the
 same seating. Words are named by 64-bit hashes.
@@ -50,7 +51,7 @@ from .jaccard import word_hashes
 DISCOUNTS = (0.5, 0.75, 0.85)
 STRENGTHS = (1.0, 1.0, 1.0)
 BURN_IN, SAMPLES = 2, 2
-#: Words broadcast, 24 bytes each.
+#: Words broadcast, 36 bytes each.
 HOT_WORDS = 1 << 20
 #: Tokens of a bucket, on average, and of the words that share it at most.
 BUCKET_TOKENS = 500_000
@@ -226,55 +227,61 @@ def word_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return counts.groupBy("hash").agg(F.sum("n").alias("c"))
 
 
+def root_tables(words: np.ndarray, c: np.ndarray, v: int) -> np.ndarray:
+    """Tables of words in the restaurant of all words, by their counts: the mean of SAMPLES draws."""
+    types = max(float(v), 1.0)  # tables of the others: about one each
+    low, others = np.full(len(c), 1 / (v + 1)), np.full(len(c), types)
+    return sum(seat(c, low, others, DISCOUNTS[0], STRENGTHS[0], words, 10_000 + sample) for sample in range(SAMPLES)) / SAMPLES
+
+
 class Words:
-    """What is broadcast: hash, base (log10), low (probability) and families of the hot words in
-    the order of hashes; the same for other words by count; N, V."""
+    """N, V, the tables of the restaurant of all words and what follows from them for a word's
+    count. What is broadcast of the ``most`` most frequent words (None: of all that teach): hash,
+    base (log10), low (probability), families and number (by count) in the order of hashes."""
 
-    def __init__(self, counts: DataFrame) -> None:
-        d, theta = DISCOUNTS[0], STRENGTHS[0]
+    def __init__(self, counts: DataFrame, most: int | None = None) -> None:
         self.n, self.v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-        # the number of words by count, counts rounded down to eighths of powers of two: some hundreds of rows
-        step = F.floor(F.log2("c") * 8)
-        by = counts.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
-        self.least, room = 1 << 62, HOT_WORDS
-        for r in by:
-            room -= r.words
-            if room < 0:
-                break
-            self.least = r.c
+        v = self.v
+
+        def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words, c = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([float(root_tables(words, c, v).sum())])], ["tables"])
+
+        self.tables = map_arrow(counts.where("c > 0").select("hash", "c"), seated, "tables double").agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0]
+        self.rate = (STRENGTHS[0] + DISCOUNTS[0] * self.tables) / (self.v + 1)
+        self.least = 1 if most is None else self.least_of(counts, most)
         found = counts.where(F.col("c") >= self.least).toArrow()
         hashes, c = np.asarray(found["hash"], np.int64).view(np.uint64), np.asarray(found["c"], np.int64)
         order = np.argsort(hashes)
         self.hash, c = hashes[order], c[order]
-        self.base = self.base_of(c)
-        # tables of the restaurant of all words: about one and those that later customers open
-        self.tables = max(float(self.v), 1.0)
-        rate = lambda: (theta + d * self.tables) / (self.v + 1)
-        drawn = np.zeros(len(c))
-        for sample in range(SAMPLES):
-            drawn += seat(c, np.full(len(c), 1 / (self.v + 1)), np.full(len(c), self.tables), d, theta, self.hash, 10_000 + sample) / SAMPLES
-        rare = [(r.words, r.c) for r in by if r.c < self.least]
-        self.tables = float(drawn.sum() + sum(k * self.expected(np.array([x]), rate())[0] for k, x in rare))
-        self.low = (c - d * drawn + rate()) / (theta + self.n)
-        # for seating: what is left of the probability, shared by all other types
-        self.low_rare = max(1 - float(self.low.sum()), 1e-12) / (self.v - len(c) + 1)
+        self.base, self.low = self.base_of(c), self.low_of(self.hash, c)
+        self.low_rare = self.rate / (STRENGTHS[0] + self.n)  # of a word that doesn't teach
         self.families = -(-c // SPLIT_TOKENS)
+        self.place = np.argsort(-c, kind="stable")  # of each number
+        self.number = np.empty(len(c), np.uint32)
+        self.number[self.place] = np.arange(len(c), dtype=np.uint32)
 
     @staticmethod
-    def expected(c: np.ndarray, rate: float) -> np.ndarray:
-        """Expected tables of words of c customers."""
-        d = DISCOUNTS[0]
-        return np.where(c > 0, 1 + rate / d * (1 - np.maximum(c, 1.0) ** -d), 0)
+    def least_of(counts: DataFrame, most: int) -> int:
+        """The least count so that at most ``most`` words have it or more."""
+        # the number of words by count, counts rounded down to eighths of powers of two: some hundreds of rows
+        step = F.floor(F.log2("c") * 8)
+        by = counts.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
+        least, room = 1 << 62, most
+        for r in by:
+            room -= r.words
+            if room < 0:
+                break
+            least = r.c
+        return least
 
     def base_of(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def low_of(self, c: object) -> object:
-        """A column: the probability of a word that is not hot, by its expected tables."""
-        d, theta = DISCOUNTS[0], STRENGTHS[0]
-        rate = (theta + d * self.tables) / (self.v + 1)
-        seen = c - d - rate * (1 - F.pow(F.greatest(c, F.lit(1)), F.lit(-d))) + rate
-        return F.when(c > 0, seen).otherwise(F.lit(rate)) / F.lit(theta + self.n)
+    def low_of(self, words: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The words' probabilities in the restaurant of all words."""
+        return (c - DISCOUNTS[0] * root_tables(words, c, self.v) + self.rate) / (STRENGTHS[0] + self.n)
 
     def find(self, words: np.ndarray) -> np.ndarray:
         """Places of words among the hot ones; -1 for others."""
@@ -309,54 +316,64 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 ESCAPE = np.uint32(1 << 31)
 
 
-def escaped(place: np.ndarray, words: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Numbers of words: the place of hot ones, and ESCAPE + the place in ``names`` of others."""
-    out = place.astype(np.uint32)
+def escaped(place: np.ndarray, words: np.ndarray, names: np.ndarray, known: Words) -> np.ndarray:
+    """Numbers of words: that of hot ones, and ESCAPE + the place in ``names`` of others."""
+    out = np.empty(len(words), np.uint32)
     other = place < 0
+    out[~other] = known.number[place[~other]]
     out[other] = np.searchsorted(names, words[other]).astype(np.uint32) | ESCAPE
     return out
 
 
+class Piece:
+    """Tokens of a piece: w, the word before (v) and the one before that (u), the text of each (doc)
+    and the bucket it is dealt to."""
+
+    def __init__(self, texts: list[str | None], known: Words, buckets: int, starts: int) -> None:
+        w, self.n = tokens(texts)
+        self.first = first = np.cumsum(self.n) - self.n
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = place = known.find(w)
+        v, u = np.concatenate([[START], w[:-1]]), np.concatenate([[START, START], w[:-2]])[: len(w)]
+        v[first] = START
+        u[first] = START
+        self.second = first[self.n > 1] + 1
+        u[self.second] = START
+        at_v = np.concatenate([[-1], place[:-1]])
+        at_v[first] = -1
+        families = np.where(at_v >= 0, known.families[at_v] if len(known.families) else 1, 1)
+        families[first] = starts
+        many = np.flatnonzero(families > 1)
+        v_key = v.copy()
+        if len(many):
+            share = mix(u[many])
+            often = known.find(u[many])
+            both = (u[many] == START) | (often >= 0)
+            both[both] &= (u[many][both] == START) | (known.families[often[both]] > 1)
+            # the documents' own hash: of their words in order
+            of_doc = mix(np.bitwise_xor.reduceat(mix(w + (np.arange(len(w)) - first[self.doc]).astype(np.uint64) * _B), first))
+            share = np.where(both, mix(share + of_doc[self.doc[many]]), share)
+            v_key[many] += (share % families[many].astype(np.uint64)) * _A
+        self.w, self.u, self.v_key, self.dealt = w, u, v_key, mix(v_key)
+        self.bucket = (((self.dealt >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def cut(texts: list[str | None], taught: np.ndarray, known: Words, buckets: int, starts: int) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, packed tokens) of a piece, and of each text the number of tokens, of those of hot
     words, and the sum of their base scores."""
-    w, n = tokens(texts)
-    first = np.cumsum(n) - n
-    doc = np.repeat(np.arange(len(n)), n)
-    place = known.find(w)
+    piece = Piece(texts, known, buckets, starts)
+    w, u, n, first, doc, place, v_key, bucket = piece.w, piece.u, piece.n, piece.first, piece.doc, piece.place, piece.v_key, piece.bucket
     hot = place >= 0
     sums = lambda x: np.add.reduceat(x, first)
     base = sums(np.where(hot, known.base[place] if len(known.base) else 0.0, 0.0))
     n_known = sums(hot.astype(np.int64))
-    v, u = np.concatenate([[START], w[:-1]]), np.concatenate([[START, START], w[:-2]])[: len(w)]
-    v[first] = START
-    u[first] = START
-    second = first[n > 1] + 1
-    u[second] = START
-    at_v = np.concatenate([[-1], place[:-1]])
-    at_v[first] = -1
-    families = np.where(at_v >= 0, known.families[at_v] if len(known.families) else 1, 1)
-    families[first] = starts
-    many = np.flatnonzero(families > 1)
-    v_key = v.copy()
-    if len(many):
-        share = mix(u[many])
-        often = known.find(u[many])
-        both = (u[many] == START) | (often >= 0)
-        both[both] &= (u[many][both] == START) | (known.families[often[both]] > 1)
-        # the documents' own hash: of their words in order
-        of_doc = mix(np.bitwise_xor.reduceat(mix(w + (np.arange(len(w)) - first[doc]).astype(np.uint64) * _B), first))
-        share = np.where(both, mix(share + of_doc[doc[many]]), share)
-        v_key[many] += (share % families[many].astype(np.uint64)) * _A
-    dealt = mix(v_key)
-    bucket = (((dealt >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(dealt, kind="stable")
+    order = np.argsort(piece.dealt, kind="stable")
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
     names = np.unique(np.concatenate([w[~hot], [START]]))
     place_u = np.concatenate([[-1, -1], place[:-2]])[: len(w)]
     place_u[first] = -1
-    place_u[second] = -1
-    number_w, number_u = escaped(place, w, names), escaped(place_u, u, names)
+    place_u[piece.second] = -1
+    number_w, number_u = escaped(place, w, names, known), escaped(place_u, u, names, known)
     mark = (doc * 2 + taught[doc]).astype(np.uint32)
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -372,9 +389,9 @@ def cut(texts: list[str | None], taught: np.ndarray, known: Words, buckets: int,
     return out, n, n_known, base
 
 
-def scored(blobs: list[bytes], known: Words) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
-    """Of the packed tokens of one bucket: for each blob the sum of log10 probabilities of its hot
-    tokens by document; and of all others (blob, document, hash, a, b)."""
+def scored(blobs: list[bytes], rare: tuple[np.ndarray, np.ndarray], known: Words) -> list[bytes]:
+    """Of the packed tokens of one bucket, with the hashes and counts of its words that are not
+    hot: for each blob packed sums by document (see ``summed``)."""
     parts = [unpack(x) for x in blobs]
     names = np.unique(np.concatenate([p[5] for p in parts]))
     hot = len(known.hash)
@@ -382,6 +399,7 @@ def scored(blobs: list[bytes], known: Words) -> tuple[list[np.ndarray], tuple[np
     def numbers(z: np.ndarray, own: np.ndarray) -> np.ndarray:
         out = z.astype(np.int64)
         far = z >= ESCAPE
+        out[~far] = known.place[out[~far]]
         out[far] = hot + np.searchsorted(names, own)[(z[far] ^ ESCAPE).astype(np.int64)]
         return out
 
@@ -391,18 +409,39 @@ def scored(blobs: list[bytes], known: Words) -> tuple[list[np.ndarray], tuple[np
     u = np.concatenate([numbers(p[3], p[5]) for p in parts])
     mark = np.concatenate([p[4] for p in parts])
     blob = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+    c = counts_of(names, *rare)
     word_hash = np.concatenate([known.hash, names])
-    low = np.concatenate([known.low, np.full(len(names), known.low_rare)])
+    low = np.concatenate([known.low, known.low_of(names, c)])
     restaurants = Bucket(v, u, w, (mark & 1).astype(bool), keys, word_hash, low)
     a, b = restaurants.probabilities()
-    a, b = a[restaurants.kind], b[restaurants.kind]
-    own = w < hot
-    lp = np.where(own, np.log10(np.maximum(a + b * low[w], 1e-300)), 0.0)
-    doc = (mark >> np.uint32(1)).astype(np.int64)
-    edges = np.cumsum([0, *(len(p[2]) for p in parts)])
-    sums = [np.bincount(doc[x:y], lp[x:y]).astype(np.float32) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-    far = np.flatnonzero(~own)
-    return sums, (blob[far], doc[far], word_hash[w[far]], a[far], b[far])
+    lp = np.log10(np.maximum(a[restaurants.kind] + b[restaurants.kind] * low[w], 1e-300))
+    far = w >= hot
+    at = np.where(far, w - hot, 0)
+    base = np.where(far, known.base_of(c)[at], 0.0)
+    return summed(len(parts), blob, (mark >> np.uint32(1)).astype(np.int64), lp, far, base, far & (c[at] > 0))
+
+
+def counts_of(names: np.ndarray, words: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Counts of the names among words (which may repeat); 0 of others."""
+    if not len(words):
+        return np.zeros(len(names), np.int64)
+    order = np.argsort(words, kind="stable")
+    at = order[np.minimum(np.searchsorted(words[order], names), len(words) - 1)]
+    return np.where(words[at] == names, c[at], 0)
+
+
+def summed(blobs: int, blob: np.ndarray, doc: np.ndarray, lp: np.ndarray, far: np.ndarray, base: np.ndarray, is_known: np.ndarray) -> list[bytes]:
+    """For each blob, packed: its documents and their sums of lp; those with words that are not hot,
+    the sums of these words' base scores and the number of known ones."""
+    key, at = np.unique((blob << 32) | doc, return_inverse=True)
+    lp, base, seen, rare = (np.bincount(at, x, len(key)) for x in (lp, base, is_known, far))
+    doc, some = (key & 0xFFFFFFFF).astype(np.uint32), rare > 0
+    out = []
+    edges = np.searchsorted(key, np.arange(blobs + 1) << 32)
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = np.flatnonzero(some[x:y]) + x
+        out.append(pack([doc[x:y], lp[x:y].view(np.uint64), doc[own], base[own].view(np.uint64), seen[own].astype(np.uint32)]))
+    return out
 
 
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,7 +449,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     perplexity of every row."""
     spark = documents.sparkSession
     counts = materialize(word_counts(documents, id_col, text_col), "words")
-    words = Words(counts)
+    words = Words(counts, HOT_WORDS)
     shared = spark.sparkContext.broadcast(words)
     buckets = max(1, -(-int(words.n) // BUCKET_TOKENS))
     end = counts.where(F.col("hash") == F.lit(int(END.view(np.int64)))).first()
@@ -419,6 +458,18 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fields = {"bucket": pa.int32(), "piece": pa.int64(), "blob": pa.binary(), "row": pa.int64()}
     facts = {"held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64()}
 
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in column_pieces(batch.column(0), PIECE):
+                piece = Piece(batch.column(0).slice(a, b - a).to_pylist(), shared.value, buckets, starts)
+                other = piece.place < 0
+                w, bucket = piece.w[other], piece.bucket[other]
+                order = np.lexsort((w, bucket))
+                w, bucket = w[order], bucket[order]
+                new = np.ones(len(w), bool)
+                new[1:] = (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[new].astype(np.int32)), pa.array(w[new].view(np.int64))], ["bucket", "hash"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -436,88 +487,85 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 row += m
 
     dealt = map_arrow(documents.select(id_col, text_col), deal, f"bucket int, piece long, blob binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double")
+    if words.v > len(words.hash):  # others are unknown
+        held = map_arrow(documents.select(text_col), rare, "bucket int, hash long").join(counts.where((F.col("c") > 0) & (F.col("c") < words.least)), "hash")
+        dealt = dealt.unionByName(held.select("bucket", F.col("hash").alias("word"), "c"), allowMissingColumns=True)
+    else:
+        dealt = dealt.withColumns({"word": F.lit(None).cast("long"), "c": F.lit(None).cast("long")})
     dealt = dealt.repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        names = ["piece", "blob", "row", "doc_id", *facts, "hash", "a", "b"]
-        waiting: list[tuple[int, bytes]] = []
+        names = ["piece", "blob", "row", "doc_id", *facts]
+        waiting: list[pa.RecordBatch] = []
         bucket, id_type = -1, None
 
         def done() -> Iterator[pa.RecordBatch]:
-            sums, (blob, doc, word, a, b) = scored([x for _, x in waiting], known)
-            piece = np.array([p for p, _ in waiting], np.int64)
-            k, m = len(piece), len(blob)
-            gaps = lambda n, types: [pa.nulls(n, t) for t in types]
-            more = (pa.int64(), pa.float32(), pa.float32())
-            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array([s.tobytes() for s in sums], pa.binary()), *gaps(k, (pa.int64(), id_type, *facts.values(), *more))], names)
-            rest = [pa.array(word.view(np.int64)), pa.array(a.astype(np.float32)), pa.array(b.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([*gaps(m, (pa.int64(), pa.binary())), pa.array(piece[blob] + doc), *gaps(m, (id_type, *facts.values())), *rest], names)
+            parts = [x.filter(x.column("blob").is_valid()) for x in waiting]
+            pieces = [p for x in parts for p in x.column("piece").to_pylist()]
+            others = [x.filter(x.column("word").is_valid()) for x in waiting]
+            found = [np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.column(f)) for x in others)]) for f in ("word", "c")]
+            if not pieces:
+                return
+            blobs = scored([p for x in parts for p in x.column("blob").to_pylist()], (found[0].view(np.uint64), found[1]), known)
+            gaps = [pa.nulls(len(pieces), t) for t in (pa.int64(), id_type, *facts.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), pa.array(blobs, pa.binary()), *gaps], names)
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             own = batch.filter(batch.column("row").is_valid())
             if len(own):
-                m = len(own)
-                yield pa.RecordBatch.from_arrays([own.column("piece"), pa.nulls(m, pa.binary()), own.column("row"), own.column("doc_id"), *(own.column(f) for f in facts), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float32()), pa.nulls(m, pa.float32())], names)
-            packed = batch.filter(batch.column("blob").is_valid())
-            for at, piece, blob in zip(packed.column("bucket").to_pylist(), packed.column("piece").to_pylist(), packed.column("blob").to_pylist(), strict=True):
-                if at != bucket and waiting:
+                yield pa.RecordBatch.from_arrays([own.column("piece"), pa.nulls(len(own), pa.binary()), own.column("row"), own.column("doc_id"), *(own.column(f) for f in facts)], names)
+            rest = batch.filter(batch.column("row").is_null())
+            at = np.asarray(rest.column("bucket"))
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                if y == x:
+                    continue
+                if at[x] != bucket and waiting:
                     yield from done()
                     waiting.clear()
-                bucket = at
-                waiting.append((piece, blob))
+                bucket = at[x]
+                waiting.append(rest.slice(x, y - x).select(["piece", "blob", "word", "c"]))
         if waiting:
             yield from done()
 
-    schema = f"piece long, blob binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, hash long, a float, b float"
+    schema = f"piece long, blob binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double"
     out = materialize(map_arrow(dealt, sweep, schema), "lm")
     docs = out.where(F.col("n_tokens").isNotNull()).select("row", "doc_id", *facts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, total = None, np.zeros(0)
+        piece, total = None, np.zeros((3, 0))
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(piece + np.arange(len(total))), pa.array(total)], ["row", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(piece + np.arange(total.shape[1])), *(pa.array(x) for x in total)], ["row", "lp", "lb", "known"])
 
         for batch in batches:
             for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if at != piece:
                     if piece is not None:
                         yield rows()
-                    piece, total = at, np.zeros(0)
-                part = np.frombuffer(blob, np.float32)
-                if len(part) > len(total):
-                    total = np.concatenate([total, np.zeros(len(part) - len(total))])
-                total[: len(part)] += part
+                    piece, total = at, np.zeros((3, 0))
+                doc, lp, few, lb, seen = unpack(blob)
+                if doc[-1] >= total.shape[1]:
+                    total = np.concatenate([total, np.zeros((3, int(doc[-1]) + 1 - total.shape[1]))], axis=1)
+                total[0, doc] += lp.view(np.float64)
+                total[1, few] += lb.view(np.float64)
+                total[2, few] += seen
         if piece is not None:
             yield rows()
 
     packed = out.where(F.col("blob").isNotNull()).select("piece", "blob")
-    hot = map_arrow(packed.repartition("piece").sortWithinPartitions("piece"), add, "row long, score double")
-    others = out.where(F.col("hash").isNotNull()).select("row", "hash", "a", "b").join(counts.where(F.col("c") < words.least), "hash", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rest = others.select(
-        "row",
-        F.log10(F.greatest(F.col("a") + F.col("b") * words.low_of(c), F.lit(1e-300))).alias("lp"),
-        (c > 0).cast("long").alias("known"),
-        F.log10((c + 0.5) / F.lit(words.n + 0.5 * (words.v + 1))).alias("lb"),
-    )
-    parts = rest.groupBy("row").agg(F.sum("lp").alias("lp"), F.sum("known").alias("known"), F.sum("lb").alias("lb"))
-    none = lambda x: F.coalesce(F.col(x), F.lit(0))
-    total = none("score") + none("lp")
-    return (
-        docs.join(hot, "row", "left")
-        .join(parts, "row", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("n_known") + none("known")).cast("long").alias("n_known"),
-            F.lit(int(words.n)).cast("long").alias("train_tokens"),
-            (F.col("base_score") + none("lb")).cast("double").alias("base_score"),
-            total.cast("double").alias("score"),
-            (total / F.col("n_tokens")).cast("double").alias("score_per_token"),
-            F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
-        )
+    sums = map_arrow(packed.repartition("piece").sortWithinPartitions("piece"), add, "row long, lp double, lb double, known double")
+    total = F.col("lp")
+    return docs.join(sums, "row").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.col("known")).cast("long").alias("n_known"),
+        F.lit(int(words.n)).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.col("lb")).alias("base_score"),
+        total.alias("score"),
+        (total / F.col("n_tokens")).alias("score_per_token"),
+        F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )

@@ -733,6 +733,21 @@ def test_language_model(spark, hot):
     assert not math.isclose(by[83].score, by[84].score, abs_tol=0.1) or by[83].held_out == by[84].held_out
 
 
+def test_language_model_whatever_is_broadcast(spark):
+    d = docs(spark, [*zipf_texts(random.Random(12), 100), None, "", "never seen words"])
+    found, old = [], (lm.HOT_WORDS, lm.BUCKET_TOKENS, lm.PIECE)
+    try:
+        for lm.HOT_WORDS, lm.BUCKET_TOKENS, lm.PIECE in (old, (25, 300, 1_000), (0, 300, 1_000)):
+            found.append({x.doc_id: x for x in lm.score(d).collect()})
+    finally:
+        lm.HOT_WORDS, lm.BUCKET_TOKENS, lm.PIECE = old
+    for other in found[1:]:
+        assert len(other) == len(found[0]) == 103
+        for i, x in found[0].items():
+            assert (x.n_known, x.n_tokens) == (other[i].n_known, other[i].n_tokens)
+            assert math.isclose(x.score, other[i].score, rel_tol=1e-12) and math.isclose(x.base_score, other[i].base_score, rel_tol=1e-12)
+
+
 def test_language_model_reads_order(spark):
     texts = ["red green blue black white"] * 3 + ["a b c d"] * 3
     texts += ["red green blue black white", "white black blue green red"]
