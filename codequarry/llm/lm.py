@@ -16,8 +16,11 @@ average over SAMPLES sweeps after BURN_IN ones, and the score is the sum of its
 
 How it is dealt: texts are cut into pieces, and the tokens of each piece go as packed arrays to
 the bucket of the word before them, which holds all restaurants below it; buckets grow in number,
-not in size. A word that SPLIT_TOKENS tokens follow, or more, has several families of restaurants, each for a share
-of the words before it, and if these are such words too, of the documents. The words most frequent, up to
+not in size. The restaurants below a word that more than SPLIT_TOKENS tokens follow (a wide word) are
+dealt to several buckets by the word before it. These buckets and the wide words take turns, a sweep
+at a time: buckets draw tables and send their numbers, wide words draw theirs and send both back, so
+that scores don't depend on SPLIT_TOKENS. Kinds of tokens that occur once always have one table and
+take no part in that. The words most frequent, up to
 HOT_WORDS, are broadcast with their counts; the counts of other words are joined with the buckets
 that hold them and come there beside the tokens. Probabilities of both are made by one rule, so that
 scores don't depend on HOT_WORDS.
@@ -34,7 +37,7 @@ whole (a text is one piece at least); columns other than id and text are not loo
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -53,7 +56,7 @@ STRENGTHS = (1.0, 1.0, 1.0)
 BURN_IN, SAMPLES = 2, 2
 #: Words broadcast, 36 bytes each.
 HOT_WORDS = 1 << 20
-#: Tokens of a bucket, on average, and of the words that share it at most.
+#: Tokens of a bucket, on average, and those that may follow a word that has one bucket.
 BUCKET_TOKENS = 500_000
 SPLIT_TOKENS = 500_000
 EXACT = 512
@@ -148,8 +151,9 @@ class Bucket:
         self.parent = np.empty(len(v), np.int64)
         self.parent[order] = np.cumsum(new) - 1
         own = order[new]
-        self.v, self.low = v[own], low[w[own]]
-        self.seed = (mix(mix(v_hash[v] + word_hash[u]) + word_hash[w]), mix(v_hash[self.v] ^ word_hash[w[own]]))
+        self.v, self.low, self.word = v[own], low[w[own]], word_hash[w[own]]
+        self.context_hash = mix(v_hash[v] + word_hash[u])[np.concatenate([[0], np.flatnonzero(np.diff(self.context)) + 1])]
+        self.seed = (mix(self.context_hash[self.context] + word_hash[w]), mix(v_hash[self.v] ^ self.word))
 
     def probabilities(self, samples: int = SAMPLES, burn_in: int = BURN_IN) -> tuple[np.ndarray, np.ndarray]:
         """a and b of every kind of token: its probability is a + b * low."""
@@ -214,14 +218,12 @@ def word_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """hash, c: training counts of all words of the corpus, 0 for those of held-out rows only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in column_pieces(texts, PIECE):
-                words, n = tokens(texts.slice(a, b - a).to_pylist())
-                taught = np.repeat([not held_out(i) for i in ids[a:b]], n)
-                names, where = np.unique(words, return_inverse=True)
-                c = np.bincount(where, taught, len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(c)], ["hash", "n"])
+        for batch in gathered(batches, 1):
+            words, n = tokens(batch.column(1).to_pylist())
+            taught = np.repeat([not held_out(i) for i in batch.column(0).to_pylist()], n)
+            names, where = np.unique(words, return_inverse=True)
+            c = np.bincount(where, taught, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(c)], ["hash", "n"])
 
     counts = map_arrow(documents.select(id_col, text_col), run, "hash long, n long")
     return counts.groupBy("hash").agg(F.sum("n").alias("c"))
@@ -237,7 +239,8 @@ def root_tables(words: np.ndarray, c: np.ndarray, v: int) -> np.ndarray:
 class Words:
     """N, V, the tables of the restaurant of all words and what follows from them for a word's
     count. What is broadcast of the ``most`` most frequent words (None: of all that teach): hash,
-    base (log10), low (probability), families and number (by count) in the order of hashes."""
+    base (log10), low (probability), families (shares of the tokens that follow) and number (by count)
+    in the order of hashes."""
 
     def __init__(self, counts: DataFrame, most: int | None = None) -> None:
         self.n, self.v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -258,6 +261,7 @@ class Words:
         self.base, self.low = self.base_of(c), self.low_of(self.hash, c)
         self.low_rare = self.rate / (STRENGTHS[0] + self.n)  # of a word that doesn't teach
         self.families = -(-c // SPLIT_TOKENS)
+        self.wide, self.wide_tokens = self.hash[self.families > 1], int(c[self.families > 1].sum())
         self.place = np.argsort(-c, kind="stable")  # of each number
         self.number = np.empty(len(c), np.uint32)
         self.number[self.place] = np.arange(len(c), dtype=np.uint32)
@@ -325,11 +329,24 @@ def escaped(place: np.ndarray, words: np.ndarray, names: np.ndarray, known: Word
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to PIECE characters or more, and cut to pieces below twice that."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(x.column(column).nbytes for x in waiting) >= PIECE:
+            whole, waiting = pa.concat_batches(waiting), []
+            yield from (whole.slice(a, b - a) for a, b in column_pieces(whole.column(column), 2 * PIECE))
+    if waiting:
+        whole = pa.concat_batches(waiting)
+        yield from (whole.slice(a, b - a) for a, b in column_pieces(whole.column(column), 2 * PIECE))
+
+
 class Piece:
     """Tokens of a piece: w, the word before (v) and the one before that (u), the text of each (doc)
-    and the bucket it is dealt to."""
+    and the bucket it is dealt to: one of buckets[0], or of buckets[1] more for what follows wide words."""
 
-    def __init__(self, texts: list[str | None], known: Words, buckets: int, starts: int) -> None:
+    def __init__(self, texts: list[str | None], known: Words, buckets: tuple[int, int]) -> None:
         w, self.n = tokens(texts)
         self.first = first = np.cumsum(self.n) - self.n
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
@@ -342,83 +359,87 @@ class Piece:
         at_v = np.concatenate([[-1], place[:-1]])
         at_v[first] = -1
         families = np.where(at_v >= 0, known.families[at_v] if len(known.families) else 1, 1)
-        families[first] = starts
         many = np.flatnonzero(families > 1)
         v_key = v.copy()
-        if len(many):
-            share = mix(u[many])
-            often = known.find(u[many])
-            both = (u[many] == START) | (often >= 0)
-            both[both] &= (u[many][both] == START) | (known.families[often[both]] > 1)
-            # the documents' own hash: of their words in order
-            of_doc = mix(np.bitwise_xor.reduceat(mix(w + (np.arange(len(w)) - first[self.doc]).astype(np.uint64) * _B), first))
-            share = np.where(both, mix(share + of_doc[self.doc[many]]), share)
-            v_key[many] += (share % families[many].astype(np.uint64)) * _A
-        self.w, self.u, self.v_key, self.dealt = w, u, v_key, mix(v_key)
-        self.bucket = (((self.dealt >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
-def cut(texts: list[str | None], taught: np.ndarray, known: Words, buckets: int, starts: int) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]:
+        v_key[many] += mix(u[many]) % families[many].astype(np.uint64) * _A
+        dealt = mix(v_key) >> np.uint64(32)
+        self.w, self.v, self.u, self.at_v, self.v_key = w, v, u, at_v, v_key
+        self.bucket = ((dealt * np.uint64(buckets[0])) >> np.uint64(32)).astype(np.int64)
+        self.bucket[many] = buckets[0] + ((dealt[many] * np.uint64(buckets[1])) >> np.uint64(32)).astype(np.int64)
+
+
+def cut(texts: list[str | None], taught: np.ndarray, known: Words, buckets: tuple[int, int]) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, packed tokens) of a piece, and of each text the number of tokens, of those of hot
     words, and the sum of their base scores."""
-    piece = Piece(texts, known, buckets, starts)
+    piece = Piece(texts, known, buckets)
     w, u, n, first, doc, place, v_key, bucket = piece.w, piece.u, piece.n, piece.first, piece.doc, piece.place, piece.v_key, piece.bucket
     hot = place >= 0
     sums = lambda x: np.add.reduceat(x, first)
     base = sums(np.where(hot, known.base[place] if len(known.base) else 0.0, 0.0))
     n_known = sums(hot.astype(np.int64))
-    order = np.argsort(piece.dealt, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if sum(buckets) <= 1 << 16 else bucket, kind="stable")
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
     names = np.unique(np.concatenate([w[~hot], [START]]))
     place_u = np.concatenate([[-1, -1], place[:-2]])[: len(w)]
     place_u[first] = -1
     place_u[piece.second] = -1
-    number_w, number_u = escaped(place, w, names, known), escaped(place_u, u, names, known)
+    number_w, number_u, number_v = escaped(place, w, names, known), escaped(place_u, u, names, known), escaped(piece.at_v, piece.v, names, known)
     mark = (doc * 2 + taught[doc]).astype(np.uint32)
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = order[a:b]
-        keys, run = np.unique(v_key[own], return_counts=True)
         own = own[np.argsort(v_key[own], kind="stable")]
-        x, y = number_w[own], number_u[own]
-        used = np.unique(np.concatenate([x[x >= ESCAPE], y[y >= ESCAPE]]))
-        for z in (x, y):
-            far = z >= ESCAPE
-            z[far] = np.searchsorted(used, z[far]).astype(np.uint32) | ESCAPE
-        out.append((int(bucket[own[0]]), pack([keys, run.astype(np.uint32), x, y, mark[own], names[(used ^ ESCAPE).astype(np.int64)]])))
+        start = np.flatnonzero(np.concatenate([[True], v_key[own][1:] != v_key[own][:-1]]))
+        columns = [number_v[own[start]], number_w[own], number_u[own]]
+        used = np.unique(np.concatenate([x[x >= ESCAPE] for x in columns]))
+        for x in columns:
+            far = x >= ESCAPE
+            x[far] = np.searchsorted(used, x[far]).astype(np.uint32) | ESCAPE
+        run = np.diff(np.append(start, len(own))).astype(np.uint32)
+        out.append((int(bucket[own[0]]), pack([columns[0], run, *columns[1:], mark[own], names[(used ^ ESCAPE).astype(np.int64)]])))
     return out, n, n_known, base
 
 
+class Dealt:
+    """Packed tokens of one bucket with the hashes and counts of its words that are not hot: v, w, u
+    (numbers), mark and blob of each token, hash and probability of each number."""
+
+    def __init__(self, blobs: list[bytes], rare: tuple[np.ndarray, np.ndarray], known: Words) -> None:
+        parts = [unpack(x) for x in blobs]
+        names = np.unique(np.concatenate([p[5] for p in parts]))
+        hot = len(known.hash)
+
+        def numbers(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+            out = z.astype(np.int64)
+            far = z >= ESCAPE
+            out[~far] = known.place[out[~far]]
+            out[far] = hot + np.searchsorted(names, own)[(z[far] ^ ESCAPE).astype(np.int64)]
+            return out
+
+        before, v = np.unique(np.concatenate([numbers(p[0], p[5]) for p in parts]), return_inverse=True)
+        self.v = np.repeat(v, np.concatenate([p[1] for p in parts]).astype(np.int64))
+        self.w = np.concatenate([numbers(p[2], p[5]) for p in parts])
+        self.u = np.concatenate([numbers(p[3], p[5]) for p in parts])
+        mark = np.concatenate([p[4] for p in parts])
+        self.taught, self.doc = (mark & 1).astype(bool), (mark >> np.uint32(1)).astype(np.int64)
+        self.blob = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+        c = counts_of(names, *rare)
+        self.hash = np.concatenate([known.hash, names])
+        self.keys = self.hash[before]
+        self.low = np.concatenate([known.low, known.low_of(names, c)])
+        self.far = self.w >= hot
+        at = self.w[self.far] - hot
+        self.base, self.known = np.zeros(len(self.w)), self.far.copy()
+        self.base[self.far], self.known[self.far] = known.base_of(c)[at], c[at] > 0
+
+
 def scored(blobs: list[bytes], rare: tuple[np.ndarray, np.ndarray], known: Words) -> list[bytes]:
-    """Of the packed tokens of one bucket, with the hashes and counts of its words that are not
-    hot: for each blob packed sums by document (see ``summed``)."""
-    parts = [unpack(x) for x in blobs]
-    names = np.unique(np.concatenate([p[5] for p in parts]))
-    hot = len(known.hash)
-
-    def numbers(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-        out = z.astype(np.int64)
-        far = z >= ESCAPE
-        out[~far] = known.place[out[~far]]
-        out[far] = hot + np.searchsorted(names, own)[(z[far] ^ ESCAPE).astype(np.int64)]
-        return out
-
-    keys = np.unique(np.concatenate([p[0] for p in parts]))
-    v = np.concatenate([np.repeat(np.searchsorted(keys, p[0]), p[1].astype(np.int64)) for p in parts])
-    w = np.concatenate([numbers(p[2], p[5]) for p in parts])
-    u = np.concatenate([numbers(p[3], p[5]) for p in parts])
-    mark = np.concatenate([p[4] for p in parts])
-    blob = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
-    c = counts_of(names, *rare)
-    word_hash = np.concatenate([known.hash, names])
-    low = np.concatenate([known.low, known.low_of(names, c)])
-    restaurants = Bucket(v, u, w, (mark & 1).astype(bool), keys, word_hash, low)
+    """Of the packed tokens of one bucket: for each blob packed sums by document (see ``summed``)."""
+    t = Dealt(blobs, rare, known)
+    restaurants = Bucket(t.v, t.u, t.w, t.taught, t.keys, t.hash, t.low)
     a, b = restaurants.probabilities()
-    lp = np.log10(np.maximum(a[restaurants.kind] + b[restaurants.kind] * low[w], 1e-300))
-    far = w >= hot
-    at = np.where(far, w - hot, 0)
-    base = np.where(far, known.base_of(c)[at], 0.0)
-    return summed(len(parts), blob, (mark >> np.uint32(1)).astype(np.int64), lp, far, base, far & (c[at] > 0))
+    lp = np.log10(np.maximum(a[restaurants.kind] + b[restaurants.kind] * t.low[t.w], 1e-300))
+    return summed(len(blobs), t.blob, t.doc, lp, t.far, t.base, t.known)
 
 
 def counts_of(names: np.ndarray, words: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -427,7 +448,7 @@ def counts_of(names: np.ndarray, words: np.ndarray, c: np.ndarray) -> np.ndarray
         return np.zeros(len(names), np.int64)
     order = np.argsort(words, kind="stable")
     at = order[np.minimum(np.searchsorted(words[order], names), len(words) - 1)]
-    return np.where(words[at] == names, c[at], 0)
+    return np.where(words[at] == names, c[at], 0).astype(np.int64)
 
 
 def summed(blobs: int, blob: np.ndarray, doc: np.ndarray, lp: np.ndarray, far: np.ndarray, base: np.ndarray, is_known: np.ndarray) -> list[bytes]:
@@ -444,6 +465,185 @@ def summed(blobs: int, blob: np.ndarray, doc: np.ndarray, lp: np.ndarray, far: n
     return out
 
 
+# -- wide words --------------------------------------------------------------------------------
+
+#: What the packed rows of buckets (key: bucket) and wide words (key: word) hold.
+ALL, LIVE, TABLES, DOWN, FIRST, UP, STATE = range(7)
+PACKED = "key long, other long, tag int, blob binary"
+Row = tuple[int, int, int, bytes]
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32)
+
+
+def wide(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64)
+
+
+def runs(v: np.ndarray) -> list[tuple[int, slice]]:
+    """The slice of each number of sorted ones."""
+    numbers, start = np.unique(v, return_index=True)
+    return [(int(k), slice(a, b)) for k, a, b in zip(numbers, start.tolist(), [*start[1:].tolist(), len(v)], strict=True)]
+
+
+def share(bucket: int, blobs: list[bytes], pieces: list[int], rare: tuple[np.ndarray, np.ndarray], known: Words) -> tuple[list[bytes], list[Row]]:
+    """Sums of base scores of a bucket of wide words' shares by blob, and its rows: ALL kinds of
+    tokens, LIVE ones (that occur more than once), FIRST numbers of tables for the wide words."""
+    t = Dealt(blobs, rare, known)
+    r = Bucket(np.searchsorted(known.wide, t.keys)[t.v], t.u, t.w, t.taught, known.wide, t.hash, t.low)
+    far = t.far
+    sums = summed(len(blobs), t.blob[far], t.doc[far], np.zeros(int(far.sum())), far[far], t.base[far], t.known[far])
+    size = np.bincount(t.blob, minlength=len(blobs))
+    every = [narrow(r.kind), narrow(t.doc), narrow(size), np.array(pieces, np.int64).view(np.uint64), narrow(r.count), narrow(r.context), narrow(r.parent), narrow(r.v), r.low.view(np.uint64)]
+    out = [(bucket, 0, ALL, pack(every))]
+    once, often = r.count == 1, np.flatnonzero(r.count > 1)
+    single, live = (np.bincount(r.parent, x, len(r.v)) for x in (once, r.count > 1))
+    if len(often):
+        context, at_context = np.unique(r.context[often], return_inverse=True)
+        parent, at_parent = np.unique(r.parent[often], return_inverse=True)
+        alone = np.bincount(r.context, once)[context]
+        columns = [narrow(at_context), narrow(at_parent), narrow(r.count[often]), narrow(alone), r.context_hash[context], r.word[parent], narrow(r.v[parent]), r.low[parent].view(np.uint64)]
+        out.append((bucket, 0, LIVE, pack(columns)))
+    for v, own in runs(r.v):
+        out.append((v, bucket, FIRST, pack([r.word[own], narrow(single[own]), narrow(live[own]), r.low[own].view(np.uint64)])))
+    return sums, out
+
+
+def drawn_below(sweep: int, bucket: int, rows: list[Row]) -> list[Row]:
+    """A sweep of a bucket's live kinds: their TABLES, and UP, what they send to the wide words."""
+    static = next((x for _, _, tag, x in rows if tag == LIVE), None)
+    if static is None:
+        return []
+    (d2, d3), (s2, s3) = DISCOUNTS[1:], STRENGTHS[1:]
+    context, parent, count, alone, context_hash, word, v, low = unpack(static)
+    context, parent, count, low = wide(context), wide(parent), wide(count), low.view(np.float64)
+    t3 = next((wide(unpack(x)[0]) for _, _, tag, x in rows if tag == TABLES), np.ones(len(count), np.int64))
+    above = {v: unpack(x) for _, v, tag, x in rows if tag == DOWN}
+    p2 = np.empty(len(low))
+    for k, own in runs(v):
+        c2, t2, (total2, all2) = above[k]
+        p2[own] = (c2 - d2 * t2 + (s2 + d2 * float(all2)) * low[own]) / (s2 + float(total2))
+    all3 = np.bincount(context, t3, len(alone)) + alone
+    t3 = seat(count, p2[parent], all3[context] - t3, d3, s3, mix(context_hash[context] + word[parent]), 2 * sweep)
+    up = narrow(np.bincount(parent, t3, len(low)))
+    return [(bucket, 0, TABLES, pack([narrow(t3)])), *((k, bucket, UP, pack([word[own], up[own]])) for k, own in runs(v))]
+
+
+def drawn_above(sweep: int, name: np.uint64, v: int, rows: list[Row]) -> list[Row]:
+    """A sweep of a wide word's restaurant (-1: its first state): its STATE, and DOWN, what it
+    sends to the buckets of its shares, in the order of what they sent."""
+    d2, s2 = DISCOUNTS[1], STRENGTHS[1]
+    sent = {bucket: unpack(x) for _, bucket, tag, x in rows if tag in (FIRST, UP)}
+    if sweep < 0:
+        words, first, at = np.unique(np.concatenate([x[0] for x in sent.values()]), return_index=True, return_inverse=True)
+        low = np.concatenate([x[3] for x in sent.values()])[first].view(np.float64)
+        single, live = (np.bincount(at, np.concatenate([x[i] for x in sent.values()]), len(words)).astype(np.int64) for i in (1, 2))
+        c2 = single + live
+        t2 = np.minimum(c2, 1)
+        sent = {bucket: [x[0][x[2] > 0]] for bucket, x in sent.items()}
+    else:
+        words, single, low, _, t2 = unpack(next(x for _, _, tag, x in rows if tag == STATE))
+        low, single, t2 = low.view(np.float64), wide(single), wide(t2)
+        c2 = single.copy()
+        for word, n in sent.values():
+            c2[np.searchsorted(words, word)] += n
+        t2 = np.minimum(t2, c2)
+        t2 = seat(c2, low, float(t2.sum()) - t2, d2, s2, mix(name ^ words), 2 * sweep + 1)
+    totals = np.array([c2.sum(), t2.sum()], np.uint64)
+    out = [(v, 0, STATE, pack([words, narrow(single), low.view(np.uint64), narrow(c2), narrow(t2)]))]
+    for bucket, x in sent.items():
+        at = np.searchsorted(words, x[0])
+        out.append((bucket, v, DOWN, pack([narrow(c2[at]), narrow(t2[at]), totals])))
+    return out
+
+
+def last_above(v: int, rows: list[Row]) -> list[Row]:
+    """The wide word's customers and tables in every sample, for all that follows it in each bucket."""
+    states = [unpack(x) for _, _, _, x in sorted((r for r in rows if r[2] == STATE), key=lambda r: r[1])]
+    totals = [np.array([wide(x[3]).sum(), wide(x[4]).sum()], np.uint64) for x in states]
+    out = []
+    for _, bucket, tag, x in rows:
+        if tag == FIRST:
+            at = np.searchsorted(states[0][0], unpack(x)[0])
+            out.append((bucket, v, DOWN, pack([y for s, total in zip(states, totals, strict=True) for y in (s[3][at], s[4][at], total)])))
+    return out
+
+
+def last_below(rows: list[Row]) -> list[tuple[int, bytes]]:
+    """(piece, packed sums by document) of a bucket's tokens."""
+    (d2, d3), (s2, s3) = DISCOUNTS[1:], STRENGTHS[1:]
+    kind, doc, size, pieces, count, context, parent, v, low = unpack(next(x for _, _, tag, x in rows if tag == ALL))
+    count, context, parent, low = wide(count), wide(context), wide(parent), low.view(np.float64)
+    tables = {s: unpack(x)[0] for _, s, tag, x in rows if tag == TABLES}
+    above = {v: unpack(x) for _, v, tag, x in rows if tag == DOWN}
+    total3 = np.bincount(context, count)
+    a, b = np.zeros(len(count)), np.zeros(len(count))
+    for s in range(SAMPLES):
+        t3 = np.minimum(count, 1)
+        if s in tables:
+            t3[count > 1] = tables[s]
+        rest3 = ((s3 + d3 * np.bincount(context, t3)) / (s3 + total3))[context]
+        a2, b2 = np.empty(len(v)), np.empty(len(v))
+        for k, own in runs(v):
+            c2, t2, (total2, all2) = above[k][3 * s : 3 * s + 3]
+            a2[own] = (c2 - d2 * t2) / (s2 + float(total2))
+            b2[own] = (s2 + d2 * float(all2)) / (s2 + float(total2))
+        a += ((count - d3 * t3) / (s3 + total3)[context] + rest3 * a2[parent]) / SAMPLES
+        b += rest3 * b2[parent] / SAMPLES
+    lp = np.log10(np.maximum(a + b * low[parent], 1e-300))[kind]
+    none = np.zeros(len(lp), bool)
+    blob = np.repeat(np.arange(len(size)), size)
+    return list(zip(pieces.view(np.int64).tolist(), summed(len(size), blob, wide(doc), lp, none, none, none), strict=True))
+
+
+def by_key(rows: DataFrame, parts: int, fn: Callable[[int, list[Row]], list[Row]]) -> DataFrame:
+    """The rows that fn makes of those of each key."""
+
+    def batch_of(found: list[Row]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], ["key", "other", "tag", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[Row] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and row[0] != waiting[0][0]:
+                    yield batch_of(fn(waiting[0][0], waiting))
+                    waiting = []
+                waiting.append(row)
+        if waiting:
+            yield batch_of(fn(waiting[0][0], waiting))
+
+    return map_arrow(rows.select("key", "other", "tag", "blob").repartition(parts, "key").sortWithinPartitions("key"), run, PACKED)
+
+
+def swept(shares: DataFrame, names: np.ndarray, buckets: int) -> DataFrame:
+    """piece, blob: the sums of all tokens that follow wide words (named by hashes), from the rows
+    of their shares."""
+    tagged = lambda rows, *tags: rows.where(F.col("tag").isin(*tags))
+    parts, words = max(buckets, 2), max(len(names), 2)
+    above = lambda sweep, rows: materialize(by_key(rows, words, lambda v, x: drawn_above(sweep, names[v], v, x)), "lm")
+    firsts, state, samples = tagged(shares, FIRST), above(-1, tagged(shares, FIRST)), []
+    tables = None
+    for sweep in range(BURN_IN + SAMPLES):
+        live = tagged(shares, LIVE).unionByName(tagged(state, DOWN))
+        if tables is not None:
+            live = live.unionByName(tagged(tables, TABLES))
+        tables = materialize(by_key(live, parts, lambda bucket, x, sweep=sweep: drawn_below(sweep, bucket, x)), "lm")
+        state = above(sweep, tagged(state, STATE).unionByName(tagged(tables, UP)))
+        if sweep >= BURN_IN:
+            number = F.lit(sweep - BURN_IN).cast("long")
+            samples.append((tagged(state, STATE).withColumn("other", number), tagged(tables, TABLES).withColumn("other", number)))
+    for x, _ in samples:
+        firsts = firsts.unionByName(x)
+    rows = tagged(shares, ALL).unionByName(by_key(firsts, words, last_above))
+    for _, x in samples:
+        rows = rows.unionByName(x)
+    sums = by_key(rows, parts, lambda bucket, x: [(piece, 0, 0, blob) for piece, blob in last_below(x)])
+    return sums.select(F.col("key").alias("piece"), "blob")
+
+
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token and
     perplexity of every row."""
@@ -451,71 +651,88 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts = materialize(word_counts(documents, id_col, text_col), "words")
     words = Words(counts, HOT_WORDS)
     shared = spark.sparkContext.broadcast(words)
-    buckets = max(1, -(-int(words.n) // BUCKET_TOKENS))
-    end = counts.where(F.col("hash") == F.lit(int(END.view(np.int64)))).first()
-    starts = max(1, -(-int(end.c if end else 0) // SPLIT_TOKENS))
+    buckets = max(1, -(-(int(words.n) - words.wide_tokens) // BUCKET_TOKENS)), -(-words.wide_tokens // BUCKET_TOKENS)
     kind = documents.schema[id_col].dataType.simpleString()
     fields = {"bucket": pa.int32(), "piece": pa.int64(), "blob": pa.binary(), "row": pa.int64()}
     facts = {"held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64()}
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, 0):
+            piece = Piece(batch.column(0).to_pylist(), shared.value, buckets)
+            other = piece.place < 0
+            w, bucket = piece.w[other], piece.bucket[other]
+            order = np.lexsort((w, bucket))
+            w, bucket = w[order], bucket[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[new].astype(np.int32)), pa.array(w[new].view(np.int64))], ["bucket", "hash"])
+
+    def packed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            bucket, words, c = (np.concatenate([np.asarray(x.column(i)) for x in waiting]) for i in range(3))
+            order = np.argsort(bucket, kind="stable")
+            found = [(k, pack([words[own].view(np.uint64), c[own].astype(np.uint64)])) for k, part in runs(bucket[order]) for own in (order[part],)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+
         for batch in batches:
-            for a, b in column_pieces(batch.column(0), PIECE):
-                piece = Piece(batch.column(0).slice(a, b - a).to_pylist(), shared.value, buckets, starts)
-                other = piece.place < 0
-                w, bucket = piece.w[other], piece.bucket[other]
-                order = np.lexsort((w, bucket))
-                w, bucket = w[order], bucket[order]
-                new = np.ones(len(w), bool)
-                new[1:] = (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[new].astype(np.int32)), pa.array(w[new].view(np.int64))], ["bucket", "hash"])
+            waiting.append(batch)
+            if sum(len(x) for x in waiting) >= PIECE:
+                yield done()
+                waiting.clear()
+        if waiting:
+            yield done()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = shared.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in column_pieces(texts, PIECE):
-                ids = batch.column(0).slice(a, b - a)
-                held = np.array([held_out(i) for i in ids.to_pylist()], bool)
-                blobs, n, n_known, base = cut(texts.slice(a, b - a).to_pylist(), ~held, known, buckets, starts)
-                m, k = b - a, len(blobs)
-                none = [pa.nulls(k, t) for t in (pa.int64(), ids.type, *facts.values())]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array(np.full(k, row)), pa.array([x for _, x in blobs], pa.binary()), *none], [*fields, "doc_id", *facts])
-                rows = row + np.arange(m)
-                own = [pa.array((rows % buckets).astype(np.int32)), pa.array(np.full(m, row)), pa.nulls(m, pa.binary()), pa.array(rows)]
-                yield pa.RecordBatch.from_arrays([*own, ids, pa.array(held), pa.array(n), pa.array(n_known), pa.array(base)], [*fields, "doc_id", *facts])
-                row += m
+        for batch in gathered(batches, 1):
+            ids = batch.column(0)
+            held = np.array([held_out(i) for i in ids.to_pylist()], bool)
+            blobs, n, n_known, base = cut(batch.column(1).to_pylist(), ~held, known, buckets)
+            m, k = len(batch), len(blobs)
+            none = [pa.nulls(k, t) for t in (pa.int64(), ids.type, *facts.values())]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array(np.full(k, row)), pa.array([x for _, x in blobs], pa.binary()), *none], [*fields, "doc_id", *facts])
+            rows = row + np.arange(m)
+            own = [pa.array((rows % buckets[0]).astype(np.int32)), pa.array(np.full(m, row)), pa.nulls(m, pa.binary()), pa.array(rows)]
+            yield pa.RecordBatch.from_arrays([*own, ids, pa.array(held), pa.array(n), pa.array(n_known), pa.array(base)], [*fields, "doc_id", *facts])
+            row += m
 
     dealt = map_arrow(documents.select(id_col, text_col), deal, f"bucket int, piece long, blob binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double")
     if words.v > len(words.hash):  # others are unknown
         held = map_arrow(documents.select(text_col), rare, "bucket int, hash long").join(counts.where((F.col("c") > 0) & (F.col("c") < words.least)), "hash")
-        dealt = dealt.unionByName(held.select("bucket", F.col("hash").alias("word"), "c"), allowMissingColumns=True)
-    else:
-        dealt = dealt.withColumns({"word": F.lit(None).cast("long"), "c": F.lit(None).cast("long")})
-    dealt = dealt.repartition(max(buckets, 2), "bucket").sortWithinPartitions("bucket")
+        dealt = dealt.unionByName(map_arrow(held.select("bucket", "hash", "c"), packed_counts, "bucket int, blob binary"), allowMissingColumns=True)
+    dealt = dealt.repartition(max(sum(buckets), 2), "bucket").sortWithinPartitions("bucket")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        names = ["piece", "blob", "row", "doc_id", *facts]
+        names = ["piece", "blob", "row", "doc_id", *facts, "key", "other", "tag"]
+        links = pa.int64(), pa.int64(), pa.int32()
         waiting: list[pa.RecordBatch] = []
         bucket, id_type = -1, None
 
         def done() -> Iterator[pa.RecordBatch]:
-            parts = [x.filter(x.column("blob").is_valid()) for x in waiting]
-            pieces = [p for x in parts for p in x.column("piece").to_pylist()]
-            others = [x.filter(x.column("word").is_valid()) for x in waiting]
-            found = [np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.column(f)) for x in others)]) for f in ("word", "c")]
-            if not pieces:
+            found = [(p, x) for batch in waiting for p, x in zip(batch.column("piece").to_pylist(), batch.column("blob").to_pylist(), strict=True)]
+            blobs, pieces = [x for p, x in found if p is not None], [p for p, _ in found if p is not None]
+            if not blobs:
                 return
-            blobs = scored([p for x in parts for p in x.column("blob").to_pylist()], (found[0].view(np.uint64), found[1]), known)
-            gaps = [pa.nulls(len(pieces), t) for t in (pa.int64(), id_type, *facts.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), pa.array(blobs, pa.binary()), *gaps], names)
+            counted = [unpack(x) for p, x in found if p is None]
+            rare, rows = tuple(np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in counted)]) for i in (0, 1)), []
+            if bucket < buckets[0]:
+                sums = scored(blobs, rare, known)
+            else:
+                sums, rows = share(int(bucket), blobs, pieces, rare, known)
+            gaps = lambda n: [pa.nulls(n, t) for t in (pa.int64(), id_type, *facts.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), pa.array(sums, pa.binary()), *gaps(len(pieces)), *(pa.nulls(len(pieces), t) for t in links)], names)
+            if rows:
+                key, other, tag, blob = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(blob, pa.binary()), *gaps(len(rows)), *(pa.array(x, t) for x, t in zip((key, other, tag), links, strict=True))], names)
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             own = batch.filter(batch.column("row").is_valid())
             if len(own):
-                yield pa.RecordBatch.from_arrays([own.column("piece"), pa.nulls(len(own), pa.binary()), own.column("row"), own.column("doc_id"), *(own.column(f) for f in facts)], names)
+                yield pa.RecordBatch.from_arrays([own.column("piece"), pa.nulls(len(own), pa.binary()), own.column("row"), own.column("doc_id"), *(own.column(f) for f in facts), *(pa.nulls(len(own), t) for t in links)], names)
             rest = batch.filter(batch.column("row").is_null())
             at = np.asarray(rest.column("bucket"))
             edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
@@ -526,11 +743,11 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     yield from done()
                     waiting.clear()
                 bucket = at[x]
-                waiting.append(rest.slice(x, y - x).select(["piece", "blob", "word", "c"]))
+                waiting.append(rest.slice(x, y - x).select(["piece", "blob"]))
         if waiting:
             yield from done()
 
-    schema = f"piece long, blob binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double"
+    schema = f"piece long, blob binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, key long, other long, tag int"
     out = materialize(map_arrow(dealt, sweep, schema), "lm")
     docs = out.where(F.col("n_tokens").isNotNull()).select("row", "doc_id", *facts)
 
@@ -547,7 +764,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         yield rows()
                     piece, total = at, np.zeros((3, 0))
                 doc, lp, few, lb, seen = unpack(blob)
-                if doc[-1] >= total.shape[1]:
+                if len(doc) and doc[-1] >= total.shape[1]:
                     total = np.concatenate([total, np.zeros((3, int(doc[-1]) + 1 - total.shape[1]))], axis=1)
                 total[0, doc] += lp.view(np.float64)
                 total[1, few] += lb.view(np.float64)
@@ -555,7 +772,10 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if piece is not None:
             yield rows()
 
-    packed = out.where(F.col("blob").isNotNull()).select("piece", "blob")
+    packed = out.where(F.col("piece").isNotNull() & F.col("blob").isNotNull()).select("piece", "blob")
+    if buckets[1]:
+        shares = out.where(F.col("tag").isNotNull()).select("key", "other", "tag", "blob")
+        packed = packed.unionByName(swept(shares, words.wide, buckets[1]))
     sums = map_arrow(packed.repartition("piece").sortWithinPartitions("piece"), add, "row long, lp double, lb double, known double")
     total = F.col("lp")
     return docs.join(sums, "row").select(

@@ -748,6 +748,22 @@ def test_language_model_whatever_is_broadcast(spark):
             assert math.isclose(x.score, other[i].score, rel_tol=1e-12) and math.isclose(x.base_score, other[i].base_score, rel_tol=1e-12)
 
 
+def test_language_model_however_wide_words_are_dealt(spark):
+    d = docs(spark, [*zipf_texts(random.Random(13), 100, 60), None, "", "never seen words"])
+    plain = {x.doc_id: x for x in lm.score(d).collect()}
+    old = lm.SPLIT_TOKENS, lm.BUCKET_TOKENS, lm.PIECE, lm.HOT_WORDS
+    try:
+        lm.SPLIT_TOKENS, lm.BUCKET_TOKENS, lm.PIECE, lm.HOT_WORDS = 40, 400, 2_000, 30
+        assert len(lm.Words(lm.word_counts(d), 30).wide) > 10
+        split = {x.doc_id: x for x in lm.score(d).collect()}
+    finally:
+        lm.SPLIT_TOKENS, lm.BUCKET_TOKENS, lm.PIECE, lm.HOT_WORDS = old
+    assert len(split) == len(plain) == 103
+    for i, x in plain.items():
+        assert (x.n_known, x.n_tokens) == (split[i].n_known, split[i].n_tokens)
+        assert math.isclose(x.score, split[i].score, rel_tol=1e-12) and math.isclose(x.base_score, split[i].base_score, rel_tol=1e-12)
+
+
 def test_language_model_reads_order(spark):
     texts = ["red green blue black white"] * 3 + ["a b c d"] * 3
     texts += ["red green blue black white", "white black blue green red"]
