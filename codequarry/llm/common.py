@@ -120,12 +120,21 @@ def gone_at_exit(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    gone_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.parquet(path)
+def materialize(df: DataFrame, name: str, keep_shuffles: bool = True) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder. Shuffle files of the write go with it
+    unless they are kept (until the driver collects garbage)."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(setting)
+    if not keep_shuffles:
+        spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, old)
+    gone_at_exit(spark, path)
+    return spark.read.parquet(path)
 
 
 def drop_scratch(df: DataFrame) -> None:

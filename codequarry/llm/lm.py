@@ -43,11 +43,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_pieces, map_arrow, materialize, pieces
+from .common import column_pieces, drop_scratch, map_arrow, materialize, pieces
 from .jaccard import word_hashes
 
 #: Discount and strength of restaurants of no, one and two words.
@@ -151,8 +151,10 @@ class Bucket:
         self.parent = np.empty(len(v), np.int64)
         self.parent[order] = np.cumsum(new) - 1
         own = order[new]
-        self.v, self.low, self.word = v[own], low[w[own]], word_hash[w[own]]
-        self.context_hash = mix(v_hash[v] + word_hash[u])[np.concatenate([[0], np.flatnonzero(np.diff(self.context)) + 1])]
+        self.v, self.w, self.low, self.word = v[own], w[own], low[w[own]], word_hash[w[own]]
+        own = np.concatenate([[0], np.flatnonzero(np.diff(self.context)) + 1])
+        self.context_v, self.context_u = v[own], u[own]
+        self.context_hash = mix(v_hash[self.context_v] + word_hash[self.context_u])
         self.seed = (mix(self.context_hash[self.context] + word_hash[w]), mix(v_hash[self.v] ^ self.word))
 
     def probabilities(self, samples: int = SAMPLES, burn_in: int = BURN_IN) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +414,6 @@ class Dealt:
         def numbers(z: np.ndarray, own: np.ndarray) -> np.ndarray:
             out = z.astype(np.int64)
             far = z >= ESCAPE
-            out[~far] = known.place[out[~far]]
             out[far] = hot + np.searchsorted(names, own)[(z[far] ^ ESCAPE).astype(np.int64)]
             return out
 
@@ -424,9 +425,9 @@ class Dealt:
         self.taught, self.doc = (mark & 1).astype(bool), (mark >> np.uint32(1)).astype(np.int64)
         self.blob = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
         c = counts_of(names, *rare)
-        self.hash = np.concatenate([known.hash, names])
+        self.hash = np.concatenate([known.hash[known.place], names])
         self.keys = self.hash[before]
-        self.low = np.concatenate([known.low, known.low_of(names, c)])
+        self.low = np.concatenate([known.low[known.place], known.low_of(names, c)])
         self.far = self.w >= hot
         at = self.w[self.far] - hot
         self.base, self.known = np.zeros(len(self.w)), self.far.copy()
@@ -487,15 +488,35 @@ def runs(v: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(k), slice(a, b)) for k, a, b in zip(numbers, start.tolist(), [*start[1:].tolist(), len(v)], strict=True)]
 
 
+def delta(x: np.ndarray) -> np.ndarray:
+    """What each number is above the one before it, modulo 2^32: mostly zeros in the upper bytes."""
+    return np.diff(narrow(x), prepend=np.uint32(0))
+
+
+def from_delta(x: np.ndarray) -> np.ndarray:
+    return wide(np.cumsum(x, dtype=np.uint32))
+
+
+def filled(number: np.ndarray, others: np.ndarray, values: np.ndarray, known: Words) -> np.ndarray:
+    """The values of words: of hot ones by their numbers, of others as given in their order."""
+    out, far = np.empty(len(number), values.dtype), number >= len(values)
+    out[~far] = values[known.place[number[~far]]]
+    out[far] = others
+    return out
+
+
 def share(bucket: int, blobs: list[bytes], pieces: list[int], rare: tuple[np.ndarray, np.ndarray], known: Words) -> tuple[list[bytes], list[Row]]:
     """Sums of base scores of a bucket of wide words' shares by blob, and its rows: ALL kinds of
-    tokens, LIVE ones (that occur more than once), FIRST numbers of tables for the wide words."""
+    tokens, LIVE ones (that occur more than once), FIRST numbers of tables for the wide words. Hot words
+    go by number, hashes and probabilities (low) of the others beside them."""
     t = Dealt(blobs, rare, known)
     r = Bucket(np.searchsorted(known.wide, t.keys)[t.v], t.u, t.w, t.taught, known.wide, t.hash, t.low)
-    far = t.far
+    far, hot = t.far, len(known.hash)
     sums = summed(len(blobs), t.blob[far], t.doc[far], np.zeros(int(far.sum())), far[far], t.base[far], t.known[far])
     size = np.bincount(t.blob, minlength=len(blobs))
-    every = [narrow(r.kind), narrow(t.doc), narrow(size), np.array(pieces, np.int64).view(np.uint64), narrow(r.count), narrow(r.context), narrow(r.parent), narrow(r.v), r.low.view(np.uint64)]
+    order = order_of(t.blob, r.kind, t.doc)
+    # a blob's kinds rise, so do a context's parents and a wide word's words
+    every = [delta(r.kind[order]), narrow(t.doc[order]), narrow(size), np.array(pieces, np.int64).view(np.uint64), narrow(r.count), delta(r.context), delta(r.parent), delta(r.v), delta(np.minimum(r.w, hot)), r.low[r.w >= hot].view(np.uint64)]
     out = [(bucket, 0, ALL, pack(every))]
     once, often = r.count == 1, np.flatnonzero(r.count > 1)
     single, live = (np.bincount(r.parent, x, len(r.v)) for x in (once, r.count > 1))
@@ -503,21 +524,26 @@ def share(bucket: int, blobs: list[bytes], pieces: list[int], rare: tuple[np.nda
         context, at_context = np.unique(r.context[often], return_inverse=True)
         parent, at_parent = np.unique(r.parent[often], return_inverse=True)
         alone = np.bincount(r.context, once)[context]
-        columns = [narrow(at_context), narrow(at_parent), narrow(r.count[often]), narrow(alone), r.context_hash[context], r.word[parent], narrow(r.v[parent]), r.low[parent].view(np.uint64)]
+        u, w = r.context_u[context], r.w[parent]
+        columns = [delta(at_context), delta(at_parent), narrow(r.count[often]), narrow(alone), delta(r.context_v[context]), delta(np.minimum(u, hot)), t.hash[u[u >= hot]]]
+        columns += [delta(r.v[parent]), delta(np.minimum(w, hot)), t.hash[w[w >= hot]], t.low[w[w >= hot]].view(np.uint64)]
         out.append((bucket, 0, LIVE, pack(columns)))
     for v, own in runs(r.v):
-        out.append((v, bucket, FIRST, pack([r.word[own], narrow(single[own]), narrow(live[own]), r.low[own].view(np.uint64)])))
+        w = r.w[own]
+        out.append((v, bucket, FIRST, pack([delta(w[w < hot]), t.hash[w[w >= hot]], narrow(single[own]), narrow(live[own]), t.low[w[w >= hot]].view(np.uint64)])))
     return sums, out
 
 
-def drawn_below(sweep: int, bucket: int, rows: list[Row]) -> list[Row]:
+def drawn_below(sweep: int, known: Words, bucket: int, rows: list[Row]) -> list[Row]:
     """A sweep of a bucket's live kinds: their TABLES, and UP, what they send to the wide words."""
     static = next((x for _, _, tag, x in rows if tag == LIVE), None)
     if static is None:
         return []
-    (d2, d3), (s2, s3) = DISCOUNTS[1:], STRENGTHS[1:]
-    context, parent, count, alone, context_hash, word, v, low = unpack(static)
-    context, parent, count, low = wide(context), wide(parent), wide(count), low.view(np.float64)
+    (d2, d3), (s2, s3), hot = DISCOUNTS[1:], STRENGTHS[1:], len(known.hash)
+    context, parent, count, alone, context_v, u, u_hash, v, w, w_hash, w_low = unpack(static)
+    context, parent, count, context_v, u, v, w = from_delta(context), from_delta(parent), wide(count), from_delta(context_v), from_delta(u), from_delta(v), from_delta(w)
+    context_hash = mix(known.wide[context_v] + filled(u, u_hash, known.hash, known))
+    word, low = filled(w, w_hash, known.hash, known), filled(w, w_low.view(np.float64), known.low, known)
     t3 = next((wide(unpack(x)[0]) for _, _, tag, x in rows if tag == TABLES), np.ones(len(count), np.int64))
     above = {v: unpack(x) for _, v, tag, x in rows if tag == DOWN}
     p2 = np.empty(len(low))
@@ -526,55 +552,74 @@ def drawn_below(sweep: int, bucket: int, rows: list[Row]) -> list[Row]:
         p2[own] = (c2 - d2 * t2 + (s2 + d2 * float(all2)) * low[own]) / (s2 + float(total2))
     all3 = np.bincount(context, t3, len(alone)) + alone
     t3 = seat(count, p2[parent], all3[context] - t3, d3, s3, mix(context_hash[context] + word[parent]), 2 * sweep)
-    up = narrow(np.bincount(parent, t3, len(low)))
-    return [(bucket, 0, TABLES, pack([narrow(t3)])), *((k, bucket, UP, pack([word[own], up[own]])) for k, own in runs(v))]
+    up, out, others = narrow(np.bincount(parent, t3, len(low))), [(bucket, 0, TABLES, pack([narrow(t3)]))], np.cumsum(w >= hot)
+    for k, own in runs(v):
+        x, (a, b) = w[own], (others[[own.start, own.stop - 1]] - [w[own.start] >= hot, 0]).tolist()
+        out.append((k, bucket, UP, pack([delta(x[x < hot]), w_hash[a:b], up[own]])))
+    return out
+
+
+class Followers:
+    """The words that follow a wide word: hot ones by number, then others by hash."""
 
+    def __init__(self, number: np.ndarray, other: np.ndarray) -> None:
+        self.number, self.other = number, other
 
-def drawn_above(sweep: int, name: np.uint64, v: int, rows: list[Row]) -> list[Row]:
+    def find(self, number: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Places of words; the numbers are deltas."""
+        return np.concatenate([np.searchsorted(self.number, from_delta(number)), len(self.number) + np.searchsorted(self.other, other)])
+
+
+def drawn_above(sweep: int, known: Words, v: int, rows: list[Row]) -> list[Row]:
     """A sweep of a wide word's restaurant (-1: its first state): its STATE, and DOWN, what it
     sends to the buckets of its shares, in the order of what they sent."""
     d2, s2 = DISCOUNTS[1], STRENGTHS[1]
     sent = {bucket: unpack(x) for _, bucket, tag, x in rows if tag in (FIRST, UP)}
     if sweep < 0:
-        words, first, at = np.unique(np.concatenate([x[0] for x in sent.values()]), return_index=True, return_inverse=True)
-        low = np.concatenate([x[3] for x in sent.values()])[first].view(np.float64)
-        single, live = (np.bincount(at, np.concatenate([x[i] for x in sent.values()]), len(words)).astype(np.int64) for i in (1, 2))
+        other, first = np.unique(np.concatenate([x[1] for x in sent.values()]), return_index=True)
+        words = Followers(np.unique(np.concatenate([from_delta(x[0]) for x in sent.values()])), other)
+        other_low = np.concatenate([x[4] for x in sent.values()])[first]
+        at = {bucket: words.find(*x[:2]) for bucket, x in sent.items()}
+        size = len(words.number) + len(other)
+        single, live = (np.bincount(np.concatenate(list(at.values())), np.concatenate([x[i] for x in sent.values()]), size).astype(np.int64) for i in (2, 3))
         c2 = single + live
         t2 = np.minimum(c2, 1)
-        sent = {bucket: [x[0][x[2] > 0]] for bucket, x in sent.items()}
+        at = {bucket: at[bucket][x[3] > 0] for bucket, x in sent.items()}
     else:
-        words, single, low, _, t2 = unpack(next(x for _, _, tag, x in rows if tag == STATE))
-        low, single, t2 = low.view(np.float64), wide(single), wide(t2)
+        number, other, other_low, single, _, t2 = unpack(next(x for _, _, tag, x in rows if tag == STATE))
+        words, single, t2 = Followers(from_delta(number), other), wide(single), wide(t2)
+        at = {bucket: words.find(*x[:2]) for bucket, x in sent.items()}
         c2 = single.copy()
-        for word, n in sent.values():
-            c2[np.searchsorted(words, word)] += n
+        for bucket, x in sent.items():
+            c2[at[bucket]] += x[2]
         t2 = np.minimum(t2, c2)
-        t2 = seat(c2, low, float(t2.sum()) - t2, d2, s2, mix(name ^ words), 2 * sweep + 1)
+        place = known.place[words.number]
+        low, hashes = np.concatenate([known.low[place], other_low.view(np.float64)]), np.concatenate([known.hash[place], other])
+        t2 = seat(c2, low, float(t2.sum()) - t2, d2, s2, mix(known.wide[v] ^ hashes), 2 * sweep + 1)
     totals = np.array([c2.sum(), t2.sum()], np.uint64)
-    out = [(v, 0, STATE, pack([words, narrow(single), low.view(np.uint64), narrow(c2), narrow(t2)]))]
-    for bucket, x in sent.items():
-        at = np.searchsorted(words, x[0])
-        out.append((bucket, v, DOWN, pack([narrow(c2[at]), narrow(t2[at]), totals])))
-    return out
+    out = [(v, 0, STATE, pack([delta(words.number), other, other_low, narrow(single), narrow(c2), narrow(t2)]))]
+    return out + [(bucket, v, DOWN, pack([narrow(c2[x]), narrow(t2[x]), totals])) for bucket, x in at.items()]
 
 
 def last_above(v: int, rows: list[Row]) -> list[Row]:
     """The wide word's customers and tables in every sample, for all that follows it in each bucket."""
     states = [unpack(x) for _, _, _, x in sorted((r for r in rows if r[2] == STATE), key=lambda r: r[1])]
-    totals = [np.array([wide(x[3]).sum(), wide(x[4]).sum()], np.uint64) for x in states]
+    totals = [np.array([wide(x[4]).sum(), wide(x[5]).sum()], np.uint64) for x in states]
+    words = Followers(from_delta(states[0][0]), states[0][1])
     out = []
     for _, bucket, tag, x in rows:
         if tag == FIRST:
-            at = np.searchsorted(states[0][0], unpack(x)[0])
-            out.append((bucket, v, DOWN, pack([y for s, total in zip(states, totals, strict=True) for y in (s[3][at], s[4][at], total)])))
+            at = words.find(*unpack(x)[:2])
+            out.append((bucket, v, DOWN, pack([y for s, total in zip(states, totals, strict=True) for y in (s[4][at], s[5][at], total)])))
     return out
 
 
-def last_below(rows: list[Row]) -> list[tuple[int, bytes]]:
+def last_below(known: Words, rows: list[Row]) -> list[tuple[int, bytes]]:
     """(piece, packed sums by document) of a bucket's tokens."""
     (d2, d3), (s2, s3) = DISCOUNTS[1:], STRENGTHS[1:]
-    kind, doc, size, pieces, count, context, parent, v, low = unpack(next(x for _, _, tag, x in rows if tag == ALL))
-    count, context, parent, low = wide(count), wide(context), wide(parent), low.view(np.float64)
+    kind, doc, size, pieces, count, context, parent, v, w, w_low = unpack(next(x for _, _, tag, x in rows if tag == ALL))
+    kind, count, context, parent, v = from_delta(kind), wide(count), from_delta(context), from_delta(parent), from_delta(v)
+    low = filled(from_delta(w), w_low.view(np.float64), known.low, known)
     tables = {s: unpack(x)[0] for _, s, tag, x in rows if tag == TABLES}
     above = {v: unpack(x) for _, v, tag, x in rows if tag == DOWN}
     total3 = np.bincount(context, count)
@@ -618,20 +663,23 @@ def by_key(rows: DataFrame, parts: int, fn: Callable[[int, list[Row]], list[Row]
     return map_arrow(rows.select("key", "other", "tag", "blob").repartition(parts, "key").sortWithinPartitions("key"), run, PACKED)
 
 
-def swept(shares: DataFrame, names: np.ndarray, buckets: int) -> DataFrame:
-    """piece, blob: the sums of all tokens that follow wide words (named by hashes), from the rows
-    of their shares."""
+def swept(shares: DataFrame, shared: Broadcast[Words], buckets: int) -> DataFrame:
+    """piece, blob: the sums of all tokens that follow wide words, from the rows of their shares."""
     tagged = lambda rows, *tags: rows.where(F.col("tag").isin(*tags))
-    parts, words = max(buckets, 2), max(len(names), 2)
-    above = lambda sweep, rows: materialize(by_key(rows, words, lambda v, x: drawn_above(sweep, names[v], v, x)), "lm")
+    parts, words = max(buckets, 2), max(len(shared.value.wide), 2)
+    above = lambda sweep, rows: materialize(by_key(rows, words, lambda v, x: drawn_above(sweep, shared.value, v, x)), "lm", keep_shuffles=False)
     firsts, state, samples = tagged(shares, FIRST), above(-1, tagged(shares, FIRST)), []
     tables = None
     for sweep in range(BURN_IN + SAMPLES):
+        last = [x for x in (state, tables) if x is not None]
         live = tagged(shares, LIVE).unionByName(tagged(state, DOWN))
         if tables is not None:
             live = live.unionByName(tagged(tables, TABLES))
-        tables = materialize(by_key(live, parts, lambda bucket, x, sweep=sweep: drawn_below(sweep, bucket, x)), "lm")
+        tables = materialize(by_key(live, parts, lambda bucket, x, sweep=sweep: drawn_below(sweep, shared.value, bucket, x)), "lm", keep_shuffles=False)
         state = above(sweep, tagged(state, STATE).unionByName(tagged(tables, UP)))
+        if sweep <= BURN_IN:  # what samples come from stays
+            for x in last:
+                drop_scratch(x)
         if sweep >= BURN_IN:
             number = F.lit(sweep - BURN_IN).cast("long")
             samples.append((tagged(state, STATE).withColumn("other", number), tagged(tables, TABLES).withColumn("other", number)))
@@ -640,7 +688,7 @@ def swept(shares: DataFrame, names: np.ndarray, buckets: int) -> DataFrame:
     rows = tagged(shares, ALL).unionByName(by_key(firsts, words, last_above))
     for _, x in samples:
         rows = rows.unionByName(x)
-    sums = by_key(rows, parts, lambda bucket, x: [(piece, 0, 0, blob) for piece, blob in last_below(x)])
+    sums = by_key(rows, parts, lambda bucket, x: [(piece, 0, 0, blob) for piece, blob in last_below(shared.value, x)])
     return sums.select(F.col("key").alias("piece"), "blob")
 
 
@@ -648,7 +696,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token and
     perplexity of every row."""
     spark = documents.sparkSession
-    counts = materialize(word_counts(documents, id_col, text_col), "words")
+    counts = materialize(word_counts(documents, id_col, text_col), "words", keep_shuffles=False)
     words = Words(counts, HOT_WORDS)
     shared = spark.sparkContext.broadcast(words)
     buckets = max(1, -(-(int(words.n) - words.wide_tokens) // BUCKET_TOKENS)), -(-words.wide_tokens // BUCKET_TOKENS)
@@ -748,7 +796,8 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield from done()
 
     schema = f"piece long, blob binary, row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, key long, other long, tag int"
-    out = materialize(map_arrow(dealt, sweep, schema), "lm")
+    out = materialize(map_arrow(dealt, sweep, schema), "lm", keep_shuffles=False)
+    drop_scratch(counts)
     docs = out.where(F.col("n_tokens").isNotNull()).select("row", "doc_id", *facts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -775,7 +824,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     packed = out.where(F.col("piece").isNotNull() & F.col("blob").isNotNull()).select("piece", "blob")
     if buckets[1]:
         shares = out.where(F.col("tag").isNotNull()).select("key", "other", "tag", "blob")
-        packed = packed.unionByName(swept(shares, words.wide, buckets[1]))
+        packed = packed.unionByName(swept(shares, shared, buckets[1]))
     sums = map_arrow(packed.repartition("piece").sortWithinPartitions("piece"), add, "row long, lp double, lb double, known double")
     total = F.col("lp")
     return docs.join(sums, "row").select(

@@ -2,8 +2,10 @@ import hashlib
 import html
 import itertools
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codequarry.llm import bpe, decontaminate, html_text, jaccard, lm, pii, secrets, sharding, topk, toxicity
+from codequarry.llm.common import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -764,6 +767,37 @@ def test_language_model_however_wide_words_are_dealt(spark):
         assert math.isclose(x.score, split[i].score, rel_tol=1e-12) and math.isclose(x.base_score, split[i].base_score, rel_tol=1e-12)
 
 
+def test_language_model_rows_of_wide_words_are_small(spark, monkeypatch):
+    d = docs(spark, zipf_texts(random.Random(14), 300, 300))
+    made, sizes, materialize = [], Counter(), lm.materialize
+
+    def measured(*args, **more):
+        made.append(x := materialize(*args, **more))
+        if "tag" in x.columns:
+            sizes.update({r.tag: r.n for r in x.where("tag is not null").groupBy("tag").agg(F.sum(F.length("blob")).alias("n")).collect()})
+        return x
+
+    monkeypatch.setattr(lm, "materialize", measured)
+    monkeypatch.setattr(lm, "SPLIT_TOKENS", 400)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 2_000)
+    lm.score(d).collect()
+    kept = [x for x in made if any(pathlib.Path(f.removeprefix("file:")).exists() for f in x.inputFiles())]
+    assert sum(sizes.values()) < 40_000  # 87,000 with hashes and probabilities of the words
+    assert len(kept) == 5  # shares, and what two samples are taken from
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    files = lambda: {str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",") if "shuffle_" in x}
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(setting)
+    out = materialize(spark.range(1_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "x", keep_shuffles=False)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 7 and spark.conf.get(setting) == old
+
+
 def test_language_model_reads_order(spark):
     texts = ["red green blue black white"] * 3 + ["a b c d"] * 3
     texts += ["red green blue black white", "white black blue green red"]
