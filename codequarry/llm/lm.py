@@ -319,6 +319,23 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32)
+
+
+def wide(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64)
+
+
+def delta(x: np.ndarray) -> np.ndarray:
+    """What each number is above the one before it, modulo 2^32: mostly zeros in the upper bytes."""
+    return np.diff(narrow(x), prepend=np.uint32(0))
+
+
+def from_delta(x: np.ndarray) -> np.ndarray:
+    return wide(np.cumsum(x, dtype=np.uint32))
+
+
 ESCAPE = np.uint32(1 << 31)
 
 
@@ -365,7 +382,7 @@ class Piece:
         v_key = v.copy()
         v_key[many] += mix(u[many]) % families[many].astype(np.uint64) * _A
         dealt = mix(v_key) >> np.uint64(32)
-        self.w, self.v, self.u, self.at_v, self.v_key = w, v, u, at_v, v_key
+        self.w, self.v, self.u, self.at_v = w, v, u, at_v
         self.bucket = ((dealt * np.uint64(buckets[0])) >> np.uint64(32)).astype(np.int64)
         self.bucket[many] = buckets[0] + ((dealt[many] * np.uint64(buckets[1])) >> np.uint64(32)).astype(np.int64)
 
@@ -374,7 +391,7 @@ def cut(texts: list[str | None], taught: np.ndarray, known: Words, buckets: tupl
     """(bucket, packed tokens) of a piece, and of each text the number of tokens, of those of hot
     words, and the sum of their base scores."""
     piece = Piece(texts, known, buckets)
-    w, u, n, first, doc, place, v_key, bucket = piece.w, piece.u, piece.n, piece.first, piece.doc, piece.place, piece.v_key, piece.bucket
+    w, u, n, first, doc, place, bucket = piece.w, piece.u, piece.n, piece.first, piece.doc, piece.place, piece.bucket
     hot = place >= 0
     sums = lambda x: np.add.reduceat(x, first)
     base = sums(np.where(hot, known.base[place] if len(known.base) else 0.0, 0.0))
@@ -390,15 +407,15 @@ def cut(texts: list[str | None], taught: np.ndarray, known: Words, buckets: tupl
     out = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = order[a:b]
-        own = own[np.argsort(v_key[own], kind="stable")]
-        start = np.flatnonzero(np.concatenate([[True], v_key[own][1:] != v_key[own][:-1]]))
+        own = own[np.argsort(number_v[own], kind="stable")]
+        start = np.flatnonzero(np.concatenate([[True], number_v[own][1:] != number_v[own][:-1]]))
         columns = [number_v[own[start]], number_w[own], number_u[own]]
         used = np.unique(np.concatenate([x[x >= ESCAPE] for x in columns]))
         for x in columns:
             far = x >= ESCAPE
             x[far] = np.searchsorted(used, x[far]).astype(np.uint32) | ESCAPE
         run = np.diff(np.append(start, len(own))).astype(np.uint32)
-        out.append((int(bucket[own[0]]), pack([columns[0], run, *columns[1:], mark[own], names[(used ^ ESCAPE).astype(np.int64)]])))
+        out.append((int(bucket[own[0]]), pack([delta(columns[0]), run, *columns[1:], mark[own], names[(used ^ ESCAPE).astype(np.int64)]])))
     return out, n, n_known, base
 
 
@@ -417,7 +434,7 @@ class Dealt:
             out[far] = hot + np.searchsorted(names, own)[(z[far] ^ ESCAPE).astype(np.int64)]
             return out
 
-        before, v = np.unique(np.concatenate([numbers(p[0], p[5]) for p in parts]), return_inverse=True)
+        before, v = np.unique(np.concatenate([numbers(np.cumsum(p[0], dtype=np.uint32), p[5]) for p in parts]), return_inverse=True)
         self.v = np.repeat(v, np.concatenate([p[1] for p in parts]).astype(np.int64))
         self.w = np.concatenate([numbers(p[2], p[5]) for p in parts])
         self.u = np.concatenate([numbers(p[3], p[5]) for p in parts])
@@ -454,15 +471,15 @@ def counts_of(names: np.ndarray, words: np.ndarray, c: np.ndarray) -> np.ndarray
 
 def summed(blobs: int, blob: np.ndarray, doc: np.ndarray, lp: np.ndarray, far: np.ndarray, base: np.ndarray, is_known: np.ndarray) -> list[bytes]:
     """For each blob, packed: its documents and their sums of lp; those with words that are not hot,
-    the sums of these words' base scores and the number of known ones."""
+    the sums of these words' base scores and the number of known ones. Documents go as deltas."""
     key, at = np.unique((blob << 32) | doc, return_inverse=True)
     lp, base, seen, rare = (np.bincount(at, x, len(key)) for x in (lp, base, is_known, far))
-    doc, some = (key & 0xFFFFFFFF).astype(np.uint32), rare > 0
+    doc, some = key & 0xFFFFFFFF, rare > 0
     out = []
     edges = np.searchsorted(key, np.arange(blobs + 1) << 32)
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         own = np.flatnonzero(some[x:y]) + x
-        out.append(pack([doc[x:y], lp[x:y].view(np.uint64), doc[own], base[own].view(np.uint64), seen[own].astype(np.uint32)]))
+        out.append(pack([delta(doc[x:y]), lp[x:y].view(np.uint64), delta(doc[own]), base[own].view(np.uint64), seen[own].astype(np.uint32)]))
     return out
 
 
@@ -474,29 +491,12 @@ PACKED = "key long, other long, tag int, blob binary"
 Row = tuple[int, int, int, bytes]
 
 
-def narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint32)
-
-
-def wide(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.int64)
-
-
 def runs(v: np.ndarray) -> list[tuple[int, slice]]:
     """The slice of each number of sorted ones."""
     numbers, start = np.unique(v, return_index=True)
     return [(int(k), slice(a, b)) for k, a, b in zip(numbers, start.tolist(), [*start[1:].tolist(), len(v)], strict=True)]
 
 
-def delta(x: np.ndarray) -> np.ndarray:
-    """What each number is above the one before it, modulo 2^32: mostly zeros in the upper bytes."""
-    return np.diff(narrow(x), prepend=np.uint32(0))
-
-
-def from_delta(x: np.ndarray) -> np.ndarray:
-    return wide(np.cumsum(x, dtype=np.uint32))
-
-
 def filled(number: np.ndarray, others: np.ndarray, values: np.ndarray, known: Words) -> np.ndarray:
     """The values of words: of hot ones by their numbers, of others as given in their order."""
     out, far = np.empty(len(number), values.dtype), number >= len(values)
@@ -813,6 +813,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         yield rows()
                     piece, total = at, np.zeros((3, 0))
                 doc, lp, few, lb, seen = unpack(blob)
+                doc, few = from_delta(doc), from_delta(few)
                 if len(doc) and doc[-1] >= total.shape[1]:
                     total = np.concatenate([total, np.zeros((3, int(doc[-1]) + 1 - total.shape[1]))], axis=1)
                 total[0, doc] += lp.view(np.float64)
